@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm._shared import table
 from weft.llm.byte_bpe import bpe_report
+from weft.llm.embedding_dedup import EMBEDDING_SQL, embedding_groups
 from weft.llm.exact_dedup import EXACT_SQL, exact_report
 from weft.llm.jaccard_join import JACCARD_SQL, jaccard_report
 from weft.llm.mixing import MIX_SQL, mix_report
 from weft.llm.pii import pii_report
+from weft.llm.sharding import shard_report
 from weft.llm.token_counts import token_report
 
 
@@ -22,13 +24,16 @@ def _over_documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": _over_documents(pii_report),
     "op2_exact_dedup": _over_documents(exact_report),
+    "op3_embedding_dedup": lambda spark, sf_dir: embedding_groups(table(spark, sf_dir, "embeddings")),
     "op5_jaccard_join": _over_documents(jaccard_report),
+    "op6_sharding": _over_documents(shard_report),
     "op7_token_counts": _over_documents(token_report),
     "op9_byte_bpe": _over_documents(bpe_report),
     "op10_mixing": _over_documents(mix_report),
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": EXACT_SQL,
+    "op3_embedding_dedup": EMBEDDING_SQL,
     "op5_jaccard_join": JACCARD_SQL,
     "op10_mixing": MIX_SQL,
 }
