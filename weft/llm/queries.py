@@ -15,6 +15,7 @@ from weft.llm.mixing import MIX_SQL, mix_report
 from weft.llm.pii import pii_report
 from weft.llm.sharding import shard_report
 from weft.llm.token_counts import token_report
+from weft.llm.toxicity import toxicity_report
 
 
 def _over_documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": _over_documents(jaccard_report),
     "op6_sharding": _over_documents(shard_report),
     "op7_token_counts": _over_documents(token_report),
+    "op8_toxicity": lambda spark, sf_dir: toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_byte_bpe": _over_documents(bpe_report),
     "op10_mixing": _over_documents(mix_report),
 }
