@@ -2,5 +2,612 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weft.functions import ids
+from weft.operators import classify, evaluation, graph, retrieval, temporal
+from weft.plans import adapters as A
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+NODES, EDGES, CHANGES, ASSIGN = A.NODES_SQL, A.EDGES_SQL, A.CHANGES_SQL, A.ASSIGN_SQL
+SNAPS = "snaps AS (SELECT DISTINCT day, path, block FROM changes), pairs AS (SELECT * FROM (SELECT lag(day) OVER (ORDER BY day) AS before, day AS after FROM (SELECT DISTINCT day FROM snaps)) WHERE before IS NOT NULL)"
+DIFFS = """sides AS (
+  SELECT before, after, path, NULL AS b, block AS a FROM snaps JOIN pairs ON day = after
+  UNION ALL SELECT before, after, path, block, NULL FROM snaps JOIN pairs ON day = before),
+sets AS (SELECT before, after, path, coalesce(string_agg(DISTINCT b, ',' ORDER BY b), '') AS before_blocks, coalesce(string_agg(DISTINCT a, ',' ORDER BY a), '') AS after_blocks FROM sides GROUP BY 1, 2, 3),
+diffs AS (SELECT *, CASE WHEN before_blocks = '' THEN 'A' WHEN after_blocks = '' THEN 'D' ELSE 'M' END AS status FROM sets WHERE before_blocks <> after_blocks)"""
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) -> DataFrame under its name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# lookups, filters, joins
+
+
+@query(f"WITH {NODES} SELECT * FROM nodes WHERE node_id = 'customer:7'")
+def node_lookup(spark, d):
+    return graph.node_lookup(A.nodes(spark, d), "customer:7")
+
+
+@query(f"WITH {NODES}, {EDGES} SELECT * FROM edges WHERE source_id = 'customer:7' UNION ALL SELECT * FROM edges WHERE target_id = 'customer:7'")
+def incident_edges_both(spark, d):
+    return graph.incident_edges(A.edges(spark, d), "customer:7", limit=10_000)
+
+
+@query(f"WITH {NODES}, {EDGES} SELECT count(*) FILTER (source_id = 'supplier:3') + count(*) FILTER (target_id = 'supplier:3') AS n FROM edges")
+def incident_count(spark, d):
+    return graph.incident_count(A.edges(spark, d), "supplier:3")
+
+
+@query(f"WITH {ASSIGN} SELECT * FROM assign WHERE block = 'BUILDING' AND confidence >= 0.5")
+def block_filter_conf(spark, d):
+    return A.assignments(spark, d).where("block = 'BUILDING' AND confidence >= 0.5")
+
+
+@query(f"WITH {NODES}, {ASSIGN} SELECT DISTINCT file_path FROM assign JOIN nodes USING (node_id) WHERE block = 'BUILDING' AND confidence >= 0.9 ORDER BY 1")
+def files_for_block(spark, d):
+    sure = A.assignments(spark, d).where("block = 'BUILDING' AND confidence >= 0.9")
+    return sure.join(A.nodes(spark, d), "node_id").select("file_path").distinct().orderBy("file_path")
+
+
+@query(f"WITH {NODES}, {ASSIGN} SELECT node_id, block, confidence, label, file_path FROM assign LEFT JOIN nodes USING (node_id)")
+def block_nodes_left_join(spark, d):
+    return A.assignments(spark, d).join(A.nodes(spark, d).select("node_id", "label", "file_path"), "node_id", "left")
+
+
+@query("SELECT c_custkey AS entity_id, c_name AS name, count(o_orderkey) AS n_actions FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
+def group_join_entities(spark, d):
+    acts = A.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    return A.table(spark, d, "customer").join(acts, "c_custkey", "left").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name"), F.coalesce("n", F.lit(0)).alias("n_actions"))
+
+
+@query(f"WITH {NODES}, {EDGES} SELECT source_id, target_id, edge_type, s.file_path AS source_path, t.file_path AS target_path FROM edges LEFT JOIN nodes s ON s.node_id = source_id LEFT JOIN nodes t ON t.node_id = target_id")
+def endpoint_paths(spark, d):
+    return graph.endpoint_paths(A.nodes(spark, d), A.edges(spark, d))
+
+
+@query(f"""WITH {NODES}, {EDGES}, {ASSIGN}, blocks AS (SELECT node_id, block FROM assign UNION ALL SELECT 'order:' || o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT source_id, target_id, edge_type FROM edges JOIN blocks s ON s.node_id = source_id JOIN blocks t ON t.node_id = target_id WHERE s.block = t.block""")
+def same_block_edges(spark, d):
+    blocks = _blocks(spark, d)
+    of = lambda side: blocks.select(F.col("node_id").alias(f"{side}_id"), F.col("block").alias(f"{side}_block"))
+    joined = A.edges(spark, d).join(of("source"), "source_id").join(of("target"), "target_id")
+    return joined.where("source_block = target_block").select("source_id", "target_id", "edge_type")
+
+
+def _blocks(spark, d):
+    orders = A.table(spark, d, "orders").join(A.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return A.assignments(spark, d).select("node_id", "block").unionByName(orders.select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("node_id"), F.col("c_mktsegment").alias("block")))
+
+
+@query("""WITH spans AS (SELECT l_partkey AS k, l_orderkey * 10 + l_linenumber AS span_id, CAST(l_quantity AS BIGINT) AS low, CAST(l_quantity AS BIGINT) + l_linenumber * 3 AS high FROM lineitem),
+points AS (SELECT p_partkey AS k, p_partkey AS point_id, CAST(p_size AS BIGINT) AS "at" FROM part),
+r AS (SELECT points.k, point_id, points."at", span_id, points."at" BETWEEN low AND high AS inside,
+  row_number() OVER (PARTITION BY points.k, point_id ORDER BY NOT (points."at" BETWEEN low AND high), CASE WHEN points."at" BETWEEN low AND high THEN high - low ELSE least(abs(points."at" - low), abs(points."at" - high)) END, span_id) AS rn
+  FROM points JOIN spans USING (k))
+SELECT k, point_id, "at", span_id, inside FROM r WHERE rn = 1""")
+def containment_join(spark, d):
+    q = F.col("l_quantity").cast("long")
+    spans = A.table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("span_id"), q.alias("low"), (q + F.col("l_linenumber") * 3).alias("high"))
+    points = A.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").alias("point_id"), F.col("p_size").cast("long").alias("at"))
+    return graph.containment_join(points, spans, "k")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def orphans_anti_join(spark, d):
+    return A.table(spark, d, "customer").join(A.table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+@query("SELECT p_brand AS symbol, min(s_name) AS first_foreign FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> 0 GROUP BY 1")
+def cross_repo_first(spark, d):
+    joined = A.table(spark, d, "lineitem").select("l_partkey", "l_suppkey").join(A.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(A.table(spark, d, "supplier").where("s_nationkey <> 0"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return joined.groupBy(F.col("p_brand").alias("symbol")).agg(F.min("s_name").alias("first_foreign"))
+
+
+@query(f"""WITH {NODES}, {EDGES}, renamed AS (SELECT 'customer:' || c_custkey AS old_id, c_name AS new_id FROM customer WHERE c_custkey % 2 = 0)
+SELECT source_id, coalesce(new_id, target_id) AS target_id, edge_type FROM edges LEFT JOIN renamed ON target_id = old_id""")
+def id_rewrite(spark, d):
+    renamed = A.table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("old_id"), F.col("c_name").alias("new_id"))
+    return graph.rewrite_targets(A.edges(spark, d), renamed)
+
+
+@query("""WITH code AS (SELECT 'supplier:' || s_suppkey AS node_id, s_nationkey AS file_id FROM supplier),
+fe AS (SELECT DISTINCT s_nationkey AS source_id, c_nationkey AS target_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 49),
+i AS (SELECT source_id AS file_id, string_agg(DISTINCT CAST(target_id AS VARCHAR), ',' ORDER BY CAST(target_id AS VARCHAR)) AS imports FROM fe GROUP BY 1),
+b AS (SELECT target_id AS file_id, string_agg(DISTINCT CAST(source_id AS VARCHAR), ',' ORDER BY CAST(source_id AS VARCHAR)) AS imported_by FROM fe GROUP BY 1)
+SELECT c.node_id, coalesce(imports, '') AS imports, coalesce(imported_by, '') AS imported_by, coalesce((SELECT string_agg(o.node_id, ',' ORDER BY o.node_id) FROM code o WHERE o.file_id = c.file_id AND o.node_id <> c.node_id), '') AS same_file
+FROM code c LEFT JOIN i USING (file_id) LEFT JOIN b USING (file_id)""")
+def neighborhoods(spark, d):
+    supplier = A.table(spark, d, "supplier")
+    code = supplier.select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("node_id"), F.col("s_nationkey").cast("string").alias("file_id"))
+    line = A.table(spark, d, "lineitem").where("l_quantity > 49").select("l_orderkey", "l_suppkey")
+    fe = line.join(A.table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(A.table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    fe = fe.select(F.col("s_nationkey").cast("string").alias("source_id"), F.col("c_nationkey").cast("string").alias("target_id")).distinct()
+    out = graph.neighborhoods(code, fe)
+    return out.select("node_id", *(F.array_join(c, ",").alias(c) for c in ("imports", "imported_by", "same_file")))
+
+
+@query(f"""WITH {NODES}, {EDGES}, known AS (SELECT * FROM nodes WHERE kind <> 'supplier')
+SELECT source_id, target_id, edge_type, 'source' AS side FROM edges WHERE source_id NOT IN (SELECT node_id FROM known)
+UNION ALL SELECT source_id, target_id, edge_type, 'target' FROM edges WHERE target_id NOT IN (SELECT node_id FROM known) AND NOT (edge_type = 'IMPORTS_MODULE' AND target_id LIKE 'module:%')""")
+def dangling_edges(spark, d):
+    return graph.dangling_edges(A.nodes(spark, d).where("kind <> 'supplier'"), A.edges(spark, d))
+
+
+@query(f"WITH {NODES}, {EDGES} SELECT source_id, target_id, edge_type FROM edges WHERE target_id NOT IN (SELECT node_id FROM nodes) AND edge_type = 'IMPORTS_MODULE' AND target_id LIKE 'module:%'")
+def external_endpoints(spark, d):
+    return graph.external_endpoints(A.nodes(spark, d), A.edges(spark, d))
+
+
+@query(f"WITH {NODES}, {EDGES} SELECT * FROM nodes WHERE layer = 'code' AND node_id NOT IN (SELECT target_id FROM edges WHERE edge_type = 'CONTAINS')")
+def missing_containment(spark, d):
+    return graph.missing_containment(A.nodes(spark, d), A.edges(spark, d)).select("node_id", "layer", "kind", "label", "repo_name", "file_path")
+
+
+@query(f"WITH {NODES}, {EDGES} SELECT node_id, layer, kind FROM nodes WHERE node_id IN (SELECT src FROM both_ways WHERE dst IN (SELECT node_id FROM nodes))")
+def derived_evidence_semi(spark, d):
+    return graph.connected_to_known(A.nodes(spark, d), A.edges(spark, d)).select("node_id", "layer", "kind")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def stale_targets(spark, d):
+    orders = A.table(spark, d, "orders")
+    retired = orders.join(A.table(spark, d, "customer").where("c_acctbal < 0"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    return retired.join(A.table(spark, d, "lineitem").where("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query("SELECT l_partkey AS target, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS labels FROM lineitem GROUP BY 1")
+def labels_by_target(spark, d):
+    return A.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("target")).agg(F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("labels"))
+
+
+@query(f"WITH {NODES}, {EDGES} SELECT source_id, target_id, edge_type, s.label AS source_label, t.label AS target_label FROM edges LEFT JOIN nodes s ON s.node_id = source_id LEFT JOIN nodes t ON t.node_id = target_id WHERE edge_type = 'CALLS'")
+def edge_enrichment(spark, d):
+    at = lambda side: A.nodes(spark, d).select(F.col("node_id").alias(f"{side}_id"), F.col("label").alias(f"{side}_label"))
+    calls = A.edges(spark, d).where("edge_type = 'CALLS'")
+    return calls.join(at("source"), "source_id", "left").join(at("target"), "target_id", "left")
+
+
+@query("""WITH rows AS (SELECT l_partkey AS node_id, l_orderkey * 10 + l_linenumber AS ord, l_returnflag AS kind, l_linestatus AS label FROM lineitem)
+SELECT node_id, ord, kind, label FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ord DESC) AS rn FROM rows) WHERE rn = 1""")
+def nodes_union_last_wins(spark, d):
+    line = A.table(spark, d, "lineitem").select(F.col("l_partkey").alias("node_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("label"))
+    return graph.last_written(line, ["node_id"], "ord")
+
+
+@query("""WITH rows AS (SELECT l_suppkey AS node_id, l_orderkey * 10 + l_linenumber AS ord, l_returnflag AS kind FROM lineitem)
+SELECT node_id, ord, kind FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ord) AS rn FROM rows) WHERE rn = 1""")
+def first_dedupe(spark, d):
+    line = A.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("node_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_returnflag").alias("kind"))
+    return graph.first_seen(line, ["node_id"], "ord")
+
+
+@query("SELECT DISTINCT 'order:' || l_orderkey AS source_id, 'part:' || l_partkey AS target_id, l_returnflag AS edge_type FROM lineitem")
+def edge_distinct(spark, d):
+    line = A.table(spark, d, "lineitem")
+    return line.select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("source_id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("target_id"), F.col("l_returnflag").alias("edge_type")).dropDuplicates()
+
+
+@query("""WITH e AS (SELECT user_id, list_distinct(list(event_type)) AS have FROM events GROUP BY 1)
+SELECT user_id, array_to_string(list_sort(list_intersect(have, ['click', 'purchase', 'refund'])), ',') AS hit, array_to_string(list_sort(list_filter(['click', 'purchase', 'refund'], lambda x: NOT list_contains(have, x))), ',') AS missing FROM e""")
+def array_set_ops(spark, d):
+    want = F.array(*(F.lit(x) for x in ("click", "purchase", "refund")))
+    have = A.table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("have"))
+    join = lambda x: F.array_join(F.sort_array(x), ",")
+    return have.select("user_id", join(F.array_intersect(want, "have")).alias("hit"), join(F.array_except(want, "have")).alias("missing"))
+
+
+@query("SELECT p_brand AS symbol, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS nodes FROM part GROUP BY 1")
+def symbol_multimap(spark, d):
+    return A.table(spark, d, "part").groupBy(F.col("p_brand").alias("symbol")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",").alias("nodes"))
+
+
+# aggregates
+
+
+@query(f"WITH {NODES}, {EDGES} SELECT edge_type, count(*) AS n FROM edges GROUP BY 1")
+def edge_type_counts(spark, d):
+    return A.edges(spark, d).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {NODES}, {EDGES} SELECT src AS node_id, count(*) AS degree FROM both_ways GROUP BY 1")
+def degree(spark, d):
+    return graph.degrees(A.edges(spark, d))
+
+
+@query(f"""WITH {NODES}, t AS (SELECT file_path, count(*) AS n FROM nodes WHERE file_path IS NOT NULL GROUP BY 1 ORDER BY n DESC, file_path LIMIT 10),
+r AS (SELECT file_path, label, row_number() OVER (PARTITION BY file_path ORDER BY node_id) AS r FROM nodes)
+SELECT file_path, any_value(n) AS n, string_agg(label, ',' ORDER BY r) AS names FROM t JOIN r USING (file_path) WHERE r <= 5 GROUP BY 1""")
+def top_files(spark, d):
+    return evaluation.top_files(A.nodes(spark, d))
+
+
+@query("SELECT o_orderpriority AS grp, CAST(count(*) FILTER (o_orderstatus = 'F') AS DOUBLE) / count(*) AS ratio FROM orders GROUP BY 1")
+def ratios(spark, d):
+    return A.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(ids.ratio(F.count_if(F.col("o_orderstatus") == "F"), F.count(F.lit(1))).alias("ratio"))
+
+
+@query(f"WITH {CHANGES} SELECT path, count(*) AS n FROM changes GROUP BY 1 HAVING count(*) >= 12")
+def dense_having(spark, d):
+    return A.changes(spark, d).groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n >= 12")
+
+
+@query("SELECT c_mktsegment AS block, count(*) AS n, count(DISTINCT c_nationkey) AS files, CAST(count(*) FILTER (c_acctbal > 5000) AS DOUBLE) / count(*) AS coverage FROM customer GROUP BY 1")
+def block_coverage(spark, d):
+    return A.table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("block")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_nationkey").alias("files"), ids.ratio(F.count_if(F.col("c_acctbal") > 5000), F.count(F.lit(1))).alias("coverage"))
+
+
+@query("SELECT l_suppkey AS grp, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS total, max(l_linenumber) AS top FROM lineitem GROUP BY 1")
+def group_totals(spark, d):
+    return A.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("total"), F.max("l_linenumber").alias("top"))
+
+
+# classification
+
+SIGNALS = [("articles", "(^| )the( |$)", 1.5), ("articles", "(^| )des( |$)", 1.0), ("links", "(^| )and( |$)", 2.0), ("links", "(^| )und( |$)", 2.0), ("licence", "licensed under", 3.0)]
+PATHS = [("View", "view"), ("Money", "purchase|click"), ("Faults", "error"), ("Entry", "signup")]
+ACTIONS = [("AUTHORIZE", "building|auth"), ("PERSIST", "house|store"), ("CONNECT", "auto|net")]
+
+
+def _signals_sql() -> str:
+    cases = ", ".join(f"{{'block': '{b}', 'ord': {i}, 'score': " + " + ".join(f"CASE WHEN regexp_matches(low, '{p}') THEN {w}::DOUBLE ELSE 0::DOUBLE END" for bb, p, w in SIGNALS if bb == b) + "}" for i, b in enumerate(dict.fromkeys(b for b, _, _ in SIGNALS)))
+    return f"WITH low AS (SELECT doc_id, lower(substr(coalesce(text, ''), 1, 2000)) AS low FROM documents), s AS (SELECT doc_id, unnest([{cases}]) AS s FROM low), scores AS (SELECT doc_id, s.block AS block, s.score AS score, s.ord AS ord FROM s WHERE s.score > 0)"
+
+
+@query(_signals_sql() + " SELECT doc_id, block, score FROM scores")
+def classify_signals(spark, d):
+    return classify.signal_scores(A.table(spark, d, "documents"), SIGNALS).select("doc_id", "block", "score")
+
+
+@query(_signals_sql() + ", r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS nxt FROM scores WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, ord)) SELECT doc_id, block AS primary_block, score, score - coalesce(nxt, 0) AS margin FROM r WHERE rn = 1")
+def primary_block(spark, d):
+    return classify.primary_block(classify.signal_scores(A.table(spark, d, "documents"), SIGNALS).select("doc_id", "block", "score", F.col("ord")))
+
+
+@query("""WITH r AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
+SELECT doc_id, CAST(len(regexp_extract_all(t, '(?:^|[^a-z])(the)(?:[^a-z]|$)', 1)) AS BIGINT) AS n_the_apart FROM r WHERE t NOT LIKE '%the the%'""")
+def barrel_counts(spark, d):
+    docs = A.table(spark, d, "documents").where(~F.lower("text").contains("the the") | F.col("text").isNull())
+    t = F.lower(F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", F.size(F.regexp_extract_all(t, F.lit("(?:^|[^a-z])(the)(?:[^a-z]|$)"), F.lit(1))).cast("long").alias("n_the_apart"))
+
+
+@query("SELECT event_id, event_type AS path, CASE WHEN event_type LIKE '%view%' THEN 'View' WHEN regexp_matches(event_type, 'purchase|click') THEN 'Money' WHEN event_type LIKE '%error%' THEN 'Faults' WHEN event_type LIKE '%signup%' THEN 'Entry' ELSE 'Unclassified' END AS blocks FROM events")
+def path_blocks(spark, d):
+    return classify.path_blocks(A.table(spark, d, "events").select("event_id", F.col("event_type").alias("path")), PATHS)
+
+
+@query("""WITH h AS (SELECT lower(substr(coalesce(text, ''), 1, 800)) AS low FROM documents),
+p AS (SELECT 'english' AS pattern_id, (CASE WHEN contains(low, 'the') THEN 1 ELSE 0 END + CASE WHEN contains(low, 'and') THEN 1 ELSE 0 END) AS n FROM h
+  UNION ALL SELECT 'german', (CASE WHEN contains(low, 'und') THEN 1 ELSE 0 END + CASE WHEN contains(low, 'der') THEN 1 ELSE 0 END) FROM h)
+SELECT pattern_id, CAST(sum(n) AS BIGINT) AS hits, count(*) AS n_nodes FROM p WHERE n > 0 GROUP BY 1""")
+def keyword_patterns(spark, d):
+    return classify.keyword_patterns(A.table(spark, d, "documents"), {"english": ("the", "and"), "german": ("und", "der")})
+
+
+@query("SELECT c_custkey, c_mktsegment AS name, CASE WHEN regexp_matches(lower(c_mktsegment), 'building|auth') THEN 'AUTHORIZE' WHEN regexp_matches(lower(c_mktsegment), 'house|store') THEN 'PERSIST' WHEN regexp_matches(lower(c_mktsegment), 'auto|net') THEN 'CONNECT' ELSE 'REPRESENT' END AS action FROM customer")
+def actions_infer(spark, d):
+    return classify.infer_actions(A.table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("name")), ACTIONS)
+
+
+@query("SELECT p_type AS category, p_brand AS name, count(*) AS n FROM part GROUP BY 1, 2 ORDER BY n DESC, category, name LIMIT 200")
+def entities_top200(spark, d):
+    return classify.count_entities(A.table(spark, d, "part").select(F.col("p_type").alias("category"), F.col("p_brand").alias("name")))
+
+
+# retrieval
+
+QUESTION = "where is the retitioning and onding text"
+
+
+@query("""WITH s AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+k AS (SELECT doc_id, (CASE WHEN contains(t, 'retitioning') THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN contains(t, 'onding') THEN 1.0 ELSE 0 END + CASE WHEN contains(t, 'text') THEN 1.0 ELSE 0 END + CASE WHEN contains(t, 'where is the retitioning and onding text') THEN 3.0 ELSE 0 END) AS score FROM s)
+SELECT * FROM k WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20""")
+def lexical_rank(spark, d):
+    return retrieval.lexical_rank(A.table(spark, d, "documents"), QUESTION)
+
+
+@query("""WITH n AS (SELECT l_suppkey AS s, count(*) AS n_actions FROM lineitem WHERE l_quantity > 49 GROUP BY 1),
+k AS (SELECT s_suppkey AS entity_id, s_name AS name, coalesce(n_actions, 0) AS n_actions, (CASE WHEN contains(lower(s_name), 'supplier') THEN 1.0::DOUBLE ELSE 0 END) + 0.2 * least(coalesce(n_actions, 0), 5) AS score FROM supplier LEFT JOIN n ON s = s_suppkey)
+SELECT * FROM k ORDER BY score DESC, name LIMIT 20""")
+def entity_rank(spark, d):
+    entities = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name"))
+    acts = A.table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("entity_id"))
+    return retrieval.entity_rank(entities, acts, "which supplier")
+
+
+@query("SELECT o_orderpriority AS action, CASE o_orderpriority WHEN 'CONFIGURE' THEN 0 ELSE 50 END AS rank, count(*) AS n FROM orders GROUP BY 1, 2")
+def workflow_order(spark, d):
+    return A.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("action")).agg(F.count(F.lit(1)).alias("n")).withColumn("rank", retrieval.workflow_rank(F.col("action")))
+
+
+@query(f"""WITH {ASSIGN}, k AS (SELECT node_id, 3.0 * CASE WHEN block = 'BUILDING' THEN 1 ELSE 0 END + 3.0 * confidence + 0.9 * least(length(block) % 7, 5)
+  - CASE WHEN node_id LIKE '%0' THEN 0.25 ELSE 0.0 END - CASE WHEN node_id LIKE '%7' THEN 1.5 ELSE 0.0 END - CASE WHEN length(block) % 7 = 0 THEN 2.0 ELSE 0.0 END - CASE WHEN length(block) % 7 = 0 AND confidence < 0.5 THEN 2.5 ELSE 0.0 END AS raw FROM assign)
+SELECT node_id, CAST(floor(raw * 1000 + 0.5) AS BIGINT) AS score FROM k WHERE floor(raw * 1000 + 0.5) > 0""")
+def candidate_score(spark, d):
+    a = A.assignments(spark, d)
+    score = retrieval.candidate_score(F.when(F.col("block") == "BUILDING", 1).otherwise(0), F.col("confidence"), F.length("block") % 7, F.col("node_id").endswith("0"), F.col("node_id").endswith("7"))
+    return a.select("node_id", F.floor(score * 1000 + 0.5).cast("long").alias("score")).where("score > 0")
+
+
+@query(f"""WITH {NODES}, {ASSIGN}, c AS (SELECT node_id, file_path, block, confidence AS score FROM assign JOIN nodes USING (node_id)),
+f AS (SELECT *, row_number() OVER (PARTITION BY block, file_path ORDER BY score DESC, node_id) AS r FROM c WHERE block IN ('BUILDING', 'MACHINERY')),
+t AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY score DESC, node_id) AS k FROM f WHERE r = 1)
+SELECT CASE block WHEN 'BUILDING' THEN 0 ELSE 1 END AS ord, block, node_id, file_path, score FROM t WHERE k <= 4""")
+def balanced_topk(spark, d):
+    c = A.assignments(spark, d).join(A.nodes(spark, d).select("node_id", "file_path"), "node_id").withColumnRenamed("confidence", "score")
+    return retrieval.balanced_top(c, ["BUILDING", "MACHINERY"])
+
+
+@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) AND length(trim(b.text)) > 0")
+def passage_containment(spark, d):
+    return retrieval.contained_texts(A.table(spark, d, "documents"), A.table(spark, d, "benchmark"))
+
+
+# traversal
+
+
+@query(f"""WITH RECURSIVE {NODES}, {EDGES}, deg AS (SELECT src, count(*) AS n FROM both_ways GROUP BY 1),
+r(node_id, depth) AS (SELECT 'customer:7', 0 UNION SELECT dst, depth + 1 FROM r JOIN both_ways ON src = node_id LEFT JOIN deg USING (src) WHERE depth < 3 AND (depth = 0 OR deg.n <= 80))
+SELECT node_id, min(depth) AS depth FROM r GROUP BY 1""")
+def impact_radius(spark, d):
+    return graph.impact_radius(A.edges(spark, d), "customer:7", depth=2)
+
+
+@query(f"""WITH RECURSIVE {NODES}, {EDGES}, sym AS (SELECT * FROM both_ways WHERE edge_type IN ('REFERENCES', 'CALLS', 'CROSS_REFERENCE', 'DEFINES', 'IMPLEMENTS')),
+r(node_id, depth) AS (SELECT 'customer:7', 0 UNION SELECT dst, depth + 1 FROM r JOIN sym ON src = node_id WHERE depth < 3)
+SELECT node_id, min(depth) AS depth FROM r GROUP BY 1""")
+def symbol_trace(spark, d):
+    return graph.symbol_trace(A.edges(spark, d), "customer:7", depth=3)
+
+
+@query(f"""WITH RECURSIVE {NODES}, {EDGES}, e AS (SELECT DISTINCT source_id, target_id FROM edges),
+r(node_id, path, depth) AS (SELECT 'project:EUROPE', 'project:EUROPE', 0 UNION SELECT target_id, path || ' > ' || target_id, depth + 1 FROM r JOIN e ON source_id = node_id WHERE depth < 3)
+SELECT path, depth FROM r WHERE node_id = (SELECT min('order:' || o_orderkey) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE') ORDER BY depth, path LIMIT 1""")
+def bfs_path(spark, d):
+    o = A.table(spark, d, "orders").join(A.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(A.places(spark, d).where("repo_name = 'EUROPE'"), F.col("c_nationkey") == F.col("n_nationkey"))
+    goal = o.agg(F.min(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")))).first()[0]
+    return graph.shortest_path(A.edges(spark, d), "project:EUROPE", goal or "", depth=3)
+
+
+OVERLAY_SQL = f"""WITH {NODES}, {EDGES}, {ASSIGN}, hot AS (SELECT file_path FROM nodes WHERE file_path IS NOT NULL AND layer = 'code' GROUP BY 1 ORDER BY count(*) DESC, file_path LIMIT 5),
+blocks AS (SELECT node_id, block FROM assign UNION ALL SELECT 'order:' || o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey),
+e AS (SELECT source_id, target_id, edge_type, s.file_path AS sp, t.file_path AS tp, sb.block AS sb, tb.block AS tb,
+  CASE edge_type WHEN 'REFERENCES' THEN 0.92::DOUBLE WHEN 'CALLS' THEN 0.90 WHEN 'IMPORTS_MODULE' THEN 0.72 WHEN 'DEPENDS_ON' THEN 0.68 WHEN 'CONTAINS' THEN 0.35 ELSE 0.5 END AS base
+  FROM edges LEFT JOIN nodes s ON s.node_id = source_id LEFT JOIN nodes t ON t.node_id = target_id LEFT JOIN blocks sb ON sb.node_id = source_id LEFT JOIN blocks tb ON tb.node_id = target_id),
+f AS (SELECT *, (CASE WHEN sp IN (FROM hot) THEN 1 ELSE 0 END) + (CASE WHEN tp IN (FROM hot) THEN 1 ELSE 0 END) AS n, coalesce(contains(lower(sp), 'china'), false) OR coalesce(contains(lower(tp), 'china'), false) AS touched FROM e)
+SELECT source_id, target_id, edge_type, base AS base_weight, least(greatest(base * ((CASE n WHEN 2 THEN 1.10::DOUBLE WHEN 1 THEN 1.05 ELSE 1.0 END) * (CASE WHEN sb = tb THEN 1.08::DOUBLE ELSE 1.0 END) * (CASE WHEN touched THEN 1.12::DOUBLE ELSE 1.0 END)), 0.04), 0.98) AS adjusted_weight FROM f"""
+
+
+def _overlay(spark, d):
+    nodes = A.nodes(spark, d)
+    hot = nodes.where("file_path IS NOT NULL AND layer = 'code'").groupBy("file_path").count().orderBy(F.desc("count"), "file_path").limit(5)
+    return graph.causal_overlay(nodes, A.edges(spark, d), hot.select("file_path"), _blocks(spark, d), ["china"])
+
+
+@query(OVERLAY_SQL)
+def overlay_weights(spark, d):
+    return _overlay(spark, d)
+
+
+@query()
+def mc_reach(spark, d):
+    """Reached nodes per run from one customer, over symbol-like edges; checked by a determinism test."""
+    weighted = _overlay(spark, d).where("edge_type IN ('CALLS', 'CONTAINS')").select("source_id", "target_id", F.col("adjusted_weight").alias("weight"))
+    seeds = spark.createDataFrame([("customer:7",)], "node_id string")
+    return graph.monte_carlo_reach(weighted, seeds, runs=16, depth=3).groupBy("run").agg(F.count(F.lit(1)).alias("reached"))
+
+
+# history
+
+
+@query(f"WITH {CHANGES} SELECT block, count(*) AS changes FROM (SELECT DISTINCT day, path, block FROM changes) GROUP BY 1")
+def block_churn(spark, d):
+    return temporal.churn(A.changes(spark, d))
+
+
+@query(f"WITH {CHANGES} SELECT path, count(*) AS changes FROM changes GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")
+def hotspots(spark, d):
+    return temporal.hotspots(A.changes(spark, d))
+
+
+@query(f"WITH {CHANGES}, c AS (SELECT count(*) AS n FROM changes GROUP BY path) SELECT max(n) AS top, CAST(sum(n) AS BIGINT) AS total, CAST(max(n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS concentration FROM c")
+def hotspot_share(spark, d):
+    return temporal.hotspot_share(A.changes(spark, d))
+
+
+@query(f"WITH {CHANGES}, {SNAPS} SELECT before, after FROM pairs")
+def lag_pairs(spark, d):
+    return temporal.day_pairs(A.changes(spark, d))
+
+
+@query(f"WITH {CHANGES}, {SNAPS}, {DIFFS} SELECT before, after, path, before_blocks, after_blocks, status FROM diffs")
+def snapshot_align(spark, d):
+    return temporal.diff(temporal.snapshots(A.changes(spark, d)))
+
+
+@query(f"WITH {CHANGES}, {SNAPS}, x AS (SELECT before, after, block, 1 AS dlt FROM snaps JOIN pairs ON day = after UNION ALL SELECT before, after, block, -1 FROM snaps JOIN pairs ON day = before) SELECT before, after, block, CAST(sum(dlt) AS BIGINT) AS delta FROM x GROUP BY 1, 2, 3 HAVING sum(dlt) <> 0")
+def diff_delta(spark, d):
+    return temporal.block_delta(temporal.snapshots(A.changes(spark, d)))
+
+
+@query(f"""WITH {CHANGES}, {SNAPS}, {DIFFS} SELECT before, after, count(*) AS files, count(*) FILTER (status = 'M') AS drifted, CAST(count(*) FILTER (status = 'M') AS DOUBLE) / count(*) AS drift_rate,
+CAST(sum(greatest(CASE WHEN before_blocks = '' THEN 0 ELSE len(string_split(before_blocks, ',')) END, CASE WHEN after_blocks = '' THEN 0 ELSE len(string_split(after_blocks, ',')) END)) AS DOUBLE) / count(*) AS coupling FROM diffs GROUP BY 1, 2""")
+def temporal_metrics(spark, d):
+    return temporal.temporal_metrics(temporal.diff(temporal.snapshots(A.changes(spark, d))))
+
+
+@query(f"""WITH {CHANGES}, {SNAPS}, {DIFFS}, t AS (SELECT status, unnest(list_distinct(list_filter(string_split(before_blocks || ',' || after_blocks, ','), lambda x: x <> ''))) AS block FROM diffs)
+SELECT block, count(*) AS activity, count(*) FILTER (status = 'M') AS drift, 1 - CAST(count(*) FILTER (status = 'M') AS DOUBLE) / count(*) AS success FROM t GROUP BY 1""")
+def success_index(spark, d):
+    return temporal.success_index(temporal.diff(temporal.snapshots(A.changes(spark, d))))
+
+
+@query(f"WITH {CHANGES}, {SNAPS}, {DIFFS} SELECT before, after, path, before_blocks, after_blocks, 0.9::DOUBLE AS confidence FROM diffs WHERE status = 'M'")
+def drift(spark, d):
+    return temporal.direct_drift(temporal.diff(temporal.snapshots(A.changes(spark, d))))
+
+
+@query()
+def drift_moves(spark, d):
+    """Greedy matching of adds and deletes; checked against a plain loop in the tests."""
+    return temporal.move_drift(temporal.diff(temporal.snapshots(A.changes(spark, d))))
+
+
+@query(f"""WITH {CHANGES}, {SNAPS}, {DIFFS}, f AS (SELECT before, after, path FROM diffs WHERE status = 'M'), e AS (SELECT before, after, path FROM diffs WHERE status = 'M' AND path <> 'src/user_1.ts'),
+m AS (SELECT (SELECT count(*) FROM (FROM e EXCEPT ALL FROM f)) AS missing, (SELECT count(*) FROM (FROM f EXCEPT ALL FROM e)) AS unexpected)
+SELECT missing, unexpected, CASE WHEN missing = 0 AND unexpected = 0 THEN 'pass' ELSE 'fail' END AS status FROM m""")
+def gate_known_changes(spark, d):
+    found = temporal.direct_drift(temporal.diff(temporal.snapshots(A.changes(spark, d)))).select("before", "after", "path")
+    return temporal.known_changes_gate(found, found.where("path <> 'src/user_1.ts'"))
+
+
+@query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS recent FROM events")
+def rate_window(spark, d):
+    return temporal.requests_in_window(A.table(spark, d, "events"))
+
+
+# evaluation
+
+
+@query("SELECT toxic AS expected, coalesce(CAST(quality AS VARCHAR), '__missing_node__') AS got, count(*) AS n FROM labels l LEFT JOIN (SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0) q USING (doc_id) GROUP BY ALL".replace("toxic AS expected, coalesce(CAST(quality", "CAST(l.toxic AS VARCHAR) AS expected, coalesce(CAST(q.quality"))
+def confusion(spark, d):
+    gold, got = _gold(spark, d)
+    return evaluation.confusion(gold, got, "doc_id")
+
+
+def _gold(spark, d):
+    labels = A.table(spark, d, "labels")
+    return labels.select("doc_id", F.col("toxic").cast("string").alias("expected")), labels.where("doc_id % 3 <> 0").select("doc_id", F.col("quality").cast("string").alias("got"))
+
+
+@query("""WITH j AS (SELECT toxic AS e, CASE WHEN doc_id % 3 <> 0 THEN quality END AS g FROM labels)
+SELECT count(*) AS total, count(g) AS scorable, count(*) FILTER (g = e) AS correct, CAST(count(*) FILTER (g = e) AS DOUBLE) / count(*) AS accuracy, CAST(count(*) FILTER (g = e) AS DOUBLE) / count(g) AS scorable_accuracy, CAST(count(*) - count(g) AS DOUBLE) / count(*) AS missing_rate FROM j""")
+def benchmark_accuracy(spark, d):
+    gold, got = _gold(spark, d)
+    return evaluation.accuracy(gold, got, "doc_id")
+
+
+@query("SELECT CAST(toxic AS VARCHAR) AS expected, count(*) AS total, avg(CASE WHEN doc_id % 3 <> 0 AND quality = toxic THEN 1.0 ELSE 0.0 END) AS accuracy FROM labels GROUP BY 1")
+def accuracy_by_block(spark, d):
+    gold, got = _gold(spark, d)
+    return evaluation.accuracy_by(gold, got, "doc_id")
+
+
+@query("SELECT text, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicates(spark, d):
+    return evaluation.duplicates(A.table(spark, d, "documents"), ["text"])
+
+
+@query("""WITH g AS (SELECT user_id AS target, CASE WHEN event_type = 'error' THEN 'needs_review' ELSE 'active' END AS status, event_type AS primary_block FROM events WHERE user_id < 40 AND value < 20)
+SELECT target, count(*) AS n, count(*) FILTER (status = 'active') AS active, count(DISTINCT CASE WHEN status = 'active' THEN primary_block END) AS labels FROM g GROUP BY 1
+HAVING count(*) > 1 AND (count(*) FILTER (status = 'active') = 0 OR count(DISTINCT CASE WHEN status = 'active' THEN primary_block END) > 1)""")
+def contradictions(spark, d):
+    e = A.table(spark, d, "events").where("user_id < 40 AND value < 20")
+    return evaluation.contradictions(e.select(F.col("user_id").alias("target"), F.when(F.col("event_type") == "error", "needs_review").otherwise("active").alias("status"), F.col("event_type").alias("primary_block")))
+
+
+@query("SELECT n_nationkey, n_regionkey, turn FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS turn FROM nation) ORDER BY turn, n_regionkey LIMIT 12")
+def round_robin(spark, d):
+    return evaluation.round_robin(A.table(spark, d, "nation").select("n_nationkey", "n_regionkey"), "n_regionkey", "n_nationkey", 12)
+
+
+@query("SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS labels, max(l_linenumber) AS strongest FROM lineitem GROUP BY 1")
+def multi_label(spark, d):
+    return evaluation.multi_label(A.table(spark, d, "lineitem"), ["l_orderkey"], "l_returnflag", "l_linenumber")
+
+
+@query("""WITH e AS (SELECT user_id, event_id % 4 / 4.0::DOUBLE AS p, CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0 END AS y FROM events)
+SELECT user_id, count(*) AS n, CASE WHEN count(*) >= 3 THEN avg((p - y) * (p - y)) END AS brier FROM e GROUP BY 1""")
+def brier(spark, d):
+    e = A.table(spark, d, "events").select("user_id", ((F.col("event_id") % 4) / 4.0).alias("p"), F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0).alias("y"))
+    return evaluation.brier(e, ["user_id"])
+
+
+@query("""WITH e AS (SELECT user_id, event_id AS ord, event_id % 13 AS predicted, event_id % 7 AS actual, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events),
+l AS (SELECT user_id, count(*) AS n, CAST(sum(predicted - actual) AS DOUBLE) / count(*) / 100 AS m FROM e WHERE r <= 20 GROUP BY 1)
+SELECT user_id, n, CASE WHEN n >= 3 THEN least(greatest(m, -0.15), 0.15) ELSE 0.0 END AS bias FROM l""")
+def bias_last20(spark, d):
+    e = A.table(spark, d, "events").select("user_id", F.col("event_id").alias("ord"), (F.col("event_id") % 13).alias("predicted"), (F.col("event_id") % 7).alias("actual"))
+    return evaluation.recent_bias(e, "user_id")
+
+
+@query("""WITH t AS (SELECT count(*) AS a, count(*) FILTER (o_orderstatus <> 'F') AS k, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus <> 'F' AND o_totalprice < 1000) AS z FROM orders)
+SELECT 'attempted' AS check_id, CAST(a AS DOUBLE) AS value, CASE WHEN a >= 50 THEN 'pass' ELSE 'fail' END AS status FROM t
+UNION ALL SELECT 'success_rate', CAST(k AS DOUBLE) / greatest(a, 1), CASE WHEN CAST(k AS DOUBLE) / greatest(a, 1) >= 1 THEN 'pass' ELSE 'fail' END FROM t
+UNION ALL SELECT 'failures', CAST(f AS DOUBLE), CASE WHEN f <= 0 THEN 'pass' ELSE 'fail' END FROM t UNION ALL SELECT 'zero_nodes', CAST(z AS DOUBLE), CASE WHEN z <= 0 THEN 'pass' ELSE 'fail' END FROM t""")
+def corpus_gate(spark, d):
+    runs = A.table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "failed").otherwise("ok").alias("status"), F.when(F.col("o_totalprice") < 1000, 0).otherwise(5).alias("node_count"))
+    return evaluation.corpus_gate(runs)
+
+
+@query(f"""WITH {NODES}, {EDGES}, c AS (
+SELECT 'structural' AS layer, 'node_ids_unique' AS check_id, (SELECT count(*) FROM (SELECT 1 FROM nodes GROUP BY node_id HAVING count(*) > 1)) AS detail
+UNION ALL SELECT 'structural', 'no_dangling_edges', (SELECT count(*) FROM edges WHERE source_id NOT IN (SELECT node_id FROM nodes)) + (SELECT count(*) FROM edges WHERE target_id NOT IN (SELECT node_id FROM nodes) AND edge_type <> 'IMPORTS_MODULE')
+UNION ALL SELECT 'structural', 'code_is_contained', (SELECT count(*) FROM nodes WHERE layer = 'code' AND node_id NOT IN (SELECT target_id FROM edges WHERE edge_type = 'CONTAINS'))
+UNION ALL SELECT 'canonical', 'nodes_connected', (SELECT count(*) FROM nodes WHERE node_id NOT IN (SELECT src FROM both_ways WHERE dst IN (SELECT node_id FROM nodes))))
+SELECT layer, check_id, CASE WHEN detail = 0 THEN 'pass' ELSE 'fail' END AS status, detail FROM c""")
+def integrity_checks(spark, d):
+    return graph.integrity_checks(A.nodes(spark, d), A.edges(spark, d))
+
+
+@query("""WITH c AS (SELECT n_name AS layer, CASE WHEN c_acctbal < -900 THEN 2 WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS s FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT layer, CASE max(s) WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'pass' END AS status FROM c GROUP BY 1""")
+def layer_rollup(spark, d):
+    c = A.table(spark, d, "customer").join(A.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return graph.layer_status(c.select(F.col("n_name").alias("layer"), F.when(F.col("c_acctbal") < -900, "fail").when(F.col("c_acctbal") < 0, "warn").otherwise("pass").alias("status")))
+
+
+@query("SELECT r_name AS repo_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def store_counts(spark, d):
+    return A.nodes(spark, d).where("node_id LIKE 'customer:%'").groupBy("repo_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, CASE WHEN s_acctbal > 5000 THEN 'high' ELSE 'low' END AS confidence, s_suppkey % 6 AS candidates, CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END AS blocked FROM supplier)
+SELECT *, CASE WHEN blocked > 0 THEN 'high' WHEN confidence = 'high' AND candidates <= 3 THEN 'low' ELSE 'medium' END AS risk FROM s""")
+def migration_lanes(spark, d):
+    s = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") > 5000, "high").otherwise("low").alias("confidence"), (F.col("s_suppkey") % 6).alias("candidates"), F.when(F.col("s_acctbal") < 0, 1).otherwise(0).alias("blocked"))
+    return evaluation.migration_lanes(s)
+
+
+# scalar functions
+
+
+@query("SELECT doc_id, substr(sha256(source || ':' || lang || ':' || CAST(doc_id AS VARCHAR)), 1, 32) AS record_id, 'entity:' || substr(sha256(lower(lang || ':' || source)), 1, 16) AS entity_id FROM documents")
+def hash_ids(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", ids.record_id("source", "lang", F.col("doc_id").cast("string")).alias("record_id"), ids.entity_id("lang", "source").alias("entity_id"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(regexp_replace(translate(p_brand, '_-#', '  #'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '\\s+', ' ', 'g')) AS words FROM part".replace("\\\\", "\\"))
+def split_identifier(spark, d):
+    return A.table(spark, d, "part").select("p_partkey", ids.split_identifier("p_brand").alias("words"))
+
+
+@query("SELECT page_id, 'module:' || CASE WHEN left(split_part(url, '?', 1), 1) = '@' THEN regexp_extract(split_part(url, '?', 1), '^(@[^/]*(?:/[^/]+)?)', 1) ELSE split_part(split_part(url, '?', 1), '/', 1) END AS module FROM pages")
+def module_spec(spark, d):
+    return A.table(spark, d, "pages").select("page_id", ids.module_spec("url").alias("module"))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS spec FROM pages")
+def import_specs(spark, d):
+    return A.table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("spec"))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size_bytes FROM documents")
+def manifest_hashes(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    return A.table(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("sha256"), F.octet_length(t).cast("long").alias("size_bytes"))
