@@ -21,6 +21,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and ASCII punctuation.
+PUNCTUATION = _SPACE | np.isin(np.arange(256), [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -63,12 +65,15 @@ def slabs(column: pa.Array | pa.ChunkedArray, size: int = SLAB) -> Iterator[tupl
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (exclusive) and hash of every word; words also end where a text does."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (exclusive) and hash of every word; words also end where a text does.
+
+    between: which bytes stand between words.
+    """
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64)
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

@@ -11,6 +11,7 @@ from weft.llm.byte_bpe import bpe_report
 from weft.llm.embedding_dedup import EMBEDDING_SQL, embedding_groups
 from weft.llm.exact_dedup import EXACT_SQL, exact_report
 from weft.llm.jaccard_join import JACCARD_SQL, jaccard_report
+from weft.llm.line_dedup import line_report
 from weft.llm.mixing import MIX_SQL, mix_report
 from weft.llm.pii import pii_report
 from weft.llm.sharding import shard_report
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": _over_documents(pii_report),
     "op2_exact_dedup": _over_documents(exact_report),
     "op3_embedding_dedup": lambda spark, sf_dir: embedding_groups(table(spark, sf_dir, "embeddings")),
+    "op4_line_dedup": _over_documents(line_report),
     "op5_jaccard_join": _over_documents(jaccard_report),
     "op6_sharding": _over_documents(shard_report),
     "op7_token_counts": _over_documents(token_report),
