@@ -89,21 +89,28 @@ def _apportioned(s: DataFrame, name: str) -> DataFrame:
     return joined.withColumn(name, F.col("sure") + F.coalesce("won", F.lit(0))).drop("__source", "won", "sure", "open", "n")
 
 
+def times_taken(j: Column, blocks: Column, quota: Column, seed: int) -> Column:
+    """How often the mix takes block j of a source's blocks."""
+    place = ((j * STEP) % blocks + F.lit(seed) % blocks) % blocks
+    return F.floor(quota / blocks).cast("long") + F.when(place < quota % blocks, 1).otherwise(0)
+
+
 def taken_words(first: Column, size: Column, block: Column, blocks: Column, quota: Column, seed: int) -> Column:
     """Words that the mix takes from the words [first, first + size) of a source's line."""
-    every, more = F.floor(quota / blocks).cast("long"), quota % blocks
 
     def part(j: Column) -> Column:
-        place = ((j * STEP) % blocks + F.lit(seed) % blocks) % blocks
         inside = F.least(first + size, (j + 1) * block) - F.greatest(first, j * block)
-        return inside * (every + F.when(place < more, 1).otherwise(0))
+        return inside * times_taken(j, blocks, quota, seed)
 
     over = F.sequence(F.floor(first / block).cast("long"), F.floor((first + size - 1) / block).cast("long"))
     return F.when(size > 0, F.aggregate(over, F.lit(0).cast("long"), lambda a, j: a + part(j))).otherwise(F.lit(0).cast("long"))
 
 
-def mix(docs: DataFrame, seed: int = 7, shards: int = SHARDS, cap: int = 3, text: str = "text") -> DataFrame:
-    """Per document: size, source_size, target, taken (see the module), and its source's quotas."""
+def mix(docs: DataFrame, seed: int = 7, shards: int = SHARDS, cap: int = 3, text: str = "text", whole: bool = False) -> DataFrame:
+    """Per document: size, source_size, target, taken (see the module), and its source's quotas.
+
+    whole: documents aren't divided; the block of its first word says how often one is taken.
+    """
     key = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}")))
     sized = docs.select("doc_id", "source", word_count(text_or_empty(text)).alias("size"), F.coalesce(key, F.lit("0" * 32)).alias("order_key"))
     sized = cut(sized)
@@ -121,7 +128,13 @@ def mix(docs: DataFrame, seed: int = 7, shards: int = SHARDS, cap: int = 3, text
     inner = Window.partitionBy("source", "chunk").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inner_start", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     placed = placed.join(laid, F.col("source").eqNullSafe(F.col("__s")) & (F.col("chunk") == F.col("__c"))).withColumn("first", F.col("chunk_start") + F.col("inner_start"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken_words(F.col("first"), F.col("size"), F.col("block"), F.col("blocks"), F.col("quota"), seed).alias("taken"), "first", "block", "quota", "shard_quotas")
+    size, block, blocks, quota = (F.col(c) for c in ("size", "block", "blocks", "quota"))
+    if whole:
+        start = F.least(F.floor(F.col("first") / block).cast("long"), F.greatest(blocks - 1, F.lit(0)))
+        taken = F.when(size > 0, size * times_taken(start, blocks, quota, seed)).otherwise(F.lit(0).cast("long"))
+    else:
+        taken = taken_words(F.col("first"), size, block, blocks, quota, seed)
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "first", "block", "quota", "shard_quotas")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
