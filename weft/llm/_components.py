@@ -61,7 +61,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Edges with a null end or two equal ends count for nothing.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u != v")
-    e = cut(e.mapInArrow(_forest, "u bigint, v bigint").repartition(shuffle_partitions(edges), "v").mapInArrow(_forest, "u bigint, v bigint"))
+    e = cut(e.mapInArrow(_forest, "u bigint, v bigint").repartition(shuffle_partitions(edges), "u").mapInArrow(_forest, "u bigint, v bigint"))
     state = None
     while True:
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()

@@ -12,8 +12,7 @@ with the same key: short segments are avoided, and deletions are used in bands o
 Keys are grouped within a batch, then by one shuffle of (key, document). A group of g documents
 leaves g - 1 pairs with its first document, never all pairs. Pairs are verified exactly on the
 shingle hashes of whole texts. Where that does not connect a whole group, its members are compared
-in tiles of TILE x TILE documents, those already connected left out, so no link that matters to a
-component is lost and no task holds more than two tiles.
+in tiles, those already connected left out (see _groups).
 
 Defined cases: null and empty texts, and texts without words, have no shingles and link with
 nothing; a null doc_id links with nothing; rows that repeat a doc_id are separate documents with
@@ -31,16 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._components import components, union
-from weft.llm._shared import cut, shuffle_partitions, text_or_empty
+from weft.llm._groups import Alike, connect, ends
+from weft.llm._shared import cut, only, shuffle_partitions, text_or_empty
 from weft.llm._words import mix, shingles, slabs, words
 
 #: Sets up to this size are indexed with one-deletion neighbourhoods.
 SMALL = 48
 #: Segments beyond H + 1 that bands of larger sets have, so that short ones can be avoided.
 SLACK = 0.08
-#: Documents on each side of a tile of comparisons.
-TILE = 128
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -147,6 +144,10 @@ def _signed(x: np.ndarray | list) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
 
+def class_name(s: np.ndarray) -> int:
+    return int(np.add.reduce(mix(s)))
+
+
 def shingle_sets(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, h1, h2): the size of every document's set and 128 bits that name it."""
 
@@ -155,8 +156,8 @@ def shingle_sets(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
             n, h1, h2 = [], [], []
             for _, s in _sets(batch.column(1), k):
                 n.append(len(s))
-                h1.append(np.add.reduce(mix(s)) if len(s) else np.uint64(0))
-                h2.append(np.add.reduce(mix(s + _ODD)) if len(s) else np.uint64(0))
+                h1.append(class_name(s) if len(s) else 0)
+                h2.append(int(np.add.reduce(mix(s + _ODD))) if len(s) else 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _signed(h1), _signed(h2)], names=["doc_id", "n_shingles", "h1", "h2"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("t")).mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint")
@@ -182,29 +183,27 @@ def _stars(key: np.ndarray, doc: np.ndarray, probe: np.ndarray) -> tuple[np.ndar
 
 
 def candidate_pairs(docs: DataFrame, k: int, percent: int, text: str = "text") -> DataFrame:
-    """Distinct (leader, member, near): documents that share a key, each with the least that shares it.
+    """Distinct (leader, member, near): classes of equal sets, by the first 64 bits of their names,
+    that share a key, each with the least that shares it.
 
-    near: both came in one batch, and the leader alone met documents of other batches.
+    near: both came in one batch, and the leader alone met classes of other batches.
     """
     scheme = Scheme(percent)
     row = "key bigint, doc bigint, lead bigint"  # lead: null in rows that go on to the shuffle
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            seen: set[bytes] = set()
+            seen: set[int] = set()
             keys, probes, owners, held = [], [], [], 0
-            for i, s in _sets(batch.column(1), k):
-                if len(s):
-                    name = s.tobytes() if len(s) < 64 else np.concatenate([s[:32], s[-32:], [np.add.reduce(mix(s))]]).tobytes()
-                    if name in seen:  # an equal set of this batch speaks for this one
-                        continue
-                    seen.add(name)
-                    a, b = keys_of(s, scheme)
-                    keys.append(a)
-                    probes.append(b)
-                    owners.append(np.full(len(a), ids[i]))
-                    held += len(a)
+            for _, s in _sets(batch.column(0), k):
+                if not len(s) or (name := class_name(s)) in seen:  # an equal set of this batch speaks for it
+                    continue
+                seen.add(name)
+                a, b = keys_of(s, scheme)
+                keys.append(a)
+                probes.append(b)
+                owners.append(np.full(len(a), np.uint64(name)).view(np.int64))
+                held += len(a)
                 if held > 1 << 20:
                     yield from flush(keys, probes, owners)
                     keys, probes, owners, held = [], [], [], 0
@@ -233,7 +232,7 @@ def candidate_pairs(docs: DataFrame, k: int, percent: int, text: str = "text") -
         if len(both):
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) >= len(pairs))], names=["leader", "member", "near"])
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("t")).mapInArrow(emit, row)
+    rows = docs.where("doc_id IS NOT NULL").select(text_or_empty(text).alias("t")).mapInArrow(emit, row)
     spread = F.when(F.col("lead").isNull(), F.shiftrightunsigned("key", 1)).otherwise(F.xxhash64("doc"))
     return rows.repartition(shuffle_partitions(docs), spread).mapInArrow(meet, "leader bigint, member bigint, near boolean").distinct()
 
@@ -248,39 +247,23 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(both) - shared)
 
 
-def _verified(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = batch.column("one"), batch.column("two")
-            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(one, two, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _tile(percent: int):
-    def run(batch: pa.Table) -> pa.Table:
-        doc, label, tile = (batch[c].to_numpy() for c in ("doc", "label", "tile"))
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch["values"]]
-        order = np.argsort(doc)
-        same = batch["i"][0].as_py() == batch["j"][0].as_py()
-        group = {x: x for x in label.tolist()}
-
-        def find(x: int) -> int:
-            while group[x] != x:
-                x = group[x] = group[group[x]]
-            return x
-
-        edges = []
-        for at, p in enumerate(order):
-            for q in order[at + 1 :]:
-                if (same or tile[p] != tile[q]) and (x := find(int(label[p]))) != (y := find(int(label[q]))) and similar(sets[p], sets[q], percent):
-                    group[max(x, y)] = min(x, y)
-                    edges.append((doc[p], doc[q]))
-        made = np.array(edges, np.int64).reshape(-1, 2)
-        return pa.table({"a": made[:, 0], "b": made[:, 1]})
-
-    return run
+def similar_all(sets: list[np.ndarray], percent: int, columns: int = 1 << 15) -> np.ndarray:
+    """similar() for all pairs of a list, by products of 0/1 rows over the shared hashes."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    often = count[place] > 1
+    owner, place = owner[often], column[place[often]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    shared = np.zeros((len(sets), len(sets)))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        b, e = np.searchsorted(place, [low, low + columns])
+        rows = np.zeros((len(sets), min(columns, int(column[-1]) + 1 - low)), np.float32)
+        rows[owner[b:e], place[b:e] - low] = 1
+        shared += rows @ rows.T
+    return 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
 
 
 def _shingled(docs: DataFrame, ids: DataFrame, k: int, text: str) -> DataFrame:
@@ -291,37 +274,21 @@ def _shingled(docs: DataFrame, ids: DataFrame, k: int, text: str) -> DataFrame:
             values = [s.tobytes() for _, s in _sets(batch.column(1), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["doc", "values"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty(text).alias("t")).join(ids, "doc", "left_semi")
-    return chosen.mapInArrow(run, "doc bigint, values binary")
+    body = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty(text).alias("t"))
+    return only(body, ids, "doc").mapInArrow(run, "doc bigint, values binary")
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     named = cut(shingle_sets(docs, k, text))
-    classes = named.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
+    classes = cut(named.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep")))
     named = cut(named.join(classes, ["n_shingles", "h1", "h2"], "left").select("doc_id", "n_shingles", "rep"))
-    # what stands for its class, with the size of its set
-    of = named.where("rep IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(F.min("rep").alias("rep"), F.max("n_shingles").alias("n"))
+    reps = classes.where("rep IS NOT NULL").select(F.col("h1").alias("h"), "rep", F.col("n_shingles").alias("n"))
     pairs = candidate_pairs(docs, k, percent, text)
-    pairs = pairs.join(of.toDF("member", "b", "nb"), "member").join(of.toDF("leader", "a", "na"), "leader").where("a != b")
+    pairs = pairs.join(reps.toDF("member", "b", "nb"), "member").join(reps.toDF("leader", "a", "na"), "leader").where("a != b")
     pairs = cut(pairs.select("a", "b", "near", (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).alias("fit")).distinct())
-    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = cut(_shingled(docs, ids, k, text))
-    # every document with the least of those it shares a key with
-    star = pairs.where("fit").groupBy("b").agg(F.min("a").alias("a"))
-    star = star.join(sets.toDF("b", "two"), "b").join(sets.toDF("a", "one"), "a").select("a", "b", "one", "two")
-    links = cut(star.mapInArrow(_verified(percent), "a bigint, b bigint"))
-    label = components(links)
-    # groups that are still apart, tile by tile
-    through = pairs.where("near").select(F.col("a").alias("b"), F.col("b").alias("doc")).join(pairs.where("NOT near").select("a", "b"), "b")
-    grouped = pairs.select("a", F.col("b").alias("doc")).union(pairs.select("a", F.col("a").alias("doc"))).union(through.select("a", "doc")).distinct()
-    grouped = grouped.join(label.withColumnRenamed("id", "doc"), "doc", "left").select("a", "doc", F.coalesce("component", "doc").alias("label"))
-    apart = grouped.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("g")).where("low < high")
-    open_ = grouped.join(apart.select("a", "g"), "a").withColumn("tiles", F.ceil(F.col("g") / TILE).cast("int"))
-    open_ = open_.withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    open_ = open_.select("a", "doc", "label", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).join(sets, "doc")
-    more = open_.groupBy("a", "i", "j").applyInArrow(_tile(percent), "a bigint, b bigint")
-    found = components(links.union(more)).withColumnRenamed("id", "rep")
+    sets = cut(_shingled(docs, ends(pairs), k, text))
+    found = connect(pairs, sets, Alike(lambda a, b: similar(a, b, percent), lambda sets: similar_all(sets, percent))).withColumnRenamed("id", "rep")
     out = named.join(found, "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
