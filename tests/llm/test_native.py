@@ -1,0 +1,138 @@
+"""PII, exact dedup and mixing against plain Python."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from weft.llm import exact_dedup, mixing, pii
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+TEXTS = [
+    "a@b.c_d@e.f a@b@c.d x@y.z.@q.w 1.2.3.4.5.6.7.8 1.2.3.400 +1 (017) 555-7713 4111 1111 1111 1111 é😀 4111-1111-1111-1111",
+    "", None, "9" * 3000 + " " + "a" * 20000 + "@", "+1" + " " * 3000 + "2", "1 1 1 1 " * 300, "4111111111111111 " * 700, "..a@b.c..d@e.f.g", "0001.2.3.4 1.2.3.4.300.1.1.1", "call +49 30 1234567-8 or mail x.y@z-1.org.",
+]
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        n = int(c) * (1 + i % 2)
+        total += n - 9 if n > 9 else n
+    return total % 10 == 0
+
+
+def plain_spans(text: str | None) -> list[str]:
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            out += [f"{kind}:{m.start()}:{m.end()}"] * ok
+    return out
+
+
+def test_base_spans_equal_plain_patterns(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, pii string")
+    for r in pii.pii_report(docs).collect():
+        want = plain_spans(TEXTS[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k + ":") for s in want) for k in BASE]
+
+
+def test_further_kinds_need_checksum_or_context(spark):
+    text = "iban GB82 WEST 1234 5698 7654 32, GB82 WEST 1234 5698 7654 33, ssn 123-45-6789 call 555-123-4567"
+    docs = spark.createDataFrame([(1, text), (2, "part 123-45-6789 and 555-123-4567")], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.pii_report(docs).collect()}
+    assert found == {1: "iban:5:32,national_id:67:78,local_phone:84:96", 2: ""}
+
+
+def test_redaction_keeps_the_rest(spark):
+    docs = spark.createDataFrame([("é a@b.co and 10.0.0.1!",), (None,)], "text string")
+    assert [r.text for r in pii.redact(docs).select("text").collect()] == ["é [EMAIL] and [IP]!", None]
+
+
+def test_pii_of_no_rows(spark):
+    assert pii.pii_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_exact_groups_equal_plain_ones(spark, parts):
+    rows = [(i, None if i % 11 == 0 else f"t{i % 7}" if i % 3 else "", i) for i in range(300)] + [(5, "t5", 1), (None, "t1", 2), (None, "only", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest long").repartition(parts)
+    got = exact_dedup.exact_report(docs).collect()
+    assert len(got) == len(rows)
+    texts = {}
+    for i, t, _ in rows:
+        texts.setdefault(t or "", []).append(i)
+    want = {hashlib.sha256(t.encode()).hexdigest(): (max((i for i in ids if i is not None), default=None), len(ids)) for t, ids in texts.items()}
+    assert all((r.keep_id, r.group_size) == want[r.text_sha256] for r in got)
+    kept = [r.text_sha256 for r in got if r.kept]
+    assert len(kept) == len(set(kept)) == len(texts)
+
+
+def test_exact_dedup_of_no_rows(spark):
+    assert exact_dedup.exact_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def plain_targets(sizes: list[tuple[str | None, int]]) -> dict:
+    """Targets by sharing again and again what is above three times a source's size."""
+    order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
+    weight = {s: i % 3 + 1 for i, (s, _) in enumerate(order)}
+    size, total = dict(sizes), sum(n for _, n in sizes)
+    capped: set = set()
+    while True:
+        left = total - sum(3 * size[s] for s in capped)
+        free = sum(w for s, w in weight.items() if s not in capped)
+        share = {s: 3 * size[s] if s in capped else w * left / free for s, w in weight.items()}
+        over = {s for s, t in share.items() if s not in capped and t > 3 * size[s]}
+        if not over:
+            return share
+        capped |= over
+
+
+def test_mix_meets_its_targets(spark):
+    rows = [(i, " ".join(["w"] * (i % 17)), s) for i, s in enumerate(["big"] * 600 + ["c"] * 90 + ["a"] * 40 + [None] * 60 + ["tiny"] * 2 + ["none"])]
+    rows += [(9000, None, "big"), (9001, "", "none"), (9002, "w " * 5000, "big")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_report(docs).collect()
+    by = {}
+    for (_, t, s), n in zip(rows, [len((t or "").split()) for _, t, _ in rows], strict=True):
+        by[s] = by.get(s, 0) + n
+    source = {i: s for i, _, s in rows}
+    want = plain_targets(list(by.items()))
+    taken: dict = {}
+    for r in got:
+        s = source[r.doc_id]
+        assert r.source_size == by[s] and r.taken <= 3 * r.size
+        assert r.target == pytest.approx(want[s])
+        taken[s] = taken.get(s, 0) + r.taken
+    assert all(abs(taken[s] - want[s]) <= 3 for s in want)
+    again = mixing.mix_report(docs.repartition(7)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_mix_of_no_words_and_no_rows(spark):
+    docs = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
+    assert {(r.target, r.taken) for r in mixing.mix_report(docs).collect()} == {(0.0, 0)}
+    assert mixing.mix_report(docs.limit(0)).count() == 0
+
+
+def test_whole_documents_are_taken_by_times(spark):
+    docs = spark.createDataFrame([(i, "w " * (5 + i % 4), "ab"[i % 2]) for i in range(200)], "doc_id long, text string, source string")
+    assert all(r.taken % r.size == 0 for r in mixing.mix(docs, whole=True).collect())
+
+
+def test_quotas_of_shards_add_up(spark):
+    docs = spark.createDataFrame([(i, "w " * 9, "abc"[i % 3]) for i in range(99)], "doc_id long, text string, source string")
+    r = mixing.mix(docs, shards=4).select("source", "quota", "shard_quotas").distinct().collect()
+    assert all(sum(x.shard_quotas) == x.quota and max(x.shard_quotas) - min(x.shard_quotas) <= 1 for x in r)
+
+
+def test_word_count_is_that_of_the_pattern(spark):
+    texts = ["", " a\tb\x0bc\x0cd\re\n", "é x  y", "one"]
+    got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.word_count(F.col("t")).alias("n")).collect()]
+    assert got == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts]
