@@ -37,13 +37,14 @@ from pyspark.sql import types as T
 
 from weft.llm._shared import cut, text_or_empty
 
-TRAIN_ROWS, CANDIDATES, LANDMARKS = 12_000, 3_000, 160
+TRAIN_ROWS, CANDIDATES, LANDMARKS = 12_000, 2_000, 160
 #: Characters of a piece that the kernel sees at once (longer words are several pieces), the
 #: discount of each character skipped, the power that similarities are raised to, and the least
 #: similarity that counts.
 PIECE, DECAY, POWER, FLOOR = 24, 0.7, 2, 0.06
-#: Buckets of the hashed subsequences, and words that a task remembers.
-BUCKETS, MEMO = 1 << 20, 600_000
+#: Buckets of the hashed subsequences, words that a task remembers, and the length up to which words
+#: stay when there are too many.
+BUCKETS, MEMO, SHORT = 1 << 20, 600_000, 8
 _SPANS = [(j, k) for k in range(2, 5) for j in range(1, k)]
 _SPACED = re.compile(r"(?:(?<!\w)\w[\s.*_-]{1,2}){2,}\w(?!\w)")
 _REST = re.compile(r"[\W_]+")
@@ -65,28 +66,35 @@ def pieces(word: str) -> list[str]:
     return [plain[i : i + PIECE] for i in range(0, len(plain) - PIECE // 2, PIECE // 2)]
 
 
-def subsequences(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, bucket, weight) of every gapped subsequence, and the norm of every piece."""
+def _codes(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, bucket, weight) of every gapped subsequence, repeated ones apart."""
     raw = np.array(parts, f"U{PIECE}").view(np.uint32).reshape(len(parts), PIECE)
     length = (raw > 0).sum(1)
     c = np.zeros((len(parts), PIECE + 2 + 4), np.uint64)
     c[:, 0] = 1
     c[:, 1 : PIECE + 1] = raw
     c[np.arange(len(parts)), length + 1] = 2
-    code, weight = [], []
+    who, where, weight = [], [], []
     for j, k in _SPANS:
         n = c.shape[1] - 4
         x, y, z = c[:, :n], c[:, j : n + j], c[:, k : n + k]
         row, at = np.nonzero(z)
         mixed = (x[row, at] << np.uint64(42)) ^ (y[row, at] << np.uint64(21)) ^ z[row, at]
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        code.append(row * BUCKETS + (mixed >> np.uint64(44)).astype(np.int64))
-        weight.append(np.full(len(row), DECAY ** (k - 2)))
-    flat, weights = np.concatenate(code), np.concatenate(weight)
+        who.append(row)
+        where.append((mixed >> np.uint64(44)).astype(np.int64))
+        weight.append(np.full(len(row), DECAY ** (k - 2), np.float32))
+    return np.concatenate(who), np.concatenate(where), np.concatenate(weight)
+
+
+def subsequences(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, bucket, weight) of every different gapped subsequence, and the norm of every piece."""
+    who, where, weight = _codes(parts)
+    flat = who * BUCKETS + where
     order = np.argsort(flat)
     flat = flat[order]
     first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    total = np.add.reduceat(weights[order], first)
+    total = np.add.reduceat(weight[order].astype(np.float64), first)
     who, where = flat[first] // BUCKETS, flat[first] % BUCKETS
     norm = np.sqrt(np.bincount(who, weights=total**2, minlength=len(parts)))
     return who, where, total.astype(np.float32), norm
@@ -111,17 +119,24 @@ class Landmarks:
     def near(self, parts: list[str]) -> np.ndarray:
         """A row for each piece, a column for each landmark; what is below FLOOR is 0."""
         out = np.zeros((len(parts), len(self.words)), np.float32)
-        for at in range(0, len(parts), 2048):
-            some = parts[at : at + 2048]
-            who, where, weight, norm = subsequences(some)
+        least = FLOOR ** (1 / POWER)
+        for at in range(0, len(parts), 1024):
+            some = parts[at : at + 1024]
+            who, where, weight = _codes(some)
+            # a norm can't be less than it is with repeated subsequences apart
+            low = np.sqrt(np.bincount(who, weights=weight * weight, minlength=len(some)))
             slot = self.slot[where]
-            hit = np.flatnonzero(slot)  # in the order of the pieces
+            hit = np.flatnonzero(slot)
             if not len(hit):
                 continue
-            rows = who[hit]
-            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            made = np.add.reduceat(self.table[slot[hit]] * weight[hit][:, None], first, axis=0)
-            out[at + rows[first]] = made / norm[rows[first]][:, None]
+            used, column = np.unique(slot[hit], return_inverse=True)
+            counts = np.bincount(who[hit] * len(used) + column, weights=weight[hit], minlength=len(some) * len(used))
+            made = counts.reshape(len(some), len(used)).astype(np.float32) @ self.table[used]
+            near = made.max(1) >= least * 0.999 * low
+            if near.any():
+                rows = np.flatnonzero(near)
+                norm = subsequences([some[i] for i in rows])[3]
+                out[at + rows] = made[rows] / norm[:, None]
         out = np.minimum(out, 1) ** POWER
         out[out < FLOOR] = 0
         return out
@@ -134,7 +149,9 @@ def choose(words: list[str], toxic: np.ndarray, every: np.ndarray, weight: np.nd
     is the excess of toxic documents over ``rate`` around it, in standard deviations. The words
     after the candidates are a sample of all words, ``weight`` how many words each stands for.
     """
-    near = Landmarks(words[:candidates]).near(words).astype(np.float64)
+    near = np.empty((len(words), candidates), np.float32)
+    for at in range(0, candidates, 128):  # a table of subsequences for a few landmarks at a time
+        near[:, at : at + 128] = Landmarks(words[:candidates][at : at + 128]).near(words)
     excess = near.T @ ((toxic - rate * every) * weight)
     spread = (near**2).T @ (rate * (1 - rate) * every * weight)
     left = np.where(np.maximum(excess, 0) ** 2 > 9 * (spread + 1), excess / np.sqrt(spread + 1), 0)
@@ -209,9 +226,11 @@ class Describer:
         self.rows = np.zeros((1, len(landmarks)), np.float32)  # row 0: near no landmark
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            self.rows = self.rows[:1]
+        if len(self.memo) + len(new) > MEMO:  # short words, which come again soonest, stay
+            self.memo = {w: i for w, i in self.memo.items() if len(w) <= SHORT}
+            if len(self.memo) + len(new) > MEMO or len(self.rows) > MEMO:
+                self.memo.clear()
+                self.rows = self.rows[:1]
         cut_up = [pieces(w) for w in new]
         owner = np.repeat(np.arange(len(new)), [len(p) for p in cut_up])
         flat = [p for ps in cut_up for p in ps]
@@ -230,9 +249,9 @@ class Describer:
         split = [words_of(t) for t in texts]
         met = set().union(*split)
         new = [w for w in met if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
-            new = list(met)
         self._learn(new)
+        if lost := [w for w in met if w not in self.memo]:
+            self._learn(lost)
         out = np.zeros((len(texts), self.rows.shape[1]), np.float32)
         for i, found in enumerate(split):
             at = set(map(self.memo.__getitem__, found))
