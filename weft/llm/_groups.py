@@ -15,13 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm._components import components, union
 from weft.llm._shared import cut
 
-TILE = 128
+TILE = 256
 
 
 @dataclass(frozen=True)
@@ -108,9 +108,8 @@ def connect(pairs: DataFrame, contents: DataFrame, alike: Alike) -> DataFrame:
     grouped = pairs.select("a", F.col("b").alias("doc")).union(pairs.select("a", F.col("a").alias("doc"))).union(through.select("a", "doc")).distinct()
     grouped = cut(grouped.join(label.withColumnRenamed("id", "doc"), "doc", "left").select("a", "doc", F.coalesce("component", "doc").alias("label")))
     apart = grouped.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("g"), F.max(F.when(F.col("a") == F.col("doc"), F.col("label"))).alias("lead")).where("low < high")
-    grouped = cut(grouped.join(apart.select("a", "g", "lead"), "a"))
-    home = grouped.groupBy("doc").agg(F.max(F.struct("g", "a")).alias("h")).select("doc", F.col("h.a").alias("home"))
-    grouped = cut(grouped.join(home, "doc"))
+    largest = F.max(F.struct("g", "a")).over(Window.partitionBy("doc"))
+    grouped = cut(grouped.join(apart.select("a", "g", "lead"), "a").withColumn("home", largest["a"]))
     usual = grouped.groupBy("a", "home").agg(F.count(F.lit(1)).alias("n")).groupBy("a").agg(F.max(F.struct("n", "home")).alias("u")).select("a", F.col("u.home").alias("usual"))
     led = F.when(F.col("usual") == F.col("a"), F.col("label") == F.col("lead")).otherwise(F.col("home") == F.col("usual"))
     grouped = cut(grouped.join(usual, "a").select("a", "doc", "label", led.alias("led")))
