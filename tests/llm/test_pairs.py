@@ -170,3 +170,46 @@ def test_shards_of_one_hot_group(spark):
     docs = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"t{i}") for i in range(300)], "doc_id long, text string")
     got = sharding.assign_shards(docs, shards=4).groupBy("shard").agg(F.sum("size").alias("s")).collect()
     assert len(got) == 4 and max(r.s for r in got) <= 0.45 * sum(r.s for r in got)
+
+
+def test_fuzzy_lines_equal_all_pairs(spark):
+    rnd = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(400)]
+    lines = []
+    for n in [5, 6, 9, 10, 14, 20, 33, 50, 65, 80, 100, 130, 160, 260] * 5:
+        base = [rnd.choice(vocabulary) for _ in range(n)]
+        lines.append(base)
+        for share in (0.03, 0.1, 0.19, 0.2, 0.25):
+            w = list(base)
+            for _ in range(max(1, int(share * n))):
+                at = rnd.randrange(len(w))
+                w[at : at + rnd.choice([0, 1, 1])] = [rnd.choice(vocabulary)] * rnd.choice([0, 1, 1, 1])
+            if len(w) >= 5:
+                lines.append(w)
+    rnd.shuffle(lines)
+    number = {w: i for i, w in enumerate(vocabulary)}
+    coded = [np.array([number[w] for w in x], np.uint64) for x in lines]
+    links = [(a, b) for a in range(len(lines)) for b in range(a) if line_dedup.edit_alike(coded[a], coded[b])]
+    assert len(links) > 300
+    want = [i for i, root in roots(range(len(lines)), links).items() if i != root]
+    docs = spark.createDataFrame([(i // 3, "\n".join(" ".join(x) for x in lines[i : i + 3])) for i in range(0, len(lines), 3)], "doc_id long, text string").repartition(3)
+    got = sorted(3 * r.doc_id + r.line for r in line_dedup.repeated_lines(docs).collect())
+    assert got == sorted(want)
+
+
+def test_both_fuzzy_lines_are_seen(spark):
+    long = "this is a longer line whose words are all found again but for one"
+    docs = spark.createDataFrame([(6, long), (7, long + " word")], "doc_id long, text string")
+    assert [(r.doc_id, r.text, r.n_dropped) for r in line_dedup.drop_repeated_lines(docs).orderBy("doc_id").collect()] == [(6, long, 0), (7, "", 1)]
+
+
+def test_many_lines_of_a_key_are_all_compared(monkeypatch):
+    rnd = random.Random(5)
+    words = [[rnd.randrange(30) for _ in range(10)] for _ in range(60)]
+    words += [[*w[:-1], 99] for w in words[:30]]
+    hashed = line_dedup.mix(np.array(words, np.uint64).ravel())
+    rows = np.zeros(len(words), line_dedup._kind(128))
+    rows["n"], rows["name"], rows["parity"] = 10, np.arange(len(words)), line_dedup.parity(hashed, np.full(len(words), 10), 128)
+    few = line_dedup.candidates(rows, 80)
+    monkeypatch.setattr(line_dedup, "MANY", 8)
+    assert len(few) >= 30 and few.tolist() == line_dedup.candidates(rows, 80).tolist()
