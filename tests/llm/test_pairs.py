@@ -213,3 +213,34 @@ def test_many_lines_of_a_key_are_all_compared(monkeypatch):
     few = line_dedup.candidates(rows, 80)
     monkeypatch.setattr(line_dedup, "MANY", 8)
     assert len(few) >= 30 and few.tolist() == line_dedup.candidates(rows, 80).tolist()
+
+
+def test_vector_recall_holds_as_vectors_get_many(spark):
+    rng = np.random.default_rng(6)
+    a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in rng.standard_normal((2, 2500, 64)))
+    b -= (a * b).sum(1)[:, None] * a
+    near = 0.905 * a + np.sqrt(1 - 0.905**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    near[700:] = rng.standard_normal((1800, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, near]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = embedding_dedup.embedding_groups(df, window=2).where("n_links > 0").count() / 1400  # as among 80,000 in windows of 32
+    assert 0.99 <= got <= 1
+    assert [embedding_dedup.passes_for(n, 0.9) for n in (10, 5_000, 50_000, 1_500_000)] == [16, 18, 33, 73]
+
+
+def test_windows_reach_over_short_partitions(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((12, 16))
+    rows = [(i, (centres[i % 12] + 0.2 * rng.standard_normal(16)).tolist()) for i in range(24)]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_groups(df, passes=1).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = dict(enumerate(((x @ x.T >= 0.9).sum(1) - 1).tolist()))
+    assert got == want and sum(want.values()) >= 20
+    assert sorted(embedding_dedup._tails({0: 3, 2: 32, 5: 1, 6: 2}, 32)) == [(0, 1), (2, 4), (2, 5)]

@@ -3,16 +3,18 @@
 In every pass a vector's key is the concatenated signs of its products with random directions.
 Vectors are ordered lexicographically by key, each is compared with the WINDOW before it, and pairs
 that reach the threshold are verified links. Near vectors share the first bits with a good chance,
-so over PASSES passes with fresh directions few links stay unseen; links of all passes are united
-to components.
+so over enough passes with fresh directions few links stay unseen; links of all passes are united
+to components. How many passes are enough is found from the number of vectors (passes_for).
 
 A window is a cap, so it only decides which components exist: inside a component all pairs are then
 compared, in tiles of TILE x TILE vectors that give link counts and never emit pairs. Equal vectors
 are one class with a multiplicity and take up one place in windows and tiles. Neighbours on both
-sides of a boundary between sorted partitions are compared too.
+sides of a boundary between sorted partitions are compared too, however few rows a partition holds.
 
-Recall: a pair at cosine c shares a first bit with probability 1 - acos(c) / pi. Measured against
-brute force in the tests.
+Recall: a pair at cosine c shares a first bit with probability s = 1 - acos(c) / pi, and about
+n / 2^r of n vectors share r first bits, so a pass finds it with probability s^r at least where
+2^r = n / WINDOW. Passes are as many as leave a pair at the threshold unseen with a chance of
+1 - RECALL, which grows with n to the power 0.22 at 0.9; vectors are moved that many times.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing; vectors of different lengths never link; repeated rows count as vectors of their own.
@@ -21,6 +23,7 @@ nothing; vectors of different lengths never link; repeated rows count as vectors
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,11 +36,12 @@ from pyspark.sql import functions as F
 from weft.llm._components import components, union
 from weft.llm._shared import cut, shuffle_partitions
 
-PASSES, BITS, WINDOW, TILE = 16, 128, 32, 512
+#: PASSES at least, and more where RECALL of a pair at the threshold needs them.
+PASSES, BITS, WINDOW, TILE, RECALL = 16, 128, 32, 512, 0.999
 _ROWS = "pass int, key binary, id bigint, vec binary"
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=128)
 def _directions(seed: int, dims: int) -> np.ndarray:
     return np.random.default_rng([seed, dims]).standard_normal((dims, BITS))
 
@@ -51,6 +55,12 @@ def unit(values: np.ndarray) -> np.ndarray | None:
     return x / np.sqrt(x @ x)
 
 
+def passes_for(n: int, threshold: float, window: int = WINDOW) -> int:
+    """Passes that find a pair at the threshold among n vectors with a chance of RECALL."""
+    shared = (1 - math.acos(min(threshold, 1.0)) / math.pi) ** max(0.0, math.log2(max(n, 1) / window))
+    return PASSES if shared >= 1 else max(PASSES, math.ceil(math.log(1 - RECALL) / math.log1p(-shared)))
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vecs, names = [], []
@@ -99,7 +109,8 @@ _FOUND = "a bigint, b bigint, edge int, place int, pass int, id bigint, vec bina
 
 
 def _found(pairs: np.ndarray = np.zeros((0, 2), np.int64), edge: int = 0, place: int = 0, rows: tuple = ()) -> pa.RecordBatch:
-    """Verified pairs, or the rows on one side of an edge between sorted partitions."""
+    """Verified pairs, or the rows on one side of an edge between sorted partitions: edge k is that
+    after partition k."""
     n, m = len(pairs), len(rows)
     ints = lambda x, kind: pa.array([*x], kind)
     none = [None] * n
@@ -130,6 +141,21 @@ def _windows(window: int, threshold: float):
     return run
 
 
+def _tails(sizes: dict[int, int], window: int) -> list[tuple[int, int]]:
+    """(partition, edge) of the partitions that hold the last ``window`` rows before each edge, but
+    those that end there. sizes: rows, up to window, of partitions that have any."""
+    out, filled = [], sorted(sizes)
+    for i, after in enumerate(filled):
+        have = sizes.get(after - 1, 0)
+        for part in reversed(filled[:i]):
+            if have >= window:
+                break
+            if part != after - 1:
+                out.append((part, after - 1))
+                have += sizes[part]
+    return out
+
+
 def _across(window: int, threshold: float):
     def run(table: pa.Table) -> pa.Table:
         t = table.sort_by("place")
@@ -159,17 +185,24 @@ def _counted(threshold: float):
     return run
 
 
-def embedding_groups(vectors: DataFrame, threshold: float = 0.9, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """Per row: vec_id, n_links, component_id, kept."""
+def embedding_groups(vectors: DataFrame, threshold: float = 0.9, passes: int | None = None, window: int = WINDOW) -> DataFrame:
+    """Per row: vec_id, n_links, component_id, kept. passes: those of passes_for unless given."""
     parsed = cut(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_parse, "vec_id bigint, vec binary, name binary"))
     classes = parsed.where("vec IS NOT NULL AND vec_id IS NOT NULL").groupBy("name").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     named = cut(parsed.drop("vec").join(classes, "name", "left").select("vec_id", "rep", "n"))
     reps = parsed.join(classes.select("name", F.col("rep").alias("vec_id"), "n"), ["name", "vec_id"]).dropDuplicates(["vec_id"])
     reps = cut(reps.select(F.col("vec_id").alias("id"), "vec", "n"))
-    keyed = reps.select("id", "vec").mapInArrow(_keys(passes), _ROWS)
+    keyed = reps.select("id", "vec").mapInArrow(_keys(passes or passes_for(reps.count(), threshold, window)), _ROWS)
     ordered = keyed.repartitionByRange(shuffle_partitions(vectors), "pass", "key", "id").sortWithinPartitions("pass", "key", "id")
     found = cut(ordered.mapInArrow(_windows(window, threshold), _FOUND))
-    across = found.where("edge IS NOT NULL").groupBy("edge").applyInArrow(_across(window, threshold), "a bigint, b bigint")
+    beside = found.where("edge IS NOT NULL")
+    tails = beside.where(F.col("place") < window)
+    sizes = {r["edge"]: r["count"] for r in tails.groupBy("edge").count().collect()}
+    if further := _tails(sizes, window):
+        named_edges = F.broadcast(vectors.sparkSession.createDataFrame(further, "edge int, later int"))
+        moved = tails.join(named_edges, "edge").withColumn("place", F.col("place") - (F.col("later") - F.col("edge")) * window)
+        beside = beside.union(moved.select("a", "b", F.col("later").alias("edge"), "place", "pass", "id", "vec"))
+    across = beside.groupBy("edge").applyInArrow(_across(window, threshold), "a bigint, b bigint")
     label = cut(components(found.where("a IS NOT NULL").select("a", "b").union(across)))
     members = label.union(label.select(F.col("component").alias("id"), "component").distinct()).join(reps, "id")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("g"))
