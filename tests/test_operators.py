@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from weft.functions import ids
 from weft.operators import evaluation, graph, retrieval, temporal
 from weft.plans import adapters as A
+from weft.plans import catalogue
 from weft.plans.catalogue import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -100,3 +102,40 @@ def test_files_scan_and_manifest(spark, tmp_path):
     symbols = {(r.name, r.kind) for r in files.symbols(scan).collect()}
     assert {("C", "class"), ("f", "function"), ("q", "variable")} <= symbols
     assert files.manifest(scan).where("length(sha256) = 64").count() == 3
+
+
+def plain_reach(steps, start, depth, blocked=()):
+    near, seen = {}, {start: 0}
+    for a, b in steps:
+        near.setdefault(a, set()).add(b)
+    level = [start]
+    for n in range(1, depth + 1):
+        level = {b for a in level if a == start or a not in blocked for b in near.get(a, ())} - seen.keys()
+        seen.update(dict.fromkeys(level, n))
+    return seen
+
+
+def test_whole_traversals_equal_plain_search(spark):
+    edges = A.edges(spark, DATA).collect()
+    both = [p for e in edges for p in ((e.source_id, e.target_id), (e.target_id, e.source_id))]
+    degree = Counter(a for a, _ in both)
+    want = plain_reach(both, "customer:7", 5, {x for x, n in degree.items() if n > 80})
+    assert max(want.values()) > 3 and {r.node_id: r.depth for r in QUERIES["impact_radius_whole"](spark, DATA).collect()} == want
+    symbols = [p for e in edges if e.edge_type in graph.TRACE_TYPES for p in ((e.source_id, e.target_id), (e.target_id, e.source_id))]
+    want = plain_reach(symbols, "customer:7", 8)
+    assert max(want.values()) > 3 and {r.node_id: r.depth for r in QUERIES["symbol_trace_whole"](spark, DATA).collect()} == want
+    path = QUERIES["bfs_path_whole"](spark, DATA).collect()
+    ends = path[0].path.split(" > ")
+    steps = {(e.source_id, e.target_id) for e in edges}
+    assert len(path) == 1 and all(s in steps for s in zip(ends, ends[1:], strict=False))
+    assert plain_reach(steps, "project:EUROPE", 6)[ends[-1]] == path[0].depth == len(ends) - 1
+
+
+def test_monte_carlo_query_equals_plain_search(spark):
+    got = {r.run: r.reached for r in QUERIES["mc_reach"](spark, DATA).collect()}
+    assert sorted(got) == list(range(64))
+    weighted = catalogue._overlay(spark, DATA)
+    both = weighted.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "adjusted_weight").union(weighted.select("target_id", "source_id", "adjusted_weight"))
+    for run in (0, 63):
+        passed = both.where(F.pmod(F.xxhash64(F.lit(42), F.lit(run), "src", "dst"), F.lit(1 << 30)) / float(1 << 30) <= F.col("adjusted_weight"))
+        assert got[run] == len(plain_reach([(r.src, r.dst) for r in passed.collect()], "customer:7", 8))

@@ -368,6 +368,14 @@ def impact_radius(spark, d):
     return graph.impact_radius(A.edges(spark, d), "customer:7", depth=2)
 
 
+# Names in _whole: the operators' own depths and all rows, where the query that SQL can follow takes fewer.
+
+
+@query()
+def impact_radius_whole(spark, d):
+    return graph.impact_radius(A.edges(spark, d), "customer:7")
+
+
 @query(f"""WITH RECURSIVE {NODES}, {EDGES}, sym AS (SELECT * FROM both_ways WHERE edge_type IN ('REFERENCES', 'CALLS', 'CROSS_REFERENCE', 'DEFINES', 'IMPLEMENTS')),
 r(node_id, depth) AS (SELECT 'customer:7', 0 UNION SELECT dst, depth + 1 FROM r JOIN sym ON src = node_id WHERE depth < 3)
 SELECT node_id, min(depth) AS depth FROM r GROUP BY 1""")
@@ -375,13 +383,27 @@ def symbol_trace(spark, d):
     return graph.symbol_trace(A.edges(spark, d), "customer:7", depth=3)
 
 
+@query()
+def symbol_trace_whole(spark, d):
+    return graph.symbol_trace(A.edges(spark, d), "customer:7")
+
+
+def _goal(spark, d):
+    o = A.table(spark, d, "orders").join(A.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(A.places(spark, d).where("repo_name = 'EUROPE'"), F.col("c_nationkey") == F.col("n_nationkey"))
+    goal = o.agg(F.min(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")))).first()[0]
+    return goal or ""
+
+
 @query(f"""WITH RECURSIVE {NODES}, {EDGES}, e AS (SELECT DISTINCT source_id, target_id FROM edges),
 r(node_id, path, depth) AS (SELECT 'project:EUROPE', 'project:EUROPE', 0 UNION SELECT target_id, path || ' > ' || target_id, depth + 1 FROM r JOIN e ON source_id = node_id WHERE depth < 3)
 SELECT path, depth FROM r WHERE node_id = (SELECT min('order:' || o_orderkey) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE') ORDER BY depth, path LIMIT 1""")
 def bfs_path(spark, d):
-    o = A.table(spark, d, "orders").join(A.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(A.places(spark, d).where("repo_name = 'EUROPE'"), F.col("c_nationkey") == F.col("n_nationkey"))
-    goal = o.agg(F.min(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")))).first()[0]
-    return graph.shortest_path(A.edges(spark, d), "project:EUROPE", goal or "", depth=3)
+    return graph.shortest_path(A.edges(spark, d), "project:EUROPE", _goal(spark, d), depth=3)
+
+
+@query()
+def bfs_path_whole(spark, d):
+    return graph.shortest_path(A.edges(spark, d), "project:EUROPE", _goal(spark, d))
 
 
 OVERLAY_SQL = f"""WITH {NODES}, {EDGES}, {ASSIGN}, hot AS (SELECT file_path FROM nodes WHERE file_path IS NOT NULL AND layer = 'code' GROUP BY 1 ORDER BY count(*) DESC, file_path LIMIT 5),
@@ -406,10 +428,10 @@ def overlay_weights(spark, d):
 
 @query()
 def mc_reach(spark, d):
-    """Reached nodes per run from one customer, over symbol-like edges; checked by a determinism test."""
-    weighted = _overlay(spark, d).where("edge_type IN ('CALLS', 'CONTAINS')").select("source_id", "target_id", F.col("adjusted_weight").alias("weight"))
+    """Reached nodes per run from one customer, over all edges; checked by a plain search."""
+    weighted = _overlay(spark, d).select("source_id", "target_id", F.col("adjusted_weight").alias("weight"))
     seeds = spark.createDataFrame([("customer:7",)], "node_id string")
-    return graph.monte_carlo_reach(weighted, seeds, runs=16, depth=3).groupBy("run").agg(F.count(F.lit(1)).alias("reached"))
+    return graph.monte_carlo_reach(weighted, seeds).groupBy("run").agg(F.count(F.lit(1)).alias("reached"))
 
 
 # history
