@@ -139,3 +139,15 @@ def test_monte_carlo_query_equals_plain_search(spark):
     for run in (0, 63):
         passed = both.where(F.pmod(F.xxhash64(F.lit(42), F.lit(run), "src", "dst"), F.lit(1 << 30)) / float(1 << 30) <= F.col("adjusted_weight"))
         assert got[run] == len(plain_reach([(r.src, r.dst) for r in passed.collect()], "customer:7", 8))
+
+
+def test_whole_queries_take_all_rows(spark, tmp_path):
+    texts = ["the the cat", "bathe them", None, "The.the,THE", "other"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_the for r in QUERIES["barrel_counts_whole"](spark, str(tmp_path)).collect()} == {0: 2, 1: 0, 2: 0, 3: 3, 4: 0}
+    lines, events = A.table(spark, DATA, "lineitem"), A.table(spark, DATA, "events")
+    best = lines.groupBy("l_suppkey").count().agg(F.max("count")).first()[0]
+    assert QUERIES["entity_rank_whole"](spark, DATA).agg(F.max("n_actions")).first()[0] == best
+    by_user = Counter(r.user_id for r in events.select("user_id").collect())
+    got = QUERIES["contradictions_whole"](spark, DATA).collect()
+    assert {r.target: r.n for r in got} == {u: n for u, n in by_user.items() if n > 1}

@@ -132,9 +132,18 @@ b AS (SELECT target_id AS file_id, string_agg(DISTINCT CAST(source_id AS VARCHAR
 SELECT c.node_id, coalesce(imports, '') AS imports, coalesce(imported_by, '') AS imported_by, coalesce((SELECT string_agg(o.node_id, ',' ORDER BY o.node_id) FROM code o WHERE o.file_id = c.file_id AND o.node_id <> c.node_id), '') AS same_file
 FROM code c LEFT JOIN i USING (file_id) LEFT JOIN b USING (file_id)""")
 def neighborhoods(spark, d):
+    return _neighborhoods(spark, d, A.table(spark, d, "lineitem").where("l_quantity > 49"))
+
+
+@query(ORACLE_SQL["neighborhoods"].replace(" WHERE l_quantity > 49", ""))
+def neighborhoods_whole(spark, d):
+    return _neighborhoods(spark, d, A.table(spark, d, "lineitem"))
+
+
+def _neighborhoods(spark, d, lines):
     supplier = A.table(spark, d, "supplier")
     code = supplier.select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("node_id"), F.col("s_nationkey").cast("string").alias("file_id"))
-    line = A.table(spark, d, "lineitem").where("l_quantity > 49").select("l_orderkey", "l_suppkey")
+    line = lines.select("l_orderkey", "l_suppkey")
     fe = line.join(A.table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(A.table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     fe = fe.select(F.col("s_nationkey").cast("string").alias("source_id"), F.col("c_nationkey").cast("string").alias("target_id")).distinct()
     out = graph.neighborhoods(code, fe)
@@ -286,6 +295,11 @@ def barrel_counts(spark, d):
     return docs.select("doc_id", F.size(F.regexp_extract_all(t, F.lit("(?:^|[^a-z])(the)(?:[^a-z]|$)"), F.lit(1))).cast("long").alias("n_the_apart"))
 
 
+@query("SELECT doc_id, CAST(len(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x = 'the')) AS BIGINT) AS n_the FROM documents")
+def barrel_counts_whole(spark, d):
+    return classify.barrel_counts(A.table(spark, d, "documents"), ["the"])
+
+
 @query("SELECT event_id, event_type AS path, CASE WHEN event_type LIKE '%view%' THEN 'View' WHEN regexp_matches(event_type, 'purchase|click') THEN 'Money' WHEN event_type LIKE '%error%' THEN 'Faults' WHEN event_type LIKE '%signup%' THEN 'Entry' ELSE 'Unclassified' END AS blocks FROM events")
 def path_blocks(spark, d):
     return classify.path_blocks(A.table(spark, d, "events").select("event_id", F.col("event_type").alias("path")), PATHS)
@@ -325,8 +339,17 @@ def lexical_rank(spark, d):
 k AS (SELECT s_suppkey AS entity_id, s_name AS name, coalesce(n_actions, 0) AS n_actions, (CASE WHEN contains(lower(s_name), 'supplier') THEN 1.0::DOUBLE ELSE 0 END) + 0.2 * least(coalesce(n_actions, 0), 5) AS score FROM supplier LEFT JOIN n ON s = s_suppkey)
 SELECT * FROM k ORDER BY score DESC, name LIMIT 20""")
 def entity_rank(spark, d):
+    return _entity_rank(spark, d, A.table(spark, d, "lineitem").where("l_quantity > 49"))
+
+
+@query(ORACLE_SQL["entity_rank"].replace(" WHERE l_quantity > 49", ""))
+def entity_rank_whole(spark, d):
+    return _entity_rank(spark, d, A.table(spark, d, "lineitem"))
+
+
+def _entity_rank(spark, d, lines):
     entities = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name"))
-    acts = A.table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("entity_id"))
+    acts = lines.select(F.col("l_suppkey").alias("entity_id"))
     return retrieval.entity_rank(entities, acts, "which supplier")
 
 
@@ -539,7 +562,15 @@ def duplicates(spark, d):
 SELECT target, count(*) AS n, count(*) FILTER (status = 'active') AS active, count(DISTINCT CASE WHEN status = 'active' THEN primary_block END) AS labels FROM g GROUP BY 1
 HAVING count(*) > 1 AND (count(*) FILTER (status = 'active') = 0 OR count(DISTINCT CASE WHEN status = 'active' THEN primary_block END) > 1)""")
 def contradictions(spark, d):
-    e = A.table(spark, d, "events").where("user_id < 40 AND value < 20")
+    return _contradictions(A.table(spark, d, "events").where("user_id < 40 AND value < 20"))
+
+
+@query(ORACLE_SQL["contradictions"].replace(" WHERE user_id < 40 AND value < 20", ""))
+def contradictions_whole(spark, d):
+    return _contradictions(A.table(spark, d, "events"))
+
+
+def _contradictions(e):
     return evaluation.contradictions(e.select(F.col("user_id").alias("target"), F.when(F.col("event_type") == "error", "needs_review").otherwise("active").alias("status"), F.col("event_type").alias("primary_block")))
 
 
