@@ -244,3 +244,13 @@ def test_windows_reach_over_short_partitions(spark):
     want = dict(enumerate(((x @ x.T >= 0.9).sum(1) - 1).tolist()))
     assert got == want and sum(want.values()) >= 20
     assert sorted(embedding_dedup._tails({0: 3, 2: 32, 5: 1, 6: 2}, 32)) == [(0, 1), (2, 4), (2, 5)]
+
+
+def test_repeats_of_lines_with_few_words_go(spark):
+    sentence = "这是一个没有空格的句子它在许多文档里重复出现"
+    rows = [(1, f"All rights reserved\n{sentence}\nyes"), (2, f"ALL RIGHTS reserved.\n\n{sentence}\nyes\n--------------------"), (3, f"{sentence}\n{sentence}又\n--------------------\n{sentence}又\n日本語です")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_repeated_lines(docs).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\nyes\n--------------------", 2), 3: (f"{sentence}又\n--------------------\n日本語です", 2)}
+    for _, data, offsets in slabs(pa.array(["a b\n", "", "日本 x-y", None, "\n\nzz"])):
+        assert line_dedup.Lines(data, offsets).letters.tolist() == [2, 0, 0, 4, 0, 0, 0, 2]
