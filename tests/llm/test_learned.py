@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weft.llm import toxicity
 
@@ -46,11 +47,56 @@ def test_one_class_gives_its_share(spark):
 
 def test_kernel_is_symmetric_and_one_on_itself():
     words = ["idiot", "moron", "loweichen", "loweiung", "a"]
-    near = toxicity.Landmarks(words).near(words)
+    near = toxicity.Landmarks(words).similar(words)
     assert near.diagonal() == pytest.approx(1, abs=1e-4) and abs(near - near.T).max() < 1e-4
     assert near[2, 3] > near[0, 1]
 
 
+def plain_kernel(a, b):
+    """The gapped-subsequence similarity of two words, by listing all subsequences."""
+
+    def listed(word):
+        c, out = ["<", *word, ">"], {}
+        for i in range(len(c)):
+            for j in range(i + 1, len(c)):
+                for k in range(j + 1, min(i + 5, len(c))):
+                    key = (c[i], c[j], c[k])
+                    out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i - 2)
+        return out
+
+    x, y = listed(a), listed(b)
+    norm = lambda v: sum(w * w for w in v.values()) ** 0.5
+    return min(1, sum(w * y.get(s, 0) for s, w in x.items()) / (norm(x) * norm(y))) ** toxicity.POWER
+
+
+def test_kernel_equals_plain_enumeration():
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdé") for _ in range(rnd.randrange(1, 12))) for _ in range(60)]
+    marks = words[:20]
+    got = toxicity.Landmarks(marks).similar(words)
+    for i, w in enumerate(words):
+        for j, m in enumerate(marks):
+            want = plain_kernel(w, m)
+            assert got[i, j] == pytest.approx(want if want >= toxicity.FLOOR else 0, abs=1e-3) or abs(want - toxicity.FLOOR) < 1e-3
+
+
+def test_forgetting_words_changes_nothing(monkeypatch):
+    texts = [" ".join(w for _, t in corpus(40, seed)[0] for w in t.split()) for seed in range(3)]
+    want = toxicity.Describer(["idiot", "moron", "ingthe"]).features(texts)
+    monkeypatch.setattr(toxicity, "MEMO", 50)
+    monkeypatch.setattr(toxicity, "ENTRIES", 40)
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    assert (toxicity.Describer(["idiot", "moron", "ingthe"]).features(texts) == want).all() and want.any()
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    rows, labels = corpus(120)
+    docs = spark.createDataFrame([(i, t, 1.0, "x") for i, t in rows] * 3, "doc_id long, text string, score double, predicted string")
+    got = toxicity.score(docs, toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int")))
+    assert got.columns == ["doc_id", "text", "score", "predicted"] and got.count() == 360
+    assert got.groupBy("doc_id").agg(F.count_distinct("score").alias("n")).where("n > 1").count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     folder = "/root/testdata/sf0.001"

@@ -17,8 +17,11 @@ training documents' feature rows, both bounded by parameters. Scoring is one pas
 shuffle, with the model (a few megabytes, fixed by LANDMARKS) broadcast.
 
 Defined cases: null and empty texts get the score of a document near no landmark; rows without a
-label, or with a null label, don't train; if the labels have only one class, every score is the
-share of that class; repeated rows score alike.
+label, or with a null label, don't train; of rows that repeat a doc_id the least text trains, with the
+greatest label; if the labels have only one class, every score is the share of that class, and 0 if
+there are none; repeated rows score alike, and so do texts with the same words; an empty table gives
+an empty result; very long texts are read whole, their words in blocks; columns of docs named score
+or predicted are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -42,9 +45,9 @@ TRAIN_ROWS, CANDIDATES, LANDMARKS = 12_000, 2_000, 160
 #: discount of each character skipped, the power that similarities are raised to, and the least
 #: similarity that counts.
 PIECE, DECAY, POWER, FLOOR = 24, 0.7, 2, 0.06
-#: Buckets of the hashed subsequences, words that a task remembers, and the length up to which words
-#: stay when there are too many.
-BUCKETS, MEMO, SHORT = 1 << 20, 600_000, 8
+#: Buckets of the hashed subsequences; words that a task remembers, similarities that it remembers of
+#: them (six bytes each), and words that it looks up at once.
+BUCKETS, MEMO, ENTRIES, BLOCK = 1 << 20, 500_000, 4_000_000, 1 << 16
 _SPANS = [(j, k) for k in range(2, 5) for j in range(1, k)]
 _SPACED = re.compile(r"(?:(?<!\w)\w[\s.*_-]{1,2}){2,}\w(?!\w)")
 _REST = re.compile(r"[\W_]+")
@@ -105,40 +108,50 @@ class Landmarks:
     """Similarities of pieces to chosen words."""
 
     words: list[str]
-    slot: np.ndarray = field(init=False)
-    table: np.ndarray = field(init=False)
+    slot: np.ndarray = field(init=False)  # of a bucket; 0: in no word
+    start: np.ndarray = field(init=False)  # where the entries of a slot start
+    mark: np.ndarray = field(init=False)
+    value: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         who, where, weight, norm = subsequences(self.words)
+        order = np.argsort(where, kind="stable")
+        used, first = np.unique(where[order], return_index=True)
         self.slot = np.zeros(BUCKETS, np.int32)
-        used = np.unique(where)
         self.slot[used] = np.arange(1, len(used) + 1)
-        self.table = np.zeros((len(used) + 1, len(self.words)), np.float32)
-        np.add.at(self.table, (self.slot[where], who), weight / norm[who].astype(np.float32))
-
-    def near(self, parts: list[str]) -> np.ndarray:
-        """A row for each piece, a column for each landmark; what is below FLOOR is 0."""
-        out = np.zeros((len(parts), len(self.words)), np.float32)
-        least = FLOOR ** (1 / POWER)
+        self.start = np.concatenate([[0], first, [len(where)]])
+        self.mark, self.value = who[order], (weight / norm[who])[order]
+
+    def near(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces that come near any landmark, and a row for each of these with a column for each
+        landmark; what is below FLOOR is 0."""
+        rows, values = [np.zeros(0, np.int64)], [np.zeros((0, len(self.words)), np.float32)]
+        least = 0.999 * FLOOR ** (1 / POWER)
         for at in range(0, len(parts), 1024):
             some = parts[at : at + 1024]
             who, where, weight = _codes(some)
-            # a norm can't be less than it is with repeated subsequences apart
-            low = np.sqrt(np.bincount(who, weights=weight * weight, minlength=len(some)))
             slot = self.slot[where]
             hit = np.flatnonzero(slot)
-            if not len(hit):
-                continue
-            used, column = np.unique(slot[hit], return_inverse=True)
-            counts = np.bincount(who[hit] * len(used) + column, weights=weight[hit], minlength=len(some) * len(used))
-            made = counts.reshape(len(some), len(used)).astype(np.float32) @ self.table[used]
-            near = made.max(1) >= least * 0.999 * low
-            if near.any():
-                rows = np.flatnonzero(near)
-                norm = subsequences([some[i] for i in rows])[3]
-                out[at + rows] = made[rows] / norm[:, None]
-        out = np.minimum(out, 1) ** POWER
-        out[out < FLOOR] = 0
+            slot = slot[hit]
+            counts = self.start[slot + 1] - self.start[slot]
+            entry = np.repeat(self.start[slot] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            flat = np.repeat(who[hit], counts) * len(self.words) + self.mark[entry]
+            made = np.bincount(flat, weights=np.repeat(weight[hit], counts) * self.value[entry], minlength=len(some) * len(self.words)).reshape(len(some), -1)
+            # a norm can't be less than it is with repeated subsequences apart
+            near = np.flatnonzero(made.max(1, initial=0) >= least * np.sqrt(np.bincount(who, weights=weight * weight, minlength=len(some))))
+            if len(near):
+                norm = subsequences([some[i] for i in near])[3]
+                close = np.minimum(made[near] / norm[:, None], 1) ** POWER
+                close[close < FLOOR] = 0
+                rows.append(at + near)
+                values.append(close.astype(np.float32))
+        return np.concatenate(rows), np.concatenate(values)
+
+    def similar(self, parts: list[str]) -> np.ndarray:
+        """A row for every piece, a column for each landmark."""
+        out = np.zeros((len(parts), len(self.words)), np.float32)
+        rows, values = self.near(parts)
+        out[rows] = values
         return out
 
 
@@ -151,7 +164,7 @@ def choose(words: list[str], toxic: np.ndarray, every: np.ndarray, weight: np.nd
     """
     near = np.empty((len(words), candidates), np.float32)
     for at in range(0, candidates, 128):  # a table of subsequences for a few landmarks at a time
-        near[:, at : at + 128] = Landmarks(words[:candidates][at : at + 128]).near(words)
+        near[:, at : at + 128] = Landmarks(words[:candidates][at : at + 128]).similar(words)
     excess = near.T @ ((toxic - rate * every) * weight)
     spread = (near**2).T @ (rate * (1 - rate) * every * weight)
     left = np.where(np.maximum(excess, 0) ** 2 > 9 * (spread + 1), excess / np.sqrt(spread + 1), 0)
@@ -173,7 +186,7 @@ class Model:
     shift: float
 
     def score(self, features: np.ndarray) -> np.ndarray:
-        margin = features @ self.weights + self.bias
+        margin = (features * self.weights).sum(1) + self.bias  # the same for a row whatever its batch
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -60, 60)))
 
 
@@ -192,7 +205,7 @@ def _newton(x: np.ndarray, y: np.ndarray, loss, penalty: float, steps: int = 40)
 
 
 def fit(features: np.ndarray, toxic: np.ndarray, landmarks: list[str], folds: int = 3) -> Model:
-    gram = Landmarks(landmarks).near(landmarks).astype(np.float64)
+    gram = Landmarks(landmarks).similar(landmarks).astype(np.float64)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     root = vector / np.sqrt(np.maximum(value, 0.05)) @ vector.T
     y = np.where(toxic > 0, 1.0, -1.0)
@@ -218,46 +231,62 @@ def fit(features: np.ndarray, toxic: np.ndarray, landmarks: list[str], folds: in
 
 
 class Describer:
-    """Features of texts: for each landmark the greatest similarity of any word."""
+    """Features of texts: for each landmark the greatest similarity of any word.
+
+    Words met are remembered with the landmarks that they are near and how near, six bytes each;
+    when there are MEMO words or ENTRIES of these, all are forgotten.
+    """
 
     def __init__(self, landmarks: list[str]) -> None:
         self.landmarks = Landmarks(landmarks)
         self.memo: dict[str, int] = {}
-        self.rows = np.zeros((1, len(landmarks)), np.float32)  # row 0: near no landmark
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.memo) + len(new) > MEMO:  # short words, which come again soonest, stay
-            self.memo = {w: i for w, i in self.memo.items() if len(w) <= SHORT}
-            if len(self.memo) + len(new) > MEMO or len(self.rows) > MEMO:
-                self.memo.clear()
-                self.rows = self.rows[:1]
+        self.start = np.zeros(MEMO + 2, np.int64)  # by word, in order of learning
+        self.mark, self.value = np.zeros(ENTRIES, np.uint16), np.zeros(ENTRIES, np.float32)
+        self.known = 0
+
+    def _learn(self, new: list[str]) -> bool:
+        """Whether there was room for the words."""
         cut_up = [pieces(w) for w in new]
         owner = np.repeat(np.arange(len(new)), [len(p) for p in cut_up])
-        flat = [p for ps in cut_up for p in ps]
-        index = np.zeros(len(new), np.int64)
-        if flat:
-            near = self.landmarks.near(flat)
-            keep = np.flatnonzero(near.any(1))
-            found = np.unique(owner[keep])
-            best = np.zeros((len(found), near.shape[1]), np.float32)
-            np.maximum.at(best, np.searchsorted(found, owner[keep]), near[keep])
-            index[found] = len(self.rows) + np.arange(len(found))
-            self.rows = np.concatenate([self.rows, best])
-        self.memo.update(zip(new, index.tolist(), strict=True))
+        at, near = self.landmarks.near([p for ps in cut_up for p in ps])
+        found, place = np.unique(owner[at], return_inverse=True)
+        best = np.zeros((len(found), near.shape[1]), np.float32)
+        np.maximum.at(best, place, near)
+        row, mark = np.nonzero(best)
+        begin = self.start[self.known]
+        if self.known + len(new) > MEMO or begin + len(row) > ENTRIES:
+            return False
+        self.mark[begin : begin + len(row)], self.value[begin : begin + len(row)] = mark, best[row, mark]
+        counts = np.zeros(len(new), np.int64)
+        counts[found] = np.bincount(row, minlength=len(found))
+        self.start[self.known + 1 : self.known + 1 + len(new)] = begin + np.cumsum(counts)
+        self.memo.update(zip(new, range(self.known, self.known + len(new)), strict=True))
+        self.known += len(new)
+        return True
+
+    def _raise(self, out: np.ndarray, text: np.ndarray, words: list[str]) -> None:
+        """Raises rows of out, by text, to the similarities of words."""
+        new = list({w for w in words if w not in self.memo})
+        if new and not self._learn(new):
+            self.memo.clear()
+            self.known = 0
+            if not self._learn(list(set(words))):  # too many at once
+                half = len(words) // 2
+                self._raise(out, text[:half], words[:half])
+                self._raise(out, text[half:], words[half:])
+                return
+        at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        counts = self.start[at + 1] - self.start[at]
+        entry = np.repeat(self.start[at] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        np.maximum.at(out.reshape(-1), np.repeat(text, counts) * out.shape[1] + self.mark[entry], self.value[entry])
 
     def features(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), len(self.landmarks.words)), np.float32)
         split = [words_of(t) for t in texts]
-        met = set().union(*split)
-        new = [w for w in met if w not in self.memo]
-        self._learn(new)
-        if lost := [w for w in met if w not in self.memo]:
-            self._learn(lost)
-        out = np.zeros((len(texts), self.rows.shape[1]), np.float32)
-        for i, found in enumerate(split):
-            at = set(map(self.memo.__getitem__, found))
-            at.discard(0)
-            if at:
-                out[i] = self.rows[list(at)].max(0)
+        text = np.repeat(np.arange(len(texts)), [len(w) for w in split])
+        words = [w for found in split for w in found]
+        for at in range(0, len(words), BLOCK):
+            self._raise(out, text[at : at + BLOCK], words[at : at + BLOCK])
         return out
 
 
@@ -283,7 +312,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     chosen = labels.where(f"doc_id IS NOT NULL AND {label} IS NOT NULL").groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     body = docs.select("doc_id", text_or_empty(text).alias("t"))
-    sample = cut(body.join(F.broadcast(chosen), "doc_id").select("y", "t"))  # bounded by rows
+    sample = body.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("t").alias("t"))
+    sample = cut(sample.select("y", "t"))  # bounded by rows, whatever ids repeat
     n = {r["y"] > 0: r["count"] for r in sample.groupBy("y").count().collect()}
     if len(n) < 2:
         return float(True in n)
