@@ -47,8 +47,7 @@ TRAIN_ROWS, CANDIDATES, LANDMARKS = 12_000, 2_000, 160
 PIECE, DECAY, POWER, FLOOR = 24, 0.7, 2, 0.06
 #: Buckets of the hashed subsequences; words that a task remembers, similarities that it remembers of
 #: them (six bytes each), and words that it looks up at once.
-BUCKETS, MEMO, ENTRIES, BLOCK = 1 << 20, 500_000, 4_000_000, 1 << 16
-_SPANS = [(j, k) for k in range(2, 5) for j in range(1, k)]
+BUCKETS, MEMO, ENTRIES, BLOCK = 1 << 20, 300_000, 2_000_000, 1 << 15
 _SPACED = re.compile(r"(?:(?<!\w)\w[\s.*_-]{1,2}){2,}\w(?!\w)")
 _REST = re.compile(r"[\W_]+")
 
@@ -63,7 +62,7 @@ def words_of(text: str) -> set[str]:
 
 
 def pieces(word: str) -> list[str]:
-    plain = _REST.sub("", word)
+    plain = word if word.isalnum() else _REST.sub("", word)
     if len(plain) <= PIECE:
         return [plain] if plain else []
     return [plain[i : i + PIECE] for i in range(0, len(plain) - PIECE // 2, PIECE // 2)]
@@ -77,19 +76,29 @@ def _codes(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     c[:, 0] = 1
     c[:, 1 : PIECE + 1] = raw
     c[np.arange(len(parts)), length + 1] = 2
+    width, c = c.shape[1], c.reshape(-1)
     who, where, weight = [], [], []
-    for j, k in _SPANS:
-        n = c.shape[1] - 4
-        x, y, z = c[:, :n], c[:, j : n + j], c[:, k : n + k]
-        row, at = np.nonzero(z)
-        mixed = (x[row, at] << np.uint64(42)) ^ (y[row, at] << np.uint64(21)) ^ z[row, at]
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        who.append(row)
-        where.append((mixed >> np.uint64(44)).astype(np.int64))
-        weight.append(np.full(len(row), DECAY ** (k - 2), np.float32))
+    end = np.flatnonzero(c)
+    for k in range(2, 5):
+        end_k = end[end % width >= k]
+        row = end_k // width
+        ends = (c[end_k - k] << np.uint64(42)) ^ c[end_k]
+        for j in range(1, k):
+            mixed = ends ^ (c[end_k - k + j] << np.uint64(21))
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            who.append(row)
+            where.append((mixed >> np.uint64(44)).astype(np.int64))
+            weight.append(np.full(len(row), DECAY ** (k - 2), np.float32))
     return np.concatenate(who), np.concatenate(where), np.concatenate(weight)
 
 
+def _least_norm(parts: list[str]) -> np.ndarray:
+    """What the norm of a piece can't be below: its norm with repeated subsequences apart."""
+    n = np.arange(PIECE + 1) + 2
+    of = np.sqrt(sum((k - 1) * np.maximum(n - k, 0) * DECAY ** (2 * k - 4) for k in range(2, 5)))
+    return of[np.fromiter(map(len, parts), np.int64, len(parts))]
+
+
 def subsequences(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(piece, bucket, weight) of every different gapped subsequence, and the norm of every piece."""
     who, where, weight = _codes(parts)
@@ -137,8 +146,7 @@ class Landmarks:
             entry = np.repeat(self.start[slot] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
             flat = np.repeat(who[hit], counts) * len(self.words) + self.mark[entry]
             made = np.bincount(flat, weights=np.repeat(weight[hit], counts) * self.value[entry], minlength=len(some) * len(self.words)).reshape(len(some), -1)
-            # a norm can't be less than it is with repeated subsequences apart
-            near = np.flatnonzero(made.max(1, initial=0) >= least * np.sqrt(np.bincount(who, weights=weight * weight, minlength=len(some))))
+            near = np.flatnonzero(made.max(1, initial=0) >= least * _least_norm(some))
             if len(near):
                 norm = subsequences([some[i] for i in near])[3]
                 close = np.minimum(made[near] / norm[:, None], 1) ** POWER
@@ -234,7 +242,8 @@ class Describer:
     """Features of texts: for each landmark the greatest similarity of any word.
 
     Words met are remembered with the landmarks that they are near and how near, six bytes each;
-    when there are MEMO words or ENTRIES of these, all are forgotten.
+    when there are MEMO words or ENTRIES of these, those that came once are forgotten, and all if
+    that is not enough.
     """
 
     def __init__(self, landmarks: list[str]) -> None:
@@ -242,10 +251,28 @@ class Describer:
         self.memo: dict[str, int] = {}
         self.start = np.zeros(MEMO + 2, np.int64)  # by word, in order of learning
         self.mark, self.value = np.zeros(ENTRIES, np.uint16), np.zeros(ENTRIES, np.float32)
+        self.met = np.zeros(MEMO, np.int32)
         self.known = 0
 
+    def _forget(self) -> None:
+        stay = np.flatnonzero(self.met[: self.known] > 1)
+        stay = stay[np.argsort(-self.met[stay], kind="stable")][: MEMO // 2]
+        counts = self.start[stay + 1] - self.start[stay]
+        stay = stay[: np.searchsorted(np.cumsum(counts), ENTRIES // 2, "right")]
+        counts = counts[: len(stay)]
+        entry = np.repeat(self.start[stay] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        self.mark[: len(entry)], self.value[: len(entry)] = self.mark[entry], self.value[entry]
+        self.start[1 : len(stay) + 1] = np.cumsum(counts)
+        place = np.full(self.known, -1)
+        place[stay] = np.arange(len(stay))
+        self.memo = {w: to for w, i in self.memo.items() if (to := int(place[i])) >= 0}
+        self.known = len(stay)
+        self.met[:] = 0
+
     def _learn(self, new: list[str]) -> bool:
         """Whether there was room for the words."""
+        if self.known + len(new) > MEMO:
+            return False
         cut_up = [pieces(w) for w in new]
         owner = np.repeat(np.arange(len(new)), [len(p) for p in cut_up])
         at, near = self.landmarks.near([p for ps in cut_up for p in ps])
@@ -254,7 +281,7 @@ class Describer:
         np.maximum.at(best, place, near)
         row, mark = np.nonzero(best)
         begin = self.start[self.known]
-        if self.known + len(new) > MEMO or begin + len(row) > ENTRIES:
+        if begin + len(row) > ENTRIES:
             return False
         self.mark[begin : begin + len(row)], self.value[begin : begin + len(row)] = mark, best[row, mark]
         counts = np.zeros(len(new), np.int64)
@@ -268,14 +295,16 @@ class Describer:
         """Raises rows of out, by text, to the similarities of words."""
         new = list({w for w in words if w not in self.memo})
         if new and not self._learn(new):
-            self.memo.clear()
-            self.known = 0
-            if not self._learn(list(set(words))):  # too many at once
-                half = len(words) // 2
-                self._raise(out, text[:half], words[:half])
-                self._raise(out, text[half:], words[half:])
+            self._forget()
+            if not self._learn(list({w for w in words if w not in self.memo})):
+                self.memo.clear()
+                self.known = 0
+                half = len(words) // 2  # one word has room
+                for part in (slice(half), slice(half, None)) if half else (slice(None),):
+                    self._raise(out, text[part], words[part])
                 return
         at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        self.met[: self.known] += np.bincount(at, minlength=self.known).astype(np.int32)
         counts = self.start[at + 1] - self.start[at]
         entry = np.repeat(self.start[at] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         np.maximum.at(out.reshape(-1), np.repeat(text, counts) * out.shape[1] + self.mark[entry], self.value[entry])
@@ -351,17 +380,21 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     return fit(features, np.array([r["y"] for r in got]), marks)
 
 
-def score(docs: DataFrame, model: Model | float, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1, toxic above) and predicted (1 from 0.5 on)."""
+def score(docs: DataFrame, model: Model | float, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """docs with score (0 to 1, toxic above) and predicted (1 from 0.5 on).
+
+    columns: those of docs that are kept, if not all; no others go through Python but the text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept = [c for c in columns or docs.columns if c not in ("score", "predicted")]
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    body = docs.withColumn(text, F.col(text).cast("string")).select(*dict.fromkeys([*kept, text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             row = 0
-            for part in _texts(batch.column("__text")):
+            for part in _texts(batch.column(text)):
                 if isinstance(model, float):
                     made = np.full(len(part), model)
                 else:
@@ -369,7 +402,7 @@ def score(docs: DataFrame, model: Model | float, text: str = "text") -> DataFram
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, len(part)) for c in kept), pa.array(made), pa.array((made >= 0.5).astype(np.int32))], names=schema.names)
                 row += len(part)
 
-    return docs.withColumn("__text", text_or_empty(text)).select(*kept, "__text").mapInArrow(run, schema)
+    return body.mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -384,4 +417,4 @@ def train_by_contract(docs: DataFrame, labels: DataFrame) -> Model | float:
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     model = train_by_contract(docs, labels)
-    return score(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return score(docs, model, columns=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
