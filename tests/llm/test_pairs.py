@@ -95,14 +95,20 @@ def test_edit_similarity_equals_plain_distance():
             row = new
         return row[-1]
 
-    rnd = random.Random(3)
+    rnd, pairs, want = random.Random(3), [], []
     for _ in range(1500):
         a = [rnd.randrange(6) for _ in range(rnd.randrange(14))]
         b = list(a)
         for _ in range(rnd.randrange(4)):
             b.insert(rnd.randrange(len(b) + 1), rnd.randrange(6)) if rnd.random() < 0.5 or not b else b.pop(rnd.randrange(len(b)))
-        want = distance(a, b) <= max(len(a), len(b)) * 20 // 100
-        assert line_dedup.edit_alike(np.array(a, np.uint64), np.array(b, np.uint64)) == want
+        pairs.append((np.array(a, np.uint64), np.array(b, np.uint64)))
+        want.append(distance(a, b) <= max(len(a), len(b)) * 20 // 100)
+        assert line_dedup.edit_alike(*pairs[-1]) == want[-1]
+    for a, b in pairs[:50]:  # lines beside each other differ much in length, others hardly
+        pairs.append((np.tile(a, 80), np.tile(b, 80)))
+        want.append(line_dedup.edit_alike(*pairs[-1]))
+    one, two = zip(*pairs, strict=True)
+    assert line_dedup.edit_alike_many(list(one), list(two)).tolist() == want
 
 
 def test_lines_belong_to_their_texts():
@@ -172,7 +178,9 @@ def test_shards_of_one_hot_group(spark):
     assert len(got) == 4 and max(r.s for r in got) <= 0.45 * sum(r.s for r in got)
 
 
-def test_fuzzy_lines_equal_all_pairs(spark):
+@pytest.mark.parametrize("many", [2, 64])
+def test_fuzzy_lines_equal_all_pairs(spark, monkeypatch, many):
+    monkeypatch.setattr(line_dedup, "MANY", many)
     rnd = random.Random(4)
     vocabulary = [f"v{i}" for i in range(400)]
     lines = []
@@ -203,16 +211,30 @@ def test_both_fuzzy_lines_are_seen(spark):
     assert [(r.doc_id, r.text, r.n_dropped) for r in line_dedup.drop_repeated_lines(docs).orderBy("doc_id").collect()] == [(6, long, 0), (7, "", 1)]
 
 
-def test_many_lines_of_a_key_are_all_compared(monkeypatch):
-    rnd = random.Random(5)
-    words = [[rnd.randrange(30) for _ in range(10)] for _ in range(60)]
-    words += [[*w[:-1], 99] for w in words[:30]]
-    hashed = line_dedup.mix(np.array(words, np.uint64).ravel())
-    rows = np.zeros(len(words), line_dedup._kind(128))
-    rows["n"], rows["name"], rows["parity"] = 10, np.arange(len(words)), line_dedup.parity(hashed, np.full(len(words), 10), 128)
-    few = line_dedup.candidates(rows, 80)
-    monkeypatch.setattr(line_dedup, "MANY", 8)
-    assert len(few) >= 30 and few.tolist() == line_dedup.candidates(rows, 80).tolist()
+@pytest.mark.parametrize("many", [2, 8, 1000])
+def test_lines_of_a_key_hang_together_as_all_pairs_do(many):
+    rng = np.random.default_rng(5)
+    rows = np.zeros(400, line_dedup._KEY)
+    rows["key"], rows["n"], rows["name"] = rng.integers(0, 9, 400), rng.choice([8, 10, 12, 40, line_dedup.MOST], 400, p=[0.3, 0.3, 0.3, 0.09, 0.01]), rng.permutation(400)
+    rows["at"] = np.where(rng.random(400) < 0.05, line_dedup.MOST, rng.integers(0, 8, 400))
+    a, b = np.nonzero((rows["key"][:, None] == rows["key"][None, :]) & (np.arange(400)[:, None] < np.arange(400)[None, :]))
+    near = line_dedup._close(rows, a, b, 80)
+    want = {tuple(sorted(x)) for x in np.stack([rows["name"][a], rows["name"][b]], 1)[near].tolist()}
+    pairs, groups = line_dedup.candidates(rows.copy(), 80, many)
+    assert {tuple(x) for x in pairs.tolist()} <= want and (many < 1000 or (len(pairs) == len(want) and not len(groups)))
+    assert roots(range(400), [*pairs.tolist(), *groups.tolist()]) == roots(range(400), want)
+
+
+def test_parities_never_part_alike_lines():
+    rnd = random.Random(6)
+    for _ in range(500):
+        a = np.array([rnd.getrandbits(32) for _ in range(rnd.choice([5, 15, 16, 17, 33, 70]))], np.uint32)
+        b = list(a)
+        for _ in range(rnd.randrange(1 + len(a) // 4)):
+            b.insert(rnd.randrange(len(b) + 1), rnd.getrandbits(32)) if rnd.random() < 0.5 or not b else b.pop(rnd.randrange(len(b)))
+        b = np.array(b, np.uint32)
+        if line_dedup.edit_alike(a, b):
+            assert line_dedup.parities_alike(line_dedup.parity(a), line_dedup.parity(b), len(a), len(b), 80)
 
 
 def test_vector_recall_holds_as_vectors_get_many(spark):
@@ -254,3 +276,11 @@ def test_repeats_of_lines_with_few_words_go(spark):
     assert got == {1: (rows[0][1], 0), 2: ("\nyes\n--------------------", 2), 3: (f"{sentence}又\n--------------------\n日本語です", 2)}
     for _, data, offsets in slabs(pa.array(["a b\n", "", "日本 x-y", None, "\n\nzz"])):
         assert line_dedup.Lines(data, offsets).letters.tolist() == [2, 0, 0, 4, 0, 0, 0, 2]
+
+
+def test_hot_keys_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 2)
+    docs = copies(9, [8, 20, 40], 25)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(df, 4, 85).collect()}
+    assert got == plain_groups(docs, 4, 85)

@@ -1,11 +1,13 @@
 """Links within groups of candidates, verified without ever listing all pairs of a group.
 
 A group is a leader and the members that share a key with it. First every member is compared with
-one leader. Groups that this leaves unconnected are compared in tiles of TILE x TILE members, with
-two kinds of pairs left out: those already connected, and those that meet in a larger group too.
-For the latter every member has a home, the largest group it is in: a group whose members mostly
-have one home elsewhere compares only the others among themselves and with those. So no link that
-matters to a component is lost, every pair is met about once, and no task holds more than two tiles.
+one leader, then with the others that it isn't connected with. Groups that this leaves unconnected
+are compared in tiles of TILE x TILE members, with two kinds of pairs left out: those already
+connected, and those that meet in a larger group too. For the latter every member has a home, the
+largest group it is in: a group whose members mostly have one home elsewhere compares only the
+others among themselves and with those. So no link that matters to a component is lost, every pair
+is met about once, and no task holds more than two tiles. Pairs that aren't part of a group are
+compared one by one, in the first two steps.
 """
 
 from __future__ import annotations
@@ -26,22 +28,23 @@ TILE = 256
 
 @dataclass(frozen=True)
 class Alike:
-    """pair: whether two rows of values are alike. all: the same for all pairs of a list, as a
-    matrix, where there is a quicker way than one by one."""
+    """many: which of the pairs of two lists of values are alike. all: the same for all pairs of a
+    list, as a matrix, where there is a quicker way. kind: the type of the values."""
 
-    pair: Callable[[np.ndarray, np.ndarray], bool]
+    many: Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray]
     all: Callable[[list[np.ndarray]], np.ndarray] | None = None
+    kind: type = np.uint64
 
-
-def _values(x: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(x.as_buffer(), np.uint64)
+    def values(self, column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+        return [np.frombuffer(x.as_buffer(), self.kind) for x in column]
 
 
 def _verified(alike: Alike):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [alike.pair(_values(x), _values(y)) for x, y in zip(batch.column("one"), batch.column("two"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                yield some.select(["a", "b"]).filter(pa.array(alike.many(alike.values(some.column("one")), alike.values(some.column("two"))), pa.bool_()))
 
     return run
 
@@ -49,28 +52,26 @@ def _verified(alike: Alike):
 def _tile(alike: Alike):
     def run(table: pa.Table) -> pa.Table:
         doc, label, tile, led = (table[c].to_numpy() for c in ("doc", "label", "tile", "led"))
-        values = [_values(x) for x in table["values"]]
+        values = alike.values(table["values"])
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         side = led if i < 0 else tile
         may = (label[:, None] != label[None, :]) & ((i == j) | (side[:, None] != side[None, :])) & (doc[:, None] < doc[None, :])
         if alike.all:
             at = np.argwhere(may & alike.all(values))
-            made = union(np.stack([doc[at[:, 0]], doc[at[:, 1]]], 1)) if len(at) else np.zeros((0, 2), np.int64)
-            return pa.table({"a": made[:, 0], "b": made[:, 1]})
-        group = {x: x for x in label.tolist()}
-
-        def find(x: int) -> int:
-            while group[x] != x:
-                x = group[x] = group[group[x]]
-            return x
-
-        edges = []
-        for p, q in np.argwhere(may):
-            if (x := find(int(label[p]))) != (y := find(int(label[q]))) and alike.pair(values[p], values[q]):
-                group[max(x, y)] = min(x, y)
-                edges.append((doc[p], doc[q]))
-        made = np.array(edges, np.int64).reshape(-1, 2)
-        return pa.table({"a": made[:, 0], "b": made[:, 1]})
+            links = np.stack([doc[at[:, 0]], doc[at[:, 1]]], 1)
+        else:
+            at, found, group = np.argwhere(may), [np.zeros((0, 2), np.int64)], label.copy()
+            while len(at):
+                some, at = at[:2048], at[2048:]
+                some = some[alike.many([values[p] for p, _ in some], [values[q] for _, q in some])]
+                found.append(np.stack([doc[some[:, 0]], doc[some[:, 1]]], 1))
+                if len(some):  # pairs that are connected by now needn't be compared
+                    to = dict(union(np.stack([group[some[:, 0]], group[some[:, 1]]], 1)).tolist())
+                    group = np.array([to.get(x, x) for x in group.tolist()])
+                    at = at[group[at[:, 0]] != group[at[:, 1]]]
+            links = np.concatenate(found)
+        made = union(links) if len(links) else links
+        return pa.table({"a": made[:, 0].astype(np.int64), "b": made[:, 1].astype(np.int64)})
 
     return run
 
@@ -94,19 +95,33 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
 
 
-def connect(pairs: DataFrame, contents: DataFrame, alike: Alike) -> DataFrame:
-    """(id, component) of what is connected by links among the groups of pairs.
+def _labelled(pairs: DataFrame, label: DataFrame, *names: str) -> DataFrame:
+    """pairs with the component of the ids in each named column, as <name>_in."""
+    for name in names:
+        pairs = pairs.join(label.toDF(name, f"{name}_in"), name, "left").withColumn(f"{name}_in", F.coalesce(f"{name}_in", name))
+    return pairs
+
+
+def connect(groups: DataFrame, pairs: DataFrame, contents: DataFrame, alike: Alike) -> DataFrame:
+    """(id, component) of what is connected by links among pairs and within groups.
 
-    pairs: a (leader), b (member), near (the member met only this leader, who met others for it),
-    fit (whether the two could be alike at all). contents: doc, values (64-bit integers as bytes).
+    pairs: a, b (distinct; candidates, to be compared unless they are connected already). groups: a,
+    b (distinct; every member b with its leader a): all pairs of a group are candidates.
+    contents: doc, values (integers as bytes).
     """
-    star = pairs.where("fit").groupBy("b").agg(F.min("a").alias("a"))
-    star = star.join(contents.toDF("b", "two"), "b").join(contents.toDF("a", "one"), "a").select("a", "b", "one", "two")
-    links = cut(star.mapInArrow(_verified(alike), "a bigint, b bigint"))
+
+    def verified(some: DataFrame) -> DataFrame:
+        both = some.select("a", "b").join(contents.toDF("b", "two"), "b").join(contents.toDF("a", "one"), "a")
+        return both.select("a", "b", "one", "two").mapInArrow(_verified(alike), "a bigint, b bigint")
+
+    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    links = cut(verified(first))
+    rest = pairs.join(first, ["a", "b"], "left_anti")
+    rest = _labelled(rest, components(links), "a", "b").where("a_in != b_in")
+    links = cut(links.union(verified(rest)))
     label = components(links)
-    through = pairs.where("near").select(F.col("a").alias("b"), F.col("b").alias("doc")).join(pairs.where("NOT near").select("a", "b"), "b")
-    grouped = pairs.select("a", F.col("b").alias("doc")).union(pairs.select("a", F.col("a").alias("doc"))).union(through.select("a", "doc")).distinct()
-    grouped = cut(grouped.join(label.withColumnRenamed("id", "doc"), "doc", "left").select("a", "doc", F.coalesce("component", "doc").alias("label")))
+    grouped = groups.select("a", F.col("b").alias("doc")).union(groups.select("a", F.col("a").alias("doc"))).distinct()
+    grouped = cut(_labelled(grouped, label, "doc").withColumnRenamed("doc_in", "label"))
     apart = grouped.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("g"), F.max(F.when(F.col("a") == F.col("doc"), F.col("label"))).alias("lead")).where("low < high")
     largest = F.max(F.struct("g", "a")).over(Window.partitionBy("doc"))
     grouped = cut(grouped.join(apart.select("a", "g", "lead"), "a").withColumn("home", largest["a"]))

@@ -9,10 +9,12 @@ neighbourhoods of the segment). Every set indexes all segments of its band, and
 and the one below with the H + 1 cheapest allowances, the cost being the expected number of sets
 with the same key: short segments are avoided, and deletions are used in bands of small sets only.
 
-Keys are grouped within a batch, then by one shuffle of (key, document). A group of g documents
-leaves g - 1 pairs with its first document, never all pairs. Pairs are verified exactly on the
-shingle hashes of whole texts. Where that does not connect a whole group, its members are compared
-in tiles, those already connected left out (see _groups).
+Keys meet by one shuffle of (key, document). A group of g documents leaves g - 1 pairs with its
+first document, never all pairs. Of a key that more than HOT documents of one batch have, only the
+first of them goes to that shuffle, so no task gathers a hot key; the others learn the key's first
+document by a join on (key, first of the batch). Pairs are verified exactly on the shingle hashes of
+whole texts. Where that does not connect a whole group, its members are compared in tiles, those
+already connected left out (see _groups).
 
 Defined cases: null and empty texts, and texts without words, have no shingles and link with
 nothing; a null doc_id links with nothing; rows that repeat a doc_id are separate documents with
@@ -36,6 +38,10 @@ from weft.llm._words import mix, shingles, slabs, words
 
 #: Sets up to this size are indexed with one-deletion neighbourhoods.
 SMALL = 48
+#: Documents of a batch with one key above which one of them stands for the others.
+HOT = 256
+#: Shingles of distinct sets for each task that keys meet in, unless there are more shuffle partitions.
+PART_SHINGLES = 16_000_000
 #: Segments beyond H + 1 that bands of larger sets have, so that short ones can be avoided.
 SLACK = 0.08
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -163,33 +169,48 @@ def shingle_sets(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("t")).mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint")
 
 
-def _stars(key: np.ndarray, doc: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (first document, other) of every key that some document probes; the rest as rows.
+_PROBE, _HOT, _BITS = np.uint64(1), np.uint64(2), np.uint64(3)  # low bits of a key as it is shuffled
 
-    Returns the distinct pairs, and the indices of one row per probed key and of all other rows.
-    """
-    order = np.lexsort((doc, key))
-    k, d, p = key[order], doc[order], probe[order]
+
+def _met(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (first document, other) of every key that some document probes, and rows
+    (first document, other, key) of those that stand for others of their batch."""
+    order = np.lexsort((doc, key & ~_BITS))
+    k, d, flags = key[order] & ~_BITS, doc[order], key[order] & _BITS
     first = np.ones(len(k), bool)
     first[1:] = k[1:] != k[:-1]
     group = np.cumsum(first) - 1
-    asked = np.bincount(group, weights=p, minlength=group[-1] + 1 if len(group) else 0) > 0
+    asked = np.bincount(group, weights=(flags & _PROBE) > 0, minlength=group[-1] + 1 if len(group) else 0) > 0
     lead = d[first][group]
-    inner = asked[group] & ~first
-    pairs = np.stack([lead[inner], d[inner]], 1)
-    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-    probe[order[first]] |= asked  # the row that stands for its group asks if any of them does
-    return pairs, order[~inner]
-
+    pairs = np.stack([lead, d], 1)[asked[group] & (lead != d)]
+    stands = asked[group] & ((flags & _HOT) > 0)
+    return np.unique(pairs, axis=0), np.stack([lead[stands], d[stands], k[stands].view(np.int64)], 1)
 
-def candidate_pairs(docs: DataFrame, k: int, percent: int, text: str = "text") -> DataFrame:
-    """Distinct (leader, member, near): classes of equal sets, by the first 64 bits of their names,
-    that share a key, each with the least that shares it.
 
-    near: both came in one batch, and the leader alone met classes of other batches.
-    """
-    scheme = Scheme(percent)
-    row = "key bigint, doc bigint, lead bigint"  # lead: null in rows that go on to the shuffle
+def _stand_in(key: np.ndarray, doc: np.ndarray, probe: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys as they are shuffled, which rows are, and for other rows the document that stands for theirs:
+    the first of more than ``most`` with a key."""
+    key = key & ~_BITS
+    order = np.lexsort((doc, key))
+    first = np.ones(len(key), bool)
+    first[1:] = key[order][1:] != key[order][:-1]
+    group = np.cumsum(first) - 1
+    size = np.bincount(group, minlength=1)
+    asked = np.bincount(group, weights=probe[order], minlength=1) > 0
+    hot = (size > most)[group]
+    goes = np.ones(len(key), bool)
+    goes[order] = first | ~hot
+    lead = np.empty_like(doc)
+    lead[order] = doc[order][first][group]
+    flags = probe.astype(np.uint64)
+    flags[order[first & hot]] = _HOT | asked[size > most].astype(np.uint64)
+    return key | flags, goes, lead
+
+
+def candidate_groups(docs: DataFrame, k: int, percent: int, parts: int, text: str = "text") -> DataFrame:
+    """Distinct (leader, member): classes of equal sets, by the first 64 bits of their names, that
+    share a key, each with the least that shares it."""
+    scheme, most = Scheme(percent), HOT
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,36 +226,33 @@ def candidate_pairs(docs: DataFrame, k: int, percent: int, text: str = "text") -
                 owners.append(np.full(len(a), np.uint64(name)).view(np.int64))
                 held += len(a)
                 if held > 1 << 20:
-                    yield from flush(keys, probes, owners)
+                    yield flush(keys, probes, owners)
                     keys, probes, owners, held = [], [], [], 0
-            yield from flush(keys, probes, owners)
-
-    def flush(keys: list, probes: list, owners: list) -> Iterator[pa.RecordBatch]:
-        if not keys:
-            return
-        key, probe, doc = np.concatenate(keys) & ~np.uint64(1), np.concatenate(probes), np.concatenate(owners)
-        pairs, rest = _stars(key, doc, probe)
-        nothing = np.zeros(len(pairs), np.int64)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([nothing, (key[rest] | probe[rest].astype(np.uint64)).view(np.int64)])),
-            pa.array(np.concatenate([pairs[:, 1], doc[rest]])),
-            pa.array(np.concatenate([pairs[:, 0], doc[rest]]), mask=np.concatenate([nothing == 1, np.ones(len(rest), bool)])),
-        ], names=["key", "doc", "lead"])
+            if held:
+                yield flush(keys, probes, owners)
+
+    def flush(keys: list, probes: list, owners: list) -> pa.RecordBatch:
+        doc = np.concatenate(owners)
+        key, goes, lead = _stand_in(np.concatenate(keys), doc, np.concatenate(probes), most)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(lead, mask=goes)], names=["key", "doc", "lead"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(list(batches), schema=pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("lead", pa.int64())]))
-        lead = held["lead"].combine_chunks()
-        known = lead.is_valid().to_numpy(zero_copy_only=False)
+        stays = held["lead"].combine_chunks()
+        other = stays.is_valid().to_numpy(zero_copy_only=False)
         key, doc = held["key"].to_numpy().view(np.uint64), held["doc"].to_numpy()
-        pairs, _ = _stars(key[~known] & ~np.uint64(1), doc[~known], (key[~known] & np.uint64(1)).astype(bool))
-        near = np.stack([lead.filter(pa.array(known)).to_numpy(), doc[known]], 1)
-        both = np.concatenate([pairs, near])
-        if len(both):
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) >= len(pairs))], names=["leader", "member", "near"])
+        pairs, stands = _met(key[~other], doc[~other])
+        near = np.stack([stays.filter(pa.array(other)).to_numpy(), doc[other], (key[other] & ~_BITS).view(np.int64)], 1)
+        for kind, rows in enumerate((np.c_[pairs, np.zeros(len(pairs), np.int64)], stands, near)):
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)), pa.array(np.full(len(rows), kind, np.int32))], names=["leader", "member", "key", "kind"])
 
-    rows = docs.where("doc_id IS NOT NULL").select(text_or_empty(text).alias("t")).mapInArrow(emit, row)
-    spread = F.when(F.col("lead").isNull(), F.shiftrightunsigned("key", 1)).otherwise(F.xxhash64("doc"))
-    return rows.repartition(shuffle_partitions(docs), spread).mapInArrow(meet, "leader bigint, member bigint, near boolean").distinct()
+    rows = docs.where("doc_id IS NOT NULL").select(text_or_empty(text).alias("t")).mapInArrow(emit, "key bigint, doc bigint, lead bigint")
+    spread = F.when(F.col("lead").isNull(), F.shiftrightunsigned("key", 2)).otherwise(F.xxhash64("doc"))
+    found = cut(rows.repartition(parts, spread).mapInArrow(meet, "leader bigint, member bigint, key bigint, kind int").distinct())
+    stands, near = (found.where(F.col("kind") == kind) for kind in (1, 2))
+    through = near.select("key", F.col("leader").alias("stand"), "member").join(stands.select("key", F.col("member").alias("stand"), "leader"), ["key", "stand"])
+    return found.where("kind = 0").select("leader", "member").union(through.where("leader != member").select("leader", "member")).distinct()
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -284,11 +302,13 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "
     classes = cut(named.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep")))
     named = cut(named.join(classes, ["n_shingles", "h1", "h2"], "left").select("doc_id", "n_shingles", "rep"))
     reps = classes.where("rep IS NOT NULL").select(F.col("h1").alias("h"), "rep", F.col("n_shingles").alias("n"))
-    pairs = candidate_pairs(docs, k, percent, text)
-    pairs = pairs.join(reps.toDF("member", "b", "nb"), "member").join(reps.toDF("leader", "a", "na"), "leader").where("a != b")
-    pairs = cut(pairs.select("a", "b", "near", (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).alias("fit")).distinct())
-    sets = cut(_shingled(docs, ends(pairs), k, text))
-    found = connect(pairs, sets, Alike(lambda a, b: similar(a, b, percent), lambda sets: similar_all(sets, percent))).withColumnRenamed("id", "rep")
+    parts = max(shuffle_partitions(docs), (classes.agg(F.sum("n_shingles")).first()[0] or 0) // PART_SHINGLES)
+    groups = candidate_groups(docs, k, percent, parts, text)
+    groups = groups.join(reps.toDF("member", "b", "nb"), "member").join(reps.toDF("leader", "a", "na"), "leader").where("a != b")
+    groups = cut(groups.select("a", "b", (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).alias("fit")).distinct())
+    sets = cut(_shingled(docs, ends(groups), k, text))
+    alike = Alike(lambda one, two: np.array([similar(a, b, percent) for a, b in zip(one, two, strict=True)], bool), lambda sets: similar_all(sets, percent))
+    found = connect(groups.select("a", "b"), groups.where("fit").select("a", "b"), sets, alike).withColumnRenamed("id", "rep")
     out = named.join(found, "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
