@@ -126,10 +126,38 @@ def test_whole_documents_are_taken_by_times(spark):
     assert all(r.taken % r.size == 0 for r in mixing.mix(docs, whole=True).collect())
 
 
-def test_quotas_of_shards_add_up(spark):
-    docs = spark.createDataFrame([(i, "w " * 9, "abc"[i % 3]) for i in range(99)], "doc_id long, text string, source string")
-    r = mixing.mix(docs, shards=4).select("source", "quota", "shard_quotas").distinct().collect()
-    assert all(sum(x.shard_quotas) == x.quota and max(x.shard_quotas) - min(x.shard_quotas) <= 1 for x in r)
+def plain_seats(target: dict, house: int) -> dict:
+    """Seats given one by one to the highest quotient."""
+    order = sorted(target, key=lambda x: (x is None, x or ""))
+    seats = dict.fromkeys(order, 0)
+    for _ in range(house):
+        best = max(order, key=lambda x: (target[x] / (2 * seats[x] + 1), -order.index(x)))
+        seats[best] += 1
+    return seats
+
+
+def test_shards_have_the_seats_of_highest_quotients(spark):
+    rows = [(i, "w " * (1 + i % 9), s) for i, s in enumerate(["a"] * 50 + ["b"] * 7 + ["c"] * 31 + [None] * 3 + ["d", "e", "f", "g"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, shards=4)
+    found = {r.source: r for r in mixed.select("source", "target", "quota", "upto", "block", "blocks").distinct().collect()}
+    target = {s: r.target for s, r in found.items()}
+    words = sum(1 + i % 9 for i, _, _ in rows)
+    for k in range(4):
+        want = plain_seats(target, words * (k + 1) // 4)
+        assert {s: r.upto[k] for s, r in found.items()} == {s: min(n, 3 * found[s].blocks) for s, n in want.items()}
+    source = {i: s for i, _, s in rows}
+    parts = mixing.deal(mixed).collect()
+    taken, dealt = {}, {}
+    for r in parts:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.words * r.times
+        dealt[source[r.doc_id], r.shard] = dealt.get((source[r.doc_id], r.shard), 0) + r.words * r.times
+    got = mixed.collect()
+    assert {r.doc_id: r.taken for r in got if r.taken} == taken
+    for s, r in found.items():  # blocks of one word
+        assert r.block == 1 and [dealt.get((s, k), 0) for k in range(4)] == [b - a for a, b in zip([0, *r.upto], r.upto)]
+    first = {r.doc_id: min((p.shard for p in parts if p.doc_id == r.doc_id and p.first == r.first), default=-1) for r in got}
+    assert {r.doc_id: r.shard for r in got} == first
 
 
 def test_word_count_is_that_of_the_pattern(spark):

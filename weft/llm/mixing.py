@@ -1,20 +1,23 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, by DataFrame functions alone.
 
 The words of a source form one line, its documents in a seeded order. The line is cut into blocks
-of equally many words, and blocks are what the mix takes. Sainte-Lague (highest quotients
-target / (2 seats + 1)) gives every source a whole number of blocks, and these are dealt to the
-mix's shards as evenly as whole blocks allow, so every shard has whole quotas too. A source that owes more blocks than it has repeats all of them equally often, and a seeded
-permutation picks those that come once more. A document takes as many words as its part of the
-chosen blocks, repeats counted.
+of equally many words, and blocks are what the mix takes. The mix is cut into shards of equally many
+blocks. Sainte-Lague (highest quotients target / (2 seats + 1)) gives the seats of each shard to
+sources, going on where the shard before stopped: so every shard has a whole quota of blocks for
+every source, and the quotas of the first k shards together are what Sainte-Lague gives to k shards.
+Only then are blocks selected: a source's blocks are put in a seeded order, and its seats, shard
+after shard, take one after the other, from the start again when all are used. A document takes as
+many words as its part of the chosen blocks, repeats counted.
 
 Scale: one pass counts words; sources and (source, chunk) totals are small tables; a document's
 place on its source's line is the total before its chunk (a chunk is a range of its order key) plus
 a running sum within the chunk, so a source with a third of all rows is spread over all chunks.
-Which blocks are taken is a formula in the block's number, so no table of blocks exists.
+Of n sources about 2 n seats a shard are ranked, those whose quotient is near the last that wins.
+Which shards take a block is a formula in the block's number, so no table of blocks exists.
 
 Defined cases: null text has no words and takes none; a null source is a source, listed last; a
-source without words has target 0; repeated doc_ids are placed beside each other; an empty table
-gives an empty result.
+source without words has target 0; repeated doc_ids are placed beside each other, ties by size; very
+long texts lie in many blocks; an empty table gives an empty result; other columns of docs aren't read.
 """
 
 from __future__ import annotations
@@ -61,38 +64,56 @@ def targets(totals: DataFrame, cap: int = 3) -> DataFrame:
 
 
 def quotas(sources: DataFrame, shards: int = SHARDS, cap: int = 3) -> DataFrame:
-    """sources with the block length, each source's blocks, its Sainte-Lague quota of blocks, and
-    ``shard_quotas``: how many of them each shard takes.
-
-    Highest quotients leave every source within a few seats of target / block. Only the quotients
-    of those seats are listed, as many per source as there are sources, and the best of them win.
-    """
+    """sources with the block length, each source's blocks, ``upto``: the blocks that the first 1, 2, ...
+    shards take together by Sainte-Lague, and the quota of all of them."""
     block = F.greatest(F.lit(1).cast("long"), F.least(F.lit(BLOCK_WORDS).cast("long"), F.expr(f"all_words div {BLOCKS}")))
     s = sources.withColumn("block", block).withColumn("blocks", F.expr("(source_size + block - 1) div block"))
-    ranked = _apportioned(s.withColumn("house", F.expr("all_words div block")), "quota")
-    s = ranked.withColumn("quota", F.least("quota", F.col("blocks") * cap)).drop("house")
-    cut_at = F.transform(F.sequence(F.lit(0), F.lit(shards)), lambda k: F.floor(F.col("quota") * k / shards + F.lit(0.5)).cast("long"))
-    return s.withColumn("shard_quotas", F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda k: cut_at[k] - cut_at[k - 1]))
+    s = s.withColumn("number", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")))
+    seats = _seats(s, shards).groupBy("number").agg(F.transform(F.sort_array(F.collect_list(F.struct("shards", "seats"))), lambda x: x["seats"]).alias("seats"))
+    s = s.join(seats, "number").withColumn("upto", F.transform("seats", lambda x: F.least(x, F.col("blocks") * cap)))
+    return s.withColumn("quota", F.element_at("upto", -1)).drop("seats", "number")
 
 
-def _apportioned(s: DataFrame, name: str) -> DataFrame:
-    """s with ``name``: seats of ``house`` by the highest quotients target / (2 seats + 1)."""
-    all_ = Window.partitionBy()
-    s = s.withColumn("n", F.count(F.lit(1)).over(all_))
-    sure = F.greatest(F.floor(F.col("target") / F.col("block")).cast("long") - F.col("n"), F.lit(0).cast("long"))
-    s = s.withColumn("sure", sure).withColumn("open", F.col("house") - F.sum("sure").over(all_))
-    listed = s.select("source", "open", "target", F.explode(F.sequence("sure", F.col("sure") + 2 * F.col("n") + 1)).alias("seat"))
-    best = Window.orderBy((F.col("target") / (2 * F.col("seat") + 1)).desc(), F.col("source").isNull(), F.col("source"), "seat")
-    won = listed.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= F.col("open")) & (F.col("target") > 0))
-    won = won.groupBy("source").agg(F.count(F.lit(1)).alias("won")).withColumnRenamed("source", "__source")
-    joined = s.join(won, F.col("source").eqNullSafe(F.col("__source")), "left")
-    return joined.withColumn(name, F.col("sure") + F.coalesce("won", F.lit(0))).drop("__source", "won", "sure", "open", "n")
+def _seats(s: DataFrame, shards: int) -> DataFrame:
+    """(number, shards, seats): what each source has of the seats of the first 1, 2, ... shards.
+
+    A divisor d gives each source round(target / d) seats. Those of the divisors at which all have a
+    few seats too few, n / 2 + 2, are sure; of those up to n / 2 + 2 too many the best quotients win.
+    """
+    n, total = F.count(F.lit(1)).over(Window.partitionBy()), F.sum("target").over(Window.partitionBy())
+    s = s.select("number", "target", n.alias("n"), total.alias("total"), F.expr("all_words div block").alias("house"))
+    s = s.withColumn("shards", F.explode(F.sequence(F.lit(1), F.lit(shards)))).withColumn("house", F.expr(f"house * shards div {shards}"))
+    at = lambda house: F.floor(F.coalesce(F.col("target") * F.greatest(house, F.lit(0.0)) / F.nullif("total", F.lit(0.0)), F.lit(0.0)) + 0.5).cast("long")
+    s = s.withColumns({"sure": at(F.col("house") - F.col("n") / 2 - 2), "most": at(F.col("house") + F.col("n") / 2 + 2)})
+    s = s.withColumn("open", F.col("house") - F.sum("sure").over(Window.partitionBy("shards")))
+    listed = s.where("most > sure").select("number", "shards", "open", "target", F.explode(F.sequence("sure", F.col("most") - 1)).alias("seat"))
+    best = Window.partitionBy("shards").orderBy((F.col("target") / (2 * F.col("seat") + 1)).desc(), "number", "seat")
+    won = listed.withColumn("rank", F.row_number().over(best)).where("rank <= open").groupBy("number", "shards").agg(F.count(F.lit(1)).alias("won"))
+    return s.join(won, ["number", "shards"], "left").select("number", "shards", (F.col("sure") + F.coalesce("won", F.lit(0))).alias("seats"))
+
+
+def place_of(j: Column, blocks: Column, seed: int) -> Column:
+    """The place of block j in the seeded order of a source's blocks."""
+    return ((j * STEP) % blocks + F.lit(seed) % blocks) % blocks
 
 
 def times_taken(j: Column, blocks: Column, quota: Column, seed: int) -> Column:
-    """How often the mix takes block j of a source's blocks."""
-    place = ((j * STEP) % blocks + F.lit(seed) % blocks) % blocks
-    return F.floor(quota / blocks).cast("long") + F.when(place < quota % blocks, 1).otherwise(0)
+    """How often the mix takes block j of a source's blocks: once for every quota-th seat with its place."""
+    return F.floor(quota / blocks).cast("long") + F.when(place_of(j, blocks, seed) < quota % blocks, 1).otherwise(0)
+
+
+def times_by_shard(j: Column, blocks: Column, upto: Column, seed: int) -> Column:
+    """How often each shard takes block j, as an array; its sum is times_taken."""
+    place = place_of(j, blocks, seed)
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice(upto, 1, F.size(upto) - 1))
+    rounds = lambda seats: F.when(seats > place, F.floor((seats - 1 - place) / blocks).cast("long") + 1).otherwise(F.lit(0).cast("long"))
+    return F.zip_with(upto, before, lambda x, y: rounds(x) - rounds(y))
+
+
+def first_shard(j: Column, blocks: Column, upto: Column, seed: int) -> Column:
+    """The first shard that takes block j, from 0; -1 if none does."""
+    place = place_of(j, blocks, seed)
+    return F.when(place < F.element_at(upto, -1), F.size(F.filter(upto, lambda x: x <= place))).otherwise(-1)
 
 
 def taken_words(first: Column, size: Column, block: Column, blocks: Column, quota: Column, seed: int) -> Column:
@@ -107,7 +128,8 @@ def taken_words(first: Column, size: Column, block: Column, blocks: Column, quot
 
 
 def mix(docs: DataFrame, seed: int = 7, shards: int = SHARDS, cap: int = 3, text: str = "text", whole: bool = False) -> DataFrame:
-    """Per document: size, source_size, target, taken (see the module), and its source's quotas.
+    """Per document: size, source_size, target, taken (see the module), the first shard that takes the
+    block of its first word, and its source's quotas.
 
     whole: documents aren't divided; the block of its first word says how often one is taken.
     """
@@ -121,7 +143,7 @@ def mix(docs: DataFrame, seed: int = 7, shards: int = SHARDS, cap: int = 3, text
     sized = sized.withColumn("chunk", F.substring("order_key", 1, digits))
     chunks = sized.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
     totals = chunks.groupBy("source").agg(F.sum("chunk_size").alias("source_size"))
-    plan = quotas(targets(totals, cap), shards, cap).select("source", "source_size", "target", "block", "blocks", "quota", "shard_quotas")
+    plan = quotas(targets(totals, cap), shards, cap).select("source", "source_size", "target", "block", "blocks", "quota", "upto")
     starts = chunks.withColumn("chunk_start", F.sum("chunk_size").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)))
     laid = starts.select(F.col("source").alias("__s"), "chunk", F.coalesce("chunk_start", F.lit(0)).alias("chunk_start")).join(plan, F.col("__s").eqNullSafe(F.col("source"))).drop("source")
     laid = laid.withColumnRenamed("chunk", "__c")
@@ -134,11 +156,24 @@ def mix(docs: DataFrame, seed: int = 7, shards: int = SHARDS, cap: int = 3, text
         taken = F.when(size > 0, size * times_taken(start, blocks, quota, seed)).otherwise(F.lit(0).cast("long"))
     else:
         taken = taken_words(F.col("first"), size, block, blocks, quota, seed)
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "first", "block", "quota", "shard_quotas")
+    shard = F.when(size > 0, first_shard(F.floor(F.col("first") / block).cast("long"), blocks, F.col("upto"), seed)).otherwise(-1)
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), shard.alias("shard"), "first", "block", "blocks", "quota", "upto")
+
+
+def deal(mixed: DataFrame, seed: int = 7) -> DataFrame:
+    """(doc_id, shard, first, words, times): the parts of documents that each shard takes, as places on
+    the source's line, with how often. mixed: the result of mix()."""
+    block = F.col("block")
+    over = F.sequence(F.floor(F.col("first") / block).cast("long"), F.floor((F.col("first") + F.col("size") - 1) / block).cast("long"))
+    parts = mixed.where("size > 0").withColumn("j", F.explode(over))
+    parts = parts.select("*", F.posexplode(times_by_shard(F.col("j"), F.col("blocks"), F.col("upto"), seed)).alias("part_shard", "times")).where("times > 0")
+    begin = F.greatest(F.col("first"), F.col("j") * block)
+    end = F.least(F.col("first") + F.col("size"), (F.col("j") + 1) * block)
+    return parts.select("doc_id", F.col("part_shard").alias("shard"), begin.alias("first"), (end - begin).alias("words"), "times")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "shard")
 
 
 #: The same in DuckDB: the word line by one running sum per source, and the same formulas.
@@ -160,24 +195,30 @@ w4 AS (
 aimed AS (
   SELECT source, source_size, all_words,
     CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(weight * (all_words - 3 * capped_words) AS DOUBLE) / CAST(nullif(free_weight, 0) AS DOUBLE) END AS target,
-    greatest(1, least({BLOCK_WORDS}, all_words // {BLOCKS})) AS block, count(*) OVER () AS n FROM w4),
-q1 AS (SELECT *, (source_size + block - 1) // block AS blocks, all_words // block AS house, greatest(CAST(floor(target / block) AS BIGINT) - n, 0) AS sure FROM aimed),
-q2 AS (SELECT *, house - sum(sure) OVER () AS open FROM q1),
-listed AS (SELECT source, target, open, unnest(range(sure, sure + 2 * n + 2)) AS seat FROM q2),
-ranked AS (SELECT *, row_number() OVER (ORDER BY target / (2 * seat + 1) DESC, source NULLS LAST, seat) AS rank FROM listed),
-won AS (SELECT source, count(*) AS won FROM ranked WHERE rank <= open AND target > 0 GROUP BY source),
+    greatest(1, least({BLOCK_WORDS}, all_words // {BLOCKS})) AS block, CAST(count(*) OVER () AS DOUBLE) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS number FROM w4),
+q1 AS (SELECT *, (source_size + block - 1) // block AS blocks, sum(target) OVER () AS total FROM aimed),
+q2 AS (SELECT *, (all_words // block) * k // {SHARDS} AS house FROM q1, range(1, {SHARDS} + 1) t(k)),
+q3 AS (
+  SELECT *, CAST(floor(coalesce(target * greatest(house - n / 2 - 2, 0.0) / nullif(total, 0), 0) + 0.5) AS BIGINT) AS sure,
+    CAST(floor(coalesce(target * greatest(house + n / 2 + 2, 0.0) / nullif(total, 0), 0) + 0.5) AS BIGINT) AS most FROM q2),
+q4 AS (SELECT *, house - sum(sure) OVER (PARTITION BY k) AS open FROM q3),
+listed AS (SELECT number, k, open, target, unnest(range(sure, most)) AS seat FROM q4),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY target / (2 * seat + 1) DESC, number, seat) AS rank FROM listed),
+won AS (SELECT number, k, count(*) AS won FROM ranked WHERE rank <= open GROUP BY ALL),
+seats AS (SELECT q4.number, k, least(sure + coalesce(won, 0), blocks * 3) AS upto FROM q4 LEFT JOIN won USING (number, k)),
 plan AS (
-  SELECT q2.*, least(sure + coalesce(won, 0), blocks * 3) AS quota
-  FROM q2 LEFT JOIN won ON q2.source IS NOT DISTINCT FROM won.source),
+  SELECT q1.*, CAST(u.upto[{SHARDS}] AS BIGINT) AS quota, u.upto FROM q1
+  JOIN (SELECT number, list(CAST(upto AS BIGINT) ORDER BY k) AS upto FROM seats GROUP BY number) u USING (number)),
 placed AS (
   SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY order_key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM sized),
 joined AS (
-  SELECT doc_id, size, source_size, target, first, block, blocks, quota
+  SELECT doc_id, size, source_size, target, first, block, blocks, quota, upto, (((first // block) * {STEP}) % blocks + 7 % blocks) % blocks AS place
   FROM placed JOIN plan ON placed.source IS NOT DISTINCT FROM plan.source)
 SELECT doc_id, size, source_size, target,
   CASE WHEN size > 0 THEN CAST(list_sum(list_transform(range(first // block, (first + size - 1) // block + 1), lambda j:
     (least(first + size, (j + 1) * block) - greatest(first, j * block))
     * (quota // blocks + CASE WHEN (((j * {STEP}) % blocks) + 7 % blocks) % blocks < quota % blocks THEN 1 ELSE 0 END))) AS BIGINT)
-  ELSE 0 END AS taken
+  ELSE 0 END AS taken,
+  CASE WHEN size > 0 AND place < quota THEN CAST(len(list_filter(upto, lambda x: x <= place)) AS INTEGER) ELSE -1 END AS shard
 FROM joined
 """
