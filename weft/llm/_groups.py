@@ -129,5 +129,5 @@ def connect(groups: DataFrame, pairs: DataFrame, contents: DataFrame, alike: Ali
     led = F.when(F.col("usual") == F.col("a"), F.col("label") == F.col("lead")).otherwise(F.col("home") == F.col("usual"))
     grouped = cut(grouped.join(usual, "a").select("a", "doc", "label", led.alias("led")))
     apart = grouped.groupBy("a").agg(F.count_if(F.col("led")).alias("inside"), F.count_if(~F.col("led")).alias("outside")).where("outside > 0")
-    more = _compared(grouped.join(apart, "a"), contents, alike)
+    more = cut(_compared(grouped.join(apart, "a"), contents, alike))  # two Python workers a task otherwise
     return components(links.union(more))

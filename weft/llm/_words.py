@@ -2,7 +2,7 @@
 
 A word is a run of bytes outside 0x20 and 0x09-0x0D, with A-Z lower-cased. Words are hashed to
 64 bits by a polynomial over the bytes whose prefix sums make every word one subtraction, so no
-Python object is made for a word. Texts are taken in slabs of about a megabyte, which bounds the
+Python object is made for a word. Texts are taken in slabs of about a quarter of a megabyte, which bounds the
 memory whatever the batch holds; one longer text is a slab of its own.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLAB = 1 << 20
+SLAB = 1 << 18
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)

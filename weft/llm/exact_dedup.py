@@ -12,7 +12,8 @@ A digest is trusted only together with the text's length and an independent 64-b
 that agree in one but not in all of them stay apart.
 
 Defined cases: null text equals empty text; of repeated doc_ids with equal text just one row is
-kept; a null doc_id stays only if its group has no other; extra columns do not matter.
+kept; a null doc_id stays only if its group has no other; an empty table gives an empty result; texts
+are hashed whole, however long; columns of docs other than doc_id and the text aren't read.
 """
 
 from __future__ import annotations
@@ -88,9 +89,11 @@ def exact_report(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts; needs unique doc_ids."""
-    kept = exact_groups(docs, text).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """docs with the rows that stay of each group of equal texts, all columns kept. Rows that repeat
+    the doc_id and text of one that stays (null ids too) stay with it."""
+    kept = exact_groups(docs, text).where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.unhex(F.sha2(text_or_empty(text), 256)) == F.col("__digest"))
+    return docs.join(kept, same, "left_semi")
 
 
 EXACT_SQL = """

@@ -225,7 +225,7 @@ def candidate_groups(docs: DataFrame, k: int, percent: int, parts: int, text: st
                 probes.append(b)
                 owners.append(np.full(len(a), np.uint64(name)).view(np.int64))
                 held += len(a)
-                if held > 1 << 20:
+                if held > 1 << 18:
                     yield flush(keys, probes, owners)
                     keys, probes, owners, held = [], [], [], 0
             if held:

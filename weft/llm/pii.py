@@ -3,14 +3,18 @@
 Regular expressions propose spans, checksum validators (Luhn, mod 97) or ranges confirm them, and
 context words in the 48 code points before a span move its score. The base kinds (email, ip, card,
 phone) report every confirmed match whatever its score; the further kinds (iban, national_id,
-local_phone) need a score of ``threshold`` and must not overlap a base span.
+local_phone, secret) need a score of ``threshold`` and must not overlap a base span. A secret is a
+value of 16 characters or more, with letters and digits, that is assigned to a name such as token, or
+one of a known form of key.
 
 Every pattern is written so that a text is read in linear time: runs are possessive, and a run is
 entered only at its start or where the last match ended, which gives the leftmost non-overlapping
 matches of the plain pattern. Nothing shuffles; a row needs only itself.
 
 Defined cases: null text counts as empty and has no spans; nulls elsewhere, repeated rows and
-extra columns do not matter; an empty table gives an empty result.
+extra columns do not matter, but a column named pii is replaced, as are names that start with __pii_;
+ties don't arise, as spans of one kind don't overlap; very long texts are read whole; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -72,6 +76,7 @@ RULES = (
     Rule("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", "[A-Z][A-Z][0-9][0-9]", lambda m: _between(F.replace(m, F.lit(" ")), 15, 34) & mod97(F.replace(m, F.lit(" "))), False, 0.8, r"iban|bank|account"),
     Rule("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9][0-9]-[0-9]", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), False, 0.4, r"ssn|social security|national id|insurance"),
     Rule("local_phone", r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", "[0-9]{3}[ .-][0-9]{4}", lambda m: F.lit(True), False, 0.4, r"phone|call|\btel\b|mobile|fax"),
+    Rule("secret", r"(?<![A-Za-z0-9])(?:(?i:api[_-]?key|access[_-]?key|secret[_-]?key|secret|token|passwd|password|pwd)[\"']?[ \t]*+[:=][ \t]*+[\"']?[A-Za-z0-9_+/=.-]{16,}+|(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}+)", "(?i:key|secret|token|passw|pwd)|AKIA|ASIA|gh[pousr]_", lambda m: F.regexp_replace(m, "^.*[:=][ \t\"']*", "").rlike("[0-9]") & m.rlike("[A-Za-z]"), False, 0.8, r"config|login|credential|env"),
 )
 KINDS = tuple(r.kind for r in RULES)
 
@@ -114,22 +119,22 @@ def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.6) -> Dat
     body = "__pii_text"
     found = docs.withColumn(body, text_or_empty(text))
     t = F.col(body)
-    found = found.withColumns({f"__m_{r.kind}": F.when(t.contains(r.hint) if r.hint == "@" else t.rlike(r.hint), F.regexp_extract_all(t, F.lit(r.pattern), F.lit(0))) for r in RULES})
+    found = found.withColumns({f"__pii_m_{r.kind}": F.when(t.contains(r.hint) if r.hint == "@" else t.rlike(r.hint), F.regexp_extract_all(t, F.lit(r.pattern), F.lit(0))) for r in RULES})
     ends = {}
     for r in RULES:
-        m = F.col(f"__m_{r.kind}")
+        m = F.col(f"__pii_m_{r.kind}")
         steps = F.zip_with(F.slice(F.split(t, r.pattern, -1), F.lit(1), F.size(m)), m, lambda gap, x: F.length(gap) + F.length(x))
-        ends[f"__e_{r.kind}"] = F.when(F.size(m) > 0, prefix_sums(steps))
+        ends[f"__pii_e_{r.kind}"] = F.when(F.size(m) > 0, prefix_sums(steps))
     found = found.withColumns(ends)
     spans = {}
     for r in RULES:
-        spans[f"__s_{r.kind}"] = _confirmed(t, r, F.col(f"__m_{r.kind}"), F.col(f"__e_{r.kind}"))
+        spans[f"__pii_s_{r.kind}"] = _confirmed(t, r, F.col(f"__pii_m_{r.kind}"), F.col(f"__pii_e_{r.kind}"))
     found = found.withColumns(spans)
-    base = F.concat(*(F.col(f"__s_{r.kind}") for r in RULES if r.base))
-    more = F.concat(*(F.col(f"__s_{r.kind}") for r in RULES if not r.base))
-    clear = lambda x: (x["score"] >= threshold) & ~F.exists(F.col("__base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    found = found.withColumns({"__base": base, "__more": more}).withColumn("pii", F.concat("__base", F.when(F.size("__more") > 0, F.filter("__more", clear)).otherwise(F.array().cast(_SPAN))))
-    return found.drop(body, "__base", "__more", *(f"__{a}_{r.kind}" for r in RULES for a in "mes"))
+    base = F.concat(*(F.col(f"__pii_s_{r.kind}") for r in RULES if r.base))
+    more = F.concat(*(F.col(f"__pii_s_{r.kind}") for r in RULES if not r.base))
+    clear = lambda x: (x["score"] >= threshold) & ~F.exists(F.col("__pii_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    found = found.withColumns({"__pii_base": base, "__pii_more": more}).withColumn("pii", F.concat("__pii_base", F.when(F.size("__pii_more") > 0, F.filter("__pii_more", clear)).otherwise(F.array().cast(_SPAN))))
+    return found.drop(body, "__pii_base", "__pii_more", *(f"__pii_{a}_{r.kind}" for r in RULES for a in "mes"))
 
 
 def redact(docs: DataFrame, text: str = "text", threshold: float = 0.6) -> DataFrame:
@@ -143,7 +148,7 @@ def redact(docs: DataFrame, text: str = "text", threshold: float = 0.6) -> DataF
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """Per document: base counts, the digest of its base spans, and all spans as text."""
+    """Per document: base counts, the digest of its base spans, all spans as text, and how many."""
     found = find_pii(docs.select("doc_id", "text"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of = lambda *kinds: F.filter("pii", lambda s: s["kind"].isin(*kinds))
@@ -152,4 +157,5 @@ def pii_report(docs: DataFrame) -> DataFrame:
         *(F.size(of(r.kind)).cast("long").alias(f"n_{r.kind}") for r in RULES if r.base),
         F.sha2(joined(of(*(r.kind for r in RULES if r.base))), 256).alias("base_sha256"),
         joined(F.col("pii")).alias("spans"),
+        F.size("pii").cast("long").alias("n_spans"),
     )
