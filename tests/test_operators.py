@@ -27,12 +27,36 @@ def test_ids(spark):
     assert one(spark, ids.file_uri(lit("/org/repo/"), lit("./x.py"))) == "repo://org/repo/x.py"
     assert one(spark, ids.module_spec(lit("@a/b/c"))) == "module:@a/b"
     assert one(spark, ids.module_spec(lit("a/b?x=1"))) == "module:a"
+    for raw, want in (("a/b/", "a/b"), ("a/.", "a"), ("a/.//b", "a/b"), ("./a//./b", "a/b"), ("", ""), ("/", ""), ("a/../b", "a/../b"), ("a\\b\\", "a/b")):
+        assert one(spark, ids.normalize_relative_path(lit(raw))) == want
+    assert one(spark, ids.project_id(lit("/org/repo/"))) == "project:org_repo"
+    for raw, want in ((" 'lodash/fp'", "lodash"), ('"@a/b/c"', "@a/b"), ("@a", "@a"), ("@a/", "@a/"), ("", ""), ("x?y/z", "x")):
+        assert one(spark, ids.module_spec(lit(raw))) == "module:" + want
+    assert one(spark, ids.snippet(lit("  é  x\n😀€" + "a" * 300))) == "\\xe9 x \\U0001f600\\u20ac" + "a" * 231
+    assert [one(spark, lit(x).rlike(ids.glob_pattern("src/*/a?.ts"))) for x in ("src/x/y/ab.ts", "src/a.ts", "src/x/ab.ts\n")] == [True, False, False]
     assert one(spark, ids.split_identifier(lit("userName_of-Order"))) == "user Name of Order"
     assert one(spark, ids.is_test_path(lit("src/__tests__/a.ts"))) is True
     assert one(spark, ids.is_test_path(lit("src/contest/a.ts"))) is False
     assert one(spark, ids.slug(lit("Hello, World"))) == "hello-world"
 
 
+def test_lexical_score_needs_terms(spark):
+    assert retrieval.terms("does this auth work or by") == ["does", "this", "auth", "work"]
+    docs = spark.createDataFrame([(1, "on the way"), (2, "auth work")], "doc_id long, text string")
+    assert retrieval.lexical_rank(docs, "on the").count() == 0
+    assert [tuple(r) for r in retrieval.lexical_rank(docs, "auth work").collect()] == [(2, 5.0)]
+
+
+def test_passages_are_found_inside_words(spark, monkeypatch):
+    passage = "the cat sat on the mat by the old sat"
+    docs = spark.createDataFrame([(1, passage), (2, "bathe cat sat on the mat by the old satellite"), (3, "xthe cat sat on the mat by the old satx"), (4, "the cat sat on a mat by the old sat"), (5, None), (6, "concat enated")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage), (2, "cat ena"), (3, "t"), (4, "old sat"), (5, " "), (6, None), (7, "sat on the mat")], "item_id long, text string")
+    want = {(1, 1), (1, 2), (1, 3), (2, 6), (3, 1), (3, 2), (3, 3), (3, 4), (3, 6), (4, 1), (4, 2), (4, 3), (4, 4), (7, 1), (7, 2), (7, 3)}
+    for few in (50_000, 1):
+        monkeypatch.setattr(retrieval, "FEW", few)
+        assert {tuple(r) for r in retrieval.contained_texts(docs, items).collect()} == want
+
+
 def test_monte_carlo_repeats_and_grows(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 0.0)], "source_id string, target_id string, weight double")
     seeds = spark.createDataFrame([("a",)], "node_id string")
@@ -80,7 +104,7 @@ def test_statistics_of_equal_runs(spark):
 
 
 def test_simulation_query_runs(spark):
-    assert QUERIES["mc_reach"](spark, DATA).count() == 16
+    assert QUERIES["mc_reach"](spark, DATA).count() == 64
 
 
 def test_adapters_cover_all_rows(spark):

@@ -3,9 +3,10 @@ from __future__ import annotations
 import json
 import subprocess
 
+import pytest
 from pyspark.sql import functions as F
 
-from weft.sources import history, store
+from weft.sources import files, history, store
 from weft.streaming import online
 
 
@@ -36,6 +37,31 @@ def test_git_history_and_bad_repository(spark, tmp_path):
     got = history.changed_files(df).collect()
     assert {(r.repo, r.status, r.path, r.ord) for r in got if r.error is None} == {("r", "R100", "b.ts", 0), ("r", "A", "a.ts", 1)}
     assert [r.repo for r in got if r.error] == ["bad"]
+    rows = history.as_changes(history.changed_files(df))
+    assert {(r.ord, r.status, r.path) for r in rows.collect()} == {(0, "D", "a.ts"), (0, "A", "b.ts"), (1, "A", "a.ts")}
+    assert [(r.path, r.status) for r in history.replay(rows).collect()] == [("b.ts", "A")]
+    commits = spark.createDataFrame([("r", str(repo), "HEAD"), ("r", str(repo), "HEAD~1"), ("r", str(repo), "none")], "repo string, folder string, ref string")
+    listed = history.files_at(commits).collect()
+    assert {(r.ref, r.path) for r in listed if r.error is None} == {("HEAD", "b.ts"), ("HEAD~1", "a.ts")} and len(listed) == 3
+
+
+def test_source_files_are_those_of_known_suffixes(spark, tmp_path):
+    for name in ("vendor/a.ts", "target/b.PY", "coverage/c.hpp", "node_modules/d.ts", ".tox/e.py", "mine/f.js", "g.txt", "h.cjs", "bad.go"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"ok\xff\xfe!" if name == "bad.go" else "é\uFFFD".encode())
+    got = files.source_files(spark, str(tmp_path), "r", ignored=["mine"]).collect()
+    assert {r.path: (r.language, r.content) for r in got} == {"vendor/a.ts": ("typescript", "é\uFFFD"), "target/b.PY": ("python", "é\uFFFD"), "coverage/c.hpp": ("cpp", "é\uFFFD"), "h.cjs": ("javascript", "é\uFFFD"), "bad.go": ("go", "ok!")}
+    with pytest.raises(ValueError, match="allowed"):
+        files.source_files(spark, str(tmp_path), "r", most=2)
+
+
+def test_imports_resolve_by_a_join(spark):
+    rows = [("r", "src/a.ts", "typescript", 1, "import x from './b'\nimport y from '../lib'\nimport z from 'lodash/fp'"), ("r", "src/b.ts", "typescript", 1, ""), ("r", "lib/index.ts", "typescript", 1, ""), ("r", "p/m.py", "python", 1, "from .n import k\nimport os.path")]
+    rows.append(("r", "p/n.py", "python", 1, ""))
+    df = spark.createDataFrame(rows, "repo_name string, path string, language string, size long, content string")
+    got = {(r.source_id, r.target_id, r.edge_type) for r in files.import_edges(df).collect()}
+    u = "repo://r/"
+    assert got == {(u + "src/a.ts", u + "src/b.ts", "DEPENDS_ON_FILE"), (u + "src/a.ts", u + "lib/index.ts", "DEPENDS_ON_FILE"), (u + "src/a.ts", "module:lodash", "IMPORTS_MODULE"), (u + "p/m.py", u + "p/n.py", "DEPENDS_ON_FILE"), (u + "p/m.py", "module:os", "IMPORTS_MODULE")}
 
 
 def test_streamed_churn_equals_batch(spark, tmp_path):

@@ -15,10 +15,9 @@ def normalize_repo_name(x: Column | str) -> Column:
 
 
 def normalize_relative_path(x: Column | str) -> Column:
-    """Slashes forward, '//' and '/./' collapsed, leading characters of the set './' stripped."""
-    path = F.translate(_c(x), "\\", "/")
-    path = F.regexp_replace(path, "/(?:\\./)+|/{2,}", "/")
-    return F.regexp_replace(path, "^[./]+", "")
+    """Slashes forward, empty parts and '.' parts left out, leading characters of the set './' stripped."""
+    parts = F.filter(F.split(F.translate(_c(x), "\\", "/"), "/"), lambda p: ~p.isin("", "."))
+    return F.regexp_replace(F.array_join(parts, "/"), "^[./]+", "")
 
 
 def resolve_relative_path(base_dir: Column | str, spec: Column | str) -> Column:
@@ -29,7 +28,7 @@ def resolve_relative_path(base_dir: Column | str, spec: Column | str) -> Column:
 
 
 def project_id(repo: Column | str) -> Column:
-    return F.concat(F.lit("project:"), F.regexp_replace(_c(repo), "[^a-zA-Z0-9_.-]+", "_"))
+    return F.concat(F.lit("project:"), F.regexp_replace(normalize_repo_name(repo), "[^a-zA-Z0-9_.-]+", "_"))
 
 
 def file_uri(repo: Column | str, path: Column | str) -> Column:
@@ -41,9 +40,11 @@ def symbol_id(uri: Column | str, name: Column | str, kind: Column | str, line: C
 
 
 def module_spec(spec: Column | str) -> Column:
-    """The package root of an import: '@a/b/c' gives '@a/b', 'a/b' gives 'a'; a query is cut off."""
-    s = F.substring_index(_c(spec), "?", 1)
-    scoped = F.regexp_extract(s, "^(@[^/]*(?:/[^/]+)?)", 1)
+    """The package root of an import: '@a/b/c' gives '@a/b', 'a/b' gives 'a'; blanks and quotes around
+    it are stripped, and a query is cut off."""
+    bare = F.regexp_replace(F.regexp_replace(_c(spec), "(?U)^\\s+|\\s+$", ""), "^['\"]+|['\"]+$", "")
+    s = F.substring_index(bare, "?", 1)
+    scoped = F.regexp_extract(s, "^(@[^/]*(?:/[^/]*)?)", 1)
     return F.concat(F.lit("module:"), F.when(s.startswith("@"), scoped).otherwise(F.substring_index(s, "/", 1)))
 
 
@@ -70,14 +71,22 @@ def is_test_path(path: Column | str) -> Column:
 
 
 def snippet(text: Column | str, n: int = 240) -> Column:
-    return F.trim(F.regexp_replace(F.substring(_c(text), 1, n), "\\s+", " "))
+    """The first n characters with blanks collapsed and everything outside ASCII as backslash escapes."""
+    short = F.trim(F.regexp_replace(F.substring(_c(text), 1, n), "(?U)\\s+", " "))
+
+    def escaped(c: Column) -> Column:
+        code = F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")
+        digits = lambda width: F.lpad(F.lower(F.hex(code)), width, "0")
+        return F.when(code < 128, c).when(code < 256, F.concat(F.lit("\\x"), digits(2))).when(code < 65536, F.concat(F.lit("\\u"), digits(4))).otherwise(F.concat(F.lit("\\U"), digits(8)))
+
+    return F.when(short.rlike("[^\\x00-\\x7F]"), F.array_join(F.transform(F.split(short, ""), escaped), "")).otherwise(short)
 
 
 def glob_pattern(glob: str) -> str:
     """An anchored regular expression for a file glob whose '*' also matches '/'."""
     import fnmatch
 
-    return fnmatch.translate(glob)
+    return fnmatch.translate(glob).replace("\\Z", "\\z")
 
 
 def infer_edge_provenance(edge_type: Column | str) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words that don't count as terms of a question (fixed values).
-STOP_WORDS = ("a", "an", "and", "are", "does", "for", "from", "how", "in", "is", "of", "on", "the", "this", "to", "what", "where", "which", "with")
+STOP_WORDS = ("a", "an", "and", "are", "by", "for", "from", "how", "in", "is", "of", "on", "or", "the", "to", "what", "where", "which", "with")
 #: Order of actions along a workflow; others come at 50 (fixed values).
 WORKFLOW = ("CONFIGURE", "AUTHORIZE", "CONNECT", "CREATE", "PRODUCE", "PROCESS", "PERSIST", "OBSERVE", "RENDER", "REPRESENT")
 
@@ -19,7 +20,9 @@ def terms(question: str) -> list[str]:
 
 
 def lexical_score(text: Column, question: str) -> Column:
-    """1 for each term that is a substring, and 3 if the whole question is."""
+    """1 for each term that is a substring, and 3 if the whole question is; 0 for a question without terms."""
+    if not terms(question):
+        return F.lit(0.0)
     low = F.lower(F.coalesce(text, F.lit("")))
     score = sum((F.when(low.contains(t), 1.0).otherwise(0.0) for t in terms(question)), F.lit(0.0))
     return score + F.when(low.contains(question.strip().lower()), 3.0).otherwise(0.0)
@@ -74,23 +77,39 @@ def bundle_confidence(coverage: Column, mean_confidence: Column) -> Column:
     return F.least(0.25 + 0.45 * coverage + 0.3 * mean_confidence, F.lit(0.95))
 
 
+#: Passages, and characters of them, that a broadcast may hold.
+FEW, FEW_CHARS = 50_000, 32 << 20
+
+
 def contained_texts(docs: DataFrame, passages: DataFrame, words: int = 8) -> DataFrame:
-    """(item_id, doc_id): documents that hold a passage (item_id, text) whole.
+    """(item_id, doc_id): documents that hold a passage (item_id, text) whole, as a substring.
 
-    Passages and documents meet on hashes of runs of ``words`` words, the passage by its first run,
-    and are then compared, so no pair is made without a common run. Shorter passages meet by their
-    first word. Long documents are exploded into runs within their own task.
+    A document that holds a passage holds its words but for the first and the last, which may be parts
+    of longer words there. So passages and documents meet on a hash of the first ``words`` of the words
+    between, or of all of them if they are fewer, and are then compared. Only runs as long as some passage's
+    key are made of documents; they stay in their task if the passages are few, by a count. Passages
+    without a word between are compared with every document, FEW at a time.
     """
     tokens = F.split(F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[ \\t\\n\\x0b\\f\\r]+", " ")), " ")
     run = lambda a, i, n: F.xxhash64(F.array_join(F.slice(a, i, n), " "))
-    p = passages.select("item_id", tokens.alias("p"), F.col("text").alias("passage")).withColumn("n", F.least(F.size("p"), F.lit(words))).where("n > 0 AND p[0] <> ''")
-    p = p.withColumn("n", F.when(F.col("n") == words, words).otherwise(1)).withColumn("k", run(F.col("p"), F.lit(1), F.col("n")))
-    d = docs.select("doc_id", tokens.alias("d"))
-
-    def runs(n: int):
-        last = F.greatest(F.size("d") - n + 1, F.lit(1))
-        return F.transform(F.sequence(F.lit(1), last), lambda i: run(F.col("d"), i, F.lit(n)))
-
-    keys = F.array_union(runs(words), runs(1))
-    met = d.select("doc_id", F.explode(F.array_distinct(keys)).alias("k")).join(p, "k").select("item_id", "doc_id", "passage").distinct()
-    return met.join(docs.select("doc_id", "text"), "doc_id").where(F.contains(F.col("text"), F.col("passage"))).select("item_id", "doc_id")
+    p = passages.where("length(trim(text)) > 0").select("item_id", tokens.alias("p"), F.col("text").alias("passage"))
+    p = p.withColumn("n", F.least(F.size("p") - 2, F.lit(words)))
+    size = p.groupBy("n").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("passage")).alias("chars")).collect()  # words + 2 rows
+    long, short = p.where("n > 0").withColumn("k", run(F.col("p"), F.lit(2), F.col("n"))), p.where("n <= 0")
+    few = sum(r["rows"] for r in size) <= FEW and sum(r["chars"] for r in size) <= FEW_CHARS
+    d = docs.select("doc_id", "text", tokens.alias("d"))
+    out = []
+    if lengths := sorted(r["n"] for r in size if r["n"] > 0):
+        runs_of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("d") - n + 1, F.lit(1))), lambda i: run(F.col("d"), i, F.lit(n)))
+        runs = F.flatten(F.array(*map(runs_of, lengths)))
+        if few:
+            met = d.select("doc_id", "text", F.explode(F.array_distinct(runs)).alias("k")).join(F.broadcast(long.select("item_id", "passage", "k")), "k")
+        else:
+            met = d.select("doc_id", F.explode(F.array_distinct(runs)).alias("k")).join(long.select("item_id", "passage", "k"), "k").join(docs.select("doc_id", "text"), "doc_id")
+        out.append(met.where(F.contains("text", "passage")).select("item_id", "doc_id"))
+    if n_short := sum(r["rows"] for r in size if r["n"] <= 0):
+        blocks = -(-n_short // FEW)
+        for i in range(blocks):
+            part = short.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == i).select("item_id", "passage")
+            out.append(docs.select("doc_id", "text").join(F.broadcast(part), F.contains("text", "passage")).select("item_id", "doc_id"))
+    return reduce(DataFrame.unionByName, out).distinct() if out else docs.select(F.lit(None).cast("long").alias("item_id"), "doc_id").limit(0)

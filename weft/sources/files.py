@@ -6,23 +6,32 @@ patterns per language, row by row, and local imports are resolved by a join with
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import ids
 
-#: Languages by suffix, and directories that are never read (fixed values).
-LANGUAGES = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java", "prisma": "prisma"}
-IGNORED = ("node_modules", ".git", "dist", "build", ".venv", "__pycache__", "vendor", "target", "coverage")
-#: Suffixes tried for a local import, in order, and index files of a directory (fixed values).
-CANDIDATES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".py", "/index.ts", "/index.tsx", "/index.js", "/__init__.py")
+#: Languages by suffix, directories that are never read, and suffixes tried for a local import, in
+#: order, with index files of a directory (fixed values).
+LANGUAGES = {
+    "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "tsx", "py": "python", "go": "go", "rs": "rust", "java": "java",
+    "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp", "prisma": "prisma",
+}
+IGNORED = (
+    ".git", ".hg", ".svn", "node_modules", "dist", "build", ".next", ".nuxt", ".turbo", ".cache", ".pytest_cache", ".pytest_tmp", ".mypy_cache", ".ruff_cache", "__pycache__",
+    ".venv", ".venv-win", "venv", "env", "ENV", ".tox", ".nox",
+)
+CANDIDATES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/index.cjs", "/__init__.py")
+_SCRIPTS = ("typescript", "tsx", "javascript")
 
 #: (languages, pattern with the name as group 1, kind)
 SYMBOLS = (
-    (("typescript", "javascript"), r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)", "function"),
-    (("typescript", "javascript"), r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)", "class"),
-    (("typescript",), r"(?m)^\s*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)", "interface"),
-    (("typescript", "javascript"), r"(?m)^(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)", "variable"),
+    (_SCRIPTS, r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)", "function"),
+    (_SCRIPTS, r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)", "class"),
+    (("typescript", "tsx"), r"(?m)^\s*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)", "interface"),
+    (_SCRIPTS, r"(?m)^(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)", "variable"),
     (("python",), r"(?m)^[ \t]*(?:async\s+)?def\s+([A-Za-z_]\w*)", "function"),
     (("python",), r"(?m)^[ \t]*class\s+([A-Za-z_]\w*)", "class"),
     (("go",), r"(?m)^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", "function"),
@@ -31,29 +40,41 @@ SYMBOLS = (
     (("rust",), r"(?m)^\s*(?:pub(?:\([a-z]+\))?\s+)?(?:async\s+)?fn\s+([A-Za-z_]\w*)", "function"),
     (("rust",), r"(?m)^\s*(?:pub(?:\([a-z]+\))?\s+)?(?:struct|enum)\s+([A-Za-z_]\w*)", "class"),
     (("java",), r"(?m)^\s*(?:public|private|protected)?\s*(?:abstract\s+|final\s+)?class\s+([A-Za-z_]\w*)", "class"),
+    (("c", "cpp"), r"(?m)^(?:[A-Za-z_][\w:<>,*&\s]*?[\s*&])([A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?:const\s*)?\{", "function"),
+    (("c", "cpp"), r"(?m)^\s*(?:typedef\s+)?(?:struct|class|enum)\s+([A-Za-z_]\w*)\s*(?::[^{;]*)?\{", "class"),
     (("prisma",), r"(?m)^model\s+([A-Za-z_]\w*)\s*\{", "db_model"),
 )
 #: (languages, pattern with the imported name as group 1)
 IMPORTS = (
-    (("typescript", "javascript"), r"""(?:import|export)\s[^'";]*?from\s*['"]([^'"]+)['"]"""),
-    (("typescript", "javascript"), r"""(?:import|require)\s*\(?\s*['"]([^'"]+)['"]"""),
+    (_SCRIPTS, r"""(?:import|export)\s[^'";]*?from\s*['"]([^'"]+)['"]"""),
+    (_SCRIPTS, r"""(?:import|require)\s*\(?\s*['"]([^'"]+)['"]"""),
     (("python",), r"(?m)^[ \t]*from\s+([.\w]+)\s+import\b"),
     (("python",), r"(?m)^[ \t]*import\s+([\w.]+)"),
     (("go",), r"""(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"]+)"\s*$"""),
 )
 
 
-def source_files(spark: SparkSession, root: str, repo: str, max_bytes: int | None = None) -> DataFrame:
-    """repo_name, path, language, size, content of every source file below root."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def source_files(spark: SparkSession, root: str, repo: str, max_bytes: int | None = None, ignored: Sequence[str] = (), most: int | None = None) -> DataFrame:
+    """repo_name, path, language, size, content of every source file below root.
+
+    Foreign suffixes are left out as files are listed. ignored: directories to leave out besides
+    IGNORED. Bytes that aren't UTF-8 are dropped. most: an error if there are more files than that.
+    """
+    suffixes = ",".join(sorted({"".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x) for x in LANGUAGES}))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{suffixes}}}").load(root)
     base = F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/")
     path = F.ltrim(F.substring(base, F.lit(len(root.rstrip("/")) + 1), F.length(base)), F.lit("/"))
     language = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
     out = raw.withColumn("rel", path).withColumn("language", language[F.lower(F.substring_index("rel", ".", -1))]).where("language IS NOT NULL")
-    out = out.where(~F.arrays_overlap(F.split("rel", "/"), F.array(*(F.lit(x) for x in IGNORED))))
+    out = out.where(~F.arrays_overlap(F.split("rel", "/"), F.array(*(F.lit(x) for x in (*IGNORED, *ignored)))))
     if max_bytes is not None:
         out = out.where(F.col("length") <= max_bytes)
-    return out.select(F.lit(repo).alias("repo_name"), ids.normalize_relative_path("rel").alias("path"), "language", F.col("length").alias("size"), F.try_validate_utf8(F.col("content").cast("string")).alias("valid"), F.col("content").cast("string").alias("raw")).select("repo_name", "path", "language", "size", F.coalesce("valid", F.make_valid_utf8("raw")).alias("content"))
+    if most is not None and (n := out.select("path").limit(most + 1).count()) > most:
+        raise ValueError(f"{n} source files or more, {most} allowed")
+    text = F.col("content").cast("string")
+    # the replacement character stands for bytes that aren't UTF-8; texts that hold it themselves are valid
+    clean = F.when(F.is_valid_utf8(text), text).otherwise(F.regexp_replace(F.make_valid_utf8(text), "\uFFFD", ""))
+    return out.select(F.lit(repo).alias("repo_name"), ids.normalize_relative_path("rel").alias("path"), "language", F.col("length").alias("size"), clean.alias("content"))
 
 
 def file_nodes(files: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-COMMITS = "repo string, sha string, authored_at string, subject string, ord int, status string, path string, error string"
+COMMITS = "repo string, sha string, authored_at string, subject string, ord int, status string, old_path string, path string, error string"
 
 
 def _git(folder: str, *args: str) -> str:
@@ -28,9 +28,9 @@ def _changes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
                     sha, at, subject = head.split("\x1f", 2)
                     for line in filter(None, files):
                         status, *paths = line.split("\t")
-                        rows.append((repo, sha, at, subject, ord_, status, paths[-1], None))
+                        rows.append((repo, sha, at, subject, ord_, status, paths[0] if len(paths) > 1 else None, paths[-1], None))
             except (subprocess.CalledProcessError, OSError) as e:  # a bad repository is a row, not a failed job
-                rows.append((repo, None, None, None, None, None, None, str(e)[:500]))
+                rows.append((repo, *[None] * 7, str(e)[:500]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if n == "ord" else pa.string()) for i, n in enumerate(names)], names=names)
 
 
@@ -43,6 +43,35 @@ def changed_files(repositories: DataFrame, most: int = 50) -> DataFrame:
 
 
 def as_changes(files: DataFrame) -> DataFrame:
-    """Renames as a deletion and an addition; needs old_path for renames, else only the addition."""
-    letter = F.substring("status", 1, 1)
-    return files.where("error IS NULL").withColumn("status", F.when(letter == "R", "A").otherwise(letter)).drop("error")
+    """Renames (R) as a deletion of old_path and an addition of path; other statuses stay."""
+    row = lambda status, path: F.struct(status.alias("status"), F.translate(path, "\\", "/").alias("path"))
+    moved = F.array(row(F.lit("D"), F.col("old_path")), row(F.lit("A"), F.col("path")))
+    rows = F.when(F.col("status").startswith("R") & F.col("old_path").isNotNull(), moved).otherwise(F.array(row(F.col("status"), F.col("path"))))
+    return files.where("error IS NULL").withColumn("row", F.explode(rows)).drop("status", "path", "old_path", "error").select("*", "row.status", "row.path").drop("row")
+
+
+TREE = "repo string, ref string, path string, error string"
+
+
+def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for repo, folder, ref in zip(*(batch.column(c).to_pylist() for c in ("repo", "folder", "ref")), strict=True):
+            try:
+                rows = [(repo, ref, p.replace("\\", "/"), None) for p in _git(folder, "ls-tree", "-r", "--name-only", ref).splitlines() if p.strip()]
+            except (subprocess.CalledProcessError, OSError) as e:
+                rows = [(repo, ref, None, str(e)[:500])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["repo", "ref", "path", "error"])
+
+
+def files_at(commits: DataFrame) -> DataFrame:
+    """(repo, ref, path, error): the files of each commit; commits: repo, folder, ref. One task lists one
+    commit, so the commits of a long history are listed by many tasks."""
+    return commits.select("repo", "folder", "ref").repartition("repo", "ref").mapInArrow(_tree, TREE)
+
+
+def replay(changes: DataFrame) -> DataFrame:
+    """(repo, ord, path, status): the files that exist after each commit that touches them, from the
+    changes (repo, ord, status, path) of a history: the last status of each path up to a commit, kept
+    if it isn't a deletion. ord counts back from the newest commit, at 0."""
+    last = changes.groupBy("repo", "path").agg(F.min_by("status", "ord").alias("status"), F.min("ord").alias("ord"))
+    return last.where("substring(status, 1, 1) <> 'D'").select("repo", "ord", "path", "status")

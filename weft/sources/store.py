@@ -17,9 +17,9 @@ KEYS = {
 
 
 def upsert(rows: DataFrame, root: str, name: str) -> None:
-    """Replaces the repositories that rows hold, the last row of a key winning (by write_ord if there
-    is one), in one job; other repositories' partitions stay."""
-    ordered = rows if "write_ord" in rows.columns else rows.withColumn("write_ord", F.lit(0))
+    """Replaces the repositories that rows hold, the last row of a key winning (by write_ord; without it
+    by a hash of the row, so that reruns agree), in one job; other repositories' partitions stay."""
+    ordered = rows if "write_ord" in rows.columns else rows.withColumn("write_ord", F.xxhash64(*rows.columns))
     keyed = last_written(ordered, KEYS[name], "write_ord").withColumn("record_id", record_id(*KEYS[name]))
     if "provenance" in keyed.columns:
         keyed = keyed.withColumn("provenance", F.coalesce("provenance", F.lit("structural")))
