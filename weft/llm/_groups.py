@@ -1,13 +1,13 @@
 """Links within groups of candidates, verified without ever listing all pairs of a group.
 
 A group is a leader and the members that share a key with it. First every member is compared with
-one leader, then with the others that it isn't connected with. Groups that this leaves unconnected
+one leader. Groups that this leaves unconnected
 are compared in tiles of TILE x TILE members, with two kinds of pairs left out: those already
 connected, and those that meet in a larger group too. For the latter every member has a home, the
 largest group it is in: a group whose members mostly have one home elsewhere compares only the
 others among themselves and with those. So no link that matters to a component is lost, every pair
-is met about once, and no task holds more than two tiles. Pairs that aren't part of a group are
-compared one by one, in the first two steps.
+is met about once, and no task holds more than two tiles. Listed pairs are compared one by one before,
+those that the first step connects left out.
 """
 
 from __future__ import annotations
@@ -29,10 +29,12 @@ TILE = 256
 @dataclass(frozen=True)
 class Alike:
     """many: which of the pairs of two lists of values are alike. all: the same for all pairs of a
-    list, as a matrix, where there is a quicker way. kind: the type of the values."""
+    list, as a matrix, where there is a quicker way. may: a matrix of the pairs of a list that need be
+    compared. kind: the type of the values."""
 
     many: Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray]
     all: Callable[[list[np.ndarray]], np.ndarray] | None = None
+    may: Callable[[list[np.ndarray]], np.ndarray] | None = None
     kind: type = np.uint64
 
     def values(self, column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
@@ -60,7 +62,7 @@ def _tile(alike: Alike):
             at = np.argwhere(may & alike.all(values))
             links = np.stack([doc[at[:, 0]], doc[at[:, 1]]], 1)
         else:
-            at, found, group = np.argwhere(may), [np.zeros((0, 2), np.int64)], label.copy()
+            at, found, group = np.argwhere(may & alike.may(values) if alike.may else may), [np.zeros((0, 2), np.int64)], label.copy()
             while len(at):
                 some, at = at[:2048], at[2048:]
                 some = some[alike.many([values[p] for p, _ in some], [values[q] for _, q in some])]
@@ -102,11 +104,12 @@ def _labelled(pairs: DataFrame, label: DataFrame, *names: str) -> DataFrame:
     return pairs
 
 
-def connect(groups: DataFrame, pairs: DataFrame, contents: DataFrame, alike: Alike) -> DataFrame:
+def connect(groups: DataFrame, pairs: DataFrame, contents: DataFrame, alike: Alike, listed: bool = True) -> DataFrame:
     """(id, component) of what is connected by links among pairs and within groups.
 
-    pairs: a, b (distinct; candidates, to be compared unless they are connected already). groups: a,
-    b (distinct; every member b with its leader a): all pairs of a group are candidates.
+    groups: a, b (distinct; every member b with its leader a): all pairs of a group are candidates.
+    pairs: a, b (distinct; candidates, to be compared unless they are connected already). listed: whether
+    there are pairs outside groups; if not, only the first pair of each b is compared by itself.
     contents: doc, values (integers as bytes).
     """
 
@@ -116,10 +119,11 @@ def connect(groups: DataFrame, pairs: DataFrame, contents: DataFrame, alike: Ali
 
     first = pairs.groupBy("b").agg(F.min("a").alias("a"))
     links = cut(verified(first))
-    rest = pairs.join(first, ["a", "b"], "left_anti")
-    rest = _labelled(rest, components(links), "a", "b").where("a_in != b_in")
-    links = cut(links.union(verified(rest)))
     label = components(links)
+    if listed:
+        rest = _labelled(pairs.join(first, ["a", "b"], "left_anti"), label, "a", "b").where("a_in != b_in")
+        links = cut(links.union(verified(rest)))
+        label = components(links)
     grouped = groups.select("a", F.col("b").alias("doc")).union(groups.select("a", F.col("a").alias("doc"))).distinct()
     grouped = cut(_labelled(grouped, label, "doc").withColumnRenamed("doc_in", "label"))
     apart = grouped.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("g"), F.max(F.when(F.col("a") == F.col("doc"), F.col("label"))).alias("lead")).where("low < high")

@@ -308,7 +308,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "
     groups = cut(groups.select("a", "b", (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).alias("fit")).distinct())
     sets = cut(_shingled(docs, ends(groups), k, text))
     alike = Alike(lambda one, two: np.array([similar(a, b, percent) for a, b in zip(one, two, strict=True)], bool), lambda sets: similar_all(sets, percent))
-    found = connect(groups.select("a", "b"), groups.where("fit").select("a", "b"), sets, alike).withColumnRenamed("id", "rep")
+    found = connect(groups.select("a", "b"), groups.where("fit").select("a", "b"), sets, alike, listed=False).withColumnRenamed("id", "rep")
     out = named.join(found, "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
