@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from weft.llm._components import components, union
 from weft.llm._shared import cut
 
-TILE = 256
+TILE = 1024
 
 
 @dataclass(frozen=True)

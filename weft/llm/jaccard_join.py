@@ -265,9 +265,11 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(both) - shared)
 
 
-def similar_all(sets: list[np.ndarray], percent: int, columns: int = 1 << 15) -> np.ndarray:
-    """similar() for all pairs of a list, by products of 0/1 rows over the shared hashes."""
-    sizes = np.array([len(s) for s in sets])
+def similar_all(sets: list[np.ndarray], percent: int, cells: int = 1 << 23) -> np.ndarray:
+    """similar() for all pairs of a list, by products of 0/1 rows over the shared hashes, as many of
+    these at a time as make ``cells`` numbers of four bytes."""
+    columns = max(64, cells // max(1, len(sets)))
+    sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(count > 1) - 1
@@ -275,13 +277,17 @@ def similar_all(sets: list[np.ndarray], percent: int, columns: int = 1 << 15) ->
     owner, place = owner[often], column[place[often]]
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
-    shared = np.zeros((len(sets), len(sets)))
+    shared = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers, exact to 2**24 a product
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
         b, e = np.searchsorted(place, [low, low + columns])
         rows = np.zeros((len(sets), min(columns, int(column[-1]) + 1 - low)), np.float32)
         rows[owner[b:e], place[b:e] - low] = 1
         shared += rows @ rows.T
-    return 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+    near = np.empty(shared.shape, bool)
+    for i in range(len(sets)):
+        both = shared[i].astype(np.int64)
+        near[i] = 100 * both >= percent * (sizes[i] + sizes - both)
+    return near
 
 
 def _shingled(docs: DataFrame, ids: DataFrame, k: int, text: str) -> DataFrame:
