@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as
 Parquet and read again before the next. All but the last return the columns of documents.
+
+Defined cases, of every stage: an empty table gives an empty table; null texts count as empty and stay
+null until the last stage; rows with a null doc_id go if they are toxic, but lose no lines and aren't copies; further columns of documents are left out; very
+long texts are read whole; of ties the least doc_id stays. Rows that repeat a doc_id are scored one by
+one, lose the same lines, stay or go together as copies, and are mixed as often as the one taken most.
 """
 
 from __future__ import annotations
@@ -43,10 +48,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, repeated as often as the mix takes them; those that it doesn't take go."""
-    taken = mix(docs, whole=True).where("taken > 0").groupBy(F.col("doc_id").alias("__id")).agg((F.max("taken") / F.max("size")).cast("int").alias("__times"))
+    """Whole documents, repeated as often as the mix takes the block of their first word; those that it
+    doesn't take go, and so do documents without words."""
+    taken = mix(docs, whole=True).where("taken > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
     repeated = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return _documents(repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("__times", F.lit(1))))))
+    return _documents(repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +63,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("n-gram Jaccard join", near_copies), ("mixing", mixing), ("byte-level BPE", tokens)]
 
-#: SQL can't express the classifier, fuzzy lines or BPE; tests/llm checks stages by brute force.
+#: SQL can't express the classifier, fuzzy lines or BPE; tests/llm compares the operators that the stages
+#: call with brute force, and the pipeline with plain Python on a small table.
 ORACLE_SQL = None
 
 
