@@ -1,14 +1,15 @@
 """Property-graph operators: lookups, joins, integrity checks, degrees, bounded traversal.
 
 nodes: node_id, layer, kind, label, repo_name, file_path. edges: source_id, target_id, edge_type,
-repo_name. Traversals keep edges partitioned by their source and join only the frontier, so a level
-costs the edges that leave it; lineage is cut by checkpoints every few levels.
+repo_name. Traversals deal edges out by their source once and cache them; a level joins them with the
+nodes found last, which are broadcast if counted to be few, and is checkpointed, so plans stay short.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +76,12 @@ def missing_containment(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.where("layer = 'code'").join(held, "node_id", "left_anti")
 
 
+def orphans(nodes: DataFrame, edges: DataFrame, types: list[str]) -> DataFrame:
+    """Nodes that no edge of the given types touches."""
+    some = edges.where(F.col("edge_type").isin(*types))
+    return nodes.join(some.select(F.explode(F.array("source_id", "target_id")).alias("node_id")), "node_id", "left_anti")
+
+
 def connected_to_known(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes with at least one edge whose other end is a node too."""
     known = nodes.select(F.col("node_id").alias("dst"))
@@ -128,32 +135,51 @@ def containment_join(points: DataFrame, spans: DataFrame, on: str) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the folder that the cluster names; a temporary one only if all runs here."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         import tempfile
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-graph-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weft-graph-"))
     return df.checkpoint()
 
 
-def reach(steps: DataFrame, start: DataFrame, depth: int, blocked: DataFrame | None = None, every: int = 3) -> DataFrame:
+#: Nodes that a level's broadcast may hold (about 10 MB).
+FEW = 100_000
+
+
+def _dealt(steps: DataFrame) -> DataFrame:
+    """steps (src, dst, ...) dealt out by src and cached; what is lost with an executor is made again."""
+    return steps.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _from(steps: DataFrame, frontier: DataFrame) -> DataFrame:
+    """steps that leave the nodes of frontier (node_id as src, ...), which has been cut."""
+    return steps.join(F.broadcast(frontier) if frontier.count() <= FEW else frontier, "src")
+
+
+def reach(steps: DataFrame, start: DataFrame, depth: int, hub: int | None = None) -> DataFrame:
     """(node_id, depth): what can be reached from start (node_id) along steps (src, dst) in at most
-    ``depth`` levels, each node at its least depth. Nodes of blocked (node_id) are reached but not
-    left, unless they are in start. Ends early once a level finds nothing new.
+    ``depth`` levels, each node at its least depth. Nodes that more than ``hub`` steps leave are reached
+    but not left, unless they are in start. Ends early once a level finds nothing new.
     """
-    seen = start.select("node_id", F.lit(0).alias("depth"))
-    frontier = start.select("node_id")
+    dealt = _dealt(steps.select("src", "dst"))
+    hubs = None if hub is None else _cut(dealt.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hub).select("src"))
+    new = _cut(start.select("node_id", F.lit(0).alias("depth")).distinct())
+    seen = new
     for level in range(1, depth + 1):
-        found = steps.join(frontier, steps["src"] == frontier["node_id"]).select(F.col("dst").alias("node_id")).distinct()
-        new = found.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(level))
-        if level % every == 0:
-            new = _cut(new)
-            if new.isEmpty():
-                break
+        frontier = new.select(F.col("node_id").alias("src"))
+        if hubs is not None and level > 1:
+            frontier = frontier.join(hubs, "src", "left_anti")
+        found = _from(dealt, frontier).select(F.col("dst").alias("node_id")).distinct()
+        new = _cut(found.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(level)))
+        if new.isEmpty():
+            break
         seen = seen.unionByName(new)
-        frontier = new.select("node_id")
-        if blocked is not None:
-            frontier = frontier.join(blocked, "node_id", "left_anti")
+    dealt.unpersist()
     return seen
 
 
@@ -162,10 +188,8 @@ def impact_radius(edges: DataFrame, node_id: str, depth: int = 4, hub: int = 80)
     not expanded (the start is). As nodes at the last depth still add their neighbours, results lie
     up to depth + 1 away; depth is held within 0 to 32.
     """
-    d = max(0, min(depth, 32))
     start = edges.sparkSession.createDataFrame([(node_id,)], "node_id string")
-    hubs = degrees(edges).where(F.col("degree") > hub).select("node_id")
-    return reach(both_ways(edges), start, d + 1, hubs)
+    return reach(both_ways(edges), start, max(0, min(depth, 32)) + 1, hub)
 
 
 def symbol_trace(edges: DataFrame, node_id: str, depth: int = 8) -> DataFrame:
@@ -174,17 +198,35 @@ def symbol_trace(edges: DataFrame, node_id: str, depth: int = 8) -> DataFrame:
     return reach(both_ways(edges.where(F.col("edge_type").isin(*TRACE_TYPES))), start, max(1, min(depth, 64)))
 
 
+def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 6) -> DataFrame:
+    """(pair, path, depth): for each of pairs (pair, start, end) one directed path of fewest edges, its
+    nodes the least ones going back from the end; no row for pairs without one within ``depth`` edges.
+
+    Each level keeps a node's least parent; paths are put together at the end, level by level.
+    """
+    dealt = _dealt(edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct())
+    pairs = _cut(pairs.select("pair", "start", "end"))
+    levels = [_cut(pairs.select("pair", F.col("start").alias("node_id"), F.lit(None).cast("string").alias("parent")))]
+    seen, goals, n = levels[0].select("pair", "node_id"), pairs.select("pair", F.col("end").alias("node_id")), pairs.count()
+    for _ in range(depth):
+        if seen.join(goals, ["pair", "node_id"], "left_semi").count() >= n:
+            break
+        found = _from(dealt, levels[-1].select("pair", F.col("node_id").alias("src"))).groupBy("pair", F.col("dst").alias("node_id")).agg(F.min("src").alias("parent"))
+        levels.append(_cut(found.join(seen, ["pair", "node_id"], "left_anti")))
+        if levels[-1].isEmpty():
+            break
+        seen = seen.union(levels[-1].select("pair", "node_id"))
+    dealt.unpersist()
+    back = pairs.select("pair", "start", F.col("end").alias("at"), F.array("end").alias("path"))
+    for level in levels[:0:-1]:
+        back = back.join(level.select("pair", F.col("node_id").alias("at"), "parent"), ["pair", "at"], "left")
+        back = back.select("pair", "start", F.coalesce("parent", "at").alias("at"), F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat(F.array("parent"), "path")).alias("path"))
+    return back.where("at = start").select("pair", F.array_join("path", " > ").alias("path"), (F.size("path") - 1).alias("depth"))
+
+
 def shortest_path(edges: DataFrame, start: str, end: str, depth: int = 6) -> DataFrame:
-    """(path, depth): one directed path of fewest edges, the least by node ids; no row if there is none."""
-    paths = edges.sparkSession.createDataFrame([(start, [start])], "node_id string, path array<string>")
-    seen, levels = paths, [paths]
-    steps = edges.select("source_id", "target_id").distinct()
-    for _ in range(depth if start != end else 0):
-        grown = levels[-1].join(steps, levels[-1]["node_id"] == steps["source_id"]).select(F.col("target_id").alias("node_id"), F.concat("path", F.array("target_id")).alias("path"))
-        new = grown.groupBy("node_id").agg(F.min("path").alias("path")).join(seen.select("node_id"), "node_id", "left_anti")
-        levels.append(new)
-        seen = seen.unionByName(new)
-    return seen.where(F.col("node_id") == end).select(F.array_join("path", " > ").alias("path"), (F.size("path") - 1).alias("depth"))
+    """(path, depth) of one pair; no row if there is no path."""
+    return shortest_paths(edges, edges.sparkSession.createDataFrame([(0, start, end)], "pair int, start string, end string"), depth).drop("pair")
 
 
 def propagation_weight(edge_type: Column) -> Column:
@@ -215,20 +257,21 @@ def monte_carlo_reach(weighted: DataFrame, seeds: DataFrame, runs: int = 64, dep
     """(run, node_id): what a change at seeds (node_id) reaches in each run.
 
     weighted: source_id, target_id, weight. In a run an edge passes on with its weight as chance, by
-    a hash of run, edge and seed, so runs repeat exactly and every level is one join. This is the
+    an MD5 of seed, run and ends, so runs repeat exactly and every level is one join. This is the
     independent-cascade form of a walk with one trial per visit: same expectation for one visit.
     """
     ends = F.array(F.struct(F.col("source_id").alias("src"), F.col("target_id").alias("dst")), F.struct(F.col("target_id").alias("src"), F.col("source_id").alias("dst")))
-    steps = weighted.select("weight", F.explode(ends).alias("e")).select("e.src", "e.dst", "weight")
-    seen = seeds.select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "node_id")
-    frontier = seen
-    for level in range(depth):
-        chance = F.pmod(F.xxhash64(F.lit(seed), "run", "src", "dst"), F.lit(1 << 30)) / float(1 << 30)
-        found = frontier.join(steps, frontier["node_id"] == steps["src"]).where(chance <= F.col("weight")).select("run", F.col("dst").alias("node_id")).distinct()
+    dealt = _dealt(weighted.select("weight", F.explode(ends).alias("e")).select("e.src", "e.dst", "weight"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("run").cast("string"), "src", "dst")), 1, 8), 16, 10).cast("long")
+    new = _cut(seeds.select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "node_id").distinct())
+    seen = new
+    for _ in range(depth):
+        found = _from(dealt, new.withColumnRenamed("node_id", "src")).where(draw <= F.col("weight") * float(1 << 32)).select("run", F.col("dst").alias("node_id")).distinct()
         new = _cut(found.join(seen, ["run", "node_id"], "left_anti"))
         if new.isEmpty():
             break
-        seen, frontier = seen.unionByName(new), new
+        seen = seen.unionByName(new)
+    dealt.unpersist()
     return seen
 
 

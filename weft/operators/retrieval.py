@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,30 +48,51 @@ def workflow_rank(action: Column) -> Column:
     return F.coalesce(known[action], F.lit(50))
 
 
-def candidate_score(matched: Column, confidence: Column, hits: Column, surface: Column, is_test: Column) -> Column:
-    """Score of an answer candidate by matched blocks, confidence and keyword hits, less penalties."""
+def candidate_score(matched: Column, confidence: Column, hits: Column, surface: Column, is_test: Column, keywords: bool = True) -> Column:
+    """Score of an answer candidate by matched blocks, confidence and keyword hits, less penalties.
+
+    keywords: whether the question has any, so that a candidate without hits is marked down.
+    """
     off = lambda c, x: F.when(c, F.lit(x)).otherwise(F.lit(0.0))
-    weak = (hits == 0) & (confidence < 0.5)
-    return 3.0 * matched + 3.0 * confidence + 0.9 * F.least(hits, F.lit(5)) - off(surface, 0.25) - off(is_test, 1.5) - off(hits == 0, 2.0) - off(weak, 2.5)
+    score = 3.0 * matched + 3.0 * confidence + 0.9 * F.least(hits, F.lit(5)) - off(surface, 0.25) - off(is_test, 1.5)
+    return (score - off(hits == 0, 2.0) if keywords else score) - off((hits == 0) & (confidence < 0.35), 2.5)
+
+
+def _picked(blocks: Sequence[str], per_block: int):
+    """The balanced choice among few candidates, which come with their place within their block."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, rows = set(), []
+        for block in blocks:
+            files: set[str] = set()
+            for r in pdf[pdf.block == block].sort_values("place").itertuples():
+                if len(files) == per_block:
+                    break
+                if r.node_id not in taken and r.file_path not in files:
+                    taken.add(r.node_id)
+                    files.add(r.file_path)
+                    rows.append((len(rows), block, r.node_id, r.file_path, r.score))
+        return pd.DataFrame(rows, columns=["ord", "block", "node_id", "file_path", "score"])
+
+    return run
 
 
-def balanced_top(candidates: DataFrame, blocks: Sequence[str], per_block: int = 4) -> DataFrame:
-    """(block, node_id, file_path, score): up to ``per_block`` for each block in order, no node twice
+def balanced_top(candidates: DataFrame, blocks: Sequence[str], per_block: int = 4, ties: Sequence[str] = ()) -> DataFrame:
+    """(ord, block, node_id, file_path, score): up to ``per_block`` for each block in order, no node twice
     and no file twice for a block. candidates: node_id, file_path, block, score.
 
-    Blocks are few and given; each adds a plan over what the ones before left, and each keeps a few
-    rows only.
+    Ties go by the columns of ``ties`` (a minus sign: downwards), then node_id. Blocks before one can
+    have taken only so many nodes, so of each file and of each block only as many rows can matter; these
+    are found by windows, which Spark limits before it shuffles, and the choice reads nothing else.
     """
-    best_file = Window.partitionBy("file_path").orderBy(F.desc("score"), "node_id")
-    out = None
-    for i, block in enumerate(blocks):
-        left = candidates.where(F.col("block") == block)
-        if out is not None:
-            left = left.join(F.broadcast(out.select("node_id")), "node_id", "left_anti")  # at most per_block rows a block
-        one = left.withColumn("r", F.row_number().over(best_file)).where("r = 1").drop("r")
-        took = one.orderBy(F.desc("score"), "node_id").limit(per_block).select(F.lit(i).alias("ord"), "block", "node_id", "file_path", "score")
-        out = took if out is None else out.unionByName(took)
-    return out
+    order = [F.desc("score"), *(F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in ties), F.asc("node_id")]
+    taken = per_block * (len(blocks) - 1)
+    some = candidates.where(F.col("block").isin(*blocks))
+    some = some.withColumn("place", F.row_number().over(Window.partitionBy("block", "file_path").orderBy(*order))).where(F.col("place") <= taken + 1)
+    some = some.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy(*order))).where(F.col("place") <= taken + per_block * (taken + 1))
+    few = some.select("block", "node_id", "file_path", "score", "place")
+    kind = {f.name: f.dataType.simpleString() for f in few.schema}
+    return few.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_picked(tuple(blocks), per_block), f"ord int, block string, node_id {kind['node_id']}, file_path string, score {kind['score']}")
 
 
 def bundle_confidence(coverage: Column, mean_confidence: Column) -> Column:

@@ -91,3 +91,36 @@ EDGES_SQL = """edges AS (
 both_ways AS (SELECT source_id AS src, target_id AS dst, edge_type FROM edges UNION ALL SELECT target_id, source_id, edge_type FROM edges)"""
 CHANGES_SQL = "changes AS (SELECT strftime(ts, '%Y-%m-%d') AS day, 'src/user_' || user_id || '.ts' AS path, event_type AS block, event_id, ts, value, user_id FROM events)"
 ASSIGN_SQL = "assign AS (SELECT 'customer:' || c_custkey AS node_id, c_mktsegment AS block, least(greatest(c_acctbal, 0.0), 10000.0) / 10000.0 AS confidence FROM customer)"
+
+
+#: Sample paths and kinds that documents take in turn as nodes with texts, and words added to their texts.
+PATHS = ("src/routes/r.ts", "lib/cache/c.ts", "src/utils/security.ts", "schema.prisma", "src/modules/user/index.ts", "emails/welcome.tsx", "workers/mail.ts", "config/env.ts", "src/auth.test.ts", "services/pay.ts", "README.ts", "src/db.ts", "tests/store.ts")
+KINDS = ("function", "route_handler", "middleware", "db_model", "react_hook", "config_object", "service_boundary", "file_surface")
+WORDS = ("", "import a export b import c", "jwt session role", "prisma query", "route request endpoint", "logger metric", "secret token hash", "queue worker cron", "render component", "user profile login", "retry fallback")
+ASSIGNED = ("Access Control", "Data Persistence", "Network Edge", "System Telemetry", "Security Ops", "Core Rendering")
+
+
+def _turn(values: tuple[str, ...], i):
+    return F.element_at(F.array(*(F.lit(v) for v in values)), (i % len(values) + 1).cast("int"))
+
+
+def text_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as nodes: node_id, kind, label, file_path, content."""
+    i = F.col("doc_id")
+    content = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), _turn(WORDS, i))
+    return table(spark, d, "documents").select(_id("doc", "doc_id").alias("node_id"), _turn(KINDS, i).alias("kind"), F.concat(F.lit("n"), i.cast("string")).alias("label"), F.concat((i % 40).cast("string"), F.lit("/"), _turn(PATHS, i)).alias("file_path"), content.alias("content"))
+
+
+def text_assignments(spark: SparkSession, d: str) -> DataFrame:
+    """A block, a confidence and perhaps a secondary block of every document."""
+    i = F.col("doc_id")
+    second = F.when(i % 2 == 0, F.array(F.struct(_turn(ASSIGNED, i * 7 + 1).alias("block"), ((i * 13 % 100) / 100.0).alias("confidence")))).otherwise(F.array().cast("array<struct<block:string,confidence:double>>"))
+    return table(spark, d, "documents").select(_id("doc", "doc_id").alias("node_id"), _turn(ASSIGNED, i).alias("primary_block"), ((i * 37 % 100) / 100.0).alias("confidence"), F.lit("").alias("reasoning"), second.alias("secondary"))
+
+
+def _turn_sql(values: tuple[str, ...], i: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][CAST({i} % {len(values)} + 1 AS INTEGER)]"
+
+
+TEXT_SQL = f"""text_nodes AS (SELECT doc_id, 'doc:' || doc_id AS node_id, {_turn_sql(KINDS, 'doc_id')} AS kind, 'n' || doc_id AS label, (doc_id % 40) || '/' || {_turn_sql(PATHS, 'doc_id')} AS file_path, coalesce(text, '') || ' ' || {_turn_sql(WORDS, 'doc_id')} AS content FROM documents),
+text_assign AS (SELECT 'doc:' || doc_id AS node_id, {_turn_sql(ASSIGNED, 'doc_id')} AS primary_block, CAST(doc_id * 37 % 100 AS DOUBLE) / 100.0::DOUBLE AS confidence, CASE WHEN doc_id % 2 = 0 THEN {_turn_sql(ASSIGNED, '(doc_id * 7 + 1)')} END AS second, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id * 13 % 100 AS DOUBLE) / 100.0::DOUBLE ELSE 0 END AS second_confidence FROM documents)"""
