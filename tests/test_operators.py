@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -76,10 +77,32 @@ def test_shortest_path_of_a_node_to_itself_and_of_no_path(spark):
     assert graph.shortest_path(edges, "b", "a").count() == 0
 
 
-def test_moves_take_the_best_free_deletion(spark):
-    rows = [("1", "2", "old/x.ts", "D", "Money", ""), ("1", "2", "old/y.ts", "D", "View", ""), ("1", "2", "new/x.ts", "A", "", "Money"), ("1", "2", "new/z.ts", "A", "", "View"), ("1", "2", "new/w.ts", "A", "", "Other")]
-    diffs = spark.createDataFrame(rows, "before string, after string, path string, status string, before_blocks string, after_blocks string")
-    assert {(r.old_path, r.path) for r in temporal.move_drift(diffs).collect()} == {("old/x.ts", "new/x.ts"), ("old/y.ts", "new/z.ts")}
+def plain_moves(rows):
+    """Every addition against every deletion still free."""
+    out, stem = set(), lambda x: x.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    for key in {r[:3] for r in rows}:
+        left = {r[3]: set(r[5].split(",")) for r in rows if r[:3] == key and r[4] == "D"}
+        for r in sorted((r for r in rows if r[:3] == key and r[4] == "A"), key=lambda r: r[3]):
+            def score(p, r=r):
+                name = 5 if p.rsplit("/", 1)[-1] == r[3].rsplit("/", 1)[-1] else 2 if stem(p) == stem(r[3]) else 0
+                return name + bool((left[p] & set(r[6].split(","))) - {""})
+            best = min(((-score(p), p) for p in left), default=(0, ""))
+            if best[0] < 0 and left[best[1]] != set(r[6].split(",")):
+                out.add((*key, best[1], r[3]))
+                del left[best[1]]
+    return out
+
+
+def test_moves_equal_a_plain_loop(spark):
+    rnd = random.Random(3)
+    rows = [("r", "1", "2", "old/x.ts", "D", "Money", ""), ("r", "1", "2", "old/y.ts", "D", "View", ""), ("r", "1", "2", "new/x.ts", "A", "", "Money,View"), ("r", "1", "2", "new/z.ts", "A", "", "View"), ("r", "1", "2", "new/w.ts", "A", "", "Other")]
+    for repo in "abc":
+        for path in {f"{rnd.choice('pqr')}/{rnd.choice('klmnop')}.{rnd.choice(['ts', 'js'])}" for _ in range(30)}:
+            blocks = ",".join(sorted(rnd.sample(["Money", "View", "Entry"], rnd.choice([1, 1, 2]))))
+            rows.append((repo, "1", "2", path, *(("D", blocks, "") if rnd.random() < 0.5 else ("A", "", blocks))))
+    diffs = spark.createDataFrame(rows, "repo string, before string, after string, path string, status string, before_blocks string, after_blocks string")
+    got = {(r.repo, r.before, r.after, r.old_path, r.path) for r in temporal.move_drift(diffs).collect()}
+    assert got == plain_moves(rows) and ("r", "1", "2", "old/x.ts", "new/x.ts") in got
 
 
 def test_precision_and_recall(spark):

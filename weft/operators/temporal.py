@@ -1,11 +1,13 @@
 """History operators: snapshots, diffs, churn, hot spots, drift, metrics, gates.
 
-changes: day, path, block. snapshots: day, path, block (a file's blocks on a day).
+changes: repo, day, path, block. snapshots: repo, day, path, block (a file's blocks on a day). Days are
+whatever orders the states of a repository; histories of different repositories never mix.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,96 +15,129 @@ from pyspark.sql import functions as F
 
 
 def churn(changes: DataFrame) -> DataFrame:
-    """(block, changes): how many distinct (day, path) touch each block."""
-    return changes.select("day", "path", "block").distinct().groupBy("block").agg(F.count(F.lit(1)).alias("changes"))
+    """(block, changes): how many distinct (repo, day, path) touch each block."""
+    return changes.select("repo", "day", "path", "block").distinct().groupBy("block").agg(F.count(F.lit(1)).alias("changes"))
 
 
 def hotspots(changes: DataFrame, top: int = 100) -> DataFrame:
-    counts = changes.groupBy("path").agg(F.count(F.lit(1)).alias("changes"))
-    return counts.orderBy(F.desc("changes"), "path").limit(top)
+    """(repo, path, changes): the files that change most."""
+    counts = changes.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("changes"))
+    return counts.orderBy(F.desc("changes"), "repo", "path").limit(top)
 
 
 def hotspot_share(changes: DataFrame) -> DataFrame:
-    """(top, total, concentration): the largest path's share of all changes."""
-    counts = changes.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n").alias("top"), F.sum("n").alias("total")).withColumn("concentration", F.coalesce(F.try_divide(F.col("top").cast("double"), F.col("total").cast("double")), F.lit(0.0)))
+    """(repo, top, total, concentration): the largest path's share of a repository's changes."""
+    counts = changes.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("repo").agg(F.max("n").alias("top"), F.sum("n").alias("total")).withColumn("concentration", F.coalesce(F.try_divide(F.col("top").cast("double"), F.col("total").cast("double")), F.lit(0.0)))
 
 
 def snapshots(changes: DataFrame) -> DataFrame:
-    return changes.select("day", "path", "block").distinct()
+    return changes.select("repo", "day", "path", "block").distinct()
+
+
+def snapshot_at(snaps: DataFrame, day: str) -> DataFrame:
+    """The snapshot of every repository on its last day up to ``day``."""
+    upto = snaps.where(F.col("day") <= day)
+    last = upto.groupBy("repo").agg(F.max("day").alias("day"))
+    return upto.join(last, ["repo", "day"], "left_semi")
 
 
 def day_pairs(days: DataFrame) -> DataFrame:
-    """(before, after): consecutive days. days: day, few by nature (one row for each commit)."""
-    return days.select("day").distinct().withColumn("before", F.lag("day").over(Window.orderBy("day"))).where("before IS NOT NULL").select("before", F.col("day").alias("after"))
+    """(repo, before, after): consecutive days of each repository."""
+    each = Window.partitionBy("repo").orderBy("day")
+    return days.select("repo", "day").distinct().withColumn("before", F.lag("day").over(each)).where("before IS NOT NULL").select("repo", "before", F.col("day").alias("after"))
 
 
-def diff(snaps: DataFrame) -> DataFrame:
-    """(before, after, path, status, before_blocks, after_blocks) of every consecutive pair of days;
-    block sets joined by commas; paths whose blocks stay the same are left out.
+def _sides(snaps: DataFrame) -> DataFrame:
+    """(repo, before, after, path, block, new): each row of a snapshot as 'after' on its day, and as 'before'
+    on the next."""
+    pairs = day_pairs(snaps)
+    after = snaps.withColumnRenamed("day", "after").join(pairs, ["repo", "after"]).withColumn("new", F.lit(True))
+    before = snaps.withColumnRenamed("day", "before").join(pairs, ["repo", "before"]).withColumn("new", F.lit(False))
+    return after.unionByName(before)
+
 
-    Each row of a snapshot counts as 'after' on its day and 'before' on the next, so one aggregation
-    aligns all pairs and no day is gathered anywhere.
+def diff(snaps: DataFrame) -> DataFrame:
+    """(repo, before, after, path, status, before_blocks, after_blocks) of every consecutive pair of days;
+    block sets joined by commas; paths whose blocks stay the same are left out. One aggregation aligns
+    all pairs, so no day is gathered anywhere.
     """
-    pairs = day_pairs(snaps)
-    after = snaps.join(F.broadcast(pairs), snaps["day"] == pairs["after"]).select("before", "after", "path", F.lit(None).cast("string").alias("b"), F.col("block").alias("a"))
-    before = snaps.join(F.broadcast(pairs), snaps["day"] == pairs["before"]).select("before", "after", "path", F.col("block").alias("b"), F.lit(None).cast("string").alias("a"))
-    sets = after.unionByName(before).groupBy("before", "after", "path").agg(F.array_join(F.sort_array(F.collect_set("b")), ",").alias("before_blocks"), F.array_join(F.sort_array(F.collect_set("a")), ",").alias("after_blocks"))
+    blocks = lambda new: F.array_join(F.sort_array(F.collect_set(F.when(F.col("new") == new, F.col("block")))), ",")
+    sets = _sides(snaps).groupBy("repo", "before", "after", "path").agg(blocks(False).alias("before_blocks"), blocks(True).alias("after_blocks"))
     status = F.when(F.col("before_blocks") == "", "A").when(F.col("after_blocks") == "", "D").otherwise("M")
     return sets.where("before_blocks <> after_blocks").withColumn("status", status)
 
 
 def block_delta(snaps: DataFrame) -> DataFrame:
-    """(before, after, block, delta): signed change of each block's file count; zeros left out."""
-    pairs = F.broadcast(day_pairs(snaps))
-    plus = snaps.join(pairs, F.col("day") == F.col("after")).select("before", "after", "block", F.lit(1).alias("d"))
-    minus = snaps.join(pairs, F.col("day") == F.col("before")).select("before", "after", "block", F.lit(-1).alias("d"))
-    return plus.unionByName(minus).groupBy("before", "after", "block").agg(F.sum("d").alias("delta")).where("delta <> 0")
+    """(repo, before, after, block, delta): signed change of each block's file count; zeros left out."""
+    signed = F.sum(F.when(F.col("new"), 1).otherwise(-1)).alias("delta")
+    return _sides(snaps).groupBy("repo", "before", "after", "block").agg(signed).where("delta <> 0")
+
+
+def accumulated_delta(snaps: DataFrame) -> DataFrame:
+    """(repo, after, block, total): the deltas of a block added up over the days, from the first one on."""
+    upto = Window.partitionBy("repo", "block").orderBy("after").rowsBetween(Window.unboundedPreceding, 0)
+    return block_delta(snaps).select("repo", "after", "block", F.sum("delta").over(upto).alias("total"))
 
 
 def temporal_metrics(diffs: DataFrame) -> DataFrame:
-    """Per pair of days: changed files, drifted ones (blocks differ), drift rate, mean coupling."""
+    """Per repository and pair of days: changed files, drifted ones (blocks differ), drift rate, mean coupling."""
     both = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, ",")))
-    out = diffs.groupBy("before", "after").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") == "M").alias("drifted"), F.sum(F.greatest(both("before_blocks"), both("after_blocks"))).alias("coupling_sum"))
+    out = diffs.groupBy("repo", "before", "after").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") == "M").alias("drifted"), F.sum(F.greatest(both("before_blocks"), both("after_blocks"))).alias("coupling_sum"))
     return out.withColumn("drift_rate", F.col("drifted").cast("double") / F.col("files")).withColumn("coupling", F.col("coupling_sum").cast("double") / F.col("files")).drop("coupling_sum")
 
 
 def success_index(diffs: DataFrame) -> DataFrame:
-    """(block, activity, drift, success): 1 - drift / activity for every block that a diff touches."""
+    """(repo, block, activity, drift, success): 1 - drift / activity for every block that a diff touches."""
     touched = diffs.withColumn("block", F.explode(F.array_distinct(F.filter(F.split(F.concat_ws(",", "before_blocks", "after_blocks"), ","), lambda x: x != ""))))
-    out = touched.groupBy("block").agg(F.count(F.lit(1)).alias("activity"), F.count_if(F.col("status") == "M").alias("drift"))
+    out = touched.groupBy("repo", "block").agg(F.count(F.lit(1)).alias("activity"), F.count_if(F.col("status") == "M").alias("drift"))
     return out.withColumn("success", 1 - F.col("drift").cast("double") / F.col("activity"))
 
 
 def direct_drift(diffs: DataFrame) -> DataFrame:
     """Files present on both sides whose blocks differ, at confidence 0.9."""
-    return diffs.where("status = 'M'").select("before", "after", "path", "before_blocks", "after_blocks", F.lit(0.9).alias("confidence"))
+    return diffs.where("status = 'M'").select("repo", "before", "after", "path", "before_blocks", "after_blocks", F.lit(0.9).alias("confidence"))
 
 
-def _move_score(old: str, new: str, before: str, after: str) -> int:
-    a, b = old.rsplit("/", 1)[-1], new.rsplit("/", 1)[-1]
-    score = 3 if a == b else 2 if a.rsplit(".", 1)[0] == b.rsplit(".", 1)[0] else 0
-    return score + bool(set(before.split(",")) & set(after.split(",")) - {""})
+def _stem(path: str) -> tuple[str, str]:
+    name = path.rsplit("/", 1)[-1]
+    return name, name.rsplit(".", 1)[0]
 
 
 def _moves(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Deletions wait by stem and by block; those of a common block only, with the least path, come from
+    heaps, so an addition looks at its namesakes and at a few heads."""
+    blocks = lambda x: set(x.split(",")) - {""}
     gone = pdf[pdf.status == "D"].sort_values("path")
     left = {r.path: r.before_blocks for r in gone.itertuples()}
+    by_stem, by_block = defaultdict(list), defaultdict(list)
+    for path, before in left.items():
+        by_stem[_stem(path)[1]].append(path)
+        for block in blocks(before):
+            by_block[block].append(path)  # in order, which is a heap
     rows = []
     for new in pdf[pdf.status == "A"].sort_values("path").itertuples():
-        best = min(((-_move_score(p, new.path, b, new.after_blocks), p) for p, b in left.items()), default=(0, ""))
-        if best[0] < 0:
-            rows.append((new.before, new.after, best[1], new.path, left.pop(best[1]), new.after_blocks, 0.82))
-    return pd.DataFrame(rows, columns=["before", "after", "old_path", "path", "before_blocks", "after_blocks", "confidence"])
+        name, stem = _stem(new.path)
+        mine = blocks(new.after_blocks)
+        near = [(-(5 if _stem(p)[0] == name else 2) - bool(mine & blocks(left[p])), p) for p in by_stem[stem] if p in left]
+        if not near:
+            for block in mine:
+                heap = by_block[block]
+                while heap and heap[0] not in left:
+                    heapq.heappop(heap)
+                near += [(-1, heap[0])] if heap else []
+        if near and blocks(left[old := min(near)[1]]) != mine:
+            rows.append((new.repo, new.before, new.after, old, new.path, left.pop(old), new.after_blocks, 0.82))
+    return pd.DataFrame(rows, columns=["repo", "before", "after", "old_path", "path", "before_blocks", "after_blocks", "confidence"])
 
 
 def move_drift(diffs: DataFrame) -> DataFrame:
-    """Moves: each added file, by path, takes the best-scored deleted file still free (same name 3,
-    same stem 2, a common block 1). Greedy by definition, so one diff is one group; only adds and
-    deletes of the same stem or block can match.
+    """Moves: each added file, by path, takes the best-scored deleted file still free (same name 5, same
+    stem 2, a common block 1 more), ties by path, if their blocks differ. Greedy by definition, so the additions and deletions of one
+    diff are one group; its cost is near the number of files in it.
     """
-    schema = "before string, after string, old_path string, path string, before_blocks string, after_blocks string, confidence double"
-    return diffs.where("status IN ('A', 'D')").groupBy("before", "after").applyInPandas(_moves, schema)
+    schema = "repo string, before string, after string, old_path string, path string, before_blocks string, after_blocks string, confidence double"
+    return diffs.where("status IN ('A', 'D')").groupBy("repo", "before", "after").applyInPandas(_moves, schema)
 
 
 def known_changes_gate(found: DataFrame, expected: DataFrame) -> DataFrame:
@@ -133,8 +168,3 @@ def last_n(events: DataFrame, n: int, by: str = "user_id") -> DataFrame:
     """The last n events of each group, with their rank from the end."""
     w = Window.partitionBy(by).orderBy(F.desc("ts"), F.desc("event_id"))
     return events.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n)
-
-
-def commit_counts(statuses: list[str]) -> dict[str, int]:
-    """Counts of raw change letters on the driver, for one commit's report."""
-    return dict(Counter(s[:1] for s in statuses))

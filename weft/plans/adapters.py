@@ -61,8 +61,8 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, d: str) -> DataFrame:
-    """Events as changes: day (a commit), path (a user), block (the event's type)."""
-    return table(spark, d, "events").select(F.to_date("ts").cast("string").alias("day"), F.concat(F.lit("src/user_"), F.col("user_id").cast("string"), F.lit(".ts")).alias("path"), F.col("event_type").alias("block"), "event_id", "ts", "value", "user_id")
+    """Events as changes: repo (of four), day (a commit), path (a user), block (the event's type)."""
+    return table(spark, d, "events").select(F.concat(F.lit("repo_"), (F.col("user_id") % 4).cast("string")).alias("repo"), F.to_date("ts").cast("string").alias("day"), F.concat(F.lit("src/user_"), F.col("user_id").cast("string"), F.lit(".ts")).alias("path"), F.col("event_type").alias("block"), "event_id", "ts", "value", "user_id")
 
 
 def assignments(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +89,7 @@ EDGES_SQL = """edges AS (
   UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'supplier:' || l_suppkey, 'DEPENDS_ON' FROM lineitem
   UNION ALL SELECT 'part:' || p_partkey, 'module:' || split_part(p_brand, '/', 1), 'IMPORTS_MODULE' FROM part),
 both_ways AS (SELECT source_id AS src, target_id AS dst, edge_type FROM edges UNION ALL SELECT target_id, source_id, edge_type FROM edges)"""
-CHANGES_SQL = "changes AS (SELECT strftime(ts, '%Y-%m-%d') AS day, 'src/user_' || user_id || '.ts' AS path, event_type AS block, event_id, ts, value, user_id FROM events)"
+CHANGES_SQL = "changes AS (SELECT 'repo_' || user_id % 4 AS repo, strftime(ts, '%Y-%m-%d') AS day, 'src/user_' || user_id || '.ts' AS path, event_type AS block, event_id, ts, value, user_id FROM events)"
 ASSIGN_SQL = "assign AS (SELECT 'customer:' || c_custkey AS node_id, c_mktsegment AS block, least(greatest(c_acctbal, 0.0), 10000.0) / 10000.0 AS confidence FROM customer)"
 
 

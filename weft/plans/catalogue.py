@@ -15,11 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 NODES, EDGES, CHANGES, ASSIGN = A.NODES_SQL, A.EDGES_SQL, A.CHANGES_SQL, A.ASSIGN_SQL
-SNAPS = "snaps AS (SELECT DISTINCT day, path, block FROM changes), pairs AS (SELECT * FROM (SELECT lag(day) OVER (ORDER BY day) AS before, day AS after FROM (SELECT DISTINCT day FROM snaps)) WHERE before IS NOT NULL)"
-DIFFS = """sides AS (
-  SELECT before, after, path, NULL AS b, block AS a FROM snaps JOIN pairs ON day = after
-  UNION ALL SELECT before, after, path, block, NULL FROM snaps JOIN pairs ON day = before),
-sets AS (SELECT before, after, path, coalesce(string_agg(DISTINCT b, ',' ORDER BY b), '') AS before_blocks, coalesce(string_agg(DISTINCT a, ',' ORDER BY a), '') AS after_blocks FROM sides GROUP BY 1, 2, 3),
+SNAPS = """snaps AS (SELECT DISTINCT repo, day, path, block FROM changes),
+pairs AS (SELECT * FROM (SELECT repo, lag(day) OVER (PARTITION BY repo ORDER BY day) AS before, day AS after FROM (SELECT DISTINCT repo, day FROM snaps)) WHERE before IS NOT NULL),
+sides AS (SELECT p.*, path, block, true AS new FROM snaps s JOIN pairs p ON s.repo = p.repo AND day = after UNION ALL SELECT p.*, path, block, false FROM snaps s JOIN pairs p ON s.repo = p.repo AND day = before)"""
+DIFFS = """sets AS (SELECT repo, before, after, path, coalesce(string_agg(DISTINCT block, ',' ORDER BY block) FILTER (NOT new), '') AS before_blocks, coalesce(string_agg(DISTINCT block, ',' ORDER BY block) FILTER (new), '') AS after_blocks FROM sides GROUP BY ALL),
 diffs AS (SELECT *, CASE WHEN before_blocks = '' THEN 'A' WHEN after_blocks = '' THEN 'D' ELSE 'M' END AS status FROM sets WHERE before_blocks <> after_blocks)"""
 
 
@@ -602,64 +601,78 @@ def mc_stats(spark, d):
 # history
 
 
-@query(f"WITH {CHANGES} SELECT block, count(*) AS changes FROM (SELECT DISTINCT day, path, block FROM changes) GROUP BY 1")
+@query(f"WITH {CHANGES} SELECT block, count(*) AS changes FROM (SELECT DISTINCT repo, day, path, block FROM changes) GROUP BY 1")
 def block_churn(spark, d):
     return temporal.churn(A.changes(spark, d))
 
 
-@query(f"WITH {CHANGES} SELECT path, count(*) AS changes FROM changes GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")
+@query(f"WITH {CHANGES} SELECT repo, path, count(*) AS changes FROM changes GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 100")
 def hotspots(spark, d):
     return temporal.hotspots(A.changes(spark, d))
 
 
-@query(f"WITH {CHANGES}, c AS (SELECT count(*) AS n FROM changes GROUP BY path) SELECT max(n) AS top, CAST(sum(n) AS BIGINT) AS total, CAST(max(n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS concentration FROM c")
+@query(f"WITH {CHANGES}, c AS (SELECT repo, count(*) AS n FROM changes GROUP BY repo, path) SELECT repo, max(n) AS top, CAST(sum(n) AS BIGINT) AS total, CAST(max(n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS concentration FROM c GROUP BY repo")
 def hotspot_share(spark, d):
     return temporal.hotspot_share(A.changes(spark, d))
 
 
-@query(f"WITH {CHANGES}, {SNAPS} SELECT before, after FROM pairs")
+@query(f"WITH {CHANGES}, {SNAPS} SELECT repo, before, after FROM pairs")
 def lag_pairs(spark, d):
     return temporal.day_pairs(A.changes(spark, d))
 
 
-@query(f"WITH {CHANGES}, {SNAPS}, {DIFFS} SELECT before, after, path, before_blocks, after_blocks, status FROM diffs")
+@query(f"WITH {CHANGES}, {SNAPS}, mid AS (SELECT min(day) AS m FROM (SELECT day FROM snaps ORDER BY day DESC LIMIT 500)) SELECT repo, day, path, block FROM snaps s WHERE day = (SELECT max(day) FROM snaps t WHERE t.repo = s.repo AND t.day <= (SELECT m FROM mid))")
+def snapshot_at(spark, d):
+    snaps = temporal.snapshots(A.changes(spark, d))
+    return temporal.snapshot_at(snaps, snaps.orderBy(F.desc("day")).limit(500).agg(F.min("day")).first()[0])
+
+
+@query(f"WITH {CHANGES}, {SNAPS}, {DIFFS} SELECT repo, before, after, path, before_blocks, after_blocks, status FROM diffs")
 def snapshot_align(spark, d):
     return temporal.diff(temporal.snapshots(A.changes(spark, d)))
 
 
-@query(f"WITH {CHANGES}, {SNAPS}, x AS (SELECT before, after, block, 1 AS dlt FROM snaps JOIN pairs ON day = after UNION ALL SELECT before, after, block, -1 FROM snaps JOIN pairs ON day = before) SELECT before, after, block, CAST(sum(dlt) AS BIGINT) AS delta FROM x GROUP BY 1, 2, 3 HAVING sum(dlt) <> 0")
+DELTA_SQL = f"WITH {CHANGES}, {SNAPS}, delta AS (SELECT repo, before, after, block, CAST(sum(CASE WHEN new THEN 1 ELSE -1 END) AS BIGINT) AS delta FROM sides GROUP BY ALL HAVING delta <> 0)"
+
+
+@query(DELTA_SQL + " SELECT * FROM delta")
 def diff_delta(spark, d):
     return temporal.block_delta(temporal.snapshots(A.changes(spark, d)))
 
 
-@query(f"""WITH {CHANGES}, {SNAPS}, {DIFFS} SELECT before, after, count(*) AS files, count(*) FILTER (status = 'M') AS drifted, CAST(count(*) FILTER (status = 'M') AS DOUBLE) / count(*) AS drift_rate,
-CAST(sum(greatest(CASE WHEN before_blocks = '' THEN 0 ELSE len(string_split(before_blocks, ',')) END, CASE WHEN after_blocks = '' THEN 0 ELSE len(string_split(after_blocks, ',')) END)) AS DOUBLE) / count(*) AS coupling FROM diffs GROUP BY 1, 2""")
+@query(DELTA_SQL + " SELECT repo, after, block, CAST(sum(delta) OVER (PARTITION BY repo, block ORDER BY after) AS BIGINT) AS total FROM delta")
+def delta_accumulated(spark, d):
+    return temporal.accumulated_delta(temporal.snapshots(A.changes(spark, d)))
+
+
+@query(f"""WITH {CHANGES}, {SNAPS}, {DIFFS} SELECT repo, before, after, count(*) AS files, count(*) FILTER (status = 'M') AS drifted, CAST(count(*) FILTER (status = 'M') AS DOUBLE) / count(*) AS drift_rate,
+CAST(sum(greatest(CASE WHEN before_blocks = '' THEN 0 ELSE len(string_split(before_blocks, ',')) END, CASE WHEN after_blocks = '' THEN 0 ELSE len(string_split(after_blocks, ',')) END)) AS DOUBLE) / count(*) AS coupling FROM diffs GROUP BY ALL""")
 def temporal_metrics(spark, d):
     return temporal.temporal_metrics(temporal.diff(temporal.snapshots(A.changes(spark, d))))
 
 
-@query(f"""WITH {CHANGES}, {SNAPS}, {DIFFS}, t AS (SELECT status, unnest(list_distinct(list_filter(string_split(before_blocks || ',' || after_blocks, ','), lambda x: x <> ''))) AS block FROM diffs)
-SELECT block, count(*) AS activity, count(*) FILTER (status = 'M') AS drift, 1 - CAST(count(*) FILTER (status = 'M') AS DOUBLE) / count(*) AS success FROM t GROUP BY 1""")
+@query(f"""WITH {CHANGES}, {SNAPS}, {DIFFS}, t AS (SELECT repo, status, unnest(list_distinct(list_filter(string_split(before_blocks || ',' || after_blocks, ','), lambda x: x <> ''))) AS block FROM diffs)
+SELECT repo, block, count(*) AS activity, count(*) FILTER (status = 'M') AS drift, 1 - CAST(count(*) FILTER (status = 'M') AS DOUBLE) / count(*) AS success FROM t GROUP BY ALL""")
 def success_index(spark, d):
     return temporal.success_index(temporal.diff(temporal.snapshots(A.changes(spark, d))))
 
 
-@query(f"WITH {CHANGES}, {SNAPS}, {DIFFS} SELECT before, after, path, before_blocks, after_blocks, 0.9::DOUBLE AS confidence FROM diffs WHERE status = 'M'")
+@query(f"WITH {CHANGES}, {SNAPS}, {DIFFS} SELECT repo, before, after, path, before_blocks, after_blocks, 0.9::DOUBLE AS confidence FROM diffs WHERE status = 'M'")
 def drift(spark, d):
     return temporal.direct_drift(temporal.diff(temporal.snapshots(A.changes(spark, d))))
 
 
 @query()
 def drift_moves(spark, d):
-    """Greedy matching of adds and deletes; checked against a plain loop in the tests."""
+    """Greedy matching of additions and deletions; the tests compare it with a plain loop on random diffs."""
     return temporal.move_drift(temporal.diff(temporal.snapshots(A.changes(spark, d))))
 
 
-@query(f"""WITH {CHANGES}, {SNAPS}, {DIFFS}, f AS (SELECT before, after, path FROM diffs WHERE status = 'M'), e AS (SELECT before, after, path FROM diffs WHERE status = 'M' AND path <> 'src/user_1.ts'),
+@query(f"""WITH {CHANGES}, {SNAPS}, {DIFFS}, f AS (SELECT repo, before, after, path FROM diffs WHERE status = 'M'), e AS (SELECT * FROM f WHERE path <> 'src/user_1.ts'),
 m AS (SELECT (SELECT count(*) FROM (FROM e EXCEPT ALL FROM f)) AS missing, (SELECT count(*) FROM (FROM f EXCEPT ALL FROM e)) AS unexpected)
 SELECT missing, unexpected, CASE WHEN missing = 0 AND unexpected = 0 THEN 'pass' ELSE 'fail' END AS status FROM m""")
 def gate_known_changes(spark, d):
-    found = temporal.direct_drift(temporal.diff(temporal.snapshots(A.changes(spark, d)))).select("before", "after", "path")
+    found = temporal.direct_drift(temporal.diff(temporal.snapshots(A.changes(spark, d)))).select("repo", "before", "after", "path")
     return temporal.known_changes_gate(found, found.where("path <> 'src/user_1.ts'"))
 
 
