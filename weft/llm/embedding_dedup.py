@@ -4,12 +4,15 @@ In every pass a vector's key is the concatenated signs of its products with rand
 Vectors are ordered lexicographically by key, each is compared with the WINDOW before it, and pairs
 that reach the threshold are verified links. Near vectors share the first bits with a good chance,
 so over enough passes with fresh directions few links stay unseen; links of all passes are united
-to components. How many passes are enough is found from the number of vectors (passes_for).
+to components. How many passes are enough is found from the number of vectors (passes_for). Passes
+move vectors in single precision and compare them with SLACK below the threshold.
 
-A window is a cap, so it only decides which components exist: inside a component all pairs are then
-compared, in tiles of TILE x TILE vectors that give link counts and never emit pairs. Equal vectors
-are one class with a multiplicity and take up one place in windows and tiles. Neighbours on both
-sides of a boundary between sorted partitions are compared too, however few rows a partition holds.
+A window is a cap, so it only decides which vectors are compared further: inside a component all pairs
+are then compared in double precision, in tiles of TILE x TILE vectors that give link counts and the
+links that connect the tile's vectors, never all pairs. These links make the components that are
+returned. Equal vectors are one class with a multiplicity and take up one place in windows and tiles.
+Neighbours on both sides of a boundary between sorted partitions are compared too, however few rows a
+partition holds.
 
 Recall: a pair at cosine c shares a first bit with probability s = 1 - acos(c) / pi, and about
 n / 2^r of n vectors share r first bits, so a pass finds it with probability s^r at least where
@@ -17,7 +20,8 @@ n / 2^r of n vectors share r first bits, so a pass finds it with probability s^r
 1 - RECALL, which grows with n to the power 0.22 at 0.9; vectors are moved that many times.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with
-nothing; vectors of different lengths never link; repeated rows count as vectors of their own.
+nothing; vectors of different lengths never link; repeated rows count as vectors of their own; of ties
+the smallest vec_id stays; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -37,7 +41,9 @@ from weft.llm._components import components, union
 from weft.llm._shared import cut, shuffle_partitions
 
 #: PASSES at least, and more where RECALL of a pair at the threshold needs them.
-PASSES, BITS, WINDOW, TILE, RECALL = 16, 128, 32, 512, 0.999
+PASSES, BITS, WINDOW, TILE, RECALL = 16, 128, 32, 2048, 0.999
+#: How far below the threshold a product in single precision still counts as a candidate.
+SLACK = 1e-4
 _ROWS = "pass int, key binary, id bigint, vec binary"
 
 
@@ -82,7 +88,7 @@ def _keys(passes: int):
                 by_size.setdefault(len(x), []).append(i)
             for size, rows in by_size.items():
                 vectors = np.frombuffer(b"".join(raw[i] for i in rows), np.float64).reshape(len(rows), -1)
-                ids, vecs = batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))
+                ids, vecs = batch.column(0).take(pa.array(rows)), pa.array([x.tobytes() for x in vectors.astype(np.float32)], pa.binary())
                 for p in range(passes):
                     bits = np.packbits(vectors @ _directions(p, vectors.shape[1]) > 0, axis=1)
                     head = size.to_bytes(4, "big")
@@ -92,15 +98,15 @@ def _keys(passes: int):
 
 
 def near_pairs(run: np.ndarray, ids: np.ndarray, vecs: list[bytes], fresh: int, window: int, threshold: float) -> np.ndarray:
-    """Pairs at most ``window`` apart in order, of one run, that reach the threshold; the later of
+    """Pairs at most ``window`` apart in order, of one run, that may reach the threshold; the later of
     a pair is at ``fresh`` or after."""
     found = []
     sizes = np.array([len(v) for v in vecs])
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
-        x = np.frombuffer(b"".join(vecs[i] for i in at), np.float64).reshape(len(at), -1)
+        x = np.frombuffer(b"".join(vecs[i] for i in at), np.float32).reshape(len(at), -1)
         for s in range(1, min(window, len(at) - 1) + 1):
-            near = (np.einsum("ij,ij->i", x[s:], x[:-s]) >= threshold) & (run[at[s:]] == run[at[:-s]]) & (at[s:] >= fresh)
+            near = (np.einsum("ij,ij->i", x[s:], x[:-s]) >= threshold - SLACK) & (run[at[s:]] == run[at[:-s]]) & (at[s:] >= fresh)
             found.append(np.stack([ids[at[:-s]][near], ids[at[s:]][near]], 1))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
@@ -167,20 +173,28 @@ def _across(window: int, threshold: float):
 
 
 def _counted(threshold: float):
+    """The links of each vector in a tile, and links that connect its vectors as they are."""
+
     def run(table: pa.Table) -> pa.Table:
         tile, n, ids = table["tile"].to_numpy(), table["n"].to_numpy(), table["id"].to_numpy()
         size = np.array([len(v.as_py()) for v in table["vec"]])
-        links = np.zeros(len(ids), np.int64)
+        same = table["i"][0].as_py() == table["j"][0].as_py()
+        links, edges = np.zeros(len(ids), np.int64), np.zeros((0, 2), np.int64)
         for s in np.unique(size):
             at = np.flatnonzero(size == s)
             x = np.frombuffer(b"".join(table["vec"][int(i)].as_py() for i in at), np.float64).reshape(len(at), -1)
-            near = x @ x.T >= threshold
-            if table["i"][0].as_py() == table["j"][0].as_py():
-                np.fill_diagonal(near, False)
-            else:
-                near &= tile[at][:, None] != tile[at][None, :]
-            links[at] = near @ n[at]
-        return pa.table({"id": ids, "links": links})
+            for row in range(0, len(at), 512):
+                some = np.arange(row, min(row + 512, len(at)))
+                near = x[some] @ x.T >= threshold
+                near &= some[:, None] != np.arange(len(at))[None, :] if same else tile[at[some]][:, None] != tile[at][None, :]
+                links[at[some]] = near @ n[at]
+                found = np.argwhere(near)
+                if len(found):
+                    edges = union(np.concatenate([edges, np.stack([ids[at[some[found[:, 0]]]], ids[at[found[:, 1]]]], 1)]))
+        none = pa.nulls(len(ids), pa.int64())
+        counts = pa.table({"id": ids, "links": links, "a": none, "b": none})
+        none = pa.nulls(len(edges), pa.int64())
+        return pa.concat_tables([counts, pa.table({"id": none, "links": none, "a": edges[:, 0], "b": edges[:, 1]})])
 
     return run
 
@@ -203,14 +217,15 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.9, passes: int | N
         moved = tails.join(named_edges, "edge").withColumn("place", F.col("place") - (F.col("later") - F.col("edge")) * window)
         beside = beside.union(moved.select("a", "b", F.col("later").alias("edge"), "place", "pass", "id", "vec"))
     across = beside.groupBy("edge").applyInArrow(_across(window, threshold), "a bigint, b bigint")
-    label = cut(components(found.where("a IS NOT NULL").select("a", "b").union(across)))
-    members = label.union(label.select(F.col("component").alias("id"), "component").distinct()).join(reps, "id")
+    near = cut(components(found.where("a IS NOT NULL").select("a", "b").union(across)))
+    members = near.union(near.select(F.col("component").alias("id"), "component").distinct()).join(reps, "id")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("g"))
     tiled = members.join(sizes, "component").withColumn("tiles", F.ceil(F.col("g") / TILE).cast("int"))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("component", "id", "vec", "n", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-    links = tiled.groupBy("component", "i", "j").applyInArrow(_counted(threshold), "id bigint, links bigint")
-    links = links.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links")).join(label.withColumnRenamed("id", "rep"), "rep", "left")
+    compared = cut(tiled.groupBy("component", "i", "j").applyInArrow(_counted(threshold), "id bigint, links bigint, a bigint, b bigint"))
+    label = components(compared.where("a IS NOT NULL").select("a", "b"))
+    links = compared.where("id IS NOT NULL").groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links")).join(label.withColumnRenamed("id", "rep"), "rep", "left")
     out = named.join(links, "rep", "left")
     component = F.coalesce("component", "rep", "vec_id")
     return out.select("vec_id", F.coalesce(F.col("n") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
