@@ -294,6 +294,22 @@ def integrity_checks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def phase_metrics(nodes: DataFrame, edges: DataFrame, assignments: DataFrame, changes: DataFrame) -> DataFrame:
+    """(phase, metric, value) of a project, one row a metric; each table is read once. assignments:
+    node_id, block, confidence; changes: path."""
+    of = lambda df, phase, **metrics: df.agg(F.array(*(F.struct(F.lit(phase).alias("phase"), F.lit(m).alias("metric"), v.cast("double").alias("value")) for m, v in metrics.items())).alias("x")).select(F.inline("x"))
+    every = F.count(F.lit(1))
+    code = nodes.where("layer = 'code'").agg(every.alias("n_code"))
+    parts = [
+        of(nodes, "ingest", nodes=every, files=F.count_if(F.col("layer") == "file")),
+        of(edges, "graph", edges=every, edge_types=F.count_distinct("edge_type")),
+        of(dangling_edges(nodes, edges), "graph", dangling=every),
+        of(assignments.join(F.broadcast(code)), "classify", assigned=every, blocks=F.count_distinct("block"), coverage=every / F.max("n_code"), confidence=F.round(F.avg("confidence"), 9)),
+        of(changes, "history", changes=every, paths=F.count_distinct("path")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def ranked(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group, with their rank."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)

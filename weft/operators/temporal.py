@@ -42,6 +42,11 @@ def snapshot_at(snaps: DataFrame, day: str) -> DataFrame:
     return upto.join(last, ["repo", "day"], "left_semi")
 
 
+def block_files(snaps: DataFrame) -> DataFrame:
+    """(repo, day, block, files): how many files have each block in each snapshot."""
+    return snaps.groupBy("repo", "day", "block").agg(F.count(F.lit(1)).alias("files"))
+
+
 def day_pairs(days: DataFrame) -> DataFrame:
     """(repo, before, after): consecutive days of each repository."""
     each = Window.partitionBy("repo").orderBy("day")

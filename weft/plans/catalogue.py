@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import ids
-from weft.operators import classify, evaluation, evidence, graph, retrieval, temporal
+from weft.operators import classify, evaluation, evidence, graph, retrieval, simulate, temporal
 from weft.plans import adapters as A
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from weft.plans import project  # noqa: F401  (registers its queries)
+from weft.plans.registry import ORACLE_SQL, QUERIES, query
 
 NODES, EDGES, CHANGES, ASSIGN = A.NODES_SQL, A.EDGES_SQL, A.CHANGES_SQL, A.ASSIGN_SQL
 SNAPS = """snaps AS (SELECT DISTINCT repo, day, path, block FROM changes),
@@ -22,18 +18,6 @@ DIFFS = """sets AS (SELECT repo, before, after, path, coalesce(string_agg(DISTIN
 diffs AS (SELECT *, CASE WHEN before_blocks = '' THEN 'A' WHEN after_blocks = '' THEN 'D' ELSE 'M' END AS status FROM sets WHERE before_blocks <> after_blocks)"""
 
 
-def query(sql: str | None = None):
-    """Registers a function (spark, sf_dir) -> DataFrame under its name, with its SQL if there is one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # lookups, filters, joins
 
 
@@ -598,6 +582,17 @@ def mc_stats(spark, d):
     return stats.select(*(F.round(c, 6).alias(c) for c in stats.columns))
 
 
+IMPACT_SEEDS = ("customer:1", "customer:2", "order:3")
+
+
+@query(MC_SQL.replace("SELECT run, 'customer:7', 0 FROM range(64) t(run)", "SELECT run, s, 0 FROM range(64) t(run), (VALUES ('customer:1'), ('customer:2'), ('order:3')) x(s)").split("SELECT CAST(run AS INTEGER)")[0]
+       + f"SELECT node_id, count(*) AS hits, any_value(file_path) AS file_path FROM r JOIN (WITH {NODES} SELECT node_id, file_path FROM nodes WHERE layer = 'code') USING (node_id) GROUP BY node_id")
+def change_simulation(spark, d):
+    weighted = _overlay(spark, d).select("source_id", "target_id", F.col("adjusted_weight").alias("weight"))
+    starts = spark.createDataFrame([(x,) for x in IMPACT_SEEDS], "node_id string")
+    return simulate.simulate(A.nodes(spark, d), weighted, starts)[0]
+
+
 # history
 
 
