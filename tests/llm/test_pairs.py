@@ -234,7 +234,7 @@ def test_parities_never_part_alike_lines():
         b = np.array(b, np.uint32)
         if line_dedup.edit_alike(a, b):
             assert line_dedup.parities_alike(line_dedup.parity(a), line_dedup.parity(b), len(a), len(b), 80)
-            assert line_dedup.parities_may([a, b], 80).all()
+            assert line_dedup.parities_may([a, b], 80)(0).all()
 
 
 def test_vector_recall_holds_as_vectors_get_many(spark):

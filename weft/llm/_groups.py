@@ -29,12 +29,12 @@ TILE = 1024
 @dataclass(frozen=True)
 class Alike:
     """many: which of the pairs of two lists of values are alike. all: the same for all pairs of a
-    list, as a matrix, where there is a quicker way. may: a matrix of the pairs of a list that need be
-    compared. kind: the type of the values."""
+    list, as a matrix, where there is a quicker way. may: for a list, a function that gives for each place
+    which others need be compared with it. kind: the type of the values."""
 
     many: Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray]
     all: Callable[[list[np.ndarray]], np.ndarray] | None = None
-    may: Callable[[list[np.ndarray]], np.ndarray] | None = None
+    may: Callable[[list[np.ndarray]], Callable[[int], np.ndarray]] | None = None
     kind: type = np.uint64
 
     def values(self, column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
@@ -51,27 +51,33 @@ def _verified(alike: Alike):
     return run
 
 
+def _linked(alike: Alike, values: list[np.ndarray], group: np.ndarray, may: np.ndarray) -> list[tuple[int, int]]:
+    """Places of pairs that are alike and connect groups, row by row; pairs that are connected by then
+    aren't compared."""
+    likely, out = alike.may(values) if alike.may else None, []
+    for p in range(len(values)):
+        open_ = np.flatnonzero(may[p] & (group != group[p]) & (likely(p) if likely else True))
+        while len(open_):
+            some, open_ = open_[:64], open_[64:]
+            some = some[alike.many([values[p]] * len(some), [values[q] for q in some])]
+            if len(some):
+                out += [(p, int(q)) for q in some]
+                group[np.isin(group, group[some])] = group[p]
+                open_ = open_[group[open_] != group[p]]
+    return out
+
+
 def _tile(alike: Alike):
     def run(table: pa.Table) -> pa.Table:
         doc, label, tile, led = (table[c].to_numpy() for c in ("doc", "label", "tile", "led"))
         values = alike.values(table["values"])
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         side = led if i < 0 else tile
-        may = (label[:, None] != label[None, :]) & ((i == j) | (side[:, None] != side[None, :])) & (doc[:, None] < doc[None, :])
-        if alike.all:
-            at = np.argwhere(may & alike.all(values))
-            links = np.stack([doc[at[:, 0]], doc[at[:, 1]]], 1)
-        else:
-            at, found, group = np.argwhere(may & alike.may(values) if alike.may else may), [np.zeros((0, 2), np.int64)], label.copy()
-            while len(at):
-                some, at = at[:2048], at[2048:]
-                some = some[alike.many([values[p] for p, _ in some], [values[q] for _, q in some])]
-                found.append(np.stack([doc[some[:, 0]], doc[some[:, 1]]], 1))
-                if len(some):  # pairs that are connected by now needn't be compared
-                    to = dict(union(np.stack([group[some[:, 0]], group[some[:, 1]]], 1)).tolist())
-                    group = np.array([to.get(x, x) for x in group.tolist()])
-                    at = at[group[at[:, 0]] != group[at[:, 1]]]
-            links = np.concatenate(found)
+        may = (label[:, None] != label[None, :]) & (doc[:, None] < doc[None, :])
+        if i != j:
+            may &= side[:, None] != side[None, :]
+        at = np.argwhere(may & alike.all(values)) if alike.all else np.array(_linked(alike, values, label.copy(), may | may.T), np.int64).reshape(-1, 2)
+        links = np.stack([doc[at[:, 0]], doc[at[:, 1]]], 1)
         made = union(links) if len(links) else links
         return pa.table({"a": made[:, 0].astype(np.int64), "b": made[:, 1].astype(np.int64)})
 
