@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.operators import correlate, gold, graph, semantic, simulate, temporal
+from weft.operators import canonical, correlate, gold, graph, semantic, simulate, symbols, temporal
 from weft.plans import adapters as A
 from weft.plans.registry import query
 
@@ -214,3 +214,127 @@ def phase_metrics_long(spark, d):
 @query(f"WITH {A.CHANGES_SQL} SELECT repo, day, block, count(*) AS files FROM (SELECT DISTINCT repo, day, path, block FROM changes) GROUP BY ALL")
 def snapshot_blocks(spark, d):
     return temporal.block_files(temporal.snapshots(A.changes(spark, d)))
+
+
+# symbol index: lines of orders are occurrences, parts are the nodes that they may define
+
+
+def _occurrences(spark, d):
+    s = F.col("l_suppkey") % 97
+    token = F.when(F.col("l_linenumber") == 5, "").otherwise(F.concat(F.lit("n"), (s % 40).cast("string")))
+    return A.table(spark, d, "lineitem").select(F.concat(F.lit("src/p"), (F.col("l_partkey") % 50).cast("string"), F.lit(".ts")).alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.when(s % 10 == 9, "local s").otherwise("s"), s.cast("string")).alias("symbol"), F.when(F.col("l_linenumber") % 3 == 1, 1).otherwise(8).alias("roles"), F.col("l_quantity").cast("int").alias("line"), token.alias("token"))
+
+
+def _info(spark, d):
+    s = A.table(spark, d, "supplier").select((F.col("s_suppkey") % 97).alias("s")).distinct()
+    rows = s.select(F.concat(F.when(F.col("s") % 10 == 9, "local s").otherwise("s"), F.col("s").cast("string")).alias("symbol"), F.when(F.col("s") % 6 != 5, F.concat(F.lit("n"), (F.col("s") % 70).cast("string"))).alias("display_name"), A._turn(("Class", "Method", "Parameter", "Variable"), F.col("s")).alias("kind"))
+    return symbols.symbol_information(rows, rows.where("symbol LIKE 's1%'").withColumn("kind", F.lit("Interface")))
+
+
+def _code(spark, d):
+    k = F.col("p_partkey")
+    start = F.col("p_size") % 25
+    return A.table(spark, d, "part").select(F.concat(F.lit("part:"), k.cast("string")).alias("node_id"), F.concat(F.lit("n"), (k % 30).cast("string")).alias("label"), F.concat(F.lit("src/p"), (k % 50).cast("string"), F.lit(".ts")).alias("path"), start.alias("start_line"), (start + k % 17 * F.when(k % 23 == 0, 60).otherwise(1)).alias("end_line"), (k % 5).alias("start_col"))
+
+
+SYMBOLS_SQL = f"""occ AS (SELECT 'src/p' || (l_partkey % 50) || '.ts' AS path, l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_suppkey % 97 % 10 = 9 THEN 'local s' ELSE 's' END || (l_suppkey % 97) AS symbol, l_linenumber % 3 = 1 AS def, CAST(l_quantity AS INTEGER) AS line,
+  CASE WHEN l_linenumber = 5 THEN '' ELSE 'n' || (l_suppkey % 97 % 40) END AS token FROM lineitem),
+raw AS (SELECT DISTINCT s_suppkey % 97 AS s FROM supplier),
+info AS (SELECT CASE WHEN s % 10 = 9 THEN 'local s' ELSE 's' END || s AS symbol, CASE WHEN s % 6 <> 5 THEN 'n' || (s % 70) END AS display_name, CASE WHEN s % 10 <> 9 AND CAST(s AS VARCHAR) LIKE '1%' THEN 'Interface' ELSE {A._turn_sql(("Class", "Method", "Parameter", "Variable"), "s")} END AS kind FROM raw),
+code AS (SELECT 'part:' || p_partkey AS node_id, 'n' || (p_partkey % 30) AS label, 'src/p' || (p_partkey % 50) || '.ts' AS path, p_size % 25 AS start_line, p_size % 25 + p_partkey % 17 * CASE WHEN p_partkey % 23 = 0 THEN 60 ELSE 1 END AS end_line, p_partkey % 5 AS start_col FROM part),
+d AS (SELECT path, ord, o.symbol, line, CASE WHEN token <> '' THEN token ELSE coalesce(display_name, '') END AS token FROM occ o LEFT JOIN info USING (symbol) WHERE def),
+ranked AS (SELECT d.*, c.node_id, row_number() OVER (PARTITION BY d.path, ord, symbol ORDER BY NOT coalesce(line BETWEEN start_line AND end_line, false), end_line - start_line, start_col, c.node_id) AS k FROM d LEFT JOIN code c ON c.path = d.path AND c.label = d.token),
+defs AS (SELECT path, ord, symbol, token, node_id FROM ranked WHERE k = 1),
+names AS (SELECT node_id, arg_max(symbol, ord) AS symbol FROM defs WHERE node_id IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"WITH {SYMBOLS_SQL} SELECT path, ord, symbol, token, coalesce(node_id, '') AS node_id FROM defs")
+def scip_definitions(spark, d):
+    return symbols.definitions(_occurrences(spark, d), _code(spark, d), _info(spark, d)).withColumn("node_id", F.coalesce("node_id", F.lit("")))
+
+
+def _consumed(spark, d):
+    info = _info(spark, d)
+    return symbols.definitions(_occurrences(spark, d), _code(spark, d), info), info
+
+
+@query(f"WITH {SYMBOLS_SQL} SELECT * FROM names")
+def scip_resolved(spark, d):
+    return symbols.resolved(_consumed(spark, d)[0])
+
+
+@query(f"""WITH {SYMBOLS_SQL} SELECT DISTINCT path, d.symbol, coalesce(display_name, '') AS display_name, coalesce(kind, '') AS kind, d.symbol NOT LIKE 'local %' AND coalesce(display_name, '') <> '' AND coalesce(kind, '') IN ('Class', 'Method', 'Variable', 'Interface') AS addressable
+FROM defs d LEFT JOIN info USING (symbol) WHERE node_id IS NULL""")
+def scip_orphans(spark, d):
+    defined, info = _consumed(spark, d)
+    return symbols.orphans(defined, info).withColumn("kind", F.coalesce("kind", F.lit("")))
+
+
+@query(f"""WITH {SYMBOLS_SQL}, pts AS (SELECT DISTINCT path, line, symbol FROM occ WHERE NOT def), foreign_ AS (SELECT 's' || (s_suppkey % 97) AS symbol, 'repo_' || (s_suppkey % 3) AS repo, 'x:' || s_suppkey AS node_id, s_suppkey AS ord FROM supplier),
+f AS (SELECT symbol, arg_min(node_id, ord) AS fid, arg_min(repo, ord) AS frepo FROM foreign_ WHERE repo <> 'repo_0' GROUP BY 1),
+w AS (SELECT p.*, c.node_id, row_number() OVER (PARTITION BY p.path, line, symbol ORDER BY end_line - start_line, start_col, c.node_id) AS k FROM pts p LEFT JOIN code c ON c.path = p.path AND line BETWEEN start_line AND end_line),
+x AS (SELECT w.*, fid, frepo, w.symbol NOT IN (SELECT symbol FROM names) AND fid IS NOT NULL AND node_id IS NOT NULL AS foreign_hit FROM w LEFT JOIN f USING (symbol) WHERE k = 1)
+SELECT DISTINCT coalesce(node_id, 'repo://repo_0/' || path) AS source_id, CASE WHEN foreign_hit THEN fid ELSE symbol END AS target_id, CASE WHEN foreign_hit THEN 'CROSS_REFERENCE' ELSE 'REFERENCES' END AS edge_type, CASE WHEN foreign_hit THEN frepo ELSE '' END AS target_repo,
+  CASE WHEN node_id IS NULL THEN 'scip_file_fallback' WHEN foreign_hit THEN 'scip_cross_repo' ELSE 'scip_reference_code' END AS provenance FROM x""")
+def scip_references(spark, d):
+    defined, _ = _consumed(spark, d)
+    k = F.col("s_suppkey")
+    foreign = A.table(spark, d, "supplier").select(F.concat(F.lit("s"), (k % 97).cast("string")).alias("symbol"), F.concat(F.lit("repo_"), (k % 3).cast("string")).alias("repo"), F.concat(F.lit("x:"), k.cast("string")).alias("node_id"), k.alias("ord"))
+    known = symbols.resolved(defined).select("symbol").distinct()
+    return symbols.references(_occurrences(spark, d), _code(spark, d), known, foreign, "repo_0").withColumn("target_repo", F.coalesce("target_repo", F.lit("")))
+
+
+@query(f"WITH {SYMBOLS_SQL} SELECT path, count(*) AS occurrences, count(*) FILTER (def) AS definitions, count(*) FILTER (NOT def) AS references, count(DISTINCT symbol) AS symbols FROM occ GROUP BY 1".replace("AS references", 'AS "references"'))
+def scip_documents(spark, d):
+    return symbols.document_counts(_occurrences(spark, d))
+
+
+def _canonical(spark, d):
+    nodes, edges = A.nodes(spark, d), A.edges(spark, d)
+    texts, assigned, found = A.text_nodes(spark, d), A.text_assignments(spark, d), _entities(spark, d)
+    files = _files(spark, d)
+    tests = correlate.test_files(files).select(F.concat(F.lit("test:"), "path").alias("node_id"), F.lit("test").alias("kind"), "path")
+    code = texts.select("node_id", F.lit("code").alias("layer"), "kind", "label", "file_path", F.lit("docs").alias("repo_name"), F.lit("scip").alias("symbol_source"))
+    return canonical.canonical([
+        canonical.project(nodes, "docs"),
+        canonical.structure(nodes.withColumn("symbol_source", F.lit("tree_sitter")), edges.withColumn("repo_name", F.lit("docs"))),
+        canonical.structure(code, edges.limit(0).withColumn("repo_name", F.lit("docs"))),
+        canonical.summaries(texts.select("node_id", F.lit("code_node").alias("summary_type")).unionByName(texts.limit(1).select(F.lit("lost").alias("node_id"), F.lit("project").alias("summary_type"))), "docs"),
+        canonical.blocks(assigned, "docs"),
+        canonical.entities(found, semantic.actions(texts, assigned, found), "docs"),
+        canonical.others(tests, correlate.tests_to_sources(files), "docs"),
+        canonical.snapshots(A.changes(spark, d).select(F.col("day").alias("sha")).distinct().withColumn("subject", F.lit(None).cast("string")), "docs"),
+    ])
+
+
+CANONICAL_SQL = f"""{ENTITIES_SQL}, {A.NODES_SQL}, {A.EDGES_SQL}, {A.CHANGES_SQL}, {FILES_SQL},
+acts AS (SELECT n.node_id, e.entity_id, lower(label || ' ' || file_path || ' ' || substr(content, 1, 2000)) AS low, row_number() OVER (PARTITION BY n.node_id ORDER BY list_contains(names, e.name) DESC, e.n DESC, e.name) AS k FROM named n JOIN text_assign a USING (node_id) JOIN ents e ON e.category = a.primary_block),
+tests AS (SELECT DISTINCT path, regexp_replace(path, '(\\.test|\\.spec)\\.ts$', '.ts') AS plain FROM files WHERE path LIKE '%.test.ts' OR path LIKE '%.spec.ts'),
+src AS (SELECT DISTINCT path, regexp_replace(split_part(path, '/', -1), '\\.ts$', '') AS stem FROM files WHERE path NOT LIKE '%.test.%' AND path NOT LIKE '%.spec.%'),
+beside AS (SELECT t.path, plain AS target FROM tests t WHERE plain IN (SELECT path FROM files)),
+guess AS (SELECT t.path, min(s.path) AS target FROM tests t JOIN src s ON s.stem = regexp_replace(split_part(plain, '/', -1), '\\.ts$', '') WHERE t.path NOT IN (SELECT path FROM beside) GROUP BY 1),
+all_nodes AS (SELECT 0 AS w, 'system:local' AS node_id, 'system' AS layer, 'system' AS kind UNION ALL SELECT 0, 'project:docs', 'project', 'project' UNION ALL SELECT 1, node_id, layer, kind FROM nodes UNION ALL SELECT 2, node_id, 'code', kind FROM text_nodes
+  UNION ALL SELECT 3, 'summary:code_node:' || node_id, 'semantic', 'code_node_summary' FROM text_nodes UNION ALL SELECT 3, 'summary:project:lost', 'semantic', 'project_summary'
+  UNION ALL SELECT 4, 'semantic:' || node_id || ':' || primary_block, 'semantic', 'block_assignment' FROM text_assign UNION ALL SELECT 4, 'semantic:' || node_id || ':' || second, 'semantic', 'secondary_block_assignment' FROM text_assign WHERE second IS NOT NULL
+  UNION ALL SELECT 5, entity_id, 'semantic', 'entity' FROM ents UNION ALL SELECT 6, 'test:' || path, 'test', 'test' FROM tests UNION ALL SELECT 7, 'temporal-snapshot:' || day, 'temporal', 'graph_snapshot' FROM (SELECT DISTINCT day FROM changes)),
+cn AS (SELECT node_id, arg_max(layer, (w, kind)) AS layer, arg_max(kind, (w, kind)) AS kind FROM all_nodes GROUP BY 1),
+ce AS (SELECT DISTINCT * FROM (SELECT 'system:local' AS source_id, 'project:docs' AS target_id, 'CONTAINS' AS edge_type UNION ALL SELECT * FROM edges UNION ALL SELECT 'summary:code_node:' || node_id, node_id, 'SUMMARIZES' FROM text_nodes
+  UNION ALL SELECT 'semantic:' || node_id || ':' || primary_block, node_id, 'DESCRIBES' FROM text_assign UNION ALL SELECT 'semantic:' || node_id || ':' || second, node_id, 'SECONDARY_DESCRIBES' FROM text_assign WHERE second IS NOT NULL
+  UNION ALL SELECT entity_id, 'project:docs', 'RELATES_TO' FROM ents UNION ALL SELECT node_id, entity_id, CASE {_ACTION} ELSE 'REPRESENT' END FROM acts WHERE k = 1
+  UNION ALL SELECT 'test:' || path, 'codefile:' || target, 'TESTS' FROM beside UNION ALL SELECT 'test:' || path, 'codefile:' || target, 'TESTS_HEURISTIC' FROM guess))"""
+
+
+@query(f"WITH {CANONICAL_SQL} SELECT * FROM cn")
+def canonical_nodes(spark, d):
+    return _canonical(spark, d)[0].select("node_id", "layer", "kind")
+
+
+@query(f"WITH {CANONICAL_SQL} SELECT * FROM ce")
+def canonical_edges(spark, d):
+    return _canonical(spark, d)[1].select("source_id", "target_id", "edge_type")
+
+
+@query(f"""WITH {CANONICAL_SQL} SELECT (SELECT count(*) FROM cn) AS node_count, (SELECT string_agg(DISTINCT layer, ',' ORDER BY layer) FROM cn) AS layers, (SELECT count(*) FROM ce) AS edge_count,
+(SELECT count(*) FROM ce WHERE source_id NOT IN (SELECT node_id FROM cn)) + (SELECT count(*) FROM ce WHERE target_id NOT IN (SELECT node_id FROM cn)) AS dangling_edge_count, (SELECT count(*) FROM ce WHERE target_id NOT IN (SELECT node_id FROM cn) AND edge_type = 'IMPORTS_MODULE') AS external_edge_count""")
+def canonical_summary(spark, d):
+    return canonical.summary(*_canonical(spark, d))
