@@ -49,7 +49,7 @@ def symbol_information(documents: DataFrame, externals: DataFrame) -> DataFrame:
 
 
 def definitions(occurrences: DataFrame, nodes: DataFrame, info: DataFrame) -> DataFrame:
-    """(path, ord, symbol, token, node_id) of every definition: the node of its file with its name, one
+    """(path, ord, line, symbol, token, node_id) of every definition: the node of its file with its name, one
     that holds its line before others, the narrowest, then by start_col and id; null if there is none.
     A definition without text has its display name."""
     some = occurrences.where(is_definition() & (F.col("symbol") != "")).join(info.select("symbol", "display_name"), "symbol", "left")
@@ -58,13 +58,13 @@ def definitions(occurrences: DataFrame, nodes: DataFrame, info: DataFrame) -> Da
     met = some.join(nodes.select("path", F.col("label").alias("token"), "node_id", "start_line", "end_line", "start_col"), ["path", "token"])
     holds = F.col("line").between(F.col("start_line"), F.col("end_line"))
     rank = F.struct((~holds).alias("o"), (F.col("end_line") - F.col("start_line")).alias("w"), F.col("start_col").alias("c"), F.col("node_id").alias("i"))
-    best = met.groupBy("path", "ord", "symbol").agg(F.min(rank).alias("b")).select("path", "ord", "symbol", "b.i")
-    return some.join(best, ["path", "ord", "symbol"], "left").select("path", "ord", "symbol", "token", F.col("i").alias("node_id"))
+    best = met.groupBy("path", "ord", "line", "symbol").agg(F.min(rank).alias("b")).select("path", "ord", "line", "symbol", "b.i")
+    return some.join(best, ["path", "ord", "line", "symbol"], "left").select("path", "ord", "line", "symbol", "token", F.col("i").alias("node_id"))
 
 
 def resolved(defined: DataFrame) -> DataFrame:
     """(node_id, symbol): the symbol that each matched node is known by: that of its last definition."""
-    return defined.where("node_id IS NOT NULL").groupBy("node_id").agg(F.max_by("symbol", F.struct("ord", "symbol")).alias("symbol"))
+    return defined.where("node_id IS NOT NULL").groupBy("node_id").agg(F.max_by("symbol", F.struct("ord", "line", "symbol")).alias("symbol"))
 
 
 def renamed(nodes: DataFrame, edges: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:

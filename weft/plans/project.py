@@ -222,7 +222,7 @@ def snapshot_blocks(spark, d):
 def _occurrences(spark, d):
     s = F.col("l_suppkey") % 97
     token = F.when(F.col("l_linenumber") == 5, "").otherwise(F.concat(F.lit("n"), (s % 40).cast("string")))
-    return A.table(spark, d, "lineitem").select(F.concat(F.lit("src/p"), (F.col("l_partkey") % 50).cast("string"), F.lit(".ts")).alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.when(s % 10 == 9, "local s").otherwise("s"), s.cast("string")).alias("symbol"), F.when(F.col("l_linenumber") % 3 == 1, 1).otherwise(8).alias("roles"), F.col("l_quantity").cast("int").alias("line"), token.alias("token"))
+    return A.table(spark, d, "lineitem").select(F.concat(F.lit("src/p"), (F.col("l_partkey") % 50).cast("string"), F.lit(".ts")).alias("path"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ord"), F.concat(F.when(s % 10 == 9, "local s").otherwise("s"), s.cast("string")).alias("symbol"), F.when(F.col("l_linenumber") % 3 == 1, 1).otherwise(8).alias("roles"), F.col("l_quantity").cast("int").alias("line"), token.alias("token"))
 
 
 def _info(spark, d):
@@ -237,18 +237,18 @@ def _code(spark, d):
     return A.table(spark, d, "part").select(F.concat(F.lit("part:"), k.cast("string")).alias("node_id"), F.concat(F.lit("n"), (k % 30).cast("string")).alias("label"), F.concat(F.lit("src/p"), (k % 50).cast("string"), F.lit(".ts")).alias("path"), start.alias("start_line"), (start + k % 17 * F.when(k % 23 == 0, 60).otherwise(1)).alias("end_line"), (k % 5).alias("start_col"))
 
 
-SYMBOLS_SQL = f"""occ AS (SELECT 'src/p' || (l_partkey % 50) || '.ts' AS path, l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_suppkey % 97 % 10 = 9 THEN 'local s' ELSE 's' END || (l_suppkey % 97) AS symbol, l_linenumber % 3 = 1 AS def, CAST(l_quantity AS INTEGER) AS line,
+SYMBOLS_SQL = f"""occ AS (SELECT 'src/p' || (l_partkey % 50) || '.ts' AS path, l_orderkey * 100 + l_linenumber AS ord, CASE WHEN l_suppkey % 97 % 10 = 9 THEN 'local s' ELSE 's' END || (l_suppkey % 97) AS symbol, l_linenumber % 3 = 1 AS def, CAST(l_quantity AS INTEGER) AS line,
   CASE WHEN l_linenumber = 5 THEN '' ELSE 'n' || (l_suppkey % 97 % 40) END AS token FROM lineitem),
 raw AS (SELECT DISTINCT s_suppkey % 97 AS s FROM supplier),
 info AS (SELECT CASE WHEN s % 10 = 9 THEN 'local s' ELSE 's' END || s AS symbol, CASE WHEN s % 6 <> 5 THEN 'n' || (s % 70) END AS display_name, CASE WHEN s % 10 <> 9 AND CAST(s AS VARCHAR) LIKE '1%' THEN 'Interface' ELSE {A._turn_sql(("Class", "Method", "Parameter", "Variable"), "s")} END AS kind FROM raw),
 code AS (SELECT 'part:' || p_partkey AS node_id, 'n' || (p_partkey % 30) AS label, 'src/p' || (p_partkey % 50) || '.ts' AS path, p_size % 25 AS start_line, p_size % 25 + p_partkey % 17 * CASE WHEN p_partkey % 23 = 0 THEN 60 ELSE 1 END AS end_line, p_partkey % 5 AS start_col FROM part),
 d AS (SELECT path, ord, o.symbol, line, CASE WHEN token <> '' THEN token ELSE coalesce(display_name, '') END AS token FROM occ o LEFT JOIN info USING (symbol) WHERE def),
-ranked AS (SELECT d.*, c.node_id, row_number() OVER (PARTITION BY d.path, ord, symbol ORDER BY NOT coalesce(line BETWEEN start_line AND end_line, false), end_line - start_line, start_col, c.node_id) AS k FROM d LEFT JOIN code c ON c.path = d.path AND c.label = d.token),
-defs AS (SELECT path, ord, symbol, token, node_id FROM ranked WHERE k = 1),
-names AS (SELECT node_id, arg_max(symbol, ord) AS symbol FROM defs WHERE node_id IS NOT NULL GROUP BY 1)"""
+ranked AS (SELECT d.*, c.node_id, row_number() OVER (PARTITION BY d.path, ord, line, symbol ORDER BY NOT coalesce(line BETWEEN start_line AND end_line, false), end_line - start_line, start_col, c.node_id) AS k FROM d LEFT JOIN code c ON c.path = d.path AND c.label = d.token),
+defs AS (SELECT path, ord, line, symbol, token, node_id FROM ranked WHERE k = 1),
+names AS (SELECT node_id, arg_max(symbol, (ord, line, symbol)) AS symbol FROM defs WHERE node_id IS NOT NULL GROUP BY 1)"""
 
 
-@query(f"WITH {SYMBOLS_SQL} SELECT path, ord, symbol, token, coalesce(node_id, '') AS node_id FROM defs")
+@query(f"WITH {SYMBOLS_SQL} SELECT path, ord, line, symbol, token, coalesce(node_id, '') AS node_id FROM defs")
 def scip_definitions(spark, d):
     return symbols.definitions(_occurrences(spark, d), _code(spark, d), _info(spark, d)).withColumn("node_id", F.coalesce("node_id", F.lit("")))
 
