@@ -33,6 +33,12 @@ def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def duplicate_texts(rows: DataFrame, text: str = "text") -> DataFrame:
+    """(text, n) of texts that come more than once; texts are grouped by digest and length, not moved as keys."""
+    keyed = rows.groupBy(F.sha2(F.coalesce(text, F.lit("")), 256).alias("d"), F.length(text).alias("l")).agg(F.count(F.lit(1)).alias("n"), F.any_value(text).alias(text))
+    return keyed.where("n > 1").select(text, "n")
+
+
 def contradictions(gold: DataFrame) -> DataFrame:
     """Targets (target) with several rows that are all under review or whose active rows disagree."""
     out = gold.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "active").alias("active"), F.count_distinct(F.when(F.col("status") == "active", F.col("primary_block"))).alias("labels"))

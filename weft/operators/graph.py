@@ -31,6 +31,51 @@ def incident_edges(edges: DataFrame, node_id: str, direction: str = "both", limi
     return {"out": out, "in": into, "both": out.unionByName(into)}[direction]
 
 
+def touching_edges(edges: DataFrame, node_id: str) -> DataFrame:
+    """Edges with the node at either end, a loop once."""
+    return edges.where((F.col("source_id") == node_id) | (F.col("target_id") == node_id))
+
+
+def assigned(assignments: DataFrame, block: str, least: float = 0.0) -> DataFrame:
+    return assignments.where((F.col("block") == block) & (F.col("confidence") >= least))
+
+
+def files_for_block(nodes: DataFrame, assignments: DataFrame, block: str, least: float = 0.0) -> DataFrame:
+    """(file_path): the files of nodes with the block, in order."""
+    return assigned(assignments, block, least).join(nodes, "node_id").select("file_path").distinct().orderBy("file_path")
+
+
+def assigned_nodes(nodes: DataFrame, assignments: DataFrame) -> DataFrame:
+    """assignments with the label and file of their node, null where the node is unknown."""
+    return assignments.join(nodes.select("node_id", "label", "file_path"), "node_id", "left")
+
+
+def same_block_edges(edges: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Edges whose ends have the same block. blocks: node_id, block."""
+    of = lambda side: blocks.select(F.col("node_id").alias(f"{side}_id"), F.col("block").alias(f"{side}_block"))
+    return edges.join(of("source"), "source_id").join(of("target"), "target_id").where("source_block = target_block").drop("source_block", "target_block")
+
+
+def with_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges with the labels of both ends."""
+    at = lambda side: nodes.select(F.col("node_id").alias(f"{side}_id"), F.col("label").alias(f"{side}_label"))
+    return edges.join(at("source"), "source_id", "left").join(at("target"), "target_id", "left")
+
+
+def unknown_paths(nodes: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(node_id, file_path, missing): code whose file is no node, and assignments to nodes that don't exist."""
+    files = nodes.where("layer = 'file'").select("file_path").distinct()
+    lost = nodes.where("layer = 'code' AND file_path IS NOT NULL").join(files, "file_path", "left_anti").select("node_id", "file_path", F.lit("file").alias("missing"))
+    loose = assignments.join(nodes.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(None).cast("string").alias("file_path"), F.lit("node").alias("missing"))
+    return lost.unionByName(loose)
+
+
+def symbol_members(nodes: DataFrame, symbol: str, member: str) -> DataFrame:
+    """(symbol, n, member): which nodes go by a symbol, a row each, with how many they are."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(symbol))
+    return nodes.select(F.col(symbol).alias("symbol"), n.alias("n"), F.col(member).alias("member"))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """(src, dst, edge_type): every edge in both directions, multi-edges kept."""
     ends = F.array(F.struct(F.col("source_id").alias("src"), F.col("target_id").alias("dst")), F.struct(F.col("target_id").alias("src"), F.col("source_id").alias("dst")))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import ids
-from weft.operators import classify, evaluation, evidence, graph, retrieval, simulate, temporal
+from weft.operators import classify, evaluation, evidence, graph, regret, retrieval, simulate, temporal
 from weft.plans import adapters as A
 from weft.plans import project  # noqa: F401  (registers its queries)
 from weft.plans.registry import ORACLE_SQL, QUERIES, query
+from weft.sources import files, store
 
 NODES, EDGES, CHANGES, ASSIGN = A.NODES_SQL, A.EDGES_SQL, A.CHANGES_SQL, A.ASSIGN_SQL
 SNAPS = """snaps AS (SELECT DISTINCT repo, day, path, block FROM changes),
@@ -38,18 +39,17 @@ def incident_count(spark, d):
 
 @query(f"WITH {ASSIGN} SELECT * FROM assign WHERE block = 'BUILDING' AND confidence >= 0.5")
 def block_filter_conf(spark, d):
-    return A.assignments(spark, d).where("block = 'BUILDING' AND confidence >= 0.5")
+    return graph.assigned(A.assignments(spark, d), "BUILDING", 0.5)
 
 
 @query(f"WITH {NODES}, {ASSIGN} SELECT DISTINCT file_path FROM assign JOIN nodes USING (node_id) WHERE block = 'BUILDING' AND confidence >= 0.9 ORDER BY 1")
 def files_for_block(spark, d):
-    sure = A.assignments(spark, d).where("block = 'BUILDING' AND confidence >= 0.9")
-    return sure.join(A.nodes(spark, d), "node_id").select("file_path").distinct().orderBy("file_path")
+    return graph.files_for_block(A.nodes(spark, d), A.assignments(spark, d), "BUILDING", 0.9)
 
 
 @query(f"WITH {NODES}, {ASSIGN} SELECT node_id, block, confidence, label, file_path FROM assign LEFT JOIN nodes USING (node_id)")
 def block_nodes_left_join(spark, d):
-    return A.assignments(spark, d).join(A.nodes(spark, d).select("node_id", "label", "file_path"), "node_id", "left")
+    return graph.assigned_nodes(A.nodes(spark, d), A.assignments(spark, d))
 
 
 @query("SELECT c_custkey AS entity_id, c_name AS name, count(o_orderkey) AS n_actions FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
@@ -66,10 +66,7 @@ def endpoint_paths(spark, d):
 @query(f"""WITH {NODES}, {EDGES}, {ASSIGN}, blocks AS (SELECT node_id, block FROM assign UNION ALL SELECT 'order:' || o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT source_id, target_id, edge_type FROM edges JOIN blocks s ON s.node_id = source_id JOIN blocks t ON t.node_id = target_id WHERE s.block = t.block""")
 def same_block_edges(spark, d):
-    blocks = _blocks(spark, d)
-    of = lambda side: blocks.select(F.col("node_id").alias(f"{side}_id"), F.col("block").alias(f"{side}_block"))
-    joined = A.edges(spark, d).join(of("source"), "source_id").join(of("target"), "target_id")
-    return joined.where("source_block = target_block").select("source_id", "target_id", "edge_type")
+    return graph.same_block_edges(A.edges(spark, d), _blocks(spark, d))
 
 
 def _blocks(spark, d):
@@ -164,9 +161,7 @@ def labels_by_target(spark, d):
 
 @query(f"WITH {NODES}, {EDGES} SELECT source_id, target_id, edge_type, s.label AS source_label, t.label AS target_label FROM edges LEFT JOIN nodes s ON s.node_id = source_id LEFT JOIN nodes t ON t.node_id = target_id WHERE edge_type = 'CALLS'")
 def edge_enrichment(spark, d):
-    at = lambda side: A.nodes(spark, d).select(F.col("node_id").alias(f"{side}_id"), F.col("label").alias(f"{side}_label"))
-    calls = A.edges(spark, d).where("edge_type = 'CALLS'")
-    return calls.join(at("source"), "source_id", "left").join(at("target"), "target_id", "left")
+    return graph.with_labels(A.nodes(spark, d), A.edges(spark, d).where("edge_type = 'CALLS'"))
 
 
 @query("""WITH rows AS (SELECT l_partkey AS node_id, l_orderkey * 10 + l_linenumber AS ord, l_returnflag AS kind, l_linestatus AS label FROM lineitem)
@@ -705,7 +700,7 @@ def accuracy_by_block(spark, d):
 
 @query("SELECT text, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicates(spark, d):
-    return evaluation.duplicates(A.table(spark, d, "documents"), ["text"])
+    return evaluation.duplicate_texts(A.table(spark, d, "documents"))
 
 
 @query("""WITH g AS (SELECT user_id AS target, CASE WHEN event_type = 'error' THEN 'needs_review' ELSE 'active' END AS status, event_type AS primary_block FROM events)
@@ -770,9 +765,9 @@ def layer_rollup(spark, d):
     return graph.layer_status(c.select(F.col("n_name").alias("layer"), F.when(F.col("c_acctbal") < -900, "fail").when(F.col("c_acctbal") < 0, "warn").otherwise("pass").alias("status")))
 
 
-@query("SELECT r_name AS repo_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+@query(f"WITH {NODES} SELECT 'customers' AS \"table\", coalesce(repo_name, '') AS repo_name, count(*) AS n FROM nodes WHERE layer = 'code' GROUP BY ALL UNION ALL SELECT 'every', coalesce(repo_name, ''), count(*) FROM nodes GROUP BY ALL")
 def store_counts(spark, d):
-    return A.nodes(spark, d).where("node_id LIKE 'customer:%'").groupBy("repo_name").agg(F.count(F.lit(1)).alias("n"))
+    return store.counts({"customers": A.nodes(spark, d).where("layer = 'code'"), "every": A.nodes(spark, d)}).withColumn("repo_name", F.coalesce("repo_name", F.lit("")))
 
 
 @query("""WITH s AS (SELECT s_suppkey AS id, CASE WHEN s_acctbal > 5000 THEN 'high' ELSE 'low' END AS confidence, s_suppkey % 6 AS candidates, CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END AS blocked FROM supplier)
@@ -795,20 +790,89 @@ def split_identifier(spark, d):
     return A.table(spark, d, "part").select("p_partkey", ids.split_identifier("p_brand").alias("words"))
 
 
-@query("SELECT page_id, 'module:' || CASE WHEN left(split_part(url, '?', 1), 1) = '@' THEN regexp_extract(split_part(url, '?', 1), '^(@[^/]*(?:/[^/]+)?)', 1) ELSE split_part(split_part(url, '?', 1), '/', 1) END AS module FROM pages")
+RAW = "CASE page_id % 6 WHEN 0 THEN ' ' || chr(39) || url || chr(39) || ' ' WHEN 1 THEN chr(34) || '@' || url || chr(34) WHEN 2 THEN '@org?x=1' WHEN 3 THEN url || '/' WHEN 4 THEN '@a/' ELSE url END"
+
+
+@query(f"""WITH r AS (SELECT page_id, trim(trim({RAW}), chr(34) || chr(39)) AS s FROM pages), q AS (SELECT page_id, split_part(s, '?', 1) AS s FROM r)
+SELECT page_id, 'module:' || CASE WHEN left(s, 1) = '@' THEN regexp_extract(s, '^(@[^/]*(?:/[^/]*)?)', 1) ELSE split_part(s, '/', 1) END AS module FROM q""")
 def module_spec(spark, d):
-    return A.table(spark, d, "pages").select("page_id", ids.module_spec("url").alias("module"))
+    i, url = F.col("page_id") % 6, F.col("url")
+    raw = F.when(i == 0, F.concat(F.lit(" '"), url, F.lit("' "))).when(i == 1, F.concat(F.lit('"@'), url, F.lit('"'))).when(i == 2, "@org?x=1").when(i == 3, F.concat(url, F.lit("/"))).when(i == 4, "@a/").otherwise(url)
+    return A.table(spark, d, "pages").select("page_id", ids.module_spec(raw).alias("module"))
+
+
+@query("""WITH p AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN './a//b/./' || source || '/' WHEN 1 THEN 'x\\y\\' || lang WHEN 2 THEN '../' || source || '/.' WHEN 3 THEN '' ELSE '//' || lang || '/../z' END AS raw FROM documents),
+n AS (SELECT doc_id, array_to_string(list_filter(string_split(replace(raw, '\\', '/'), '/'), lambda x: x <> '' AND x <> '.'), '/') AS s FROM p)
+SELECT doc_id, regexp_replace(s, '^[./]+', '') AS path FROM n""")
+def normal_paths(spark, d):
+    i = F.col("doc_id") % 5
+    raw = F.when(i == 0, F.concat(F.lit("./a//b/./"), "source", F.lit("/"))).when(i == 1, F.concat(F.lit("x\\y\\"), "lang")).when(i == 2, F.concat(F.lit("../"), "source", F.lit("/."))).when(i == 3, "").otherwise(F.concat(F.lit("//"), "lang", F.lit("/../z")))
+    return A.table(spark, d, "documents").select("doc_id", ids.normalize_relative_path(raw).alias("path"))
+
+
+def _pages(spark, d):
+    """Pages as source files that import their address and the next page."""
+    i = F.col("page_id")
+    content = F.concat(F.lit("import a from '"), F.substring_index("url", "?", 1), F.lit("'\nimport b from './p"), (i + 1).cast("string"), F.lit("'\n"))
+    return A.table(spark, d, "pages").select(F.lit("web").alias("repo_name"), F.concat(F.lit("src/p"), i.cast("string"), F.lit(".ts")).alias("path"), F.lit("typescript").alias("language"), F.octet_length(content).cast("long").alias("size"), content.alias("content"))
 
 
-@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS spec FROM pages")
+@query("SELECT 'web' AS repo_name, 'src/p' || page_id || '.ts' AS path, 'typescript' AS language, unnest([split_part(url, '?', 1), './p' || (page_id + 1)]) AS spec FROM pages")
 def import_specs(spark, d):
-    return A.table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("spec"))
+    return files.import_specs(_pages(spark, d))
 
 
-@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size_bytes FROM documents")
+@query("""SELECT DISTINCT 'repo://web/src/p' || page_id || '.ts' AS source_id, 'module:' || split_part(split_part(url, '?', 1), '/', 1) AS target_id, 'IMPORTS_MODULE' AS edge_type, 'web' AS repo_name FROM pages
+UNION SELECT 'repo://web/src/p' || p.page_id || '.ts', CASE WHEN n.page_id IS NULL THEN 'module:.' ELSE 'repo://web/src/p' || n.page_id || '.ts' END, CASE WHEN n.page_id IS NULL THEN 'IMPORTS_MODULE' ELSE 'DEPENDS_ON_FILE' END, 'web' FROM pages p LEFT JOIN (SELECT DISTINCT page_id FROM pages) n ON n.page_id = p.page_id + 1""")
+def import_edges(spark, d):
+    return files.import_edges(_pages(spark, d))
+
+
+@query("SELECT 'docs' AS repo_name, 'd' || doc_id AS path, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, sha256(coalesce(text, '')) AS sha256 FROM documents")
 def manifest_hashes(spark, d):
     t = F.coalesce("text", F.lit(""))
-    return A.table(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("sha256"), F.octet_length(t).cast("long").alias("size_bytes"))
+    return files.manifest(A.table(spark, d, "documents").select(F.lit("docs").alias("repo_name"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.octet_length(t).cast("long").alias("size"), t.alias("content")))
+
+
+@query(f"WITH {NODES}, {EDGES} SELECT * FROM edges WHERE source_id = 'customer:7' OR target_id = 'customer:7'")
+def incident_edges_once(spark, d):
+    return graph.touching_edges(A.edges(spark, d), "customer:7")
+
+
+@query("SELECT p_brand AS symbol, count(*) OVER (PARTITION BY p_brand) AS n, p_partkey AS member FROM part")
+def symbol_members(spark, d):
+    return graph.symbol_members(A.table(spark, d, "part"), "p_brand", "p_partkey")
+
+
+@query(f"""WITH {NODES}, {ASSIGN}, known AS (SELECT * FROM nodes WHERE NOT (layer = 'file' AND file_path LIKE '%_1%') AND node_id NOT LIKE 'customer:1%')
+SELECT node_id, file_path, 'file' AS missing FROM known WHERE layer = 'code' AND file_path IS NOT NULL AND file_path NOT IN (SELECT file_path FROM known WHERE layer = 'file') UNION ALL SELECT node_id, '', 'node' FROM assign WHERE node_id NOT IN (SELECT node_id FROM known)""")
+def unknown_paths(spark, d):
+    known = A.nodes(spark, d).where("NOT (layer = 'file' AND file_path LIKE '%_1%') AND node_id NOT LIKE 'customer:1%'")
+    return graph.unknown_paths(known, A.assignments(spark, d)).withColumn("file_path", F.coalesce("file_path", F.lit("")))
+
+
+def _regret_sql() -> str:
+    parts = " UNION ALL ".join(f"SELECT '{p}' AS pattern_id, {base}::DOUBLE AS base, node_id, file_path, {' + '.join(f'CASE WHEN contains(low, {w!r}) THEN 1 ELSE 0 END' for w in words)} AS n, primary_block IN ({', '.join(map(repr, blocks))}) AS own FROM t" for p, _, words, blocks, base in regret.PATTERNS)
+    return f"""WITH {A.TEXT_SQL}, t AS (SELECT node_id, file_path, primary_block, lower(label || chr(10) || substr(content, 1, 800)) AS low FROM text_nodes JOIN text_assign USING (node_id)),
+h AS (SELECT * FROM ({parts}) WHERE n > 0), g AS (SELECT pattern_id, base, CAST(sum(n) AS BIGINT) AS hits, count(*) AS n_nodes, count(DISTINCT file_path) AS n_files, avg(CASE WHEN own THEN 1.0::DOUBLE ELSE 0 END) AS align FROM h GROUP BY 1, 2),
+s AS (SELECT pattern_id, hits, n_nodes, n_files, round(align, 9) AS align, round(least(greatest(base + 0.15::DOUBLE * least(1.0::DOUBLE, hits / 5.0::DOUBLE) + 0.2::DOUBLE * align + 0.15::DOUBLE * least(1.0::DOUBLE, n_files / 8.0::DOUBLE), 0), 1), 9) AS score FROM g) SELECT * FROM s WHERE score >= 0.35"""
+
+
+@query(_regret_sql())
+def regret_scan(spark, d):
+    found = regret.pattern_regrets(A.text_nodes(spark, d), A.text_assignments(spark, d))
+    return found.withColumns({"align": F.round("align", 9), "score": F.round("score", 9)})
+
+
+@query(f"WITH {A.TEXT_SQL} SELECT file_path, count(*) AS n, least(0.85::DOUBLE, 0.35::DOUBLE + count(*) / 40.0::DOUBLE) AS score FROM text_nodes WHERE file_path LIKE '%route%' GROUP BY 1 HAVING count(*) >= 2")
+def dense_routes(spark, d):
+    nodes = A.text_nodes(spark, d)
+    return regret.dense_routes(nodes, 2)
+
+
+@query("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS back FROM events QUALIFY back <= 5")
+def last_events(spark, d):
+    return temporal.last_n(A.table(spark, d, "events"), 5).select("user_id", "event_id", "back")
 
 
 # The names in _whole once told the whole job from a smaller one; both do the whole job now.

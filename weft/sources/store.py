@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,13 +33,19 @@ def read(spark: SparkSession, root: str, name: str, repo: str | None = None) ->
     return table if repo is None else table.where(F.col("repo_name") == repo)  # prunes partitions
 
 
-def counts(spark: SparkSession, root: str) -> DataFrame:
-    """(table, repo_name, n) of every table."""
-    out = None
-    for name in KEYS:
-        one = spark.read.parquet(f"{root}/{name}").groupBy("repo_name").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "repo_name", "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+def counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, repo_name, n) of every table; compared with what was to be written, it verifies a store."""
+    each = [df.groupBy("repo_name").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "repo_name", "n") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+def stored_counts(spark: SparkSession, root: str) -> DataFrame:
+    return counts({name: spark.read.parquet(f"{root}/{name}") for name in KEYS})
+
+
+def modules(edges: DataFrame) -> DataFrame:
+    """(node_id): the distinct external modules that edges import, which a store keeps as nodes."""
+    return edges.where("edge_type = 'IMPORTS_MODULE' AND target_id LIKE 'module:%'").select(F.col("target_id").alias("node_id")).distinct()
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
