@@ -158,6 +158,39 @@ def test_differencing_balances():
     assert sharding.differencing(np.array([5, 4, 3, 3, 3]), 2).tolist().count(0) in (2, 3)
 
 
+def plain_differencing(sizes, parts):
+    """Totals of the parts by combining the two widest lists of totals until one is left."""
+    lists = [([x] + [0] * (parts - 1), i) for i, x in enumerate(sizes)]
+    made = len(sizes)
+    while len(lists) > 1:
+        lists.sort(key=lambda p: (-(p[0][0] - p[0][-1]), p[1]))
+        (a, _), (b, _) = lists[:2]
+        lists[:2] = [(sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True), made)]
+        made += 1
+    return lists[0][0]
+
+
+def test_differencing_equals_a_plain_one():
+    rnd = random.Random(8)
+    for parts in (2, 3, 7, 40):
+        sizes = sorted((rnd.choice([rnd.randrange(1, 50), rnd.randrange(1, 5000)]) for _ in range(90)), reverse=True)
+        part = sharding.differencing(np.array(sizes), parts)
+        totals = np.bincount(part, sizes, parts).astype(int)
+        assert sorted(totals.tolist(), reverse=True) == plain_differencing(sizes, parts)
+
+
+def test_shards_are_equal_in_one_piece_and_by_a_tree(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(i, "x" * rnd.choice([rnd.randrange(5, 200), rnd.randrange(5, 3000)]) + str(i)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for root in (1 << 16, 400):
+        monkeypatch.setattr(sharding, "ROOT", root)
+        monkeypatch.setattr(sharding, "BUCKET", 500)
+        monkeypatch.setattr(sharding, "PARTS", 40)
+        totals = sharding.shard_report(docs).groupBy("shard").agg(F.sum("size").alias("s")).toPandas().s
+        assert len(totals) == 40 and totals.max() - totals.min() <= (2 if root > 400 else 0.01 * totals.mean())
+
+
 def test_shards_keep_groups_and_count_slots(spark, monkeypatch):
     for name, small in (("ROOT", 60), ("BUCKET", 50), ("PARTS", 8)):  # several levels of the tree
         monkeypatch.setattr(sharding, name, small)
@@ -284,3 +317,16 @@ def test_hot_keys_lose_no_link(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(df, 4, 85).collect()}
     assert got == plain_groups(docs, 4, 85)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rnd = random.Random(12)
+    long = " ".join(rnd.choice("abcdefghij") + str(rnd.randrange(3000)) for _ in range(30_000))
+    rows = [(1, long, 5, "z"), (2, long.replace("a1 ", "b1 ", 3), 6, "y"), (3, "short text of five words", 7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_dropped long, component_id string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_report(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    kept = jaccard_join.keep_one_per_group(docs)
+    assert kept.columns == docs.columns and {(r.doc_id, r.component_id) for r in kept.collect()} == {(1, "z"), (3, "x")}
+    left = line_dedup.drop_repeated_lines(docs)
+    assert left.columns == ["doc_id", "text", "component_id", "n_dropped"] and {r.doc_id: r.n_dropped for r in left.collect()} == {1: 0, 2: 1, 3: 0}
+    assert sharding.shard_report(docs).count() == 3

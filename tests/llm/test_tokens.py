@@ -64,3 +64,9 @@ def test_counts_equal_greedy_matching(spark, tokens):
 def test_automaton_needs_every_byte():
     with pytest.raises(ValueError):
         token_counts.Automaton([b"a"])
+
+
+def test_empty_tables_and_more_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, "x")], "doc_id long, text string, n_words long, ids_sha256 string")
+    for report in (byte_bpe.bpe_report, token_counts.token_report):
+        assert report(docs.limit(0)).count() == 0 and report(docs).count() == 1

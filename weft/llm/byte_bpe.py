@@ -10,7 +10,8 @@ A row needs only itself, so nothing shuffles. The model (about a megabyte, fixed
 is broadcast. Encoded matches are remembered per task, up to MEMO short ones.
 
 Defined cases: null text counts as empty and has no tokens; nulls elsewhere, repeated rows and
-further columns do not matter.
+further columns do not matter, but those named like a result are replaced; very long texts are encoded
+whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

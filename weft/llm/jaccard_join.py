@@ -18,7 +18,9 @@ already connected left out (see _groups).
 
 Defined cases: null and empty texts, and texts without words, have no shingles and link with
 nothing; a null doc_id links with nothing; rows that repeat a doc_id are separate documents with
-one id. Documents with the same set are one class, and only its least doc_id is compared.
+one id. Documents with the same set are one class, and only its least doc_id is compared. Very long
+texts are read whole; an empty table gives an empty result; other columns aren't read, and stay where
+rows are kept.
 """
 
 from __future__ import annotations

@@ -11,8 +11,13 @@ ends up with little else beside it.
 Rows are numbered within shards without gathering a shard: rows are counted by shard and chunk (a
 range of hashes), and a row's slot is the total of the chunks before plus its rank in its own.
 
+Up to ROOT groups differencing is done in one piece; above it every level's bundles are as equal as
+differencing gets them, and the root again divides them by differencing, so shards stay about as equal
+(a test compares both ways).
+
 Defined cases: null text counts as no bytes and groups with empty text; a row's size is its bytes
-plus OVERHEAD; repeated rows get slots of their own; an empty table gives an empty result.
+plus OVERHEAD; repeated rows get slots of their own, ties by checksum and size; very long texts are
+groups like others; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations

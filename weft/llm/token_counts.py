@@ -12,7 +12,7 @@ a count. Counts of words up to MEMO_LENGTH bytes are remembered per task.
 A row needs only itself, so nothing shuffles; the vocabulary (fixed size) is broadcast.
 
 Defined cases: null or empty text has 0 words and 0 tokens; nulls elsewhere, repeated rows and extra
-columns do not matter.
+columns do not matter; very long texts are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
