@@ -4,10 +4,11 @@ import os
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import ids
-from weft.operators import evaluation, graph, retrieval, temporal
+from weft.operators import evaluation, evidence, graph, retrieval, simulate, symbols, temporal
 from weft.plans import adapters as A
 from weft.plans import catalogue
 from weft.plans.catalogue import QUERIES
@@ -184,7 +185,7 @@ def test_monte_carlo_query_equals_plain_search(spark):
     weighted = catalogue._overlay(spark, DATA)
     both = weighted.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "adjusted_weight").union(weighted.select("target_id", "source_id", "adjusted_weight"))
     for run in (0, 63):
-        passed = both.where(F.pmod(F.xxhash64(F.lit(42), F.lit(run), "src", "dst"), F.lit(1 << 30)) / float(1 << 30) <= F.col("adjusted_weight"))
+        passed = both.where(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("42"), F.lit(str(run)), "src", "dst")), 1, 8), 16, 10).cast("long") <= F.col("adjusted_weight") * float(1 << 32))
         assert got[run] == len(plain_reach([(r.src, r.dst) for r in passed.collect()], "customer:7", 8))
 
 
@@ -198,3 +199,58 @@ def test_whole_queries_take_all_rows(spark, tmp_path):
     by_user = Counter(r.user_id for r in events.select("user_id").collect())
     got = QUERIES["contradictions_whole"](spark, DATA).collect()
     assert {r.target: r.n for r in got} == {u: n for u, n in by_user.items() if n > 1}
+
+
+def test_ranges_are_cut_by_encoding(spark):
+    text = "aé😀b\nsecond line\nlast"
+    want = [("UTF8", [0, 1, 3], "é"), ("UTF8", [0, 3, 7], "😀"), ("UTF16", [0, 2, 4], "😀"), ("UTF32", [0, 2, 3], "😀"), ("UTF32", [0, 3, 2, 4], "b\nsecond line\nlast"), ("UTF16", [1, 0, 6], "second"), ("UTF32", [9, 0, 3], "")]
+    rows = spark.createDataFrame([(i, text, r, e) for i, (e, r, _) in enumerate(want)], "i int, c string, r array<int>, e string")
+    got = {x.i: x.t for x in rows.select("i", symbols.cut_out(F.col("c"), F.col("r"), F.col("e")).alias("t")).collect()}
+    assert got == {i: t for i, (_, _, t) in enumerate(want)}
+    assert one(spark, ids.source_slice(lit := F.lit(text), F.lit(1), F.lit(1), F.lit(1), F.lit(3))) == "é😀"
+    assert one(spark, ids.source_slice(lit, F.lit(1), F.lit(3), F.lit(2), F.lit(6))) == "b\nsecond"
+
+
+def test_places_meet_the_narrowest_span(spark):
+    rnd = random.Random(5)
+    spans = [(f"f{i % 3}", f"s{i}", a := rnd.randrange(1, 900), a + rnd.choice([0, 3, 40, 200, 2000]), i % 4) for i in range(200)]
+    points = [(f"f{i % 4}", rnd.randrange(1, 1200), f"y{i}") for i in range(300)]
+    got = {r.symbol: r.node_id for r in symbols.narrowest(spark.createDataFrame(points, "path string, line int, symbol string"), spark.createDataFrame(spans, "path string, node_id string, start_line int, end_line int, start_col int")).collect()}
+    want = {y: min(((e - s, c, n) for p, n, s, e, c in spans if p == path and s <= line <= e), default=(0, 0, None))[2] for path, line, y in points}
+    assert got == want
+
+
+def test_paths_between_evidence(spark):
+    edges = spark.createDataFrame([("a", "b", "X"), ("b", "c", "X"), ("a", "d", "X"), ("d", "c", "X"), ("c", "e", "X")], "source_id string, target_id string, edge_type string")
+    chosen = spark.createDataFrame([(0, "a"), (1, "c"), (2, "e"), (3, "a")], "ord int, node_id string")
+    assert [tuple(r) for r in evidence.evidence_paths(edges, chosen).collect()] == [("a > b > c", 2), ("c > e", 1)]
+
+
+def test_answers_without_blocks_are_refused(spark):
+    assert evidence.plan_question("tell me a story").blocks == ()
+    assert evidence.plan_question("trace the login session").trace is True
+    questions = spark.createDataFrame([(1, "which service is this"), (2, "activation workflow"), (3, "cats"), (4, "the user api")], "id int, question string")
+    assert {r.id: r.route for r in evidence.planned(questions).collect()} == {1: "query_projects", 2: "trace_entity_workflow", 3: "unsupported", 4: "answer_with_evidence"}
+
+
+def test_seeds_fall_back_to_degrees(spark):
+    nodes = spark.createDataFrame([("a", "x", "p"), ("b", "y", "q")], "node_id string, label string, file_path string")
+    edges = spark.createDataFrame([("b", "c", "CALLS")], "source_id string, target_id string, edge_type string")
+    none = spark.createDataFrame([], "node_id string, primary_block string")
+    hot = spark.createDataFrame([], "file_path string")
+    assert [tuple(r) for r in simulate.seeds(nodes, none, hot, edges, "zzz", 1).collect()] == [("b", 0.0)]
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        graph._cut(type("Frame", (), {"sparkSession": Session})())

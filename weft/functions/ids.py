@@ -100,3 +100,24 @@ def ratio(n: Column, d: Column) -> Column:
 
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def repo_name_of(url: Column | str) -> Column:
+    """owner/name of a repository's address or short name; null if it is neither."""
+    bare = F.trim(_c(url))
+    named = F.regexp_extract(bare, r"(?i)github\.com[:/]([^/\s]+/[^/\s.]+)", 1)
+    short = F.when(named != "", named).otherwise(bare)
+    return F.when(short.rlike(r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$"), short)
+
+
+def change_key(sha: Column | str, path: Column | str, status: Column | str) -> Column:
+    return F.concat_ws("|", _c(sha), _c(path), _c(status))
+
+
+def source_slice(content: Column | str, start_line: Column, start_col: Column, end_line: Column, end_col: Column) -> Column:
+    """The text from one place (line from 1, column from 0) to another, in code points."""
+    lines = F.slice(F.split(_c(content), "\n"), start_line, F.greatest(end_line - start_line + 1, F.lit(0)))
+    text = F.array_join(lines, "\n")
+    last = F.length(F.element_at(lines, -1))
+    size = F.length(text) - start_col - F.greatest(last - end_col, F.lit(0))
+    return F.substring(text, (start_col + 1).cast("int"), F.greatest(size, F.lit(0)).cast("int"))

@@ -100,3 +100,78 @@ def migration_lanes(suggestions: DataFrame) -> DataFrame:
     """suggestions with risk: high with blocked files, low with high confidence and a few files, else medium."""
     risk = F.when(F.col("blocked") > 0, "high").when((F.col("confidence") == "high") & (F.col("candidates") <= 3), "low").otherwise("medium")
     return suggestions.withColumn("risk", risk)
+
+
+def evidence_scores(questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """(id, match, has_evidence, block_match, file_match, hallucinated) of every question. questions: id,
+    expected_blocks, expected_files, expected_globs (arrays), unsupported; answers: id, file_path, blocks,
+    a row for each node of an answer.
+
+    A question that can't be answered matches if its answer is empty; another if its answer has one of
+    the blocks and one of the files or globs that it expects, where it expects any.
+    """
+    some = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
+    got = answers.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("seen"), F.collect_set("file_path").alias("files"))
+    q = questions.join(got, "id", "left").withColumn("has_evidence", F.col("seen").isNotNull())
+    none = F.array().cast("array<string>")
+    seen, files = F.coalesce("seen", none), F.coalesce("files", none)
+    glob = lambda g: F.concat(F.lit("^"), F.replace(F.replace(F.regexp_replace(g, r"([.^$+(){}\[\]|\\])", r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    block = ~some("expected_blocks") | F.arrays_overlap("expected_blocks", seen)
+    by_glob = F.exists(F.coalesce("expected_globs", none), lambda g: F.exists(files, lambda f: F.rlike(f, glob(g))))
+    file = (~some("expected_files") & ~some("expected_globs")) | (some("expected_files") & F.arrays_overlap(F.coalesce("expected_files", none), files)) | by_glob
+    empty = ~F.col("has_evidence")
+    open_ = F.col("unsupported")
+    return q.select(
+        "id", F.when(open_, empty).otherwise(~empty & block & file).alias("match"), "has_evidence", F.when(open_, empty).otherwise(block).alias("block_match"),
+        F.when(open_, empty).otherwise(file).alias("file_match"), (open_ & ~empty).alias("hallucinated"), open_.alias("unsupported"),
+    )
+
+
+def evidence_report(scores: DataFrame) -> DataFrame:
+    out = scores.agg(F.count(F.lit(1)).alias("scored"), F.count_if("match").alias("correct"), F.count_if("unsupported").alias("unsupported"), F.count_if(F.col("unsupported") & F.col("match")).alias("unsupported_correct"), F.count_if("hallucinated").alias("hallucinated"), F.count_if(~F.col("has_evidence") & ~F.col("unsupported")).alias("missing"))
+    return out.select("*", ratio(F.col("correct"), F.col("scored")).alias("accuracy"), ratio(F.col("hallucinated"), F.col("unsupported")).alias("hallucination_rate"))
+
+
+#: Words that speak for nodes about identity and about data (fixed values).
+AUTH_WORDS = ("auth", "login", "session", "password", "token", "profile")
+DATA_WORDS = ("prisma", "schema", "db", "database", "profile", "query", "seed")
+
+
+def smoke(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row of what a graph must have to be used: files with code, nodes about identity and data (by their
+    label, path and first 500 characters), code that nothing contains, and whether it passes."""
+    low = F.lower(F.concat_ws(" ", F.coalesce("label", F.lit("")), F.coalesce("file_path", F.lit("")), F.substring(F.coalesce("content", F.lit("")), 1, 500)))
+    any_of = lambda words: low.rlike("|".join(words))
+    held = edges.where("edge_type = 'CONTAINS'").select(F.col("target_id").alias("node_id"), F.lit(1).alias("held")).distinct()
+    rows = nodes.withColumns({"auth": any_of(AUTH_WORDS), "data": any_of(DATA_WORDS)}).select("node_id", "file_path", "auth", "data").join(held, "node_id", "left")
+    out = rows.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("file_path").alias("files"), F.count_if("auth").alias("auth"), F.count_if("data").alias("data"), F.count_if(F.col("held").isNull()).alias("loose"))
+    ok = (F.col("nodes") > 0) & (F.col("auth") > 0) & (F.col("data") > 0) & (F.col("loose") == 0)
+    return out.withColumn("status", F.when(ok, "pass").otherwise("fail"))
+
+
+def layer_counts(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+
+
+def corpus_summary(repos: DataFrame) -> DataFrame:
+    """(language, repos, ok, nodes, largest): repositories (repo, language, status, node_count) by language."""
+    return repos.groupBy("language").agg(F.count(F.lit(1)).alias("repos"), F.count_if(F.col("status") == "ok").alias("ok"), F.sum("node_count").alias("nodes"), F.max_by("repo", F.struct("node_count", "repo")).alias("largest"))
+
+
+def verified(written: DataFrame, expected: DataFrame) -> DataFrame:
+    """(table, repo_name, n, wanted, status) of two results of counts(): what a store holds, what it should."""
+    both = written.join(expected.withColumnRenamed("n", "wanted"), ["table", "repo_name"], "full")
+    return both.withColumn("status", F.when(F.col("n").eqNullSafe(F.col("wanted")), "pass").otherwise("fail"))
+
+
+def validation_gates(checks: DataFrame, required: list[str]) -> DataFrame:
+    """(gate, status): each required gate of checks (gate, ok): fail if any check fails or there is none."""
+    have = checks.groupBy("gate").agg(F.min(F.col("ok").cast("int")).alias("ok"))
+    wanted = checks.sparkSession.createDataFrame([(g,) for g in required], "gate string")
+    return wanted.join(have, "gate", "left").select("gate", F.when(F.col("ok") == 1, "pass").otherwise("fail").alias("status"))
+
+
+def review_packet(nodes: DataFrame, edges: DataFrame, n_nodes: int = 80, n_edges: int = 120) -> tuple[DataFrame, DataFrame]:
+    """The first nodes by path, kind and label, and the first edges by type and ends, for people to review."""
+    some = nodes.orderBy(F.coalesce("file_path", F.lit("")), "kind", "label", "node_id").limit(n_nodes)
+    return some, edges.orderBy("edge_type", "source_id", "target_id").limit(n_edges)

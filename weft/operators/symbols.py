@@ -28,7 +28,7 @@ def cut_out(content: Column, range_: Column, encoding: Column) -> Column:
             n = F.octet_length(raw) if end is None else (end - start) * size
             return F.decode(F.substring(raw, (start * size + 1).cast("int"), F.greatest(n, F.lit(0)).cast("int")), name)
 
-        return F.when(encoding == "UTF8", units("UTF-8", 1)).when(encoding == "UTF16", units("UTF-16BE", 2)).otherwise(units("UTF-32BE", 4))
+        return F.when(encoding == "UTF8", units("UTF-8", 1)).when(encoding == "UTF16", units("UTF-16BE", 2)).otherwise(units("UTF-32", 4))
 
     at = lambda i: F.get(range_, F.lit(i))
     long = F.size(range_) == 4

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.operators import canonical, correlate, gold, graph, semantic, simulate, symbols, temporal
+from weft.functions import ids
+from weft.operators import canonical, correlate, evaluation, gold, graph, semantic, simulate, symbols, temporal
 from weft.plans import adapters as A
 from weft.plans.registry import query
+from weft.sources import files, store
 
 TEXT = A.TEXT_SQL
 SPLIT = "trim(regexp_replace(regexp_replace(translate({}, '_-', '  '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '\\s+', ' ', 'g'))"
@@ -338,3 +340,108 @@ def canonical_edges(spark, d):
 (SELECT count(*) FROM ce WHERE source_id NOT IN (SELECT node_id FROM cn)) + (SELECT count(*) FROM ce WHERE target_id NOT IN (SELECT node_id FROM cn)) AS dangling_edge_count, (SELECT count(*) FROM ce WHERE target_id NOT IN (SELECT node_id FROM cn) AND edge_type = 'IMPORTS_MODULE') AS external_edge_count""")
 def canonical_summary(spark, d):
     return canonical.summary(*_canonical(spark, d))
+
+
+# ingest, evaluation
+
+
+def _sources(spark, d):
+    """Documents as script files with a route, a configuration and a schema in turn."""
+    i = F.col("doc_id")
+    n = i.cast("string")
+    route = F.concat(F.lit("router.get('/r"), n, F.lit("', handler)\napp.post(\"/s\", async (x) => x)\nother.fetch('/t', y)\n"))
+    config = F.lit("import z\nexport default defineConfig({ env: 1 })\n")
+    schema = F.concat(F.lit("// top\nmodel User"), n, F.lit(" {\n  id Int\n}\n\nmodel Post {\n  id Int @x({ a: 1 })\n}\n"))
+    content = F.when(i % 3 == 0, route).when(i % 3 == 1, config).otherwise(schema)
+    path = F.when(i % 3 == 0, F.concat(F.lit("src/routes/r"), n, F.lit(".ts"))).when(i % 3 == 1, F.concat(F.lit("config/app-"), n, F.lit(".config.ts"))).otherwise(F.concat(F.lit("db/s"), n, F.lit(".prisma")))
+    return A.table(spark, d, "documents").select(F.lit("org/app").alias("repo_name"), path.alias("path"), F.when(i % 3 == 2, "prisma").otherwise("typescript").alias("language"), content.alias("content"))
+
+
+@query("SELECT 'codefile:' || path AS node_id, split_part(path, '/', -1) AS label, path, CASE doc_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 9 END AS end_line FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'src/routes/r' || doc_id || '.ts' WHEN 1 THEN 'config/app-' || doc_id || '.config.ts' ELSE 'db/s' || doc_id || '.prisma' END AS path FROM documents)")
+def file_surfaces(spark, d):
+    return files.file_surfaces(_sources(spark, d)).select("node_id", "label", "path", "end_line")
+
+
+@query("SELECT 'src/routes/r' || doc_id || '.ts' AS path, v AS verb, CASE v WHEN 'get' THEN '/r' || doc_id ELSE '/s' END AS route FROM documents, (VALUES ('get'), ('post')) t(v) WHERE doc_id % 3 = 0")
+def route_handlers(spark, d):
+    return files.route_handlers(_sources(spark, d)).select("path", "verb", "route")
+
+
+@query("SELECT 'db/s' || doc_id || '.prisma' AS path, CASE k WHEN 0 THEN 'User' || doc_id ELSE 'Post' END AS name, CAST(2 + 4 * k AS INTEGER) AS start_line, CAST(4 + 4 * k AS INTEGER) AS end_line FROM documents, (VALUES (0), (1)) t(k) WHERE doc_id % 3 = 2")
+def schema_models(spark, d):
+    return files.schema_models(_sources(spark, d)).select("path", "name", "start_line", "end_line")
+
+
+@query("SELECT 'config/app-' || doc_id || '.config.ts' AS path, 'app_' || doc_id || '_config' AS name FROM documents WHERE doc_id % 3 = 1")
+def config_boundaries(spark, d):
+    return files.config_boundaries(_sources(spark, d)).select("path", "name")
+
+
+@query("""WITH p AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'src/routes/r' || doc_id || '.ts' WHEN 1 THEN 'config/app-' || doc_id || '.config.ts' ELSE 'db/s' || doc_id || '.prisma' END AS path FROM documents)
+SELECT 'project:org_app' AS source_id, 'repo://org/app/' || path AS target_id FROM p UNION ALL SELECT 'repo://org/app/' || path, 'codefile:' || path FROM p""")
+def contains_edges(spark, d):
+    some = _sources(spark, d)
+    return files.contains_edges(some, files.file_surfaces(some)).select("source_id", "target_id")
+
+
+@query("""WITH n AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'useUser' WHEN 1 THEN 'roleGuard' WHEN 2 THEN 'appConfig' WHEN 3 THEN 'mailClient' WHEN 4 THEN 'plain' ELSE 'Box' END AS name, CASE doc_id % 4 WHEN 0 THEN 'src/middleware/a.ts' WHEN 1 THEN 'src/services/b.ts' WHEN 2 THEN 'src/x.py' ELSE 'src/config/c.ts' END AS path, CASE WHEN doc_id % 5 = 0 THEN 'class' ELSE 'function' END AS kind FROM documents)
+SELECT doc_id, CASE WHEN name = 'useUser' AND path LIKE '%.ts' THEN 'react_hook' WHEN (name = 'roleGuard' OR kind = 'function') AND path LIKE '%middleware%' THEN 'middleware'
+  WHEN (name = 'appConfig' AND kind = 'function') OR (path LIKE '%/config%' AND kind = 'function') THEN 'config_object' WHEN name = 'mailClient' OR path LIKE '%/services/%' THEN 'service_boundary' ELSE kind END AS kind FROM n""")
+def refined_kinds(spark, d):
+    i = F.col("doc_id")
+    name = A._turn(("useUser", "roleGuard", "appConfig", "mailClient", "plain", "Box"), i)
+    path = A._turn(("src/middleware/a.ts", "src/services/b.ts", "src/x.py", "src/config/c.ts"), i)
+    return A.table(spark, d, "documents").select("doc_id", files.refined_kind(name, F.when(i % 5 == 0, "class").otherwise("function"), path, F.lit("")).alias("kind"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'own/p' || page_id WHEN 1 THEN 'own/q' || page_id WHEN 2 THEN 'a/b.c' ELSE '' END AS repo FROM pages")
+def repo_names(spark, d):
+    i = F.col("page_id").cast("string")
+    url = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit(" https://GitHub.com/own/p"), i, F.lit(".git "))).when(F.col("page_id") % 4 == 1, F.concat(F.lit("git@github.com:own/q"), i)).when(F.col("page_id") % 4 == 2, "a/b.c").otherwise(F.col("url"))
+    return A.table(spark, d, "pages").select("page_id", F.coalesce(ids.repo_name_of(url), F.lit("")).alias("repo"))
+
+
+@query(f"""WITH {A.TEXT_SQL}, t AS (SELECT n.*, lower(label || ' ' || file_path || ' ' || substr(content, 1, 500)) AS low FROM text_nodes n)
+SELECT count(*) AS nodes, count(DISTINCT file_path) AS files, count(*) FILTER (regexp_matches(low, 'auth|login|session|password|token|profile')) AS auth, count(*) FILTER (regexp_matches(low, 'prisma|schema|db|database|profile|query|seed')) AS data, count(*) FILTER (doc_id % 9 = 0) AS loose, 'fail' AS status FROM t""")
+def graph_smoke(spark, d):
+    nodes = A.text_nodes(spark, d)
+    held = A.table(spark, d, "documents").where("doc_id % 9 <> 0").select(F.lit("f").alias("source_id"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("target_id"), F.lit("CONTAINS").alias("edge_type"))
+    return evaluation.smoke(nodes, held)
+
+
+@query(f"WITH {A.NODES_SQL} SELECT layer, count(*) AS n FROM nodes GROUP BY 1")
+def layer_counts(spark, d):
+    return evaluation.layer_counts(A.nodes(spark, d))
+
+
+@query("SELECT c_mktsegment AS language, count(*) AS repos, count(*) FILTER (c_acctbal >= 0) AS ok, CAST(sum(c_custkey % 50) AS BIGINT) AS nodes, arg_max(c_name, (c_custkey % 50, c_name)) AS largest FROM customer GROUP BY 1")
+def corpus_summary(spark, d):
+    return evaluation.corpus_summary(A.table(spark, d, "customer").select(F.col("c_name").alias("repo"), F.col("c_mktsegment").alias("language"), F.when(F.col("c_acctbal") >= 0, "ok").otherwise("failed").alias("status"), (F.col("c_custkey") % 50).alias("node_count")))
+
+
+@query(f"""WITH {A.TEXT_SQL}, a AS (SELECT 'q' || (doc_id % 50) AS id, file_path, list_filter([primary_block, second], lambda x: x IS NOT NULL) AS blocks FROM text_nodes JOIN text_assign USING (node_id) WHERE doc_id % 50 % 7 <> 6),
+q AS (SELECT DISTINCT 'q' || k AS id, k FROM (SELECT doc_id % 50 AS k FROM documents)),
+g AS (SELECT id, list_distinct(flatten(list(blocks))) AS seen, list(DISTINCT file_path) AS files FROM a GROUP BY 1),
+j AS (SELECT q.id, k, k % 7 >= 5 AS unsupported, g.id IS NOT NULL AS has, CASE WHEN k % 2 = 0 THEN list_contains(seen, 'Network Edge') ELSE true END AS block, CASE WHEN k % 3 = 0 THEN len(list_filter(files, lambda f: f GLOB '1*/src/*')) > 0 WHEN k % 3 = 1 THEN list_contains(files, k || '/README.ts') ELSE true END AS file FROM q LEFT JOIN g USING (id)),
+s AS (SELECT *, CASE WHEN unsupported THEN NOT has ELSE has AND block AND file END AS hit FROM j)
+SELECT count(*) AS scored, count(*) FILTER (hit) AS correct, count(*) FILTER (unsupported) AS unsupported, count(*) FILTER (unsupported AND hit) AS unsupported_correct, count(*) FILTER (unsupported AND has) AS hallucinated, count(*) FILTER (NOT has AND NOT unsupported) AS missing,
+CAST(count(*) FILTER (hit) AS DOUBLE) / count(*) AS accuracy, CAST(count(*) FILTER (unsupported AND has) AS DOUBLE) / count(*) FILTER (unsupported) AS hallucination_rate FROM s""")
+def evidence_benchmark(spark, d):
+    i = F.expr("cast(substring(node_id, 5) AS bigint)")
+    rows = A.text_nodes(spark, d).join(A.text_assignments(spark, d), "node_id")
+    answers = rows.where(i % 50 % 7 != 6).select(F.concat(F.lit("q"), (i % 50).cast("string")).alias("id"), "file_path", F.concat(F.array("primary_block"), F.transform("secondary", lambda s: s["block"])).alias("blocks"))
+    k = F.col("k")
+    some = lambda when, what: F.when(when, F.array(what)).otherwise(F.array().cast("array<string>"))
+    asked = A.table(spark, d, "documents").select((F.col("doc_id") % 50).alias("k")).distinct()
+    asked = asked.select(F.concat(F.lit("q"), k.cast("string")).alias("id"), some(k % 2 == 0, F.lit("Network Edge")).alias("expected_blocks"), some(k % 3 == 1, F.concat(k.cast("string"), F.lit("/README.ts"))).alias("expected_files"), some(k % 3 == 0, F.lit("1*/src/*")).alias("expected_globs"), (k % 7 >= 5).alias("unsupported"))
+    return evaluation.evidence_report(evaluation.evidence_scores(asked, answers))
+
+
+@query(f"WITH {A.NODES_SQL} SELECT node_id, kind, label FROM nodes ORDER BY coalesce(file_path, ''), kind, label, node_id LIMIT 80")
+def review_nodes(spark, d):
+    return evaluation.review_packet(A.nodes(spark, d), A.edges(spark, d))[0].select("node_id", "kind", "label")
+
+
+@query(f"WITH {A.EDGES_SQL.replace('edges AS (', f'{A.NODES_SQL}, edges AS (', 1)} SELECT DISTINCT target_id AS node_id FROM edges WHERE edge_type = 'IMPORTS_MODULE'")
+def external_modules(spark, d):
+    return store.modules(A.edges(spark, d))

@@ -131,3 +131,61 @@ def stale(old: DataFrame, new: DataFrame) -> DataFrame:
     """(repo_name, path): files whose digest differs between two manifests, or that one of them lacks."""
     o, n = old.select("repo_name", "path", F.col("sha256").alias("o")), new.select("repo_name", "path", F.col("sha256").alias("n"))
     return o.join(n, ["repo_name", "path"], "full").where(~F.col("o").eqNullSafe(F.col("n"))).select("repo_name", "path")
+
+
+def file_surfaces(files: DataFrame, most: int = 4000) -> DataFrame:
+    """A node for each whole file: node_id, kind, label, path, start_line, end_line, content (its first
+    ``most`` characters), language, repo_name."""
+    lines = F.length("content") - F.length(F.replace("content", F.lit("\n"))) + 1
+    return files.select(F.concat(F.lit("codefile:"), "path").alias("node_id"), F.lit("file_surface").alias("kind"), F.element_at(F.split("path", "/"), -1).alias("label"), "path", F.lit(1).alias("start_line"), lines.cast("int").alias("end_line"), F.substring("content", 1, most).alias("content"), "language", "repo_name")
+
+
+def contains_edges(files: DataFrame, code: DataFrame) -> DataFrame:
+    """CONTAINS edges from the project to its files and from files to their code (repo_name, path, node_id)."""
+    edge = lambda df, source, target: df.select(source.alias("source_id"), target.alias("target_id"), F.lit("CONTAINS").alias("edge_type"), "repo_name")
+    own = files.select("repo_name", "path").distinct()
+    return edge(own, ids.project_id("repo_name"), ids.file_uri("repo_name", "path")).unionByName(edge(code, ids.file_uri("repo_name", "path"), F.col("node_id")))
+
+
+#: Verbs of a route (fixed values).
+VERBS = ("get", "post", "put", "delete", "patch", "all", "use", "head", "options")
+
+
+def route_handlers(files: DataFrame) -> DataFrame:
+    """(repo_name, path, verb, route): calls such as router.get("/x", handler) in scripts, once each."""
+    call = rf"""[\w$)\]]\.({"|".join(VERBS)})\(\s*['"`]([^'"`]*)['"`]\s*,\s*(?:async\b|function\b|\(|[A-Za-z_$])"""
+    found = F.when(F.col("language").isin(*_SCRIPTS), F.arrays_zip(F.regexp_extract_all("content", F.lit(call), F.lit(1)).alias("verb"), F.regexp_extract_all("content", F.lit(call), F.lit(2)).alias("route")))
+    return files.select("repo_name", "path", F.inline(F.array_distinct(found))).toDF("repo_name", "path", "verb", "route")
+
+
+def schema_models(files: DataFrame) -> DataFrame:
+    """(repo_name, path, name, start_line, end_line): models of schema files, to the brace that closes them."""
+    models = F.regexp_extract_all("content", F.lit(r"(?ms)^(model\s+\w+\s*\{.*?^\})"), F.lit(1))
+    each = files.where("language = 'prisma'").select("repo_name", "path", "content", F.explode(models).alias("body"))
+    before = F.expr("substring_index(content, body, 1)")
+    lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n")))
+    return each.select("repo_name", "path", F.regexp_extract("body", r"model\s+(\w+)", 1).alias("name"), (lines(before) + 1).cast("int").alias("start_line"), (lines(before) + lines(F.col("body")) + 1).cast("int").alias("end_line"))
+
+
+def refined_kind(name, kind, path, content, value=None):
+    """The architectural kind of a symbol by its name, path and text; kind where no rule applies. value: the
+    kind of expression that a variable is set to."""
+    n, p, c = F.lower(name), F.lower(path), F.lower(content)
+    plain = kind.isin("function", "variable")
+    shaped = kind == "function" if value is None else value.isin("object", "object_pattern", "object_expression", "call_expression") | (kind == "function")
+    rules = (
+        ("react_hook", name.rlike("^use[A-Z0-9_]") & path.rlike(r"\.(tsx?|jsx?)$")),
+        ("middleware", n.contains("middleware") | (n.rlike("(guard|handler)$") & p.contains("middleware")) | (p.rlike("(middleware|guard)s?/") & plain)),
+        ("config_object", (n.rlike("config|env|schema") & shaped) | (p.rlike("/(config|env|schema)") & plain)),
+        ("service_boundary", n.rlike("(service|repository|repo|client|adapter|provider)$") | p.rlike("/(services?|repositories|adapters|providers)/") | c.rlike(r"new elysia\(|new express\(|hono<|router\(")),
+    )
+    return F.coalesce(*(F.when(hit, F.lit(to)) for to, hit in rules), kind)
+
+
+def config_boundaries(files: DataFrame) -> DataFrame:
+    """(repo_name, path, name): files that export a configuration, with a name made from their stem."""
+    low = F.lower("content")
+    hit = F.lower("path").contains("config") & low.contains("export default") & low.rlike(r"(?U)\b(defineconfig|config|env|schema|database|datasource)\b")
+    last = F.element_at(F.split("path", "/"), -1)
+    stem = F.regexp_replace(F.regexp_replace(F.regexp_replace(last, r"\.[^.]*$", ""), "[^A-Za-z0-9_]+", "_"), "^_+|_+$", "")
+    return files.where(hit).select("repo_name", "path", F.when(stem == "", "file_config").otherwise(stem).alias("name"))
