@@ -74,4 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:  # what the stage before wrote has been read
+            used = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
+            used.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(used, True)
     return docs
