@@ -252,6 +252,7 @@ def test_lines_of_a_key_hang_together_as_all_pairs_do(many):
     a, b = np.nonzero((rows["key"][:, None] == rows["key"][None, :]) & (np.arange(400)[:, None] < np.arange(400)[None, :]))
     near = line_dedup._close(rows, a, b, 80)
     want = {tuple(sorted(x)) for x in np.stack([rows["name"][a], rows["name"][b]], 1)[near].tolist()}
+    assert (line_dedup.unpacked(line_dedup.packed(rows)) == rows).all()
     pairs, groups = line_dedup.candidates(rows.copy(), 80, many)
     assert {tuple(x) for x in pairs.tolist()} <= want and (many < 1000 or (len(pairs) == len(want) and not len(groups)))
     assert roots(range(400), [*pairs.tolist(), *groups.tolist()]) == roots(range(400), want)
