@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +50,25 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A new folder beside the checkpoints, which is deleted if what uses it fails."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    except BaseException:
+        discard(spark, folder)
+        raise
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df by way of a Parquet table, of which later reads take only the columns they need."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
