@@ -65,10 +65,10 @@ def slabs(column: pa.Array | pa.ChunkedArray, size: int = SLAB) -> Iterator[tupl
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end (exclusive) and hash of every word; words also end where a text does.
 
-    between: which bytes stand between words.
+    between: which bytes stand between words. lower: whether A-Z count as a-z.
     """
     if not len(data):
         none = np.zeros(0, np.int64)
@@ -82,7 +82,7 @@ def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -
     last[edge - 1] = inside[edge - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * _power(_BASE, len(data)), out=total[1:])
+    np.cumsum(_BYTE[_LOWER[data] if lower else data] * _power(_BASE, len(data)), out=total[1:])
     hashed = (total[end] - total[start]) * _power(_INVERSE, len(data))[start]
     return start, end, mix(hashed + (end - start).astype(np.uint64))
 

@@ -17,6 +17,7 @@ from weft.llm.line_dedup import line_report
 from weft.llm.mixing import MIX_SQL, mix_report
 from weft.llm.pii import pii_report
 from weft.llm.sharding import shard_report
+from weft.llm.substring_dedup import PASSAGES_SQL, passage_report
 from weft.llm.token_counts import token_report
 from weft.llm.toxicity import toxicity_report
 
@@ -36,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": lambda spark, sf_dir: toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_byte_bpe": _over_documents(bpe_report),
     "op10_mixing": _over_documents(mix_report),
+    "op11_substring_dedup": _over_documents(passage_report),
     "op12_hard_negatives": lambda spark, sf_dir: hard_negatives(table(spark, sf_dir, "embeddings")),
     "op13_centroid_clusters": lambda spark, sf_dir: cluster_vectors(table(spark, sf_dir, "embeddings")),
 }
@@ -44,6 +46,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_embedding_dedup": EMBEDDING_SQL,
     "op5_jaccard_join": JACCARD_SQL,
     "op10_mixing": MIX_SQL,
+    "op11_substring_dedup": PASSAGES_SQL,
     "op12_hard_negatives": NEGATIVES_SQL,
     "op13_centroid_clusters": CLUSTERS_SQL,
 }
