@@ -13,6 +13,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.session import cut
+
 #: Edge types that a symbol trace follows, and weights of influence along edges (fixed values).
 TRACE_TYPES = ("REFERENCES", "CALLS", "CROSS_REFERENCE", "DEFINES", "IMPLEMENTS")
 PROPAGATION = {"REFERENCES": 0.92, "CALLS": 0.90, "IMPLEMENTS": 0.88, "DEFINES": 0.85, "CROSS_REFERENCE": 0.80, "IMPORTS_MODULE": 0.72, "DEPENDS_ON": 0.68, "DEPENDS_ON_FILE": 0.55, "CONTAINS": 0.35}
@@ -179,19 +181,6 @@ def containment_join(points: DataFrame, spans: DataFrame, on: str) -> DataFrame:
     return best.select(on, "point_id", "at", "b.span_id", "b.inside")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that the cluster names; a temporary one only if all runs here."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weft-graph-"))
-    return df.checkpoint()
-
-
 #: Nodes that a level's broadcast may hold (about 10 MB).
 FEW = 100_000
 
@@ -212,15 +201,15 @@ def reach(steps: DataFrame, start: DataFrame, depth: int, hub: int | None = None
     but not left, unless they are in start. Ends early once a level finds nothing new.
     """
     dealt = _dealt(steps.select("src", "dst"))
-    hubs = None if hub is None else _cut(dealt.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hub).select("src"))
-    new = _cut(start.select("node_id", F.lit(0).alias("depth")).distinct())
+    hubs = None if hub is None else cut(dealt.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hub).select("src"))
+    new = cut(start.select("node_id", F.lit(0).alias("depth")).distinct())
     seen = new
     for level in range(1, depth + 1):
         frontier = new.select(F.col("node_id").alias("src"))
         if hubs is not None and level > 1:
             frontier = frontier.join(hubs, "src", "left_anti")
         found = _from(dealt, frontier).select(F.col("dst").alias("node_id")).distinct()
-        new = _cut(found.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(level)))
+        new = cut(found.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(level)))
         if new.isEmpty():
             break
         seen = seen.unionByName(new)
@@ -250,14 +239,14 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 6) -> DataFr
     Each level keeps a node's least parent; paths are put together at the end, level by level.
     """
     dealt = _dealt(edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct())
-    pairs = _cut(pairs.select("pair", "start", "end"))
-    levels = [_cut(pairs.select("pair", F.col("start").alias("node_id"), F.lit(None).cast("string").alias("parent")))]
+    pairs = cut(pairs.select("pair", "start", "end"))
+    levels = [cut(pairs.select("pair", F.col("start").alias("node_id"), F.lit(None).cast("string").alias("parent")))]
     seen, goals, n = levels[0].select("pair", "node_id"), pairs.select("pair", F.col("end").alias("node_id")), pairs.count()
     for _ in range(depth):
         if seen.join(goals, ["pair", "node_id"], "left_semi").count() >= n:
             break
         found = _from(dealt, levels[-1].select("pair", F.col("node_id").alias("src"))).groupBy("pair", F.col("dst").alias("node_id")).agg(F.min("src").alias("parent"))
-        levels.append(_cut(found.join(seen, ["pair", "node_id"], "left_anti")))
+        levels.append(cut(found.join(seen, ["pair", "node_id"], "left_anti")))
         if levels[-1].isEmpty():
             break
         seen = seen.union(levels[-1].select("pair", "node_id"))
@@ -308,11 +297,11 @@ def monte_carlo_reach(weighted: DataFrame, seeds: DataFrame, runs: int = 64, dep
     ends = F.array(F.struct(F.col("source_id").alias("src"), F.col("target_id").alias("dst")), F.struct(F.col("target_id").alias("src"), F.col("source_id").alias("dst")))
     dealt = _dealt(weighted.select("weight", F.explode(ends).alias("e")).select("e.src", "e.dst", "weight"))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("run").cast("string"), "src", "dst")), 1, 8), 16, 10).cast("long")
-    new = _cut(seeds.select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "node_id").distinct())
+    new = cut(seeds.select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "node_id").distinct())
     seen = new
     for _ in range(depth):
         found = _from(dealt, new.withColumnRenamed("node_id", "src")).where(draw <= F.col("weight") * float(1 << 32)).select("run", F.col("dst").alias("node_id")).distinct()
-        new = _cut(found.join(seen, ["run", "node_id"], "left_anti"))
+        new = cut(found.join(seen, ["run", "node_id"], "left_anti"))
         if new.isEmpty():
             break
         seen = seen.unionByName(new)

@@ -6,9 +6,11 @@ node_id, label, path, start_line, end_line, start_col. All of one repository, or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weft.functions import ids
+
 #: The role bit of a definition, and kinds of symbols that become nodes of their own (fixed values).
 DEFINITION = 1
 ADDRESSABLE = ("Class", "Constant", "Constructor", "Enum", "Function", "Interface", "Method", "Module", "Namespace", "StaticMethod", "StaticVariable", "TypeAlias", "Variable")
@@ -114,13 +116,109 @@ def narrowest(points: DataFrame, spans: DataFrame) -> DataFrame:
     return points.join(best, key, "left")
 
 
+def nearest(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """points with node_id: the span that narrowest finds, else the nearest of their path (least sum of the
+    lines to its start and end, ties by start_col and id); null where the path has none.
+
+    A span beside a place ends before it or starts after it, so of the former that with the greatest
+    sum of start and end is nearest, of the latter that with the least: one sorted pass over a path
+    each way, and no place meets all spans.
+    """
+    found = narrowest(points, spans)
+    key = points.columns
+    rank = lambda sign: F.struct((sign * (F.col("start_line") + F.col("end_line"))).alias("w"), F.col("start_col").alias("c"), F.col("node_id").alias("i"))
+    lost = found.where("node_id IS NULL").select(*key)
+    for side, place, sign in (("before", "end_line", -1), ("after", "start_line", 1)):
+        marks = spans.select("path", F.col(place).alias("__at"), rank(sign).alias("__r"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in lost.schema if f.name != "path"))
+        lines = lost.withColumns({"__at": F.col("line"), "__r": F.lit(None).cast(marks.schema["__r"].dataType)})
+        order = F.col("__at").asc() if side == "before" else F.col("__at").desc()
+        w = Window.partitionBy("path").orderBy(order, F.col("__r").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = marks.unionByName(lines).withColumn(f"__{side}", F.min("__r").over(w)).where("line IS NOT NULL")
+        lost = both.drop("__at", "__r")
+    # a sum of lines that lies before is negated; with twice the line added, both are distances
+    far = lambda side, sign: F.when(F.col(side).isNotNull(), F.struct((F.col(f"{side}.w") + sign * 2 * F.col("line")).alias("w"), F.col(f"{side}.c").alias("c"), F.col(f"{side}.i").alias("i")))
+    beside = lost.select(*key, F.least(far("__before", 1), far("__after", -1))["i"].alias("node_id"))
+    return found.where("node_id IS NOT NULL").unionByName(beside)
+
+
+def tokens(occurrences: DataFrame, documents: DataFrame) -> DataFrame:
+    """occurrences as the functions here take them (path, ord, symbol, roles, line, token), from rows of an
+    index (relative_path, ord, symbol, roles, range, encoding). documents: relative_path, text."""
+    texts = documents.groupBy("relative_path").agg(F.max("text").alias("text"))
+    encoding = F.when(F.col("encoding").isin("UTF16", "UTF32"), F.col("encoding")).otherwise("UTF8")
+    ranged = F.size("range").isin(3, 4)
+    token = F.when(ranged, cut_out(F.coalesce("text", F.lit("")), F.col("range"), encoding)).otherwise("")
+    line = F.when(F.size("range") > 0, F.get("range", F.lit(0)) + 1).otherwise(1)
+    path = ids.normalize_relative_path("relative_path")
+    return occurrences.join(texts, "relative_path", "left").select(path.alias("path"), "ord", "symbol", "roles", line.alias("line"), token.alias("token"))
+
+
+def with_texts(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """documents of an index whose text, where it is empty, is that of the file (path, content) they name."""
+    known = files.select(F.col("path").alias("__path"), F.col("content").alias("__text"))
+    out = documents.withColumn("__path", ids.normalize_relative_path("relative_path")).join(known, "__path", "left")
+    return out.withColumn("text", F.when(F.coalesce("text", F.lit("")) == "", F.coalesce("__text", F.lit(""))).otherwise(F.col("text"))).drop("__path", "__text")
+
+
+def consume(occurrences: DataFrame, information: DataFrame, nodes: DataFrame, edges: DataFrame, foreign: DataFrame, repo: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, orphans): a graph after an index: its nodes known by the symbols that define them,
+    addressable definitions without a node as nodes of whole files, and edges DEFINES, IMPLEMENTS,
+    CONTAINS of the new nodes, and REFERENCES or CROSS_REFERENCE, once each.
+
+    occurrences: as tokens gives them. information: relative_path (null: external), symbol, display_name,
+    kind, relationships. nodes: node_id, label, kind, path, start_line, end_line, start_col. edges:
+    source_id, target_id, edge_type. foreign: symbol, repo, node_id, ord.
+    """
+    own = information.where("relative_path IS NOT NULL")
+    info = symbol_information(own, information.where("relative_path IS NULL"))
+    defined = definitions(occurrences, nodes, info)
+    names = resolved(defined)
+    known, rewritten = renamed(nodes, edges, names)
+    lost = orphans(defined, info)
+    new = orphan_nodes(lost).join(occurrences.groupBy("path").agg(F.max("line").alias("end_line")), "path")
+    new = new.select("node_id", "label", "kind", "path", F.lit(1).alias("start_line"), "end_line", F.lit(0).alias("start_col"), F.concat(F.lit("scip-orphan:"), "node_id").alias("original_id"), F.lit("scip_orphan").alias("symbol_source"))
+    source = F.when(F.col("original_id").isNull(), "provisional").otherwise("scip")
+    all_ = known.select("node_id", "label", "kind", "path", "start_line", "end_line", "start_col", "original_id", source.alias("symbol_source")).unionByName(new)
+    edge = lambda df, s, t, kind, by: df.select(s.alias("source_id"), t.alias("target_id"), F.lit(kind).alias("edge_type"), F.lit(None).cast("string").alias("target_repo"), F.lit(by).alias("provenance"))
+    to = defined.join(names.select("node_id", F.col("symbol").alias("to")), "node_id")
+    implements = own.select("symbol", F.explode("relationships").alias("r")).where("r.is_implementation")
+    made = [
+        rewritten.select("source_id", "target_id", "edge_type", F.lit(None).cast("string").alias("target_repo"), F.lit("").alias("provenance")),
+        edge(to, F.col("symbol"), F.col("to"), "DEFINES", "scip_definition"),
+        edge(new, ids.file_uri(F.lit(repo), F.col("path")), F.col("node_id"), "CONTAINS", "scip_orphan_symbol"),
+        edge(new, F.col("node_id"), F.col("node_id"), "DEFINES", "scip_orphan_definition"),
+        edge(implements, F.col("symbol"), F.col("r.symbol"), "IMPLEMENTS", ""),
+        references(occurrences, all_, all_.where("symbol_source <> 'provisional'").select(F.col("node_id").alias("symbol")).distinct(), foreign, repo),
+    ]
+    out = made[0]
+    for m in made[1:]:
+        out = out.unionByName(m)
+    return all_, out.distinct(), lost
+
+
+def symbol_index(nodes: DataFrame) -> DataFrame:
+    """(symbol, repo, node_id, ord): which nodes (repo, node_id) have a symbol, in the order of repositories."""
+    w = Window.partitionBy("symbol").orderBy("repo", "node_id")
+    return nodes.where("coalesce(node_id, '') <> ''").select(F.col("node_id").alias("symbol"), "repo", "node_id").distinct().withColumn("ord", F.row_number().over(w) - 1)
+
+
+def read_symbol_index(spark: SparkSession, path: str) -> DataFrame:
+    """The same from a JSON file, a map of symbols to entries or one that has it under ``symbols``; entries
+    that aren't lists of nodes are left out."""
+    text = spark.read.option("wholetext", "true").text(path).select(F.try_parse_json("value").alias("v"))
+    inner = F.coalesce(F.try_variant_get("v", "$.symbols", "map<string,variant>"), F.try_variant_get("v", "$", "map<string,variant>"))
+    each = text.select(F.explode(inner).alias("symbol", "x")).where(F.try_variant_get("x", "$[0].node_id", "string").isNotNull())
+    entries = F.try_variant_get("x", "$", "array<struct<repo_name:string,node_id:string>>")
+    return each.select("symbol", F.posexplode(entries).alias("ord", "e")).select("symbol", F.col("e.repo_name").alias("repo"), "e.node_id", "ord")
+
+
 def references(occurrences: DataFrame, nodes: DataFrame, known: DataFrame, foreign: DataFrame, repo: str) -> DataFrame:
     """(source_id, target_id, edge_type, target_repo, provenance), once each: from the narrowest node around a
-    reference, else its file, to the symbol: one of the repository (known: symbol), else the first entry
+    reference, else the nearest of its file, else the file, to the symbol: one of the repository (known: symbol), else the first entry
     of another repository (foreign: symbol, repo, node_id, ord), else the symbol as it is. A node
     doesn't refer to itself."""
     points = occurrences.where(~is_definition() & (F.col("symbol") != "")).select("path", "line", "symbol").distinct()
-    found = narrowest(points, nodes.select("path", "node_id", "start_line", "end_line", "start_col"))
+    found = nearest(points, nodes.select("path", "node_id", "start_line", "end_line", "start_col"))
     first = foreign.where(F.col("repo") != repo).groupBy("symbol").agg(F.min_by(F.struct("node_id", "repo"), F.struct("ord", "repo", "node_id")).alias("f"))
     out = found.join(known.select("symbol", F.lit(True).alias("own")), "symbol", "left").join(first, "symbol", "left")
     cross = F.col("own").isNull() & F.col("f").isNotNull() & F.col("node_id").isNotNull()

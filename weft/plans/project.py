@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from weft.functions import ids
 from weft.operators import canonical, correlate, evaluation, gold, graph, semantic, simulate, symbols, temporal
 from weft.plans import adapters as A
 from weft.plans.registry import query
-from weft.sources import files, store
+from weft.session import cut, shared_folder
+from weft.sources import files, scip_index, store
 
 TEXT = A.TEXT_SQL
 SPLIT = "trim(regexp_replace(regexp_replace(translate({}, '_-', '  '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '\\s+', ' ', 'g'))"
@@ -154,7 +157,7 @@ s AS (SELECT a.i, hit IS NOT NULL AS found, coalesce(hit, false) AS hit FROM act
 SELECT count(*) AS total, count(*) FILTER (found) AS scorable, count(*) FILTER (hit) AS correct, CAST(count(*) FILTER (hit) AS DOUBLE) / count(*) AS accuracy, CAST(count(*) FILTER (hit) AS DOUBLE) / count(*) FILTER (found) AS scorable_accuracy, CAST(count(*) - count(*) FILTER (found) AS DOUBLE) / count(*) AS missing_rate FROM s""")
 def gold_benchmark(spark, d):
     rows = _gold(spark, d).withColumn("id", F.concat("id", F.lit(":"), "node_id", F.lit(":"), "file_path", F.lit(":"), "file_glob", F.lit(":"), F.monotonically_increasing_id().cast("string")))
-    return gold.benchmark_report(gold.benchmark(graph._cut(rows), A.text_nodes(spark, d), A.text_assignments(spark, d)))
+    return gold.benchmark_report(gold.benchmark(cut(rows), A.text_nodes(spark, d), A.text_assignments(spark, d)))
 
 
 # tests, interfaces
@@ -274,7 +277,7 @@ def scip_orphans(spark, d):
 
 @query(f"""WITH {SYMBOLS_SQL}, pts AS (SELECT DISTINCT path, line, symbol FROM occ WHERE NOT def), foreign_ AS (SELECT 's' || (s_suppkey % 97) AS symbol, 'repo_' || (s_suppkey % 3) AS repo, 'x:' || s_suppkey AS node_id, s_suppkey AS ord FROM supplier),
 f AS (SELECT symbol, arg_min(node_id, ord) AS fid, arg_min(repo, ord) AS frepo FROM foreign_ WHERE repo <> 'repo_0' GROUP BY 1),
-w AS (SELECT p.*, c.node_id, row_number() OVER (PARTITION BY p.path, line, symbol ORDER BY end_line - start_line, start_col, c.node_id) AS k FROM pts p LEFT JOIN code c ON c.path = p.path AND line BETWEEN start_line AND end_line),
+w AS (SELECT p.*, c.node_id, row_number() OVER (PARTITION BY p.path, line, symbol ORDER BY NOT (line BETWEEN start_line AND end_line), CASE WHEN line BETWEEN start_line AND end_line THEN end_line - start_line ELSE abs(start_line - line) + abs(end_line - line) END, start_col, c.node_id) AS k FROM pts p LEFT JOIN code c ON c.path = p.path),
 x AS (SELECT w.*, fid, frepo, w.symbol NOT IN (SELECT symbol FROM names) AND fid IS NOT NULL AND node_id IS NOT NULL AS foreign_hit FROM w LEFT JOIN f USING (symbol) WHERE k = 1)
 SELECT DISTINCT coalesce(node_id, 'repo://repo_0/' || path) AS source_id, CASE WHEN foreign_hit THEN fid ELSE symbol END AS target_id, CASE WHEN foreign_hit THEN 'CROSS_REFERENCE' ELSE 'REFERENCES' END AS edge_type, CASE WHEN foreign_hit THEN frepo ELSE '' END AS target_repo,
   CASE WHEN node_id IS NULL THEN 'scip_file_fallback' WHEN foreign_hit THEN 'scip_cross_repo' ELSE 'scip_reference_code' END AS provenance FROM x""")
@@ -291,6 +294,40 @@ def scip_documents(spark, d):
     return symbols.document_counts(_occurrences(spark, d))
 
 
+# the same in the wire format of indexes: lines of orders as documents by supplier, written and read again
+
+
+def _index(spark, d) -> str:
+    """Where an index of all lines is: a document a supplier, an occurrence a line, on the line of its number."""
+    line = A.table(spark, d, "lineitem")
+    at = F.col("l_linenumber").cast("int")
+    span = F.when(at % 2 == 0, F.array(F.col("l_quantity").cast("int"), at, at + 4)).otherwise(F.array(F.col("l_quantity").cast("int"), at, F.col("l_quantity").cast("int") + at, F.lit(0)))
+    symbol = F.concat(F.lit("pkg `s"), F.col("l_partkey").cast("string"), F.lit("`#"))
+    one = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.struct(span.alias("range"), symbol.alias("symbol"), (at % 9).alias("roles"), F.array().cast("array<int>").alias("enclosing_range")).alias("o"))
+    docs = line.groupBy("l_suppkey").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["o"]).alias("occurrences"))
+    k = F.col("l_suppkey")
+    relation = F.struct(F.concat(F.lit("base"), (k % 7).cast("string")).alias("symbol"), (k % 2 == 0).alias("is_reference"), (k % 3 == 0).alias("is_implementation"), F.lit(False).alias("is_type_definition"), (k % 5 == 0).alias("is_definition"))
+    known = F.array(F.struct(F.concat(F.lit("sup"), k.cast("string")).alias("symbol"), F.concat(F.lit("n"), (k % 70).cast("string")).alias("display_name"), A._turn(("Class", "Method", "Variable"), k).alias("kind"), F.array(F.lit("d")).alias("documentation"), F.array(relation).alias("relationships")))
+    docs = docs.select(F.concat(F.lit("./src/p"), k.cast("string"), F.lit(".ts")).alias("relative_path"), F.lit("typescript").alias("language"), F.repeat(F.lit("ab n1 cd\n"), 60).alias("text"), F.lit("UTF8").alias("encoding"), "occurrences", known.alias("symbols"))
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    scip_index.write_index(docs, path, projectroot="file:///src")
+    return path
+
+
+@query("""SELECT './src/p' || l_suppkey || '.ts' AS relative_path, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS INT) AS ord, 'pkg `s' || l_partkey || '`#' AS symbol, CAST(l_linenumber % 9 AS INT) AS roles,
+  CAST(l_quantity AS INT) || ',' || l_linenumber || ',' || CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_linenumber + 4 AS VARCHAR) ELSE (CAST(l_quantity AS INT) + l_linenumber) || ',0' END AS range FROM lineitem""")
+def scip_scan(spark, d):
+    found = scip_index.index_table(spark, _index(spark, d), "occurrences", split=1 << 16)
+    return found.select("relative_path", "ord", "symbol", "roles", F.array_join("range", ",").alias("range"))
+
+
+@query("""SELECT DISTINCT 'src/p' || l_suppkey || '.ts' AS path, 'sup' || l_suppkey AS symbol, 'n' || l_suppkey % 70 AS display_name, ['Class', 'Method', 'Variable'][CAST(l_suppkey % 3 + 1 AS INT)] AS kind, 'base' || l_suppkey % 7 AS target,
+  l_suppkey % 2 = 0 AS is_reference, l_suppkey % 3 = 0 AS is_implementation, l_suppkey % 5 = 0 AS is_definition FROM lineitem""")
+def scip_symbols(spark, d):
+    found = scip_index.index_table(spark, _index(spark, d), "symbols", split=1 << 16)
+    return found.select(ids.normalize_relative_path("relative_path").alias("path"), "symbol", "display_name", "kind", F.explode("relationships").alias("r")).select("path", "symbol", "display_name", "kind", F.col("r.symbol").alias("target"), "r.is_reference", "r.is_implementation", "r.is_definition")
+
+
 def _canonical(spark, d):
     nodes, edges = A.nodes(spark, d), A.edges(spark, d)
     texts, assigned, found = A.text_nodes(spark, d), A.text_assignments(spark, d), _entities(spark, d)
