@@ -52,7 +52,7 @@ from weft.llm._words import SLAB, mix, slabs, words
 WINDOW, ROUNDS = 20, 4
 #: Segments of a batch that are compared within the task at a time, and parts of the names for every
 #: shuffle partition.
-HELD, PARTS = 1_000_000, 8
+HELD, PARTS = 250_000, 8
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
 _BACK = pow(_BASE, -1, 1 << 64)
