@@ -382,40 +382,73 @@ def canonical_summary(spark, d):
 # ingest, evaluation
 
 
+_LANGUAGES = {
+    "typescript": ("ts", "/*", "*/", "class C# {\n  m#(a) { return '}'; }\n}\nfunction f#() {\n  const x = 1;\n}\nexport const v# = { a: 1 };\nrouter.get('/r#', async (x) => x)\n", (("C#", "class", 1, 3), ("m#", "method", 2, 2), ("f#", "function", 4, 6), ("v#", "variable", 7, 7), ("route_r#", "route_handler", 8, 8))),
+    "python": ("py", "'''", "'''", "class C#:\n    def m#(self):\n        return '}'\n\ndef f#(): pass\n", (("C#", "class", 1, 3), ("m#", "method", 2, 3), ("f#", "function", 5, 5))),
+    "go": ("go", "/*", "*/", "func f#(a int) {\n  b := `}`\n}\nfunc (s S) m#() {\n}\ntype I# interface {\n}\n", (("f#", "function", 1, 3), ("m#", "method", 4, 5), ("I#", "interface", 6, 7))),
+    "java": ("java", "/*", "*/", "class C# {\n  C#() { }\n  void m#(int a) {\n    f('}');\n  }\n}\n", (("C#", "class", 1, 6), ("C#", "method", 2, 2), ("m#", "method", 3, 5))),
+    "prisma": ("prisma", "//", "", "model M# { id Int }\nmodel N# {\n  x Int\n  }\n", (("M#", "db_model", 1, 1), ("N#", "db_model", 2, 4))),
+}
+
+
 def _sources(spark, d):
-    """Documents as script files with a route, a configuration and a schema in turn."""
-    i = F.col("doc_id")
-    n = i.cast("string")
-    route = F.concat(F.lit("router.get('/r"), n, F.lit("', handler)\napp.post(\"/s\", async (x) => x)\nother.fetch('/t', y)\n"))
-    config = F.lit("import z\nexport default defineConfig({ env: 1 })\n")
-    schema = F.concat(F.lit("// top\nmodel User"), n, F.lit(" {\n  id Int\n}\n\nmodel Post {\n  id Int @x({ a: 1 })\n}\n"))
-    content = F.when(i % 3 == 0, route).when(i % 3 == 1, config).otherwise(schema)
-    path = F.when(i % 3 == 0, F.concat(F.lit("src/routes/r"), n, F.lit(".ts"))).when(i % 3 == 1, F.concat(F.lit("config/app-"), n, F.lit(".config.ts"))).otherwise(F.concat(F.lit("db/s"), n, F.lit(".prisma")))
-    return A.table(spark, d, "documents").select(F.lit("org/app").alias("repo_name"), path.alias("path"), F.when(i % 3 == 2, "prisma").otherwise("typescript").alias("language"), content.alias("content"))
+    """Documents as source files of five languages in turn: the text as a comment, then declarations."""
+    i, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    pick = lambda k: A._turn(tuple(x[k] for x in _LANGUAGES.values()), i)
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[*'\\\\]", "-")
+    text = F.when(i % 5 == 4, F.translate(text, "\n{}", " ")).otherwise(text)
+    content = F.concat(pick(1), text, pick(2), F.lit("\n"), F.replace(pick(3), F.lit("#"), n))
+    path = F.concat(F.lit("src/p"), (i % 7).cast("string"), F.lit("/x"), n, F.lit("."), pick(0))
+    return A.table(spark, d, "documents").select(F.lit("org/app").alias("repo_name"), path.alias("path"), A._turn(tuple(_LANGUAGES), i).alias("language"), content.alias("content"))
+
+
+_FEEDS = "CASE WHEN doc_id % 5 = 4 THEN 0 ELSE len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) END + 1"
+_SUFFIX = A._turn_sql(tuple(x[0] for x in _LANGUAGES.values()), "doc_id")
+_DECLARED = ", ".join(f"({turn}, '{name}', '{kind}', {first}, {last})" for turn, x in enumerate(_LANGUAGES.values()) for name, kind, first, last in x[4])
+SOURCES_SQL = f"""sources AS (SELECT doc_id, 'src/p' || doc_id % 7 || '/x' || doc_id || '.' || {_SUFFIX} AS path, {_FEEDS} AS feeds FROM documents),
+declared AS (SELECT path, replace(name, '#', CAST(doc_id AS VARCHAR)) AS name, kind, CAST(feeds + first AS INTEGER) AS start_line, CAST(feeds + last AS INTEGER) AS end_line FROM sources JOIN (VALUES {_DECLARED}) t(turn, name, kind, first, last) ON doc_id % 5 = turn)"""
+
 
+@query(f"WITH {SOURCES_SQL} SELECT 'repo://org/app/' || path || '#' || name || ':' || kind || ':' || start_line AS node_id, name AS label, kind, path, start_line, end_line FROM declared")
+def code_symbols(spark, d):
+    return files.code_symbols(_sources(spark, d)).select("node_id", "label", "kind", "path", "start_line", "end_line")
 
-@query("SELECT 'codefile:' || path AS node_id, split_part(path, '/', -1) AS label, path, CASE doc_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 9 END AS end_line FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'src/routes/r' || doc_id || '.ts' WHEN 1 THEN 'config/app-' || doc_id || '.config.ts' ELSE 'db/s' || doc_id || '.prisma' END AS path FROM documents)")
+
+@query(f"""WITH {SOURCES_SQL}, n AS (SELECT path, 'codefile:' || path AS id FROM sources UNION ALL SELECT path, 'repo://org/app/' || path || '#' || name || ':' || kind || ':' || start_line FROM declared)
+SELECT 'repo://org/app/' || path AS source_id, id AS target_id, 'CONTAINS' AS edge_type FROM n UNION ALL SELECT 'project:org_app', 'repo://org/app/' || path, 'CONTAINS' FROM sources""")
+def ingest_edges(spark, d):
+    return files.ingest(_sources(spark, d))[1].select("source_id", "target_id", "edge_type")
+
+
+@query(f"WITH {SOURCES_SQL} SELECT 'codefile:' || path AS node_id, split_part(path, '/', -1) AS label, path, CAST(feeds + 1 + [8, 5, 7, 6, 4][CAST(doc_id % 5 + 1 AS INT)] AS INT) AS end_line FROM sources")
 def file_surfaces(spark, d):
     return files.file_surfaces(_sources(spark, d)).select("node_id", "label", "path", "end_line")
 
 
-@query("SELECT 'src/routes/r' || doc_id || '.ts' AS path, v AS verb, CASE v WHEN 'get' THEN '/r' || doc_id ELSE '/s' END AS route FROM documents, (VALUES ('get'), ('post')) t(v) WHERE doc_id % 3 = 0")
+@query(f"WITH {SOURCES_SQL} SELECT path, name AS label, start_line FROM declared WHERE kind = 'route_handler'")
 def route_handlers(spark, d):
-    return files.route_handlers(_sources(spark, d)).select("path", "verb", "route")
+    return files.route_handlers(_sources(spark, d)).select("path", "label", "start_line")
 
 
-@query("SELECT 'db/s' || doc_id || '.prisma' AS path, CASE k WHEN 0 THEN 'User' || doc_id ELSE 'Post' END AS name, CAST(2 + 4 * k AS INTEGER) AS start_line, CAST(4 + 4 * k AS INTEGER) AS end_line FROM documents, (VALUES (0), (1)) t(k) WHERE doc_id % 3 = 2")
+@query(f"WITH {SOURCES_SQL} SELECT path, name, start_line, end_line FROM declared WHERE kind = 'db_model'")
 def schema_models(spark, d):
     return files.schema_models(_sources(spark, d)).select("path", "name", "start_line", "end_line")
 
 
-@query("SELECT 'config/app-' || doc_id || '.config.ts' AS path, 'app_' || doc_id || '_config' AS name FROM documents WHERE doc_id % 3 = 1")
+def _configured(spark, d):
+    """Documents as files of configuration, if their text has a word of one."""
+    i = F.col("doc_id")
+    content = F.concat(F.coalesce("text", F.lit("")), F.lit("\nexport default "), F.when(i % 2 == 0, "{}").otherwise("config"))
+    return A.table(spark, d, "documents").select(F.lit("org/app").alias("repo_name"), F.concat(F.when(i % 3 == 0, "src/").otherwise("config/"), F.lit("app-"), i.cast("string"), F.lit(".config.ts")).alias("path"), F.lit("typescript").alias("language"), content.alias("content"))
+
+
+@query(r"""SELECT CASE WHEN doc_id % 3 = 0 THEN 'src/' ELSE 'config/' END || 'app-' || doc_id || '.config.ts' AS path, 'app_' || doc_id || '_config' AS name FROM documents
+WHERE doc_id % 2 = 1 OR regexp_matches(lower(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'x', 'g')), '\b(defineconfig|config|env|schema|database|datasource)\b')""")
 def config_boundaries(spark, d):
-    return files.config_boundaries(_sources(spark, d)).select("path", "name")
+    return files.config_boundaries(_configured(spark, d)).select("path", "name")
 
 
-@query("""WITH p AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'src/routes/r' || doc_id || '.ts' WHEN 1 THEN 'config/app-' || doc_id || '.config.ts' ELSE 'db/s' || doc_id || '.prisma' END AS path FROM documents)
-SELECT 'project:org_app' AS source_id, 'repo://org/app/' || path AS target_id FROM p UNION ALL SELECT 'repo://org/app/' || path, 'codefile:' || path FROM p""")
+@query(f"""WITH {SOURCES_SQL} SELECT 'project:org_app' AS source_id, 'repo://org/app/' || path AS target_id FROM sources UNION ALL SELECT 'repo://org/app/' || path, 'codefile:' || path FROM sources""")
 def contains_edges(spark, d):
     some = _sources(spark, d)
     return files.contains_edges(some, files.file_surfaces(some)).select("source_id", "target_id")

@@ -1,20 +1,25 @@
 """Source trees as tables: files, symbols, imports, manifests.
 
-A tree is read as a distributed binary scan and decoded in Spark. Symbols and imports come from
-patterns per language, row by row, and local imports are resolved by a join with the files.
+A tree is read as a distributed binary scan and decoded in Spark. Symbols and imports come from one
+scan of each text that knows nesting, strings and comments (``lexer``), and local imports are resolved by
+a join with the files.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import ids
+from weft.sources import lexer
 
 #: Languages by suffix, directories that are never read, and suffixes tried for a local import, in
-#: order, with index files of a directory (fixed values).
+#: order, with index files of a directory (fixed values, but for the index files of .py and the last two scripts).
 LANGUAGES = {
     "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "tsx", "py": "python", "go": "go", "rs": "rust", "java": "java",
     "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp", "prisma": "prisma",
@@ -24,36 +29,6 @@ IGNORED = (
     ".venv", ".venv-win", "venv", "env", "ENV", ".tox", ".nox",
 )
 CANDIDATES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/index.cjs", "/__init__.py")
-_SCRIPTS = ("typescript", "tsx", "javascript")
-
-#: (languages, pattern with the name as group 1, kind)
-SYMBOLS = (
-    (_SCRIPTS, r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)", "function"),
-    (_SCRIPTS, r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)", "class"),
-    (("typescript", "tsx"), r"(?m)^\s*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)", "interface"),
-    (_SCRIPTS, r"(?m)^(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)", "variable"),
-    (("python",), r"(?m)^[ \t]*(?:async\s+)?def\s+([A-Za-z_]\w*)", "function"),
-    (("python",), r"(?m)^[ \t]*class\s+([A-Za-z_]\w*)", "class"),
-    (("go",), r"(?m)^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", "function"),
-    (("go",), r"(?m)^type\s+([A-Za-z_]\w*)\s+struct", "class"),
-    (("go",), r"(?m)^type\s+([A-Za-z_]\w*)\s+interface", "interface"),
-    (("rust",), r"(?m)^\s*(?:pub(?:\([a-z]+\))?\s+)?(?:async\s+)?fn\s+([A-Za-z_]\w*)", "function"),
-    (("rust",), r"(?m)^\s*(?:pub(?:\([a-z]+\))?\s+)?(?:struct|enum)\s+([A-Za-z_]\w*)", "class"),
-    (("java",), r"(?m)^\s*(?:public|private|protected)?\s*(?:abstract\s+|final\s+)?class\s+([A-Za-z_]\w*)", "class"),
-    (("c", "cpp"), r"(?m)^(?:[A-Za-z_][\w:<>,*&\s]*?[\s*&])([A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?:const\s*)?\{", "function"),
-    (("c", "cpp"), r"(?m)^\s*(?:typedef\s+)?(?:struct|class|enum)\s+([A-Za-z_]\w*)\s*(?::[^{;]*)?\{", "class"),
-    (("prisma",), r"(?m)^model\s+([A-Za-z_]\w*)\s*\{", "db_model"),
-)
-#: (languages, pattern with the imported name as group 1)
-IMPORTS = (
-    (_SCRIPTS, r"""(?:import|export)\s[^'";]*?from\s*['"]([^'"]+)['"]"""),
-    (_SCRIPTS, r"""(?:import|require)\s*\(?\s*['"]([^'"]+)['"]"""),
-    (("python",), r"(?m)^[ \t]*from\s+([.\w]+)\s+import\b"),
-    (("python",), r"(?m)^[ \t]*import\s+([\w.]+)"),
-    (("go",), r"""(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"]+)"\s*$"""),
-)
-
-
 def source_files(spark: SparkSession, root: str, repo: str, max_bytes: int | None = None, ignored: Sequence[str] = (), most: int | None = None) -> DataFrame:
     """repo_name, path, language, size, content of every source file below root.
 
@@ -81,33 +56,81 @@ def file_nodes(files: DataFrame) -> DataFrame:
     return files.select(ids.file_uri("repo_name", "path").alias("node_id"), F.lit("file").alias("layer"), F.lit("file").alias("kind"), F.col("path").alias("label"), "repo_name", F.col("path").alias("file_path"))
 
 
-def _for(languages: tuple[str, ...], pattern: str):
-    found = F.regexp_extract_all("content", F.lit(pattern), F.lit(1))
-    return F.when(F.col("language").isin(*languages), found).otherwise(F.array().cast("array<string>"))
+_SCANNED = "repo_name string, path string, language string, name string, kind string, start_line int, start_col int, end_line int, end_col int, parent string, parent_kind string, value string, content string"
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """repo_name, path, name, kind: distinct symbols by the patterns of each language."""
-    made = F.flatten(F.array(*(F.transform(_for(langs, p), _named(kind)) for langs, p, kind in SYMBOLS)))
-    return files.select("repo_name", "path", F.inline(F.array_distinct(made)))
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in _SCANNED.split(", ")]
+    for batch in batches:
+        for repo, path, language, text in zip(*(batch.column(c).to_pylist() for c in ("repo_name", "path", "language", "content")), strict=True):
+            text = text or ""
+            feeds = [m.start() for m in re.finditer("\n", text)]
+
+            def place(at: int, feeds: list[int] = feeds) -> tuple[int, int]:
+                line = bisect.bisect_left(feeds, at)
+                return line + 1, at - (feeds[line - 1] + 1 if line else 0) + 1
+
+            found = lexer.symbols(text, language)
+            rows = [(s.name, s.kind, *place(s.start), *place(s.end), *((found[q].name, found[q].kind) if q >= 0 else (None, None)), s.value, text[s.start : s.end]) for s, q in zip(found, lexer.parents(found), strict=True)]
+            rows += [(spec, "import", *[None] * 8) for spec in lexer.imports(text, language)]
+            if rows:
+                columns = [[repo] * len(rows), [path] * len(rows), [language] * len(rows), *map(list, zip(*rows, strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n.endswith(("_line", "_col")) else pa.string()) for n, c in zip(names, columns, strict=True)], names=names)
 
 
-def _named(kind: str):
-    return lambda x: F.struct(x.alias("name"), F.lit(kind).alias("kind"))
+def scanned(files: DataFrame) -> DataFrame:
+    """All that one scan of each text finds: its symbols with ranges (lines and columns from 1, the end
+    exclusive), the symbol around each, what a variable is set to, and their text; and its imports
+    (kind ``import``, the name being what is imported). Nothing is taken from comments or strings."""
+    return files.select("repo_name", "path", "language", "content").mapInArrow(_scan, _SCANNED)
 
 
-def import_specs(files: DataFrame) -> DataFrame:
+def code_symbols(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The symbols of files as nodes: node_id, label, kind (refined by name, path and text), repo_name, path,
+    language, start_line, start_col, end_line, end_col, parent, content. found: scanned(files), if it is
+    at hand."""
+    own = (scanned(files) if found is None else found).where("kind <> 'import'")
+    kind = F.when(F.col("kind").isin("route_handler", "db_model"), F.col("kind")).otherwise(refined_kind(F.col("name"), F.col("kind"), F.col("path"), F.col("content"), F.col("value")))
+    own = own.withColumn("kind", kind)
+    node = ids.symbol_id(ids.file_uri("repo_name", "path"), "name", "kind", "start_line")
+    return own.select(node.alias("node_id"), F.col("name").alias("label"), "kind", "repo_name", "path", "language", "start_line", "start_col", "end_line", "end_col", "parent", "content")
+
+
+def ingest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of source files: a surface for each file, its symbols (or a boundary where a file of
+    configuration has none), CONTAINS from projects to files and from files to nodes, and imports.
+
+    Texts are scanned once for each of the two that is used; persist files or the results to scan once.
+    """
+    found = scanned(files)
+    code = code_symbols(files, found)
+    without = files.join(code.select("repo_name", "path").distinct(), ["repo_name", "path"], "left_anti")
+    lines = F.length("content") - F.length(F.replace("content", F.lit("\n"))) + 1
+    whole = config_boundaries(without).join(files.select("repo_name", "path", "language", "content"), ["repo_name", "path"])
+    whole = whole.select(ids.symbol_id(ids.file_uri("repo_name", "path"), "name", F.lit("config_object"), F.lit(1)).alias("node_id"), F.col("name").alias("label"), F.lit("config_object").alias("kind"), "repo_name", "path", "language", F.lit(1).alias("start_line"), F.lit(1).alias("start_col"), lines.cast("int").alias("end_line"), F.lit(1).alias("end_col"), F.lit(None).cast("string").alias("parent"), "content")
+    surfaces = file_surfaces(files).withColumns({"start_col": F.lit(0), "end_col": F.lit(0), "parent": F.lit(None).cast("string")}).select(*code.columns)
+    nodes = surfaces.unionByName(code).unionByName(whole)
+    return nodes, contains_edges(files, nodes).unionByName(import_edges(files, found))
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """repo_name, path, name, kind: distinct symbols by the declarations of each language."""
+    return scanned(files).where("kind <> 'import'").select("repo_name", "path", "name", "kind").distinct()
+
+
+def import_specs(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """repo_name, path, language, spec: what each file imports, once each."""
-    made = F.array_distinct(F.flatten(F.array(*(_for(langs, p) for langs, p in IMPORTS))))
-    return files.select("repo_name", "path", "language", F.explode(made).alias("spec"))
+    own = scanned(files) if found is None else found
+    return own.where("kind = 'import'").select("repo_name", "path", "language", F.col("name").alias("spec"))
 
 
-def import_edges(files: DataFrame) -> DataFrame:
+def import_edges(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """DEPENDS_ON_FILE edges for imports that name a file of the repository, else IMPORTS_MODULE.
 
-    Candidate paths of a relative import meet the files in a join; the first that exists is taken.
+    Candidate paths of a relative import meet the files in a join; the first that exists is taken, else
+    the least path below a folder of that name. found: scanned(files), if it is at hand.
     """
-    specs = import_specs(files)
+    specs = import_specs(files, found)
     here = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
     dots = F.length(F.regexp_extract("spec", r"^(\.*)", 1))
     dotted = F.concat(F.when(dots <= 1, "./").otherwise(F.expr("repeat('../', length(regexp_extract(spec, '^([.]*)', 1)) - 1)")), F.translate(F.regexp_replace("spec", r"^\.+", ""), ".", "/"))
@@ -116,7 +139,11 @@ def import_edges(files: DataFrame) -> DataFrame:
     tried = local.select("repo_name", "path", "spec", F.posexplode(F.transform(F.array(*(F.lit(s) for s in CANDIDATES)), lambda s: F.concat("base", s))).alias("ord", "candidate"))
     known = files.select("repo_name", F.col("path").alias("candidate"))
     resolved = tried.join(known, ["repo_name", "candidate"]).groupBy("repo_name", "path", "spec").agg(F.min_by("candidate", "ord").alias("target"))
-    out = specs.join(resolved, ["repo_name", "path", "spec"], "left")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    folders = files.where(F.contains("path", F.lit("/"))).select("repo_name", "path", F.explode(above).alias("base")).groupBy("repo_name", "base").agg(F.min("path").alias("below"))
+    within = local.join(folders, ["repo_name", "base"]).select("repo_name", "path", "spec", "below")
+    out = specs.join(resolved, ["repo_name", "path", "spec"], "left").join(within, ["repo_name", "path", "spec"], "left").withColumn("target", F.coalesce("target", "below"))
     root = F.when(F.col("language") == "python", F.concat(F.lit("module:"), F.substring_index("spec", ".", 1))).otherwise(ids.module_spec("spec"))
     to = F.coalesce(ids.file_uri("repo_name", "target"), root)
     kind = F.when(F.col("target").isNotNull(), "DEPENDS_ON_FILE").otherwise("IMPORTS_MODULE")
@@ -147,24 +174,15 @@ def contains_edges(files: DataFrame, code: DataFrame) -> DataFrame:
     return edge(own, ids.project_id("repo_name"), ids.file_uri("repo_name", "path")).unionByName(edge(code, ids.file_uri("repo_name", "path"), F.col("node_id")))
 
 
-#: Verbs of a route (fixed values).
-VERBS = ("get", "post", "put", "delete", "patch", "all", "use", "head", "options")
-
-
 def route_handlers(files: DataFrame) -> DataFrame:
-    """(repo_name, path, verb, route): calls such as router.get("/x", handler) in scripts, once each."""
-    call = rf"""[\w$)\]]\.({"|".join(VERBS)})\(\s*['"`]([^'"`]*)['"`]\s*,\s*(?:async\b|function\b|\(|[A-Za-z_$])"""
-    found = F.when(F.col("language").isin(*_SCRIPTS), F.arrays_zip(F.regexp_extract_all("content", F.lit(call), F.lit(1)).alias("verb"), F.regexp_extract_all("content", F.lit(call), F.lit(2)).alias("route")))
-    return files.select("repo_name", "path", F.inline(F.array_distinct(found))).toDF("repo_name", "path", "verb", "route")
+    """(repo_name, path, label, start_line): calls such as router.get("/x", () => ...) in scripts, whose second
+    argument is a function, labelled by their path."""
+    return scanned(files).where("kind = 'route_handler'").select("repo_name", "path", F.col("name").alias("label"), "start_line")
 
 
 def schema_models(files: DataFrame) -> DataFrame:
-    """(repo_name, path, name, start_line, end_line): models of schema files, to the brace that closes them."""
-    models = F.regexp_extract_all("content", F.lit(r"(?ms)^(model\s+\w+\s*\{.*?^\})"), F.lit(1))
-    each = files.where("language = 'prisma'").select("repo_name", "path", "content", F.explode(models).alias("body"))
-    before = F.expr("substring_index(content, body, 1)")
-    lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n")))
-    return each.select("repo_name", "path", F.regexp_extract("body", r"model\s+(\w+)", 1).alias("name"), (lines(before) + 1).cast("int").alias("start_line"), (lines(before) + lines(F.col("body")) + 1).cast("int").alias("end_line"))
+    """(repo_name, path, name, start_line, end_line): models of schema files, to the line whose braces close them."""
+    return scanned(files).where("kind = 'db_model'").select("repo_name", "path", "name", "start_line", "end_line")
 
 
 def refined_kind(name, kind, path, content, value=None):
@@ -172,7 +190,7 @@ def refined_kind(name, kind, path, content, value=None):
     kind of expression that a variable is set to."""
     n, p, c = F.lower(name), F.lower(path), F.lower(content)
     plain = kind.isin("function", "variable")
-    shaped = kind == "function" if value is None else value.isin("object", "object_pattern", "object_expression", "call_expression") | (kind == "function")
+    shaped = kind == "function" if value is None else value.isin("object", "call") | (kind == "function")
     rules = (
         ("react_hook", name.rlike("^use[A-Z0-9_]") & path.rlike(r"\.(tsx?|jsx?)$")),
         ("middleware", n.contains("middleware") | (n.rlike("(guard|handler)$") & p.contains("middleware")) | (p.rlike("(middleware|guard)s?/") & plain)),

@@ -256,7 +256,9 @@ class _Reader(DataSourceReader):
         prefix = self.path[: len(self.path) - len(place)] if self.path.endswith(place) else ""
         return [r for x in sorted(found, key=lambda x: x.path) for r in ranges(prefix + x.path, x.size, self.split)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are no partitions
+            return
         files, place = _opened(partition.path)
         schema = to_arrow_schema(self.schema)
         with files.open_input_file(place) as f:
