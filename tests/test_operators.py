@@ -97,6 +97,7 @@ def plain_moves(rows):
 def test_moves_equal_a_plain_loop(spark):
     rnd = random.Random(3)
     rows = [("r", "1", "2", "old/x.ts", "D", "Money", ""), ("r", "1", "2", "old/y.ts", "D", "View", ""), ("r", "1", "2", "new/x.ts", "A", "", "Money,View"), ("r", "1", "2", "new/z.ts", "A", "", "View"), ("r", "1", "2", "new/w.ts", "A", "", "Other")]
+    rows += [("d", "1", "2", f"a/n{i:02}.ts", "A", "", "View") for i in range(25)] + [("d", "1", "2", f"b/m{i:02}.ts", "D", "Money,View" if i % 5 else "View", "") for i in range(30)]
     for repo in "abc":
         for path in {f"{rnd.choice('pqr')}/{rnd.choice('klmnop')}.{rnd.choice(['ts', 'js'])}" for _ in range(30)}:
             blocks = ",".join(sorted(rnd.sample(["Money", "View", "Entry"], rnd.choice([1, 1, 2]))))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 import subprocess
 
 import pytest
@@ -39,12 +40,37 @@ def test_git_history_and_bad_repository(spark, tmp_path):
     assert [r.repo for r in got if r.error] == ["bad"]
     rows = history.as_changes(history.changed_files(df))
     assert {(r.ord, r.status, r.path) for r in rows.collect()} == {(0, "D", "a.ts"), (0, "A", "b.ts"), (1, "A", "a.ts")}
-    assert [(r.path, r.status) for r in history.replay(rows).collect()] == [("b.ts", "A")]
+    assert {(r.ord, r.path, r.status) for r in history.replay(rows).collect()} == {(1, "a.ts", "A"), (0, "b.ts", "A")}
     commits = spark.createDataFrame([("r", str(repo), "HEAD"), ("r", str(repo), "HEAD~1"), ("r", str(repo), "none")], "repo string, folder string, ref string")
     listed = history.files_at(commits).collect()
     assert {(r.ref, r.path) for r in listed if r.error is None} == {("HEAD", "b.ts"), ("HEAD~1", "a.ts")} and len(listed) == 3
 
 
+def test_replay_equals_a_walk_over_commits(spark):
+    rnd = random.Random(5)
+    rows, wanted, counts = [], set(), set()
+    for repo in ("r", "s"):
+        alive = {}
+        for ord_ in range(150, -1, -1):
+            before = set(alive)
+            for path in rnd.sample("abcdefgh", rnd.randint(1, 3)):
+                kinds = [rnd.choice(["A", "M", "D", "R100"])] if rnd.random() < 0.9 else ["D", "A"]
+                rows += [(repo, ord_, k, path) for k in kinds]
+                kept = [k for k in kinds if k != "D"]
+                alive.pop(path, None)
+                if kept:
+                    alive[path] = kept[0]
+            wanted |= {(repo, ord_, p, s) for p, s in alive.items()}
+            counts.add((repo, ord_, len(alive), len(set(alive) - before), len(before - set(alive))))
+    log = spark.createDataFrame(rows, "repo string, ord int, status string, path string")
+    assert set(map(tuple, history.replay(log).collect())) == wanted
+    refs = spark.createDataFrame([("r", 7), ("s", 100), ("s", 0), ("none", 1)], "repo string, ord int")
+    assert set(map(tuple, history.replay(log, refs).collect())) == {x for x in wanted if x[:2] in {("r", 7), ("s", 100), ("s", 0)}}
+    assert set(map(tuple, history.replayed_counts(log).collect())) == counts
+    paths = spark.createDataFrame([("src/a.ts",), ("x/build/a.ts",), ("yarn.lock",), ("d\\dist\\b.ts",), ("a.svg",)], "path string")
+    assert [r.path for r in paths.where(history.architectural("path")).collect()] == ["src/a.ts"]
+
+
 def test_source_files_are_those_of_known_suffixes(spark, tmp_path):
     for name in ("vendor/a.ts", "target/b.PY", "coverage/c.hpp", "node_modules/d.ts", ".tox/e.py", "mine/f.js", "g.txt", "h.cjs", "bad.go"):
         (tmp_path / name).parent.mkdir(exist_ok=True)

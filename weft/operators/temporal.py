@@ -6,13 +6,11 @@ whatever orders the states of a repository; histories of different repositories
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.session import cut
+
 
 def churn(changes: DataFrame) -> DataFrame:
     """(block, changes): how many distinct (repo, day, path) touch each block."""
@@ -104,45 +102,73 @@ def direct_drift(diffs: DataFrame) -> DataFrame:
     return diffs.where("status = 'M'").select("repo", "before", "after", "path", "before_blocks", "after_blocks", F.lit(0.9).alias("confidence"))
 
 
-def _stem(path: str) -> tuple[str, str]:
-    name = path.rsplit("/", 1)[-1]
-    return name, name.rsplit(".", 1)[0]
-
-
-def _moves(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Deletions wait by stem and by block; those of a common block only, with the least path, come from
-    heaps, so an addition looks at its namesakes and at a few heads."""
-    blocks = lambda x: set(x.split(",")) - {""}
-    gone = pdf[pdf.status == "D"].sort_values("path")
-    left = {r.path: r.before_blocks for r in gone.itertuples()}
-    by_stem, by_block = defaultdict(list), defaultdict(list)
-    for path, before in left.items():
-        by_stem[_stem(path)[1]].append(path)
-        for block in blocks(before):
-            by_block[block].append(path)  # in order, which is a heap
-    rows = []
-    for new in pdf[pdf.status == "A"].sort_values("path").itertuples():
-        name, stem = _stem(new.path)
-        mine = blocks(new.after_blocks)
-        near = [(-(5 if _stem(p)[0] == name else 2) - bool(mine & blocks(left[p])), p) for p in by_stem[stem] if p in left]
-        if not near:
-            for block in mine:
-                heap = by_block[block]
-                while heap and heap[0] not in left:
-                    heapq.heappop(heap)
-                near += [(-1, heap[0])] if heap else []
-        if near and blocks(left[old := min(near)[1]]) != mine:
-            rows.append((new.repo, new.before, new.after, old, new.path, left.pop(old), new.after_blocks, 0.82))
-    return pd.DataFrame(rows, columns=["repo", "before", "after", "old_path", "path", "before_blocks", "after_blocks", "confidence"])
+_DIFF = ["repo", "before", "after"]
+
+
+def _waiting(files: DataFrame, blocks: str, *more: str) -> DataFrame:
+    """A row for every list (key) that a file of a diff is in, and the score of a match by that list: its name
+    (5: name 3, stem 2), its stem (2), each of its blocks (1), and a block with its name or stem."""
+    name = F.element_at(F.split("path", "/"), -1)
+    stem = F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
+    of = lambda key, score: F.struct(key.alias("key"), F.lit(score).alias("score"))
+    each = F.filter(F.split(blocks, ","), lambda x: x != "")
+    keyed = lambda kind, text: F.concat(F.lit(kind), text)
+    alone = F.array(of(keyed("n/", name), 5), of(keyed("s/", stem), 2))
+    within = F.flatten(F.transform(each, lambda b: F.array(of(F.concat(F.lit("N/"), b, F.lit("/"), name), 6), of(F.concat(F.lit("S/"), b, F.lit("/"), stem), 3), of(keyed("b/", b), 1))))
+    return files.select(*_DIFF, "path", *more, F.inline(F.concat(alone, within)))
+
+
+def _best(lists: DataFrame, waiting: DataFrame, holders: DataFrame) -> DataFrame:
+    """For every addition the best deletion that none before it holds: _DIFF, path, old_path, key.
+
+    Of a list the first deletion whose holder, if any, isn't before the addition: with deletions and
+    additions sorted by holder, the last first, that is a running minimum, so no pairs are made.
+    """
+    held = lists.join(holders, [*_DIFF, "old_path"], "left")
+    none = F.lit(None).cast("string")
+    rows = held.select(*_DIFF, "key", "score", F.col("holder").alias("at"), F.lit(0).alias("adds"), "old_path", none.alias("path"))
+    rows = rows.unionByName(waiting.select(*_DIFF, "key", "score", F.col("path").alias("at"), F.lit(1).alias("adds"), none.alias("old_path"), "path"))
+    upto = Window.partitionBy(*_DIFF, "key").orderBy(F.col("at").desc_nulls_first(), "adds").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("first", F.min("old_path").over(upto)).where("adds = 1 AND first IS NOT NULL")
+    return found.groupBy(*_DIFF, "path").agg(F.min(F.struct((-F.col("score")).alias("o"), F.col("first").alias("old_path"), "key")).alias("b")).select(*_DIFF, "path", "b.old_path", "b.key")
 
 
 def move_drift(diffs: DataFrame) -> DataFrame:
     """Moves: each added file, by path, takes the best-scored deleted file still free (same name 5, same
-    stem 2, a common block 1 more), ties by path, if their blocks differ. Greedy by definition, so the additions and deletions of one
-    diff are one group; its cost is near the number of files in it.
+    stem 2, a common block 1 more), ties by path; it is a move if their blocks differ, and only then is
+    the deleted file taken.
+
+    All additions of all diffs choose at once, round after round: the best deletion that none before them
+    holds. Those that choose the same one are dealt the next free ones of its list, by path, as a guess;
+    a round that changes nothing is the sequential result, since the first addition whose choice isn't
+    final always becomes final. A diff is never gathered: lists are sorted and scanned by Spark.
     """
-    schema = "repo string, before string, after string, old_path string, path string, before_blocks string, after_blocks string, confidence double"
-    return diffs.where("status IN ('A', 'D')").groupBy("repo", "before", "after").applyInPandas(_moves, schema)
+    gone = diffs.where("status = 'D' AND before_blocks <> ''")
+    lists = cut(_waiting(gone, "before_blocks").withColumnRenamed("path", "old_path"))
+    waiting = cut(_waiting(diffs.where("status = 'A' AND after_blocks <> ''"), "after_blocks"))
+    new = diffs.where("status = 'A'").select(*_DIFF, "path", "after_blocks")
+    old = gone.select(*_DIFF, F.col("path").alias("old_path"), "before_blocks")
+    holders = old.select(*_DIFF, "old_path", F.lit(None).cast("string").alias("holder")).limit(0)
+    state = None
+    while True:
+        best = _best(lists, waiting, holders).join(new, [*_DIFF, "path"]).join(old, [*_DIFF, "old_path"])
+        taken = best.where("after_blocks <> before_blocks")
+        turn = F.row_number().over(Window.partitionBy(*_DIFF, "old_path").orderBy("path")) - 1
+        taken = cut(taken.withColumn("turn", turn))
+        now = taken.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("turn") > 0).alias("more"), F.sum(F.xxhash64(*_DIFF, "path", "old_path").cast("decimal(38,0)")).alias("s")).first()
+        if now == state and not now["more"]:
+            return taken.select(*_DIFF, "old_path", "path", "before_blocks", "after_blocks", F.lit(0.82).alias("confidence"))
+        state = now
+        guesses = taken
+        if now["more"]:
+            wanted = taken.where("turn > 0").select(*_DIFF, "key", "path", "old_path", "turn")
+            free = lists.join(taken.select(*_DIFF, "old_path").distinct(), [*_DIFF, "old_path"], "left_anti").join(wanted.select(*_DIFF, "key").distinct(), [*_DIFF, "key"], "left_semi")
+            turns = Window.partitionBy(*_DIFF, "key").orderBy("old_path")
+            free = free.select(*_DIFF, "key", F.col("old_path").alias("next_path"), F.row_number().over(turns).alias("place"))
+            again = F.row_number().over(Window.partitionBy(*_DIFF, "key").orderBy("path"))
+            dealt = wanted.withColumn("place", again).join(free, [*_DIFF, "key", "place"]).select(*_DIFF, F.col("next_path").alias("old_path"), "path")
+            guesses = taken.where("turn = 0").select(*_DIFF, "old_path", "path").unionByName(dealt)
+        holders = cut(guesses.groupBy(*_DIFF, "old_path").agg(F.min("path").alias("holder")))
 
 
 def known_changes_gate(found: DataFrame, expected: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.functions import ids
@@ -9,7 +10,7 @@ from weft.operators import classify, evaluation, evidence, graph, regret, retrie
 from weft.plans import adapters as A
 from weft.plans import project  # noqa: F401  (registers its queries)
 from weft.plans.registry import ORACLE_SQL, QUERIES, query
-from weft.sources import files, store
+from weft.sources import files, history, store
 
 NODES, EDGES, CHANGES, ASSIGN = A.NODES_SQL, A.EDGES_SQL, A.CHANGES_SQL, A.ASSIGN_SQL
 SNAPS = """snaps AS (SELECT DISTINCT repo, day, path, block FROM changes),
@@ -652,12 +653,54 @@ def drift(spark, d):
     return temporal.direct_drift(temporal.diff(temporal.snapshots(A.changes(spark, d))))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {CHANGES}, {SNAPS}, {DIFFS}, parts AS (SELECT *, regexp_extract(path, '[^/]*$') AS name, regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\.[^.]*$', '\1') AS stem FROM diffs),
+adds AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY repo, before, after ORDER BY path) AS rn FROM parts WHERE status = 'A'),
+pairs_ AS MATERIALIZED (SELECT a.repo, a.before, a.after, a.rn, d.path AS old_path, d.before_blocks AS gone, CASE WHEN a.name = d.name THEN 5 WHEN a.stem = d.stem THEN 2 ELSE 0 END
+  + CASE WHEN list_has_any(string_split(a.after_blocks, ','), string_split(d.before_blocks, ',')) THEN 1 ELSE 0 END AS score FROM adds a JOIN parts d ON d.status = 'D' AND a.repo = d.repo AND a.before = d.before AND a.after = d.after),
+walk AS (SELECT DISTINCT repo, before, after, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS old_path, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS before_blocks, CAST(NULL AS VARCHAR) AS after_blocks FROM adds
+  UNION ALL SELECT repo, before, after, rn, CASE WHEN old_path IS NOT NULL AND gone <> after_blocks THEN list_append(taken, old_path) ELSE taken END, old_path, path, gone, after_blocks
+  FROM (SELECT w.repo, w.before, w.after, a.rn, w.taken, p.old_path, a.path, p.gone, a.after_blocks, row_number() OVER (PARTITION BY w.repo, w.before, w.after ORDER BY p.score DESC NULLS LAST, p.old_path) AS k
+    FROM walk w JOIN adds a ON a.repo = w.repo AND a.before = w.before AND a.after = w.after AND a.rn = w.rn + 1
+    LEFT JOIN pairs_ p ON p.repo = w.repo AND p.before = w.before AND p.after = w.after AND p.rn = a.rn AND p.score > 0 AND NOT list_contains(w.taken, p.old_path)) WHERE k = 1)
+SELECT repo, before, after, old_path, path, before_blocks, after_blocks, 0.82::DOUBLE AS confidence FROM walk WHERE old_path IS NOT NULL AND before_blocks <> after_blocks""")
 def drift_moves(spark, d):
-    """Greedy matching of additions and deletions; the tests compare it with a plain loop on random diffs."""
     return temporal.move_drift(temporal.diff(temporal.snapshots(A.changes(spark, d))))
 
 
+_HISTORY = f"""{CHANGES}, log AS (SELECT repo, CAST(dense_rank() OVER (PARTITION BY repo ORDER BY day DESC) - 1 AS INTEGER) AS ord, CASE WHEN event_id % 3 = 0 THEN 'D' WHEN event_id % 3 = 1 THEN 'A' ELSE 'M' END AS status, path FROM changes),
+each AS (SELECT repo, path, ord, coalesce(min(status) FILTER (status <> 'D'), 'D') AS status FROM log GROUP BY ALL),
+commits AS (SELECT DISTINCT repo, ord FROM log),
+alive AS (SELECT c.repo, c.ord, path, arg_min(status, e.ord) AS status FROM commits c JOIN each e ON e.repo = c.repo AND e.ord >= c.ord GROUP BY ALL HAVING arg_min(status, e.ord) <> 'D')"""
+
+
+def _history(spark, d):
+    """Days as commits, events as changes of their user's file; a third of them deletions."""
+    turn = F.col("event_id") % 3
+    status = F.when(turn == 0, "D").when(turn == 1, "A").otherwise("M")
+    ord_ = (F.dense_rank().over(Window.partitionBy("repo").orderBy(F.desc("day"))) - 1).cast("int")
+    return A.changes(spark, d).select("repo", ord_.alias("ord"), status.alias("status"), "path")
+
+
+@query(f"WITH {_HISTORY} SELECT * FROM alive")
+def replayed_files(spark, d):
+    return history.replay(_history(spark, d))
+
+
+@query(f"WITH {_HISTORY} SELECT * FROM alive WHERE ord % 10 = 3")
+def replayed_refs(spark, d):
+    log = _history(spark, d)
+    return history.replay(log, log.where("ord % 10 = 3").select("repo", "ord"))
+
+
+@query(f"""WITH {_HISTORY}, n AS (SELECT repo, ord, count(*) AS files FROM alive GROUP BY ALL),
+moves AS (SELECT c.repo, c.ord, a.path, a.path IS NOT NULL AND b.path IS NULL AS up FROM commits c JOIN alive a ON a.repo = c.repo AND a.ord = c.ord LEFT JOIN alive b ON b.repo = c.repo AND b.ord = c.ord + 1 AND b.path = a.path WHERE b.path IS NULL),
+lost AS (SELECT c.repo, c.ord, b.path FROM commits c JOIN alive b ON b.repo = c.repo AND b.ord = c.ord + 1 LEFT JOIN alive a ON a.repo = c.repo AND a.ord = c.ord AND a.path = b.path WHERE a.path IS NULL)
+SELECT repo, ord, CAST(coalesce(files, 0) AS BIGINT) AS files, CAST(coalesce(u, 0) AS BIGINT) AS added, CAST(coalesce(l, 0) AS BIGINT) AS gone FROM commits LEFT JOIN n USING (repo, ord)
+LEFT JOIN (SELECT repo, ord, count(*) AS u FROM moves GROUP BY ALL) USING (repo, ord) LEFT JOIN (SELECT repo, ord, count(*) AS l FROM lost GROUP BY ALL) USING (repo, ord)""")
+def replayed_counts(spark, d):
+    return history.replayed_counts(_history(spark, d))
+
+
 @query(f"""WITH {CHANGES}, {SNAPS}, {DIFFS}, f AS (SELECT repo, before, after, path FROM diffs WHERE status = 'M'), e AS (SELECT * FROM f WHERE path <> 'src/user_1.ts'),
 m AS (SELECT (SELECT count(*) FROM (FROM e EXCEPT ALL FROM f)) AS missing, (SELECT count(*) FROM (FROM f EXCEPT ALL FROM e)) AS unexpected)
 SELECT missing, unexpected, CASE WHEN missing = 0 AND unexpected = 0 THEN 'pass' ELSE 'fail' END AS status FROM m""")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import subprocess
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COMMITS = "repo string, sha string, authored_at string, subject string, ord int, status string, old_path string, path string, error string"
@@ -69,9 +70,57 @@ def files_at(commits: DataFrame) -> DataFrame:
     return commits.select("repo", "folder", "ref").repartition("repo", "ref").mapInArrow(_tree, TREE)
 
 
-def replay(changes: DataFrame) -> DataFrame:
-    """(repo, ord, path, status): the files that exist after each commit that touches them, from the
-    changes (repo, ord, status, path) of a history: the last status of each path up to a commit, kept
-    if it isn't a deletion. ord counts back from the newest commit, at 0."""
-    last = changes.groupBy("repo", "path").agg(F.min_by("status", "ord").alias("status"), F.min("ord").alias("ord"))
-    return last.where("substring(status, 1, 1) <> 'D'").select("repo", "ord", "path", "status")
+def intervals(changes: DataFrame) -> DataFrame:
+    """(repo, path, status, since, until): each stretch of commits in which a path exists: from the commit
+    ``since``, at which it got ``status``, to before the commit ``until``; null if it still exists. From the
+    changes (repo, ord, status, path) of a history; ord counts back from the newest commit, at 0. Of
+    several changes of a path in a commit, as of renames, one that isn't a deletion counts."""
+    gone = F.substring("status", 1, 1) == "D"
+    each = changes.groupBy("repo", "path", "ord").agg(F.min_by("status", F.struct(gone, "status")).alias("status"))
+    w = Window.partitionBy("repo", "path").orderBy(F.desc("ord"))
+    stretches = each.withColumn("until", F.lead("ord").over(w)).where(~gone)
+    return stretches.select("repo", "path", "status", F.col("ord").alias("since"), "until")
+
+
+def replay(changes: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """(repo, ord, path, status): the files that exist after each commit of a history, with the status that
+    they got last, from its changes (repo, ord, status, path). refs: repo, ord of the commits that are wanted, else all.
+
+    A stretch in which a file exists is dealt out to its commits, so one shuffle by path is all; with
+    refs it meets those of its repository in bins of 64 commits.
+    """
+    stretches = intervals(changes).withColumn("last", F.coalesce(F.col("until") + 1, F.lit(0)))
+    if refs is None:
+        return stretches.select("repo", F.explode(F.sequence("last", "since")).alias("ord"), "path", "status")
+    size = 64
+    bins = lambda c: F.floor(F.col(c) / size)
+    binned = stretches.withColumn("bin", F.explode(F.sequence(bins("last"), bins("since"))))
+    wanted = refs.select("repo", "ord").distinct().withColumn("bin", bins("ord"))
+    return binned.join(wanted, ["repo", "bin"]).where("ord BETWEEN last AND since").select("repo", "ord", "path", "status")
+
+
+def replayed_counts(changes: DataFrame) -> DataFrame:
+    """(repo, ord, files, added, gone): how many files exist after each commit that changes any, and how many it
+    adds and deletes; a running sum over a repository's commits, without listing files."""
+    stretches = intervals(changes)
+    w = Window.partitionBy("repo", "path").orderBy(F.desc("since"))
+    begun = F.lag("until").over(w)
+    begins = stretches.withColumn("fresh", begun.isNull() | (begun != F.col("since"))).where("fresh").select("repo", F.col("since").alias("ord"), F.lit(1).alias("a"), F.lit(0).alias("d"))
+    following = F.lead("since").over(w)
+    ends = stretches.withColumn("over", F.col("until").isNotNull() & (following.isNull() | (following != F.col("until")))).where("over").select("repo", F.col("until").alias("ord"), F.lit(0).alias("a"), F.lit(1).alias("d"))
+    touched = changes.select("repo", "ord", F.lit(0).alias("a"), F.lit(0).alias("d"))
+    each = begins.unionByName(ends).unionByName(touched).groupBy("repo", "ord").agg(F.sum("a").alias("added"), F.sum("d").alias("gone"))
+    running = Window.partitionBy("repo").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)
+    return each.select("repo", "ord", F.sum(F.col("added") - F.col("gone")).over(running).alias("files"), "added", "gone")
+
+
+#: Parts of a path, and suffixes, of files that don't count for the architecture (fixed values).
+IGNORED_PARTS = (".git", "node_modules", "dist", "build", ".next", ".turbo", "__pycache__")
+IGNORED_SUFFIXES = (".lock", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".svg", ".map")
+
+
+def architectural(path: Column | str) -> Column:
+    """Whether a path counts for the architecture."""
+    plain = F.translate(F.col(path) if isinstance(path, str) else path, "\\", "/")
+    inside = F.arrays_overlap(F.split(plain, "/"), F.array(*(F.lit(p) for p in IGNORED_PARTS)))
+    return ~inside & ~reduce(Column.__or__, (plain.endswith(x) for x in IGNORED_SUFFIXES))
