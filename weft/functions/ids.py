@@ -89,6 +89,22 @@ def glob_pattern(glob: str) -> str:
     return fnmatch.translate(glob).replace("\\Z", "\\z")
 
 
+def glob_regex(glob: Column | str) -> Column:
+    """The anchored regular expression of a glob: * (any characters, / too), ?, and classes such as [a-c] and
+    [!x], where a bracket that isn't closed stands for itself."""
+    parts = F.regexp_extract_all(_c(glob), F.lit(r"(?s)(\[!?\]?[^\]]*\]|.)"), F.lit(1))
+    plain = lambda x: F.regexp_replace(x, r"([.^$+(){}\[\]|\\*?&-])", r"\\$1")
+
+    def one(x: Column) -> Column:
+        negated = x.startswith("[!")
+        inner = F.substring(x, F.when(negated, 3).otherwise(2), F.length(x) - F.when(negated, 3).otherwise(2))
+        group = F.concat(F.when(negated, "[^").otherwise("["), F.regexp_replace(inner, r"([\\\[\]^&])", r"\\$1"), F.lit("]"))
+        return F.when(x == "*", ".*").when(x == "?", ".").when(x.startswith("[") & (F.length(x) > 2), group).otherwise(plain(x))
+
+    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(parts, one), ""), F.lit(r"\z"))
+
+
+
 def infer_edge_provenance(edge_type: Column | str) -> Column:
     return F.when(_c(edge_type).isin("DEFINES", "REFERENCES", "IMPLEMENTS", "CROSS_REFERENCE"), "scip").otherwise("tree_sitter")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.functions import ids
 from weft.functions.ids import ratio
 
 MISSING = "__missing_node__"
@@ -115,9 +116,8 @@ def evidence_scores(questions: DataFrame, answers: DataFrame) -> DataFrame:
     q = questions.join(got, "id", "left").withColumn("has_evidence", F.col("seen").isNotNull())
     none = F.array().cast("array<string>")
     seen, files = F.coalesce("seen", none), F.coalesce("files", none)
-    glob = lambda g: F.concat(F.lit("^"), F.replace(F.replace(F.regexp_replace(g, r"([.^$+(){}\[\]|\\])", r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
     block = ~some("expected_blocks") | F.arrays_overlap("expected_blocks", seen)
-    by_glob = F.exists(F.coalesce("expected_globs", none), lambda g: F.exists(files, lambda f: F.rlike(f, glob(g))))
+    by_glob = F.exists(F.coalesce("expected_globs", none), lambda g: F.exists(files, lambda f: F.rlike(f, ids.glob_regex(g))))
     file = (~some("expected_files") & ~some("expected_globs")) | (some("expected_files") & F.arrays_overlap(F.coalesce("expected_files", none), files)) | by_glob
     empty = ~F.col("has_evidence")
     open_ = F.col("unsupported")

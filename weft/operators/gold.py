@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import ids
+from weft.operators import evaluation
 
 #: Values that a gold row may have (fixed values).
 STATUSES = ("active", "needs_review", "deprecated")
@@ -51,7 +52,7 @@ def targets(gold: DataFrame, nodes: DataFrame) -> DataFrame:
     paths = nodes.select("file_path").where("file_path IS NOT NULL").distinct()
     met = None
     for i in range(-(-n // FEW_GLOBS)):
-        part = globs.where(F.pmod(F.xxhash64("file_glob"), F.lit(-(-n // FEW_GLOBS))) == i).withColumn("pattern", glob_regex(F.col("file_glob")))
+        part = globs.where(F.pmod(F.xxhash64("file_glob"), F.lit(-(-n // FEW_GLOBS))) == i).withColumn("pattern", ids.glob_regex("file_glob"))
         one = paths.join(F.broadcast(part), F.rlike("file_path", F.col("pattern"))).select("file_glob", "file_path")
         met = one if met is None else met.unionByName(one)
     out = by_id.select("id", "node_id", "via").unionByName(path)
@@ -60,12 +61,6 @@ def targets(gold: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-def glob_regex(glob):
-    """The anchored regular expression of a glob column with * (any characters, / too) and ?."""
-    escaped = F.regexp_replace(glob, r"([.^$+(){}\[\]|\\])", r"\\$1")
-    return F.concat(F.lit("(?s)^"), F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
-
-
 def benchmark(gold: DataFrame, nodes: DataFrame, assignments: DataFrame) -> DataFrame:
     """(id, found, hit): whether any node of an active gold row exists, and whether any has an accepted
     block as its primary or a secondary one. assignments: node_id, primary_block, secondary."""
@@ -97,8 +92,7 @@ def audit(gold: DataFrame) -> DataFrame:
     )
     same_id = rows.where(~_blank("id")).groupBy("id").count().where("count > 1")
     same_row = rows.groupBy("repo_name", "target", "primary_block", "status").count().where("count > 1")
-    labels = rows.where("status <> 'deprecated'").groupBy("repo_name", "target").agg(F.count(F.lit(1)).alias("n"), F.count_if(active).alias("active"), F.count_distinct(F.when(active, F.col("primary_block"))).alias("labels"))
-    apart = labels.where("n > 1 AND labels > 1")
+    apart = evaluation.contradictions(rows.where("status <> 'deprecated'").withColumn("target", F.concat_ws("\n", "repo_name", "target")))
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     out = counts
     for one in (n(same_id, "same_id"), n(same_row, "same_row"), n(apart, "contradictions")):

@@ -290,13 +290,19 @@ def causal_overlay(nodes: DataFrame, edges: DataFrame, hot_files: DataFrame, blo
 def monte_carlo_reach(weighted: DataFrame, seeds: DataFrame, runs: int = 64, depth: int = 8, seed: int = 42) -> DataFrame:
     """(run, node_id): what a change at seeds (node_id) reaches in each run.
 
-    weighted: source_id, target_id, weight. In a run an edge passes on with its weight as chance, by
-    an MD5 of seed, run and ends, so runs repeat exactly and every level is one join. This is the
-    independent-cascade form of a walk with one trial per visit: same expectation for one visit.
+    weighted: source_id, target_id, weight, and perhaps edge_type. In a run every edge passes on with its
+    weight as chance, by an MD5 of seed, run, ends, type, direction and its number among edges that are
+    equal in these (by weight), so runs repeat exactly, parallel edges are tried one by one, and every
+    level is one join. An edge is tried once a run from each of its ends.
     """
-    ends = F.array(F.struct(F.col("source_id").alias("src"), F.col("target_id").alias("dst")), F.struct(F.col("target_id").alias("src"), F.col("source_id").alias("dst")))
-    dealt = _dealt(weighted.select("weight", F.explode(ends).alias("e")).select("e.src", "e.dst", "weight"))
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("run").cast("string"), "src", "dst")), 1, 8), 16, 10).cast("long")
+    kind = F.col("edge_type") if "edge_type" in weighted.columns else F.lit("")
+    typed = weighted.select("source_id", "target_id", kind.alias("edge_type"), "weight")
+    nth = F.row_number().over(Window.partitionBy("source_id", "target_id", "edge_type").orderBy("weight"))
+    which = lambda way: F.concat_ws(":", "edge_type", F.lit(way), nth.cast("string"))
+    numbered = typed.withColumns({"ahead": which("a"), "back": which("b")})
+    ends = F.array(F.struct(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.col("ahead").alias("edge")), F.struct(F.col("target_id").alias("src"), F.col("source_id").alias("dst"), F.col("back").alias("edge")))
+    dealt = _dealt(numbered.select("weight", F.explode(ends).alias("e")).select("e.src", "e.dst", "e.edge", "weight"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("run").cast("string"), "src", "dst", "edge")), 1, 8), 16, 10).cast("long")
     new = cut(seeds.select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "node_id").distinct())
     seen = new
     for _ in range(depth):

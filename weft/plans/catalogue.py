@@ -553,15 +553,16 @@ def overlay_weights(spark, d):
     return _overlay(spark, d)
 
 
-MC_SQL = f"""WITH RECURSIVE w AS ({OVERLAY_SQL}), steps AS (SELECT source_id AS src, target_id AS dst, adjusted_weight AS weight FROM w UNION ALL SELECT target_id, source_id, adjusted_weight FROM w),
+MC_SQL = f"""WITH RECURSIVE w AS ({OVERLAY_SQL}), numbered AS (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, edge_type ORDER BY adjusted_weight) AS nth FROM w),
+steps AS (SELECT source_id AS src, target_id AS dst, adjusted_weight AS weight, edge_type || ':a:' || nth AS edge FROM numbered UNION ALL SELECT target_id, source_id, adjusted_weight, edge_type || ':b:' || nth FROM numbered),
 r(run, node_id, depth) USING KEY (run, node_id) AS (SELECT run, 'customer:7', 0 FROM range(64) t(run) UNION
   SELECT run, dst, min(depth) + 1 FROM r JOIN steps ON src = node_id WHERE depth < 8
-    AND CAST('0x' || substr(md5('42:' || run || ':' || src || ':' || dst), 1, 8) AS BIGINT) <= weight * 4294967296.0 AND (run, dst) NOT IN (SELECT (run, node_id) FROM recurring.r) GROUP BY run, dst)
+    AND CAST('0x' || substr(md5('42:' || run || ':' || src || ':' || dst || ':' || edge), 1, 8) AS BIGINT) <= weight * 4294967296.0 AND (run, dst) NOT IN (SELECT (run, node_id) FROM recurring.r) GROUP BY run, dst)
 SELECT CAST(run AS INTEGER) AS run, count(*) AS reached FROM r GROUP BY run"""
 
 
 def _reached(spark, d):
-    weighted = _overlay(spark, d).select("source_id", "target_id", F.col("adjusted_weight").alias("weight"))
+    weighted = _overlay(spark, d).select("source_id", "target_id", "edge_type", F.col("adjusted_weight").alias("weight"))
     seeds = spark.createDataFrame([("customer:7",)], "node_id string")
     return graph.monte_carlo_reach(weighted, seeds).groupBy("run").agg(F.count(F.lit(1)).alias("reached"))
 
@@ -584,7 +585,7 @@ IMPACT_SEEDS = ("customer:1", "customer:2", "order:3")
 @query(MC_SQL.replace("SELECT run, 'customer:7', 0 FROM range(64) t(run)", "SELECT run, s, 0 FROM range(64) t(run), (VALUES ('customer:1'), ('customer:2'), ('order:3')) x(s)").split("SELECT CAST(run AS INTEGER)")[0]
        + f"SELECT node_id, count(*) AS hits, any_value(file_path) AS file_path FROM r JOIN (WITH {NODES} SELECT node_id, file_path FROM nodes WHERE layer = 'code') USING (node_id) GROUP BY node_id")
 def change_simulation(spark, d):
-    weighted = _overlay(spark, d).select("source_id", "target_id", F.col("adjusted_weight").alias("weight"))
+    weighted = _overlay(spark, d).select("source_id", "target_id", "edge_type", F.col("adjusted_weight").alias("weight"))
     starts = spark.createDataFrame([(x,) for x in IMPACT_SEEDS], "node_id string")
     return simulate.simulate(A.nodes(spark, d), weighted, starts)[0]
 

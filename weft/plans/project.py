@@ -145,7 +145,7 @@ def gold_targets_glob(spark, d):
 c AS (SELECT count(*) AS total, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'needs_review') AS needs_review, count(*) FILTER (status = 'deprecated') AS deprecated, 0::BIGINT AS missing,
   count(*) FILTER (confidence = 'unsure' OR NOT list_contains(accepted, primary_block)) AS invalid, count(*) FILTER (len(accepted) > 1 AND status <> 'deprecated') AS multi_label FROM t),
 x AS (SELECT (SELECT count(*) FROM (SELECT 1 FROM t GROUP BY id HAVING count(*) > 1)) AS same_id, (SELECT count(*) FROM (SELECT 1 FROM t GROUP BY target, primary_block, status HAVING count(*) > 1)) AS same_row,
-  (SELECT count(*) FROM (SELECT 1 FROM t WHERE status <> 'deprecated' GROUP BY target HAVING count(*) > 1 AND count(DISTINCT CASE WHEN status = 'active' THEN primary_block END) > 1)) AS contradictions)
+  (SELECT count(*) FROM (SELECT 1 FROM t WHERE status <> 'deprecated' GROUP BY target HAVING count(*) > 1 AND (count(*) FILTER (status = 'active') = 0 OR count(DISTINCT CASE WHEN status = 'active' THEN primary_block END) > 1))) AS contradictions)
 SELECT *, CASE WHEN same_id + same_row + contradictions + missing + invalid = 0 THEN 'pass' ELSE 'fail' END AS status FROM c, x""")
 def gold_audit(spark, d):
     return gold.audit(_gold(spark, d))
