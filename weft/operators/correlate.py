@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators import patterns
+
 #: Names of test files, path parts of route files, verbs of an interface description, keys of a template
 #: that are tried (fixed values).
 TESTS = r"(\.test\.tsx?|\.spec\.tsx?|_test\.go|\.test\.mjs)$"
@@ -45,25 +47,16 @@ def openapi_operations(files: DataFrame) -> DataFrame:
     return each.where(F.upper("method").isin(*VERBS)).select("spec", F.upper("method").alias("method"), "template", F.coalesce(F.get_json_object("operation", "$.operationId"), F.lit("")).alias("operation_id"))
 
 
-#: Operations, and characters of route files, that a broadcast may hold.
-FEW, FEW_CHARS = 20_000, 32 << 20
-
-
 def operations_to_routes(operations: DataFrame, files: DataFrame) -> DataFrame:
     """(spec, method, template, target): for each operation the first route file, by path, whose text holds
-    its template or one of its first three words of more than two letters. Operations are few, by a
-    count, and meet every route file; more of them are taken in blocks."""
+    its template or one of its first three words of more than two letters. All templates and words are
+    looked for in one pass over the route files."""
     keys = F.filter(F.split(F.translate(F.lower("template"), "{}", ""), "/"), lambda k: F.length(k) > 2)
-    ops = operations.select("spec", "method", "template", F.slice(keys, 1, KEYS).alias("keys")).distinct()
+    ops = operations.select("spec", "method", "template").distinct()
+    wanted = ops.select("*", F.explode(F.array_distinct(F.concat(F.array(F.lower("template")), F.slice(keys, 1, KEYS)))).alias("pattern"))
     routes = files.where(F.col("path").rlike(ROUTES)).select("path", F.lower("content").alias("text"))
-    blocks = max(1, -(-ops.count() // FEW))
-    out = None
-    for i in range(blocks):
-        part = F.broadcast(ops.where(F.pmod(F.xxhash64("spec", "method", "template"), F.lit(blocks)) == i))
-        holds = F.contains(F.col("text"), F.lower("template")) | F.exists("keys", lambda k: F.contains(F.col("text"), k))
-        one = routes.join(part, holds).groupBy("spec", "method", "template").agg(F.min("path").alias("target"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    first = patterns.occurrences(routes, wanted, ["path"]).groupBy("pattern").agg(F.min("path").alias("target"))
+    return wanted.join(first, "pattern").groupBy("spec", "method", "template").agg(F.min("target").alias("target"))
 
 
 def openapi_edges(met: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators import patterns
+
 #: Words that don't count as terms of a question (fixed values).
 STOP_WORDS = ("a", "an", "and", "are", "by", "for", "from", "how", "in", "is", "of", "on", "or", "the", "to", "what", "where", "which", "with")
 #: Order of actions along a workflow; others come at 50 (fixed values).
@@ -36,11 +38,12 @@ def lexical_rank(docs: DataFrame, question: str, text: str = "text", key: str =
 
 
 def entity_rank(entities: DataFrame, actions: DataFrame, question: str, top: int = 20) -> DataFrame:
-    """entities (entity_id, name) by lexical score plus 0.2 for each of at most five actions."""
+    """entities (entity_id, name) that a term matches, by lexical score plus 0.2 for each of at most five actions."""
     n = actions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_actions"))
     scored = entities.join(n, "entity_id", "left").withColumn("n_actions", F.coalesce("n_actions", F.lit(0)))
-    total = lexical_score(F.col("name"), question) + 0.2 * F.least("n_actions", F.lit(5))
-    return scored.select("entity_id", "name", "n_actions", total.alias("score")).orderBy(F.desc("score"), "name").limit(top)
+    lexical = lexical_score(F.col("name"), question)
+    total = lexical + 0.2 * F.least("n_actions", F.lit(5))
+    return scored.where(lexical > 0).select("entity_id", "name", "n_actions", total.alias("score")).orderBy(F.desc("score"), "name").limit(top)
 
 
 def workflow_rank(action: Column) -> Column:
@@ -99,39 +102,39 @@ def bundle_confidence(coverage: Column, mean_confidence: Column) -> Column:
     return F.least(0.25 + 0.45 * coverage + 0.3 * mean_confidence, F.lit(0.95))
 
 
-#: Passages, and characters of them, that a broadcast may hold.
-FEW, FEW_CHARS = 50_000, 32 << 20
+#: Passages, and characters of them, up to which one automaton holds them all.
+FEW, FEW_CHARS = patterns.MOST, patterns.MOST_CHARS
 
 
 def contained_texts(docs: DataFrame, passages: DataFrame, words: int = 8) -> DataFrame:
     """(item_id, doc_id): documents that hold a passage (item_id, text) whole, as a substring.
 
-    A document that holds a passage holds its words but for the first and the last, which may be parts
-    of longer words there. So passages and documents meet on a hash of the first ``words`` of the words
-    between, or of all of them if they are fewer, and are then compared. Only runs as long as some passage's
-    key are made of documents; they stay in their task if the passages are few, by a count. Passages
-    without a word between are compared with every document, FEW at a time.
+    Passages that are few, by a count, are looked for in one pass by an automaton over all of them. Of many,
+    those with a word between their first and last one meet documents on a hash: a document that holds
+    a passage holds these words, while the first and last may be parts of longer words there. So the
+    first ``words`` of them, or all if they are fewer, are hashed, and only runs as long as some passage's
+    key are made of documents. Shorter passages go through automata, a block of them at a time.
     """
     tokens = F.split(F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[ \\t\\n\\x0b\\f\\r]+", " ")), " ")
     run = lambda a, i, n: F.xxhash64(F.array_join(F.slice(a, i, n), " "))
     p = passages.where("length(trim(text)) > 0").select("item_id", tokens.alias("p"), F.col("text").alias("passage"))
     p = p.withColumn("n", F.least(F.size("p") - 2, F.lit(words)))
     size = p.groupBy("n").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("passage")).alias("chars")).collect()  # words + 2 rows
+
+    def by_automaton(some: DataFrame) -> DataFrame:
+        found = patterns.occurrences(docs, some, ["doc_id"], pattern="passage").withColumnRenamed("pattern", "passage")
+        return found.join(some.select("item_id", "passage"), "passage").select("item_id", "doc_id").distinct()
+
+    if sum(r["rows"] for r in size) <= FEW and sum(r["chars"] for r in size) <= FEW_CHARS:
+        return by_automaton(p)
     long, short = p.where("n > 0").withColumn("k", run(F.col("p"), F.lit(2), F.col("n"))), p.where("n <= 0")
-    few = sum(r["rows"] for r in size) <= FEW and sum(r["chars"] for r in size) <= FEW_CHARS
     d = docs.select("doc_id", "text", tokens.alias("d"))
     out = []
     if lengths := sorted(r["n"] for r in size if r["n"] > 0):
         runs_of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("d") - n + 1, F.lit(1))), lambda i: run(F.col("d"), i, F.lit(n)))
         runs = F.flatten(F.array(*map(runs_of, lengths)))
-        if few:
-            met = d.select("doc_id", "text", F.explode(F.array_distinct(runs)).alias("k")).join(F.broadcast(long.select("item_id", "passage", "k")), "k")
-        else:
-            met = d.select("doc_id", F.explode(F.array_distinct(runs)).alias("k")).join(long.select("item_id", "passage", "k"), "k").join(docs.select("doc_id", "text"), "doc_id")
+        met = d.select("doc_id", F.explode(F.array_distinct(runs)).alias("k")).join(long.select("item_id", "passage", "k"), "k").join(docs.select("doc_id", "text"), "doc_id")
         out.append(met.where(F.contains("text", "passage")).select("item_id", "doc_id"))
-    if n_short := sum(r["rows"] for r in size if r["n"] <= 0):
-        blocks = -(-n_short // FEW)
-        for i in range(blocks):
-            part = short.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == i).select("item_id", "passage")
-            out.append(docs.select("doc_id", "text").join(F.broadcast(part), F.contains("text", "passage")).select("item_id", "doc_id"))
-    return reduce(DataFrame.unionByName, out).distinct() if out else docs.select(F.lit(None).cast("long").alias("item_id"), "doc_id").limit(0)
+    if any(r["n"] <= 0 for r in size):
+        out.append(by_automaton(short))
+    return reduce(DataFrame.unionByName, out).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.functions import ids
-from weft.operators import classify, evaluation, evidence, graph, regret, retrieval, simulate, temporal
+from weft.operators import answers, classify, evaluation, evidence, graph, regret, retrieval, simulate, temporal
 from weft.plans import adapters as A
 from weft.plans import project  # noqa: F401  (registers its queries)
 from weft.plans.registry import ORACLE_SQL, QUERIES, query
@@ -398,8 +398,8 @@ def balanced_topk(spark, d):
 ASKED = "how does the auth guard check a session token before the database store is read"
 
 
-def _ranked_sql() -> str:
-    intent = evidence.plan_question(ASKED)
+def _ranked_sql(asked: str) -> str:
+    intent = evidence.plan_question(asked)
     flag = {b: f"list_contains(blocks, '{b}')" for b in intent.blocks}
     words = dict.fromkeys(w for b in intent.blocks for w in evidence.BLOCK_KEYWORDS[b])
     hits = " + ".join(f"CASE WHEN contains(text, '{w}') AND ({' OR '.join(flag[b] for b in intent.blocks if w in evidence.BLOCK_KEYWORDS[b])}) THEN 1 ELSE 0 END" for w in words)
@@ -417,9 +417,9 @@ ranked AS (SELECT * FROM every WHERE overall > 0),
 cand AS ({fits}), """
 
 
-def _answer_sql() -> str:
-    blocks = list(evidence.plan_question(ASKED).blocks)
-    return _ranked_sql() + _balanced_sql(blocks, "score DESC, is_test, overall DESC, file_path, node_id")
+def _answer_sql(asked: str = ASKED) -> str:
+    blocks = list(evidence.plan_question(asked).blocks)
+    return _ranked_sql(asked) + _balanced_sql(blocks, "score DESC, is_test, overall DESC, file_path, node_id")
 
 
 @query(_answer_sql() + " SELECT ord, c.block, c.node_id, c.file_path, r.kind, r.overall AS score FROM chosen c JOIN ranked r USING (node_id)")
@@ -427,6 +427,86 @@ def answer_evidence(spark, d):
     return evidence.answer(A.text_nodes(spark, d), A.text_assignments(spark, d), ASKED).select("ord", "block", "node_id", "file_path", "kind", "score")
 
 
+#: Questions that pages ask in turn.
+QUESTIONS = (ASKED, "where is the environment config of a rendered component", "what does the queue worker cache", "which login page shows a profile", "log a secret hash for each request")
+
+
+def _asked(spark, d):
+    return A.table(spark, d, "pages").select(F.col("page_id").alias("id"), A._turn(QUESTIONS, F.col("page_id")).alias("question"))
+
+
+_EACH = " UNION ALL ".join(f"SELECT {i} AS turn, * FROM ({_answer_sql(q)} SELECT ord, c.block, c.node_id, c.file_path, r.kind, round(r.overall, 9) AS score FROM chosen c JOIN ranked r USING (node_id))" for i, q in enumerate(QUESTIONS))
+
+
+@query(f"SELECT page_id AS id, ord, block, node_id, file_path, kind, score FROM pages JOIN ({_EACH}) ON page_id % {len(QUESTIONS)} = turn")
+def answer_many(spark, d):
+    found = answers.block_answers(A.text_nodes(spark, d), A.text_assignments(spark, d), _asked(spark, d))
+    return found.select("id", "ord", "block", "node_id", "file_path", "kind", F.round("score", 9).alias("score"))
+
+
+_STOPS = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
+_TERMS = f"terms AS (SELECT id, question, list_filter(regexp_extract_all(lower(question), '[a-zA-Z][a-zA-Z0-9_]{{2,}}'), lambda t: t NOT IN ({_STOPS})) AS terms FROM asked)"
+_SCORE = "list_sum(list_transform(terms, lambda t: CASE WHEN contains(low, t) THEN 1.0::DOUBLE ELSE 0 END)) + CASE WHEN contains(low, trim(lower(question))) THEN 3 ELSE 0 END"
+_STEPS = ", ".join(f"'{w}'" for w in retrieval.WORKFLOW)
+WORKFLOW_SQL = f"""WITH asked AS (SELECT n_nationkey AS id, 'trace what supplier' || n_nationkey % 7 || ' and the workflow of ' || n_name || ' produce' AS question FROM nation), {_TERMS},
+entities AS (SELECT s_suppkey AS entity_id, s_name AS name, lower(s_name || ' ' || n_name || ' supplier' || s_suppkey % 9) AS low FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+acts AS (SELECT DISTINCT l_suppkey AS entity_id, 'order:' || l_orderkey AS node_id, {A._turn_sql(retrieval.WORKFLOW, "l_linenumber")} AS action FROM lineitem), n AS (SELECT entity_id, count(*) AS n FROM acts GROUP BY 1),
+s AS (SELECT id, entity_id, name, {_SCORE} AS lexical FROM terms, entities),
+h AS (SELECT id, entity_id, row_number() OVER (PARTITION BY id ORDER BY lexical + 0.2::DOUBLE * least(coalesce(n, 0), 5) DESC, name, entity_id) AS place FROM s LEFT JOIN n USING (entity_id) WHERE lexical > 0 QUALIFY place <= 30),
+few AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY node_id, action) AS k FROM acts QUALIFY k <= 3),
+p AS (SELECT id, h.entity_id, node_id, action FROM h JOIN few USING (entity_id) QUALIFY row_number() OVER (PARTITION BY id ORDER BY place, k) <= 30),
+steps AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY list_position([{_STEPS}], action), node_id, entity_id, action) - 1 AS INTEGER) AS ord, node_id, entity_id, action FROM p)"""
+
+
+def _workflow(spark, d):
+    k = F.col("n_nationkey")
+    nation = A.table(spark, d, "nation")
+    asked = nation.select(k.alias("id"), F.concat(F.lit("trace what supplier"), (k % 7).cast("string"), F.lit(" and the workflow of "), "n_name", F.lit(" produce")).alias("question"))
+    entities = A.table(spark, d, "supplier").join(nation, F.col("s_nationkey") == k).select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name"), F.col("n_name").alias("category"), F.concat(F.lit("supplier"), (F.col("s_suppkey") % 9).cast("string")).alias("description"))
+    acts = A.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity_id"), F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("node_id"), A._turn(retrieval.WORKFLOW, F.col("l_linenumber")).alias("action")).distinct()
+    return answers.workflow_answers(entities, acts, asked)
+
+
+@query(WORKFLOW_SQL + " SELECT * FROM steps")
+def workflow_answer(spark, d):
+    return _workflow(spark, d)[0]
+
+
+@query(WORKFLOW_SQL + """, c AS (SELECT id, count(*) AS steps FROM steps GROUP BY 1), a AS (SELECT id, count(*) AS acts FROM h JOIN acts USING (entity_id) GROUP BY 1)
+SELECT id, CASE WHEN steps IS NULL THEN 'No semantic entities matched query: ' || question ELSE 'Workflow evidence for ''' || question || ''' spans ' || steps || ' semantic action edge(s).' END AS claim, CASE WHEN steps IS NULL THEN 0.2::DOUBLE ELSE round(least(0.55::DOUBLE + 0.05::DOUBLE * least(acts, 5), 0.85), 9) END AS confidence
+FROM asked LEFT JOIN c USING (id) LEFT JOIN a USING (id)""")
+def workflow_bundles(spark, d):
+    return _workflow(spark, d)[1].withColumn("confidence", F.round("confidence", 9))
+
+
+PROJECT_SQL = f"""WITH {A.TEXT_SQL}, asked AS (SELECT r_regionkey AS id, 'which service of project ' || r_name || ' has a logger metric' AS question FROM region UNION ALL SELECT 900, 'xq zzqj' UNION ALL SELECT 901, 'qqzx component'), {_TERMS},
+texts AS (SELECT node_id, file_path, lower(file_path || ' ' || label || ' ' || kind || ' ' || content) AS low, regexp_matches(file_path, '(?i)(^|/)(tests?|__tests__)/|_test\\.|\\.test\\.|\\.spec\\.') AS is_test FROM text_nodes),
+s AS (SELECT id, node_id, file_path, is_test, {_SCORE} AS score FROM terms, texts WHERE len(terms) > 0),
+found AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, is_test, file_path, node_id) - 1 AS INTEGER) AS ord, node_id, file_path, score FROM s WHERE score > 0 QUALIFY ord < 20)"""
+
+
+def _projects(spark, d):
+    region = A.table(spark, d, "region")
+    asked = region.select(F.col("r_regionkey").cast("int").alias("id"), F.concat(F.lit("which service of project "), "r_name", F.lit(" has a logger metric")).alias("question"))
+    asked = asked.unionByName(spark.createDataFrame([(900, "xq zzqj"), (901, "qqzx component")], "id int, question string"))
+    projects = region.select(ids.project_id("r_name").alias("project_id"), F.col("r_name").alias("name"), F.col("r_name").alias("repo_name"), F.lit("a project of services").alias("text"))
+    return answers.project_answers(projects, A.text_nodes(spark, d), asked)
+
+
+@query(PROJECT_SQL + " SELECT * FROM found")
+def project_answer(spark, d):
+    return _projects(spark, d)[0]
+
+
+@query(PROJECT_SQL + f""", named AS (SELECT 'project:' || regexp_replace(r_name, '[^a-zA-Z0-9_.-]+', '_', 'g') AS project_id, r_name AS name, lower(r_name || ' ' || r_name || ' a project of services') AS low FROM region),
+m AS (SELECT id, project_id, name, {_SCORE} AS lexical FROM terms, named WHERE len(terms) > 0), hit AS (SELECT * FROM m WHERE lexical > 0), n AS (SELECT id, count(*) AS n FROM found GROUP BY 1)
+SELECT a.id, project_id, CASE WHEN coalesce(lexical, 0) + coalesce(n, 0) = 0 THEN 'No project evidence matched query: ' || question ELSE 'Project ' || coalesce(name, '(none)') || ' matched ''' || question || ''' with ' || coalesce(n, 0) || ' supporting node(s).' END AS claim,
+  CASE WHEN coalesce(lexical, 0) + coalesce(n, 0) = 0 THEN 0.2::DOUBLE ELSE round(least(0.55::DOUBLE + 0.05::DOUBLE * coalesce(lexical, 0) + 0.03::DOUBLE * least(coalesce(n, 0), 5), 0.85), 9) END AS confidence
+FROM asked a LEFT JOIN hit USING (id) LEFT JOIN n ON n.id = a.id""")
+def project_bundles(spark, d):
+    return _projects(spark, d)[1].withColumn("confidence", F.round("confidence", 9))
+
+
 @query(_answer_sql() + """ SELECT 'answer_with_evidence' AS query_type, count(*) AS n_nodes, 'Access Control,Data Persistence,Security Ops' AS covered, '' AS missing,
 round(least(0.25 + 0.45 * 1 + 0.3 * avg(CASE WHEN ord < 8 THEN r.confidence END), 0.95), 9) AS confidence FROM chosen c JOIN ranked r USING (node_id)""")
 def answer_summary(spark, d):
