@@ -23,6 +23,34 @@ KIND_PRIORS = {
     "service_boundary": ("Connectivity Layer", 1.1, "service/client boundary"),
     "file_surface": ("Search Architecture", 0.8, "file-level architecture surface"),
 }
+#: Blocks of a path, in order: block, pattern (fixed values).
+BLOCK_PATHS = (
+    ("Access Control", r"(^|/)(auth|session|password|permission|rbac|guard|login|signup)"),
+    ("System Telemetry", r"(^|/)(log|logger|telemetry|trace|metrics?|observability)"),
+    ("Data Persistence", r"(^|/)(prisma|db|database|schema|model|migration)|\.(sql|prisma)$"),
+    ("Background Processing", r"(^|/)(worker|job|queue|cron|schedule|task|script)s?(/|$)"),
+    ("Traffic Control", r"(^|/)(rate|throttle|proxy|cors|gateway)"),
+    ("Network Edge", r"(^|/)(route|router|api|server|controller)s?(/|\.|$)"),
+    ("Search Architecture", r"(^|/)(search|index|elastic|opensearch|typesense)"),
+    ("Security Ops", r"(^|/)(security|secret|csrf|crypto|encrypt|policy)"),
+    ("Connectivity Layer", r"(^|/)(client|adapter|provider|service|gateway)s?(/|\.|$)"),
+    ("Resiliency", r"(^|/)(backup|retry|fallback|circuit|restore)"),
+    ("Data Sovereignty", r"(^|/)(privacy|gdpr|retention|archive|cookie|consent)"),
+    ("Analytical Intelligence", r"(^|/)(analytics|warehouse|etl|report|segment|amplitude)"),
+    ("Identity UI", r"(^|/)(login|signup|profile|account|avatar).*\.(tsx|jsx|vue|svelte)$"),
+    ("State Management", r"(^|/)(store|state|context|reducer|hook)s?(/|\.)"),
+    ("Core Rendering", r"\.(tsx|jsx|vue|svelte)$|(^|/)(page|component|view)s?(/|\.)"),
+    ("Interaction Design", r"(^|/)(form|button|input|interaction|navigation)s?(/|\.)"),
+    ("Asset Delivery", r"(^|/)(assets?|public|static|styles?|css|vite|webpack|rollup)"),
+    ("Global Interface", r"(^|/)(i18n|locale|a11y|accessibility|translation)s?(/|\\.)"),
+    ("Edge Support", r"(^|/)(support|chat|help|intercom|zendesk)"),
+    ("Experimentation", r"(^|/)(experiment|feature-flag|ab-test|growth)s?(/|\.)"),
+    ("User Observability", r"(^|/)(analytics|session-replay|web-vitals|client-metrics?)"),
+    ("Error Boundaries", r"(^|/)(error-boundary|fallback|crash|exception)s?(/|\.)"),
+    ("Persistence Strategy", r"(^|/)(cookie|localstorage|storage|cache|persist)"),
+    ("Visual Systems", r"(^|/)(theme|design|tokens|typography|storybook|style)s?(/|\.)"),
+)
+
 #: Rules on paths, then rules on texts: block, pattern, weight, reason (fixed values).
 PATH_PRIORS = (
     ("Data Persistence", r"(^|/)prisma(/|\.config)|(^|/)schema\.prisma$|(^|/)lib/prisma\.", 2.3, "persistence path"),
@@ -147,9 +175,9 @@ def primary_block(scores: DataFrame, key: str = "doc_id") -> DataFrame:
     return ranked.where("rank = 1").select(key, F.col("block").alias("primary_block"), "score", (F.col("score") - F.coalesce("next", F.lit(0.0))).alias("margin"))
 
 
-def path_blocks(paths: DataFrame, rules: Sequence[tuple[str, str]], path: str = "path") -> DataFrame:
+def path_blocks(paths: DataFrame, rules: Sequence[tuple[str, str]] = BLOCK_PATHS, path: str = "path") -> DataFrame:
     """paths with blocks: every matching rule's block in rule order, joined by commas, or Unclassified."""
-    low = F.lower(F.col(path))
+    low = F.lower(F.translate(F.col(path), "\\", "/"))
     hits = F.array_compact(F.array(*(F.when(low.rlike(p), F.lit(b)) for b, p in rules)))
     return paths.withColumn("blocks", F.when(F.size(hits) == 0, "Unclassified").otherwise(F.array_join(hits, ",")))
 

@@ -226,6 +226,68 @@ def impact_radius(edges: DataFrame, node_id: str, depth: int = 4, hub: int = 80)
     return reach(both_ways(edges), start, max(0, min(depth, 32)) + 1, hub)
 
 
+def impact_subgraph(edges: DataFrame, node_id: str, depth: int = 4, most: int = 200, hub: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, pruned) around a node: node_id and depth of the ``most`` nearest nodes, ties by id; the edges
+    between nodes that were expanded and what these lead to, at most four for each of ``most``; and the
+    nodes that were reached but not expanded for their degree, with it. ``most`` is held within 1 to 5,000."""
+    most = max(1, min(most, 5000))
+    found = impact_radius(edges, node_id, depth, hub)
+    kept = cut(found.orderBy("depth", "node_id").limit(most))
+    degrees = _degrees(edges, kept)
+    pruned = degrees.where((F.col("incident_edges") > hub) & (F.col("node_id") != node_id)).select("node_id", "incident_edges")
+    inner = kept.where(F.col("depth") <= max(0, min(depth, 32))).join(pruned, "node_id", "left_anti").select("node_id")
+    one = edges.join(inner.select(F.col("node_id").alias("source_id")), "source_id", "left_semi").select(edges.columns)
+    other = edges.join(inner.select(F.col("node_id").alias("target_id")), "target_id", "left_semi").select(edges.columns)
+    touched = one.unionByName(other).distinct().orderBy("source_id", "target_id", "edge_type").limit(4 * most)
+    return kept, touched, pruned
+
+
+def _degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_id, incident_edges) of some nodes."""
+    ends = F.array_distinct(F.array("source_id", "target_id"))
+    return edges.select(F.explode(ends).alias("node_id")).join(nodes.select("node_id"), "node_id", "left_semi").groupBy("node_id").agg(F.count(F.lit(1)).alias("incident_edges"))
+
+
+def trace_path(edges: DataFrame, start: str, end: str, depth: int = 8) -> tuple[DataFrame, dict[str, int]]:
+    """(path, counts): a shortest path along symbol edges in both directions as rows (ord, node_id), none if there
+    is none within ``depth`` (held within 1 to 64); counts: nodes reached from each end.
+
+    The search goes on from whichever end has reached fewer nodes last, each node keeping its least
+    parent, until both have met; far fewer nodes are reached than from one end alone.
+    """
+    spark = edges.sparkSession
+    dealt = _dealt(both_ways(edges.where(F.col("edge_type").isin(*TRACE_TYPES))).select("src", "dst").distinct())
+    first = lambda node: [cut(spark.createDataFrame([(node, None)], "node_id string, parent string"))]
+    levels = {"start": first(start), "end": first(end)}
+    seen, counts, width = {k: v[0] for k, v in levels.items()}, {"start": 1, "end": 1}, {"start": 1, "end": 1}
+    meet = start if start == end else None
+    for _ in range(max(1, min(depth, 64))):
+        if meet is not None or not all(width.values()):
+            break
+        side = min(width, key=width.get)
+        other = "end" if side == "start" else "start"
+        found = _from(dealt, levels[side][-1].select(F.col("node_id").alias("src"))).groupBy(F.col("dst").alias("node_id")).agg(F.min("src").alias("parent"))
+        new = cut(found.join(seen[side].select("node_id"), "node_id", "left_anti"))
+        levels[side].append(new)
+        width[side] = new.count()
+        counts[side] += width[side]
+        seen[side] = seen[side].unionByName(new)
+        meet = new.join(seen[other].select("node_id"), "node_id", "left_semi").agg(F.min("node_id")).first()[0]
+    dealt.unpersist()
+    path: list[str] = []
+    if meet is not None:
+        back = {}
+        for side in levels:
+            back[side], at = [], meet
+            for level in reversed(levels[side]):  # one row a level
+                row = level.where(F.col("node_id") == at).first()
+                if row is not None and row["parent"] is not None:
+                    back[side].append(row["parent"])
+                    at = row["parent"]
+        path = [*reversed(back["start"]), meet, *back["end"]]
+    return spark.createDataFrame(list(enumerate(path)), "ord int, node_id string"), counts
+
+
 def symbol_trace(edges: DataFrame, node_id: str, depth: int = 8) -> DataFrame:
     """(node_id, depth) along symbol edges in both directions; depth is held within 1 to 64."""
     start = edges.sparkSession.createDataFrame([(node_id,)], "node_id string")

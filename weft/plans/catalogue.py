@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.functions import ids
-from weft.operators import answers, classify, evaluation, evidence, graph, regret, retrieval, simulate, temporal
+from weft.operators import answers, classify, evaluation, evidence, graph, integrity, regret, retrieval, simulate, temporal
 from weft.plans import adapters as A
 from weft.plans import project  # noqa: F401  (registers its queries)
 from weft.plans.registry import ORACLE_SQL, QUERIES, query
@@ -999,6 +999,80 @@ def last_events(spark, d):
     return temporal.last_n(A.table(spark, d, "events"), 5).select("user_id", "event_id", "back")
 
 
+# paths, fingerprints, gates
+
+
+_PATHS_OF = A._turn_sql(("src/auth/login.tsx", "lib/cache/store.ts", "src/i18n/x.ts", "workers/queue/a.ts", "db/schema.sql", "README.md", "src\\\\API\\\\routes.ts", "theme/tokens.css", "app/error-boundary.vue"), "doc_id")
+
+
+@query("WITH p AS (SELECT 'doc:' || doc_id AS node_id, coalesce(source, '') || '/' || " + _PATHS_OF.replace("\\\\", "\\") + " AS path FROM documents), b AS (SELECT node_id, path, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(replace(path, '\\', '/')), '{p}') THEN '{b}' END" for b, p in classify.BLOCK_PATHS) + "], lambda x: x IS NOT NULL) AS b FROM p) SELECT node_id, path, CASE WHEN len(b) = 0 THEN 'Unclassified' ELSE array_to_string(b, ',') END AS blocks FROM b")
+def block_paths(spark, d):
+    """The blocks of documents' paths, which begin with their source."""
+    names = A._turn(("src/auth/login.tsx", "lib/cache/store.ts", "src/i18n/x.ts", "workers/queue/a.ts", "db/schema.sql", "README.md", "src\\API\\routes.ts", "theme/tokens.css", "app/error-boundary.vue"), F.col("doc_id"))
+    paths = A.table(spark, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("node_id"), F.concat(F.coalesce("source", F.lit("")), F.lit("/"), names).alias("path"))
+    return classify.path_blocks(paths)
+
+
+def _altered(spark, d):
+    """Events, and the same with some changed, lost and repeated."""
+    events = A.table(spark, d, "events").withColumn("day", F.to_date("ts").cast("string"))
+    i = F.col("event_id")
+    changed = events.withColumn("value", F.when(i % 997 == 0, F.col("value") + 1).otherwise(F.col("value")))
+    again = F.when(i % 991 == 0, F.array()).when(i % 983 == 0, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0)))
+    return events, changed.withColumn("x", F.explode(again.cast("array<int>"))).drop("x").repartition("user_id")
+
+
+@query("""WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_id % 991 = 0 THEN 0 WHEN event_id % 983 = 0 THEN 2 ELSE 1 END AS n, event_id % 997 = 0 OR event_id % 991 = 0 OR event_id % 983 = 0 AS odd FROM events)
+SELECT day, count(*) AS n_left, CAST(sum(n) AS BIGINT) AS n_right, NOT bool_or(odd) AS same FROM e GROUP BY day""")
+def fingerprints(spark, d):
+    return integrity.same_rows(*_altered(spark, d), by=["day"])
+
+
+@query(f"""WITH {CHANGES}, {SNAPS}, {DIFFS} SELECT 'temporal_gate_metrics_reproducible' AS gate_id, 'pass' AS status UNION ALL
+SELECT 'temporal_gate_known_changes', CASE WHEN (SELECT count(*) FROM diffs WHERE status = 'D') > 0 THEN 'pass' ELSE 'fail' END UNION ALL
+SELECT 'temporal_gate_drift_detection', CASE WHEN (SELECT least(CAST(count(*) FILTER (path NOT LIKE '%7.ts') AS DOUBLE) / count(*), 1.0) FROM (SELECT DISTINCT path FROM diffs WHERE status = 'M')) >= 0.85 THEN 'pass' ELSE 'fail' END""")
+def history_gates(spark, d):
+    """Metrics taken twice, deletions expected and met, drift against all drifted files but some."""
+    diffs = temporal.diff(temporal.snapshots(A.changes(spark, d)))
+    metrics = lambda: temporal.temporal_metrics(temporal.diff(temporal.snapshots(A.changes(spark, d))))
+    seen = diffs.select("repo", "after", "path", "status")
+    found = temporal.direct_drift(diffs).select("path").distinct()
+    score = temporal.precision_recall(found, found.where("path NOT LIKE '%7.ts'"), ["path"])
+    return integrity.history_gates(metrics(), metrics(), seen, seen.where("status = 'D'"), score)
+
+
+@query(f"""WITH {NODES}, {EDGES}, known AS (SELECT * FROM nodes WHERE kind <> 'supplier'), ends AS (SELECT source_id, target_id, edge_type, 'source' AS side, source_id AS e FROM edges UNION ALL SELECT source_id, target_id, edge_type, 'target', target_id FROM edges),
+gone AS (SELECT * FROM ends WHERE e NOT IN (SELECT node_id FROM known) AND NOT (side = 'target' AND edge_type = 'IMPORTS_MODULE' AND e LIKE 'module:%')),
+d AS (SELECT 'structural' AS layer, 'no_dangling_edges' AS check_id, (SELECT count(*) FROM (SELECT DISTINCT source_id, target_id, edge_type FROM gone)) AS detail
+  UNION ALL SELECT 'structural', 'no_provisional_edge_leakage', 0 UNION ALL SELECT 'structural', 'code_files_materialized', (SELECT count(DISTINCT file_path) FROM known WHERE layer = 'code' AND file_path IS NOT NULL AND file_path NOT IN (SELECT file_path FROM known WHERE layer = 'file'))
+  UNION ALL SELECT 'structural', 'code_is_contained', (SELECT count(*) FROM known WHERE layer = 'code' AND node_id NOT IN (SELECT target_id FROM edges WHERE edge_type = 'CONTAINS'))
+  UNION ALL SELECT 'semantic', 'semantic_assignments_target_graph_nodes', (SELECT count(*) FROM customer WHERE 'customer:' || (c_custkey * 2) NOT IN (SELECT node_id FROM known))
+  UNION ALL SELECT 'semantic', 'semantic_assignments_nonempty', 0 UNION ALL SELECT 'scip', 'scip_layer_optional', 0
+  UNION ALL SELECT 'manifest', 'manifest_files_exist', (SELECT count(*) FROM documents WHERE doc_id % 10 = 3) UNION ALL SELECT 'manifest', 'manifest_hashes_current', (SELECT count(*) FROM documents WHERE doc_id % 10 = 4))
+SELECT layer, check_id, CASE WHEN detail = 0 THEN 'pass' ELSE 'fail' END AS status, detail FROM d""")
+def integrity_report(spark, d):
+    nodes, edges = A.nodes(spark, d).where("kind <> 'supplier'"), A.edges(spark, d)
+    assigned = A.table(spark, d, "customer").select(F.concat(F.lit("customer:"), (F.col("c_custkey") * 2).cast("string")).alias("node_id"))
+    listed = A.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    turn = F.col("path").cast("long") % 10
+    present = listed.where(turn != 3).withColumn("sha256", F.when(turn == 4, F.sha2(F.concat("sha256", F.lit("x")), 256)).otherwise(F.col("sha256")))
+    return integrity.integrity_report({"structural": integrity.structural_checks(nodes, edges), "semantic": integrity.semantic_checks(nodes, assigned), "scip": integrity.index_checks(None), "manifest": integrity.manifest_checks(listed, present)})
+
+
+@query(f"""WITH RECURSIVE {NODES}, {EDGES}, steps AS (SELECT source_id AS src, target_id AS dst FROM edges WHERE edge_type IN ('REFERENCES', 'CALLS') UNION SELECT target_id, source_id FROM edges WHERE edge_type IN ('REFERENCES', 'CALLS')),
+r(node_id, depth) USING KEY (node_id) AS (SELECT 'customer:7', 0 UNION SELECT dst, min(depth) + 1 FROM r JOIN steps ON src = node_id WHERE depth < 8 AND dst NOT IN (SELECT node_id FROM recurring.r) GROUP BY dst)
+SELECT 'customer:1' AS target, CAST(depth + 1 AS BIGINT) AS nodes, true AS linked FROM r WHERE node_id = 'customer:1'""")
+def trace_path(spark, d):
+    """How many nodes a shortest path between two customers has, and whether each is linked with the next."""
+    edges = A.edges(spark, d)
+    path, _ = graph.trace_path(edges, "customer:7", "customer:1")
+    pairs = path.withColumn("next", F.lead("node_id").over(Window.orderBy("ord"))).where("next IS NOT NULL")
+    steps = graph.both_ways(edges.where(F.col("edge_type").isin(*graph.TRACE_TYPES))).select(F.col("src").alias("node_id"), F.col("dst").alias("next")).distinct()
+    linked = pairs.join(steps, ["node_id", "next"], "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    return path.agg(F.count(F.lit(1)).alias("nodes")).join(F.broadcast(linked)).select(F.lit("customer:1").alias("target"), "nodes", (F.col("n") + 1 == F.col("nodes")).alias("linked"))
+
+
+
 # The names in _whole once told the whole job from a smaller one; both do the whole job now.
 for _name in ("impact_radius", "symbol_trace", "bfs_path", "barrel_counts", "contradictions", "neighborhoods", "entity_rank"):
     QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
