@@ -172,13 +172,33 @@ def neighborhoods(code: DataFrame, file_edges: DataFrame) -> DataFrame:
 
 def containment_join(points: DataFrame, spans: DataFrame, on: str) -> DataFrame:
     """Each point (on, point_id, at) with the narrowest span (on, span_id, low, high) that holds it,
-    else the nearest one of the same key; ties by span_id."""
-    both = points.join(spans, on)
-    holds = F.col("at").between(F.col("low"), F.col("high"))
-    off = F.least(F.abs(F.col("at") - F.col("low")), F.abs(F.col("at") - F.col("high")))
-    rank = F.struct((~holds).alias("o"), F.when(holds, F.col("high") - F.col("low")).otherwise(off).alias("w"), F.col("span_id").alias("i"))
-    best = both.groupBy(on, "point_id", "at").agg(F.min(F.struct(rank.alias("r"), F.col("span_id"), holds.alias("inside"))).alias("b"))
-    return best.select(on, "point_id", "at", "b.span_id", "b.inside")
+    else the nearest one of the same key; ties by span_id.
+
+    Spans are dealt by length into levels whose bins are about as long as they, so each is in a few bins and a
+    point meets, level by level, only spans around it. Of the spans beside a point the one before that ends
+    last and the one behind that starts first are nearest: a running value over a key each way.
+    """
+    key = [on, "point_id", "at"]
+    sized = spans.select(on, "span_id", "low", "high", F.floor(F.log2((F.col("high") - F.col("low") + 1).cast("double"))).cast("int").alias("level"))
+    levels = sorted(r["level"] for r in sized.select("level").distinct().collect() if r["level"] is not None)  # 63 at most
+    size = F.pow(F.lit(2.0), F.col("level")).cast("long")
+    bins = lambda c: F.floor(F.col(c) / size)
+    binned = sized.withColumn("bin", F.explode(F.sequence(bins("low"), bins("high"))))
+    probes = points.select(*key).distinct().withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("bin", bins("at"))
+    met = probes.join(binned, [on, "level", "bin"]).where("at BETWEEN low AND high")
+    inside = met.groupBy(*key).agg(F.min(F.struct((F.col("high") - F.col("low")).alias("w"), F.col("span_id").alias("i")))["i"].alias("span_id"))
+    lost = points.select(*key).distinct().join(inside, key, "left_anti")
+    for side, place, sign in (("before", "high", -1), ("behind", "low", 1)):
+        mark = F.struct((sign * F.col(place)).alias("w"), F.col("span_id").alias("i"))
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in lost.schema if f.name != on]
+        marks = spans.select(on, F.col(place).cast("long").alias("__at"), mark.alias("__r"), *none)
+        rows = marks.unionByName(lost.withColumns({"__at": F.col("at").cast("long"), "__r": F.lit(None).cast(marks.schema["__r"].dataType)}))
+        order = F.col("__at").asc() if side == "before" else F.col("__at").desc()
+        w = Window.partitionBy(on).orderBy(order, F.col("__r").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        lost = rows.withColumn(f"__{side}", F.min("__r").over(w)).where("point_id IS NOT NULL").drop("__at", "__r")
+    off = lambda side, sign: F.when(F.col(side).isNotNull(), F.struct((F.col(f"{side}.w") + sign * F.col("at")).alias("w"), F.col(f"{side}.i").alias("i")))
+    beside = lost.select(*key, F.least(off("__before", 1), off("__behind", -1))["i"].alias("span_id")).where("span_id IS NOT NULL")
+    return inside.withColumn("inside", F.lit(True)).unionByName(beside.withColumn("inside", F.lit(False))).select(*key, "span_id", "inside")
 
 
 #: Nodes that a level's broadcast may hold (about 10 MB).
