@@ -150,6 +150,8 @@ _SEGMENT = np.dtype([("name", _U), ("words", _U), ("before", np.uint32), ("after
 
 def segments(hashed: np.ndarray, counts: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
     """The segments of texts, given the hashes of all words, the number of each text's, and its place."""
+    if len(hashed) < window:
+        return np.zeros(0, _SEGMENT)
     text = np.repeat(np.arange(len(counts)), counts)
     first = np.cumsum(counts) - counts
     at, start, size, name = anchors(hashed, text, window)
