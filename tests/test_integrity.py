@@ -90,3 +90,20 @@ def test_all_rules_of_paths(spark):
     rows = [("src/auth/x.ts",), ("SRC\\DB\\a.sql",), ("plain.md",), ("a/cookie/store.ts",)]
     got = [r.blocks for r in classify.path_blocks(spark.createDataFrame(rows, "path string")).collect()]
     assert got == ["Access Control", "Data Persistence", "Unclassified", "Data Sovereignty,State Management,Persistence Strategy"] and len(classify.BLOCK_PATHS) == 24
+
+
+def test_phases_of_an_index_a_store_and_gold_rows(spark):
+    from weft.operators import phases
+
+    nodes = spark.createDataFrame([("S#a", "function", "scip", "old"), ("b", "class", "provisional", None), ("d", "db_model", "provisional", None), ("f", "file_surface", "file_surface", None)], "node_id string, kind string, symbol_source string, original_id string")
+    edges = spark.createDataFrame([("f", "old", "CONTAINS", ""), ("S#a", "S#a", "DEFINES", "scip_definition"), ("S#a", "b", "REFERENCES", "scip_reference_code"), ("S#a", "x", "CROSS_REFERENCE", "scip_cross_repo"), ("f", "b", "REFERENCES", "scip_file_fallback")], "source_id string, target_id string, edge_type string, provenance string")
+    orphans = spark.createDataFrame([(True,), (False,)], "addressable boolean")
+    values = lambda df: {r.metric_id: round(r.value, 6) for r in df.collect()}
+    assert values(phases.identity(nodes, edges, orphans, edges.limit(4))) == {
+        "resolved_symbol_rate": 0.5, "orphaned_symbol_rate": 0.5, "raw_orphaned_symbol_rate": 0.5, "stale_provisional_target_count": 1, "total_code_nodes": 3, "scip_eligible_code_nodes": 2,
+        "nodes_with_scip_identity": 1, "orphaned_symbol_count": 1, "raw_orphaned_symbol_count": 2, "addressable_symbol_total": 2,
+    }
+    assert values(phases.references(nodes, edges)) == {"resolved_symbol_rate": 0.5, "defines_edge_count": 1, "reference_edge_count": 3, "cross_repo_reference_count": 1, "file_fallback_reference_rate": round(1 / 3, 6)}
+    assert values(phases.storage((nodes, edges), (nodes, edges.where("provenance <> ''")))) == {"verify_pass": 0, "code_rows": 4, "edge_rows": 4}
+    blocked = phases.report(phases.identity(nodes, edges, None, None), phases.references(nodes, None), phases.storage((nodes, edges), None), phases.semantics(nodes, None), phases.evaluation(nodes, nodes, None), phases.history(nodes, None), phases.structure(nodes, edges, nodes))
+    assert {r.phase_id: r.availability for r in phases.availability(blocked).collect()} == {**dict.fromkeys(phases.NEEDS, "blocked"), "phase_1": "available"}
