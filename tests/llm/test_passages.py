@@ -58,6 +58,16 @@ def test_report_equals_all_windows(spark, seed, window):
     assert sorted(map(tuple, got.collect())) == plain(rows, window)
 
 
+@pytest.mark.parametrize(("common", "room", "held"), [(1, 2_000_000, 250_000), (2, 30, 60), (64, 4, 10), (0, 1, 1)])
+def test_common_names_and_crowded_parts_change_nothing(spark, monkeypatch, common, room, held):
+    for name, value in (("COMMON", common), ("ROOM", room), ("HELD", held)):
+        monkeypatch.setattr(sd, name, value)
+    rows = [(i, t) for seed in (5, 4) for i, t in enumerate(texts(seed, 14), 100 * seed)]
+    rows += [(1000 + i, f"{'same words at the start of each text of many that go on in their own way here'} {' '.join(f'r{i}x{j}' for j in range(25))}") for i in range(12)]
+    got = sd.passage_report(spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "doc_id bigint, text string").repartition(3), 12)
+    assert sorted(map(tuple, got.collect())) == plain(sorted(rows), 12)
+
+
 def test_texts_keep_columns_and_spacing(spark):
     long = " ".join(f"x{i}" for i in range(40))
     rows = [(2, f"A  b\n{long}", "n", 1), (1, long, "m", 2), (3, "a  b\tc", None, 3), (4, None, "o", 4), (5, "", "p", 5)]

@@ -91,8 +91,9 @@ def plain_negatives(rows):
     kept = {}
     for i, label, x, *_ in rows:
         if i is not None and label is not None and (q := whole(x)) is not None:
-            kept[i] = min(kept.get(i, (label, q)), (label, q))
-    kept = {i: ((label + 1) % 10 if i % 7 == 0 else label, q) for i, (label, q) in kept.items()}
+            mine = (label, len(q), np.array(q, np.int32).tobytes(), q)
+            kept[i] = min(kept.get(i, mine), mine)
+    kept = {i: ((label + 1) % 10 if i % 7 == 0 else label, q) for i, (label, _, _, q) in kept.items()}
     out = []
     for a, (mine, q) in kept.items():
         if a % 100 == 0:

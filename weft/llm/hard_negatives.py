@@ -17,7 +17,7 @@ repeated for every chunk that visits them, anchors for every list they visit; ne
 
 Defined cases: rows with a null vec_id, label or vector, and vectors with null, non-finite or
 out-of-range components (past 2**19), take no part; of rows that repeat a vec_id the least (label,
-components) counts; vectors of different lengths have no product (those of the rarer lengths are in
+length, components as bytes) counts; vectors of different lengths have no product (those of the rarer lengths are in
 lists that are always visited); an anchor without positives, and a positive without
 negatives in its window, give no rows; a negative or zero positive score makes a window that is empty
 or holds 0 only; an empty table gives an empty result; other columns aren't read.
@@ -54,6 +54,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     """At most k centroids of the rows of x, from distinct rows."""
+    if not len(x):
+        return np.zeros((0, x.shape[1]))
     x = np.unique(x.astype(np.float64), axis=0)
     at = x[np.random.default_rng(0).permutation(len(x))[:k]]
     for _ in range(rounds):
@@ -72,6 +74,8 @@ class Index:
     radius: np.ndarray
     members: np.ndarray
     before: np.ndarray
+    first: int = FIRST
+    per_chunk: int = CHUNK
 
     def ranges(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of the products of q with the members of every list, rounded outwards."""
@@ -90,14 +94,14 @@ class Index:
     def chunk(self, home: int, vec_id: int) -> int:
         """Anchors of neighbouring lists are in one chunk."""
         mine = int(self.before[home + 1] - self.before[home])
-        return int(self.before[home] + vec_id // 100 % max(mine, 1)) // CHUNK
+        return int(self.before[home] + vec_id // 100 % max(mine, 1)) // self.per_chunk
 
 
-def visited(low: np.ndarray, high: np.ndarray, members: np.ndarray, lo: int, hi: int, kth: int | None, first: bool) -> np.ndarray:
-    """The lists that a search visits at first, or all the others that it has to."""
+def visited(low: np.ndarray, high: np.ndarray, members: np.ndarray, lo: int, hi: int, kth: int | None, first: bool, most: int = FIRST) -> np.ndarray:
+    """The lists that a search visits at first, until they have ``most`` members, or all the others that it has to."""
     fits = np.flatnonzero((high >= lo) & (low <= hi))
     fits = fits[np.argsort(-high[fits], kind="stable")]
-    n = int(np.searchsorted(np.cumsum(members[fits]), FIRST)) + 1
+    n = int(np.searchsorted(np.cumsum(members[fits]), most)) + 1
     if first:
         return fits[:n]
     rest = fits[n:]
@@ -132,8 +136,11 @@ def _visits(shared, first: bool):
             for row in range(batch.num_rows):
                 one = {c: batch.column(c)[row].as_py() for c in ("vec_id", "dims", "q", "list", "lo", "hi", "kth")}
                 low, high = index.ranges(np.frombuffer(one["q"], np.int32))
-                found = [visited(low, high, index.members, *x, first) for x in zip(one["lo"], one["hi"], one["kth"], strict=True)]
-                lists = np.unique(np.concatenate(found)) if found else np.zeros(0, int)
+                searches = list(zip(one["lo"], one["hi"], one["kth"], strict=True))
+                lists = np.unique(np.concatenate([np.zeros(0, np.int64), *(visited(low, high, index.members, *x, True, index.first) for x in searches)]))
+                if not first:  # a list that was visited at first was compared with all searches of the anchor
+                    rest = np.unique(np.concatenate([np.zeros(0, np.int64), *(visited(low, high, index.members, *x, False, index.first) for x in searches)]))
+                    lists = np.setdiff1d(rest, lists)
                 if n := len(lists):
                     same = batch.slice(row, 1).select(["vec_id", "label", "dims", "q", "lo", "hi"]).to_struct_array().take(pa.array(np.zeros(n, np.int32))).flatten()
                     yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(np.full(n, index.chunk(one["list"], one["vec_id"]), np.int32)), *same], names=[c.split()[0] for c in _VISIT.split(", ")])
@@ -231,7 +238,7 @@ def hard_negatives(vectors: DataFrame, positives: int = 5, negatives: int = 5, p
         radius, members, before = np.zeros(n), np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
         for r in indexed.groupBy("list").agg(F.max("away").alias("r"), F.count(F.lit(1)).alias("n"), F.count_if(anchor).alias("a")).collect():  # n rows at most
             radius[r["list"]], members[r["list"]], before[r["list"] + 1] = r["r"], r["n"], r["a"]
-        shared = spark.sparkContext.broadcast(Index(centroids, radius, members, np.cumsum(before)))
+        shared = spark.sparkContext.broadcast(Index(centroids, radius, members, np.cumsum(before), FIRST, CHUNK))
         parts = F.lit(0) if members.max(initial=0) <= PART else F.ceil(F.element_at(F.lit(members.tolist()), F.col("list") + 1) / PART).cast("int")
         inverted = indexed.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.greatest(parts, F.lit(1))).cast("int"))
         anchors = indexed.where(anchor).select("vec_id", "label", "dims", "list", "q")

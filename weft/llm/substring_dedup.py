@@ -16,7 +16,7 @@ anchor's name, a hash of all its words, and hashes of a few words at either side
 1. Segments meet by name. Those with all words equal to an earlier one's are repeated. A name that is
    left with one kind of segment is done with. Where it has several, these are the ends of a
    passage, or chance: segments that share the words at a side with another are asked for their windows
-   (a window has at least that many words at one of the sides).
+   (a window has at least that many words at one of the sides). Asking for more changes no result.
 2. Those windows are hashed to 128 bits and meet; all but the first of equal ones are repeated.
 
 The words that repeated windows cover go. Nothing is left out: an equal window is in an equal segment, or
@@ -24,8 +24,10 @@ in two that share a side. Windows of at most two runs keep no name and are segme
 Equality is trusted to 100 bits of hashes and more.
 
 Scale: about 26 bytes a segment are shuffled (a third of the text). Tasks keep one of equal segments of a
-batch, so a passage that is in every document meets itself once a batch; a part of the names is
-compared at a time. Text moves twice, and only that of documents with windows asked for, and with words
+batch, so a passage that is in every document meets itself once a batch. Of a name with more than COMMON
+different segments in a batch only a mark is sent, and the windows of all its segments, here and wherever the
+mark is met, are asked for; so are those of a part of the names that has more segments than ROOM. No
+task thus gathers a hot name; what is asked for meets in sums that are combined within tasks first. Text moves twice, and only that of documents with windows asked for, and with words
 to remove.
 
 Defined cases: null text has no words and stays null; an empty table gives an empty result; texts are taken
@@ -39,6 +41,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +53,12 @@ from weft.llm._shared import BROADCAST_IDS, discard, scratch, shuffle_partitions
 from weft.llm._words import SLAB, mix, slabs, words
 
 WINDOW, ROUNDS = 20, 4
-#: Segments of a batch that are compared within the task at a time, and parts of the names for every
-#: shuffle partition.
-HELD, PARTS = 250_000, 8
+#: Segments of a batch that are compared within the task at a time, parts of the names for every shuffle
+#: partition, and segments of a part that are held at a time.
+HELD, PARTS, ROOM = 250_000, 8, 2_000_000
+#: Different segments of one name in a batch from which on it is common, and the number of windows of a
+#: segment that says so.
+COMMON, MARK = 64, 255
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -195,7 +201,19 @@ def asked(rows: np.ndarray) -> np.ndarray:
         same = (name[1:] == name[:-1]) & (side[1:] == side[:-1]) & (side[1:] > 0)
         hit[order[1:]] |= same
         hit[order[:-1]] |= same
-    return rows[hit]
+    common = rows["name"][rows["windows"] == MARK]
+    return rows[(hit | np.isin(rows["name"], common)) & (rows["windows"] != MARK)]
+
+
+def without_common(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segments that are all different, in order of name, with those of each name that has more than ``most`` made one mark of it; and
+    these segments, whose windows are asked for."""
+    new = np.r_[True, rows["name"][1:] != rows["name"][:-1]][: len(rows)]
+    size = np.diff(np.r_[np.flatnonzero(new), len(rows)])
+    common = np.repeat(size > most, size)
+    kept = rows[~common | new].copy()
+    kept["windows"][common[~common | new]] = MARK
+    return kept, rows[common]
 
 
 def merged(place: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,11 +273,16 @@ def _spans(place: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int, par
     return _row(len(place), kind, part=(place % parts).astype(np.int32), place=place, start=start.astype(np.int32), end=end.astype(np.int32))
 
 
+def _covered(rows: np.ndarray, window: int, parts: int = 1) -> pa.RecordBatch:
+    """The words that repeated segments cover."""
+    return _spans(*merged(rows["place"], rows["start"], rows["start"] + rows["windows"] + (window - 1)), 1, parts)
+
+
 def _digest(kept: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-def _scanned(window: int, parts: int):
+def _scanned(window: int, parts: int, most: int, common: int):
     """Documents and their segments, repeats within a batch taken out."""
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +295,10 @@ def _scanned(window: int, parts: int):
         rows["name"] |= part << _U(40)
         rows, again = first_of_equal(rows)
         if len(again):
-            yield _spans(*merged(again["place"], again["start"], again["start"] + again["windows"] + (window - 1)), 1, parts)
+            yield _covered(again, window, parts)
+        rows, hot = without_common(rows, common)
+        if len(hot):
+            yield _spans(hot["place"], hot["start"], hot["start"] + hot["windows"], 2, parts)
         ids, begin = np.unique(rows["name"] >> _U(40), return_index=True)
         yield _row(len(ids), 3, part=ids.astype(np.int32), rows=[pack(x) for x in np.split(rows, begin[1:])])
 
@@ -287,38 +313,52 @@ def _scanned(window: int, parts: int):
                 sha = [_digest(raw[a:b].split()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield _row(len(counts), 0, part=(mine % parts).astype(np.int32), place=mine, n=counts, sha=sha)
                 held.append(segments(hashed, counts, mine, window))
-                if sum(map(len, held)) > HELD:
+                if sum(map(len, held)) > most:
                     yield from flush(held)
             yield from flush(held)
 
     return run
 
 
-def _met(window: int):
-    """What segments of the same names tell; other rows pass. Rows come sorted by part."""
-
-    def told(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        rows, again = first_of_equal(np.concatenate([unpack(x) for x in held]))
-        held.clear()
-        if len(again):
-            yield _spans(*merged(again["place"], again["start"], again["start"] + again["windows"] + (window - 1)), 1)
-        rows = asked(rows)
-        if len(rows):
-            yield _spans(rows["place"], rows["start"], rows["start"] + rows["windows"], 2)
+def _met(window: int, room: int):
+    """What segments of the same names tell; other rows pass. Rows come sorted by part. Of a part that has more
+    different segments than there is room for, the windows of all are asked for."""
+
+    def told(blobs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        held, crowded, n = np.zeros(0, _SEGMENT), False, 0
+        some: list[np.ndarray] = []
+        for blob in chain(blobs, [None]):
+            if blob is not None:
+                some.append(unpack(blob))
+                n += len(some[-1])
+                if n < room:
+                    continue
+            held, again = first_of_equal(np.concatenate([held, *some]))
+            some, n = [], 0
+            if len(again):
+                yield _covered(again[again["windows"] != MARK], window)
+            crowded = crowded or len(held) > room // 2
+            if crowded or blob is None:
+                wanted = held[held["windows"] != MARK] if crowded else asked(held)
+                yield _spans(wanted["place"], wanted["start"], wanted["start"] + wanted["windows"], 2)
+                held = held[:0]
+            n = len(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, part = [], None
-        for batch in batches:
-            there = batch.column("rows").is_valid().to_numpy(zero_copy_only=False)
-            if not there.all():
-                yield batch.filter(pa.array(~there))
-            for p, x in zip(batch.column("part").filter(pa.array(there)).to_pylist(), batch.column("rows").drop_null(), strict=True):
-                if p != part and held:
-                    yield from told(held)
-                part = p
-                held.append(x.as_py())
-        if held:
-            yield from told(held)
+        def blobs() -> Iterator[tuple[int, bytes]]:
+            for batch in batches:
+                there = batch.column("rows").is_valid().to_numpy(zero_copy_only=False)
+                if not there.all():
+                    passed.append(batch.filter(pa.array(~there)))
+                yield from zip(batch.column("part").filter(pa.array(there)).to_pylist(), (x.as_py() for x in batch.column("rows").drop_null()), strict=True)
+
+        passed: list[pa.RecordBatch] = []
+        for _, group in groupby(blobs(), key=lambda x: x[0]):
+            for out in told(x for _, x in group):
+                yield out
+                while passed:
+                    yield passed.pop()
+        yield from passed
 
     return run
 
@@ -376,13 +416,13 @@ def _with_spans(placed: DataFrame, spans: DataFrame) -> DataFrame:
 
 def _repeats(placed: DataFrame, window: int, folder: str) -> tuple[DataFrame, DataFrame]:
     """(documents: place, n, sha; spans that are repeated: place, start, end)."""
-    if not 2 <= window <= 255:
-        raise ValueError("windows have 2 to 255 words")
+    if not 2 <= window < MARK:
+        raise ValueError("windows have 2 to 254 words")
     partitions = shuffle_partitions(placed)
     parts = PARTS * partitions
     body = placed.select(F.col("__place").alias("place"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    scanned = body.mapInArrow(_scanned(window, parts), _ROW)
-    found = written(scanned.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_met(window), _ROW).drop("part", "rows"), f"{folder}/found")
+    scanned = body.mapInArrow(_scanned(window, parts, HELD, COMMON), _ROW)
+    found = written(scanned.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_met(window, ROOM), _ROW).drop("part", "rows"), f"{folder}/found")
     wanted = found.where("kind = 2").select("place", "start", "end")
     texts = _with_spans(placed, wanted).select(F.col("__place").alias("place"), F.col("text").cast("string").alias("t"), "spans")
     windows = written(texts.mapInArrow(_hashed(window), "one bigint, two bigint, place bigint, start int"), f"{folder}/windows")
