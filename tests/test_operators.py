@@ -5,8 +5,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weft import session
 from weft.functions import ids
 from weft.operators import evaluation, evidence, graph, retrieval, simulate, symbols, temporal
 from weft.plans import adapters as A
@@ -149,7 +151,7 @@ def test_files_scan_and_manifest(spark, tmp_path):
     assert ("repo://org/repo/src/a.ts", "module:@o/p", "IMPORTS_MODULE") in edges
     assert ("repo://org/repo/m.py", "module:json", "IMPORTS_MODULE") in edges
     symbols = {(r.name, r.kind) for r in files.symbols(scan).collect()}
-    assert {("C", "class"), ("f", "function"), ("q", "variable")} <= symbols
+    assert {("C", "class"), ("f", "method"), ("q", "variable")} <= symbols
     assert files.manifest(scan).where("length(sha256) = 64").count() == 3
 
 
@@ -184,9 +186,12 @@ def test_monte_carlo_query_equals_plain_search(spark):
     got = {r.run: r.reached for r in QUERIES["mc_reach"](spark, DATA).collect()}
     assert sorted(got) == list(range(64))
     weighted = catalogue._overlay(spark, DATA)
-    both = weighted.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "adjusted_weight").union(weighted.select("target_id", "source_id", "adjusted_weight"))
+    nth = F.row_number().over(Window.partitionBy("source_id", "target_id", "edge_type").orderBy("adjusted_weight"))
+    weighted = weighted.withColumn("nth", nth)
+    way = lambda a, b, x: weighted.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.concat_ws(":", "edge_type", F.lit(x), F.col("nth").cast("string")).alias("edge"), "adjusted_weight")
+    both = way("source_id", "target_id", "a").union(way("target_id", "source_id", "b"))
     for run in (0, 63):
-        passed = both.where(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("42"), F.lit(str(run)), "src", "dst")), 1, 8), 16, 10).cast("long") <= F.col("adjusted_weight") * float(1 << 32))
+        passed = both.where(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("42"), F.lit(str(run)), "src", "dst", "edge")), 1, 8), 16, 10).cast("long") <= F.col("adjusted_weight") * float(1 << 32))
         assert got[run] == len(plain_reach([(r.src, r.dst) for r in passed.collect()], "customer:7", 8))
 
 
@@ -254,4 +259,4 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
         conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: d)})
 
     with pytest.raises(ValueError, match="checkpoint"):
-        graph._cut(type("Frame", (), {"sparkSession": Session})())
+        session.cut(type("Frame", (), {"sparkSession": Session})())

@@ -72,3 +72,16 @@ def simulate(nodes: DataFrame, weighted: DataFrame, starts: DataFrame, runs: int
     raw = F.least(F.lit(0.92), 0.15 + 0.45 * F.col("consistency") + 0.4 * F.least(F.lit(1.0), F.col("mean") / F.col("n_code")))
     stats = stats.join(F.broadcast(n_code)).withColumn("confidence", adjusted_confidence(raw, F.lit(bias), F.lit(None).cast("double"))).drop("n_code")
     return impacted, stats
+
+
+def change(nodes: DataFrame, edges: DataFrame, assignments: DataFrame, hot_files: DataFrame, description: str, runs: int = 64, depth: int = 8, seed: int = 42, bias: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(seeds, impacted, statistics) of a change by its description: the causal overlay of all edges with its words,
+    the seeds that they point to, and reach from these. nodes: node_id, layer, label, file_path.
+    assignments: node_id, primary_block. hot_files: file_path, a few rows."""
+    blocks = assignments.select("node_id", F.col("primary_block").alias("block"))
+    overlay = graph.causal_overlay(nodes, edges, hot_files, blocks, change_tokens(description))
+    weighted = overlay.select("source_id", "target_id", "edge_type", F.col("adjusted_weight").alias("weight"))
+    code = nodes.where("layer = 'code'")
+    starts = seeds(code, assignments, hot_files, edges, description)
+    impacted, stats = simulate(nodes, weighted, starts, runs, depth, seed, bias)
+    return starts, impacted, stats

@@ -97,6 +97,24 @@ def success_index(diffs: DataFrame) -> DataFrame:
     return out.withColumn("success", 1 - F.col("drift").cast("double") / F.col("activity"))
 
 
+def history_report(snaps: DataFrame) -> DataFrame:
+    """(repo, metric, key, value): of each repository its blocks' net change and that by pair of days, its drift rate,
+    how much of what changes is one file, and how risk accumulates: both together, 1 at most."""
+    diffs = diff(snaps)
+    row = lambda df, metric, key, value: df.select("repo", F.lit(metric).alias("metric"), key.alias("key"), F.round(value.cast("double"), 4).alias("value"))
+    none = F.lit("")
+    pairs = day_pairs(snaps).groupBy("repo").agg(F.count(F.lit(1)).alias("pairs"))
+    net = block_delta(snaps).groupBy("repo", "block").agg(F.sum("delta").alias("total")).join(pairs, "repo")
+    changed = diffs.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before_blocks") != F.col("after_blocks")).alias("d"))
+    sums = changed.groupBy("repo").agg(F.sum("n").alias("files"), F.sum("d").alias("drifted"), F.max("n").alias("top"))
+    rate, share = F.col("drifted") / F.col("files"), F.col("top") / F.col("files")
+    return (
+        row(net, "block_delta_total", F.col("block"), F.col("total")).unionByName(row(net, "block_churn_rate", F.col("block"), F.abs("total") / F.col("pairs")))
+        .unionByName(row(sums, "architectural_drift_candidate_rate", none, rate)).unionByName(row(sums, "hotspot_concentration", none, share))
+        .unionByName(row(sums, "regret_accumulation_score", none, F.least(F.lit(1.0), rate + share)))
+    )
+
+
 def direct_drift(diffs: DataFrame) -> DataFrame:
     """Files present on both sides whose blocks differ, at confidence 0.9."""
     return diffs.where("status = 'M'").select("repo", "before", "after", "path", "before_blocks", "after_blocks", F.lit(0.9).alias("confidence"))

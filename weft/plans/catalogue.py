@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.functions import ids
-from weft.operators import answers, classify, evaluation, evidence, graph, integrity, phases, regret, retrieval, simulate, temporal
+from weft.operators import answers, classify, enrichment, evaluation, evidence, graph, integrity, phases, regret, retrieval, simulate, temporal
 from weft.plans import adapters as A
 from weft.plans import project  # noqa: F401  (registers its queries)
 from weft.plans.registry import ORACLE_SQL, QUERIES, query
@@ -1095,6 +1095,29 @@ def phase_report(spark, d):
     return made.withColumn("value", F.round("value", 9))
 
 
+@query(f"""WITH {CHANGES}, {SNAPS}, {DIFFS}, signed AS (SELECT repo, block, sum(CASE WHEN new THEN 1 ELSE -1 END) AS delta FROM sides GROUP BY repo, before, after, block), n AS (SELECT repo, count(*) AS pairs FROM pairs GROUP BY 1),
+net AS (SELECT repo, block, sum(delta) AS total FROM signed WHERE delta <> 0 GROUP BY 1, 2), c AS (SELECT repo, path, count(*) AS n FROM diffs GROUP BY 1, 2), s AS (SELECT repo, sum(n) AS files, max(n) AS top FROM c GROUP BY 1)
+SELECT repo, 'block_delta_total' AS metric, block AS key, round(total::DOUBLE, 4) AS value FROM net UNION ALL SELECT repo, 'block_churn_rate', block, round(abs(total)::DOUBLE / pairs, 4) FROM net JOIN n USING (repo)
+UNION ALL SELECT repo, 'architectural_drift_candidate_rate', '', 1 FROM s UNION ALL SELECT repo, 'hotspot_concentration', '', round(top::DOUBLE / files, 4) FROM s UNION ALL SELECT repo, 'regret_accumulation_score', '', 1 FROM s""")
+def history_report(spark, d):
+    return temporal.history_report(temporal.snapshots(A.changes(spark, d)))
+
+
+@query(f"""WITH {A.TEXT_SQL}, n AS (SELECT primary_block AS b, count(*) AS n FROM text_assign GROUP BY 1), t AS (SELECT string_agg(b, ', ' ORDER BY n DESC, b) AS top FROM (SELECT * FROM n ORDER BY n DESC, b LIMIT 5)),
+p AS (SELECT 'Project docs represents repository org/docs. Its strongest observed responsibilities are ' || top || '. The summary is derived from ' || (SELECT count(*) FROM text_assign) || ' code-node semantic summaries.' AS text FROM t)
+SELECT 'project' AS kind, text FROM p UNION ALL SELECT 'system', 'System org/docs currently contains 1 project graph(s). It exposes cross-cutting architecture evidence through structural code nodes, semantic entities, project summaries, and action edges. ' || substr(text, 1, 500) FROM p""")
+def project_summaries(spark, d):
+    project = enrichment.project_text(A.text_assignments(spark, d), "docs", "org/docs")
+    return project.select(F.lit("project").alias("kind"), "text").unionByName(enrichment.system_text(project, "org/docs").select(F.lit("system").alias("kind"), "text"))
+
+
+@query(f"""WITH {A.TEXT_SQL}, r AS (SELECT node_id, label, kind, file_path, primary_block, confidence FROM text_nodes JOIN text_assign USING (node_id))
+SELECT 'sure' AS list, * FROM (SELECT * FROM r WHERE confidence >= 0.7 ORDER BY primary_block, file_path, node_id LIMIT 25) UNION ALL SELECT 'start', * FROM (SELECT * FROM r ORDER BY kind, file_path, node_id LIMIT 15)""")
+def demo_candidates(spark, d):
+    sure, starts = enrichment.candidates(A.text_nodes(spark, d), A.text_assignments(spark, d))
+    return sure.select(F.lit("sure").alias("list"), "*").unionByName(starts.select(F.lit("start").alias("list"), "*"))
+
+
 
 # The names in _whole once told the whole job from a smaller one; both do the whole job now.
 for _name in ("impact_radius", "symbol_trace", "bfs_path", "barrel_counts", "contradictions", "neighborhoods", "entity_rank"):
