@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from weft.operators import answers, classify, enrichment, evaluation, evidence,
 from weft.plans import adapters as A
 from weft.plans import project  # noqa: F401  (registers its queries)
 from weft.plans.registry import ORACLE_SQL, QUERIES, query
-from weft.sources import files, history, store
+from weft.session import shared_folder
+from weft.sources import files, graph_store, history, store
 
 NODES, EDGES, CHANGES, ASSIGN = A.NODES_SQL, A.EDGES_SQL, A.CHANGES_SQL, A.ASSIGN_SQL
 SNAPS = """snaps AS (SELECT DISTINCT repo, day, path, block FROM changes),
@@ -1118,6 +1121,18 @@ def demo_candidates(spark, d):
     return sure.select(F.lit("sure").alias("list"), "*").unionByName(starts.select(F.lit("start").alias("list"), "*"))
 
 
+@query(f"""WITH {NODES} SELECT coalesce(repo_name, 'none') AS repo_name, node_id, kind FROM nodes WHERE layer = 'code' AND (coalesce(repo_name, 'none') <> 'ASIA' OR kind = 'supplier') AND NOT (coalesce(repo_name, 'none') = 'EUROPE' AND node_id LIKE '%7')""")
+def stored_nodes(spark, d):
+    """Code of all repositories in the store, one of them replaced, rows of another deleted, and all compacted."""
+    code = A.nodes(spark, d).where("layer = 'code'").withColumn("repo_name", F.coalesce("repo_name", F.lit("none")))
+    kept = graph_store.GraphStore(spark, f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}")
+    kept.write({"code": code})
+    kept.write({"code": code.where("repo_name = 'ASIA' AND kind = 'supplier'")}, cleared=("ASIA",))
+    kept.delete("code", code.where("repo_name = 'EUROPE' AND node_id LIKE '%7'"))
+    kept.compact()
+    return kept.read("code").select("repo_name", "node_id", "kind")
+
+
 
 # The names in _whole once told the whole job from a smaller one; both do the whole job now.
 for _name in ("impact_radius", "symbol_trace", "bfs_path", "barrel_counts", "contradictions", "neighborhoods", "entity_rank"):
