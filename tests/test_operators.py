@@ -260,3 +260,19 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         session.cut(type("Frame", (), {"sparkSession": Session})())
+
+
+def test_spans_of_one_line_make_no_pairs(spark):
+    """2,000 nodes of one name over the same lines and 2,000 definitions there: what the plan's joins make stays near the rows read."""
+    nodes = spark.range(2000).selectExpr("'f' AS path", "'n' AS label", "concat('x', id) AS node_id", "cast(id % 50 AS int) AS start_line", "cast(id % 50 + id % 7 AS int) AS end_line", "cast(id % 5 AS int) AS start_col")
+    occurrences = spark.range(2000).selectExpr("'f' AS path", "id AS ord", "concat('s', id) AS symbol", "1 AS roles", "cast(id % 60 AS int) AS line", "'n' AS token")
+    info = spark.createDataFrame([], "symbol string, display_name string, kind string")
+    spans = [(r.start_line, r.end_line, r.start_col, r.node_id) for r in nodes.collect()]
+    best = lambda line: min((not s <= line <= e, e - s, c, i) for s, e, c, i in spans)[3]
+    found = symbols.definitions(occurrences, nodes, info)
+    assert {(r.ord, r.node_id) for r in found.collect()} == {(i, best(i % 60)) for i in range(2000)}
+    points = occurrences.select("path", "line", "symbol")
+    near = lambda line: min((not s <= line <= e, e - s if s <= line <= e else abs(s - line) + abs(e - line), c, i) for s, e, c, i in spans)[3]
+    assert {(r.symbol, r.node_id) for r in symbols.nearest(points, nodes).collect()} == {(f"s{i}", near(i % 60)) for i in range(2000)}
+    held = symbols.holding(points, nodes, ["path"])
+    assert held.count() == len({i % 60 for i in range(2000) if any(s <= i % 60 <= e for s, e, _, _ in spans)})  # a row a place

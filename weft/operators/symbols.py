@@ -14,8 +14,6 @@ from weft.functions import ids
 #: The role bit of a definition, and kinds of symbols that become nodes of their own (fixed values).
 DEFINITION = 1
 ADDRESSABLE = ("Class", "Constant", "Constructor", "Enum", "Function", "Interface", "Method", "Module", "Namespace", "StaticMethod", "StaticVariable", "TypeAlias", "Variable")
-#: Lines of a bin in which places meet spans, and bins of a span from which on it meets its whole file.
-BIN, BINS = 64, 8
 
 
 def cut_out(content: Column, range_: Column, encoding: Column) -> Column:
@@ -50,6 +48,31 @@ def symbol_information(documents: DataFrame, externals: DataFrame) -> DataFrame:
     return both.groupBy("symbol").agg(F.max_by(F.struct("display_name", "kind"), F.struct("o", "display_name", "kind")).alias("x")).select("symbol", "x.display_name", "x.kind")
 
 
+def holding(points: DataFrame, spans: DataFrame, on: list[str]) -> DataFrame:
+    """(*on, line, best): for every place (*on, line) that a span of the same key holds the best of these, as
+    (w, c, i): the narrowest, then by start_col and id.
+
+    A span is cut into the few blocks of 1, 2, 4, ... lines that make it up, and a block keeps its best span only;
+    a place looks up the one block of each size around it. So rows grow with spans and places and the
+    logarithm of their length, never with pairs of them.
+    """
+    low, high = F.col("start_line").cast("long"), F.col("end_line").cast("long")
+    one = spans.where(low <= high).groupBy(*on, "start_line", "end_line").agg(F.min(F.struct(F.col("start_col").alias("c"), F.col("node_id").alias("i"))).alias("r"))
+    one = one.select(*on, low.alias("low"), high.alias("high"), F.struct((F.col("end_line") - F.col("start_line")).alias("w"), "r.c", "r.i").alias("best"))
+    longest = one.agg(F.max(F.col("high") - F.col("low") + 1)).first()[0] or 1
+    sizes = F.sequence(F.lit(0), F.lit(longest.bit_length() - 1))
+    size = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), j)
+
+    def blocks(j: Column) -> Column:
+        first, after = -F.floor(-F.col("low") / size(j)), F.floor((F.col("high") + 1) / size(j))
+        block = lambda odd, at: F.when((first < after) & (F.pmod(odd, F.lit(2)) == 1), F.struct(j.alias("size"), at.alias("block")))
+        return F.array_compact(F.array(block(first, first), block(after, after - 1)))
+
+    kept = one.select(*on, "best", F.inline(F.flatten(F.transform(sizes, blocks)))).groupBy(*on, "size", "block").agg(F.min("best").alias("best"))
+    places = points.select(*on, "line").distinct().withColumn("size", F.explode(sizes)).withColumn("block", F.floor(F.col("line") / size(F.col("size"))))
+    return places.join(kept, [*on, "size", "block"]).groupBy(*on, "line").agg(F.min("best").alias("best"))
+
+
 def definitions(occurrences: DataFrame, nodes: DataFrame, info: DataFrame) -> DataFrame:
     """(path, ord, line, symbol, token, node_id) of every definition: the node of its file with its name, one
     that holds its line before others, the narrowest, then by start_col and id; null if there is none.
@@ -57,11 +80,12 @@ def definitions(occurrences: DataFrame, nodes: DataFrame, info: DataFrame) -> Da
     some = occurrences.where(is_definition() & (F.col("symbol") != "")).join(info.select("symbol", "display_name"), "symbol", "left")
     token = F.when(F.trim(F.coalesce("token", F.lit(""))) != "", F.trim("token")).otherwise(F.coalesce("display_name", F.lit("")))
     some = some.select("path", "ord", "symbol", "line", token.alias("token")).distinct()
-    met = some.join(nodes.select("path", F.col("label").alias("token"), "node_id", "start_line", "end_line", "start_col"), ["path", "token"])
-    holds = F.col("line").between(F.col("start_line"), F.col("end_line"))
-    rank = F.struct((~holds).alias("o"), (F.col("end_line") - F.col("start_line")).alias("w"), F.col("start_col").alias("c"), F.col("node_id").alias("i"))
-    best = met.groupBy("path", "ord", "line", "symbol").agg(F.min(rank).alias("b")).select("path", "ord", "line", "symbol", "b.i")
-    return some.join(best, ["path", "ord", "line", "symbol"], "left").select("path", "ord", "line", "symbol", "token", F.col("i").alias("node_id"))
+    named = nodes.select("path", F.col("label").alias("token"), "node_id", "start_line", "end_line", "start_col")
+    rank = F.struct((F.col("end_line") - F.col("start_line")).alias("w"), F.col("start_col").alias("c"), F.col("node_id").alias("i"))
+    any_ = named.groupBy("path", "token").agg(F.min(rank)["i"].alias("any"))
+    held = holding(some, named, ["path", "token"]).select("path", "token", "line", F.col("best.i").alias("held"))
+    out = some.join(held, ["path", "token", "line"], "left").join(any_, ["path", "token"], "left")
+    return out.select("path", "ord", "line", "symbol", "token", F.coalesce("held", "any").alias("node_id"))
 
 
 def resolved(defined: DataFrame) -> DataFrame:
@@ -104,16 +128,9 @@ def orphan_nodes(lost: DataFrame) -> DataFrame:
 
 def narrowest(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points with node_id: the narrowest span of their path that holds their line, ties by start_col and
-    id; null if none does. Places and short spans meet in bins of lines, so a long file isn't all pairs;
-    spans of many bins, such as whole files, are few and meet all places of their file."""
-    key = [c for c in points.columns]
-    wide = (F.floor(F.col("end_line") / BIN) - F.floor(F.col("start_line") / BIN)) >= BINS
-    short = spans.where(~wide).withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_line") / BIN), F.floor(F.col("end_line") / BIN))))
-    near = points.withColumn("bin", F.floor(F.col("line") / BIN)).join(short, ["path", "bin"]).drop("bin")
-    met = near.unionByName(points.join(spans.where(wide), "path")).where("line BETWEEN start_line AND end_line")
-    rank = F.struct((F.col("end_line") - F.col("start_line")).alias("w"), F.col("start_col").alias("c"), F.col("node_id").alias("i"))
-    best = met.groupBy(*key).agg(F.min(rank)["i"].alias("node_id"))
-    return points.join(best, key, "left")
+    id; null if none does."""
+    held = holding(points, spans, ["path"]).select("path", "line", F.col("best.i").alias("node_id"))
+    return points.join(held, ["path", "line"], "left").select(*points.columns, "node_id")
 
 
 def nearest(points: DataFrame, spans: DataFrame) -> DataFrame:
@@ -121,15 +138,16 @@ def nearest(points: DataFrame, spans: DataFrame) -> DataFrame:
     lines to its start and end, ties by start_col and id); null where the path has none.
 
     A span beside a place ends before it or starts after it, so of the former that with the greatest
-    sum of start and end is nearest, of the latter that with the least: one sorted pass over a path
-    each way, and no place meets all spans.
+    sum of start and end is nearest, of the latter that with the least: one sorted pass over a path's
+    distinct lines each way, and no place meets all spans.
     """
-    found = narrowest(points, spans)
-    key = points.columns
+    places = points.select("path", "line").distinct()
+    found = narrowest(places, spans)
     rank = lambda sign: F.struct((sign * (F.col("start_line") + F.col("end_line"))).alias("w"), F.col("start_col").alias("c"), F.col("node_id").alias("i"))
-    lost = found.where("node_id IS NULL").select(*key)
+    lost = found.where("node_id IS NULL").select("path", "line")
     for side, place, sign in (("before", "end_line", -1), ("after", "start_line", 1)):
-        marks = spans.select("path", F.col(place).alias("__at"), rank(sign).alias("__r"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in lost.schema if f.name != "path"))
+        marks = spans.groupBy("path", F.col(place).alias("__at")).agg(F.min(rank(sign)).alias("__r"))
+        marks = marks.select("path", "__at", "__r", *(F.lit(None).cast(f.dataType).alias(f.name) for f in lost.schema if f.name != "path"))
         lines = lost.withColumns({"__at": F.col("line"), "__r": F.lit(None).cast(marks.schema["__r"].dataType)})
         order = F.col("__at").asc() if side == "before" else F.col("__at").desc()
         w = Window.partitionBy("path").orderBy(order, F.col("__r").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -137,8 +155,9 @@ def nearest(points: DataFrame, spans: DataFrame) -> DataFrame:
         lost = both.drop("__at", "__r")
     # a sum of lines that lies before is negated; with twice the line added, both are distances
     far = lambda side, sign: F.when(F.col(side).isNotNull(), F.struct((F.col(f"{side}.w") + sign * 2 * F.col("line")).alias("w"), F.col(f"{side}.c").alias("c"), F.col(f"{side}.i").alias("i")))
-    beside = lost.select(*key, F.least(far("__before", 1), far("__after", -1))["i"].alias("node_id"))
-    return found.where("node_id IS NOT NULL").unionByName(beside)
+    beside = lost.select("path", "line", F.least(far("__before", 1), far("__after", -1))["i"].alias("node_id"))
+    best = found.where("node_id IS NOT NULL").unionByName(beside)
+    return points.join(best, ["path", "line"], "left").select(*points.columns, "node_id")
 
 
 def tokens(occurrences: DataFrame, documents: DataFrame) -> DataFrame:
