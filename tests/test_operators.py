@@ -262,6 +262,31 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
         session.cut(type("Frame", (), {"sparkSession": Session})())
 
 
+def test_runs_move_as_bits(spark):
+    """A hub with more steps than a group draws for, and more runs than a long has bits, match plain Python; a level makes
+    a row for a node, not for each of its runs."""
+    import hashlib
+
+    rows = [("hub", f"n{i}", "CALLS", 0.4) for i in range(graph.DRAWN + 10)] + [("n1", "z", "CALLS", 0.7), ("n1", "z", "CALLS", 0.9), ("n2", "z", "X", 1.5)]
+    edges = spark.createDataFrame(rows, "source_id string, target_id string, edge_type string, weight double")
+    seeds = spark.createDataFrame([("n1",), ("n2",)], "node_id string")
+    steps, nth = {}, {}
+    for s, t, kind, w in rows:
+        nth[s, t, kind] = nth.get((s, t, kind), 0) + 1
+        steps.setdefault(s, []).append((t, f"{kind}:a:{nth[s, t, kind]}", w))
+        steps.setdefault(t, []).append((s, f"{kind}:b:{nth[s, t, kind]}", w))
+    want = set()
+    for run in range(70):
+        seen, new = {"n1", "n2"}, {"n1", "n2"}
+        for _ in range(2):
+            new = {t for s in new for t, e, w in steps[s] if int(hashlib.md5(f"42:{run}:{s}:{t}:{e}".encode()).hexdigest()[:8], 16) <= w * 2**32} - seen
+            seen |= new
+        want |= {(run, n) for n in seen}
+    assert set(map(tuple, graph.monte_carlo_reach(edges, seeds, 70, 2).collect())) == want
+    bits = graph.monte_carlo_bits(edges, seeds, 70, 2)
+    assert bits.count() == len({(n, run // graph.BITS) for run, n in want})
+
+
 def test_spans_of_one_line_make_no_pairs(spark):
     """2,000 nodes of one name over the same lines and 2,000 definitions there: what the plan's joins make stays near the rows read."""
     nodes = spark.range(2000).selectExpr("'f' AS path", "'n' AS label", "concat('x', id) AS node_id", "cast(id % 50 AS int) AS start_line", "cast(id % 50 + id % 7 AS int) AS end_line", "cast(id % 5 AS int) AS start_col")

@@ -355,27 +355,58 @@ def causal_overlay(nodes: DataFrame, edges: DataFrame, hot_files: DataFrame, blo
 
     A weight by type grows by 1.10 if both ends lie in hot files (1.05: one of them), 1.08 if both
     have the same block, 1.12 if a change token is part of either path; held within 0.04 to 0.98.
-    hot_files: file_path. blocks: node_id, block.
+    hot_files: file_path. blocks: node_id, block. What a node adds is worked out once a node, so edges
+    are dealt out once for each end.
     """
-    e = endpoint_paths(nodes, edges)
-    hot = lambda side: hot_files.select(F.col("file_path").alias(f"{side}_path"), F.lit(1).alias(f"{side}_hot")).distinct()
-    of = lambda side: blocks.select(F.col("node_id").alias(f"{side}_id"), F.col("block").alias(f"{side}_block"))
-    e = e.join(hot("source"), "source_path", "left").join(hot("target"), "target_path", "left").join(of("source"), "source_id", "left").join(of("target"), "target_id", "left")
+    hot = hot_files.select("file_path", F.lit(1).alias("hot")).distinct()
+    touched = reduce(lambda a, b: a | b, (F.coalesce(F.lower("file_path").contains(t.lower()), F.lit(False)) for t in tokens if len(t) >= 3), F.lit(False))
+    known = nodes.select("node_id", "file_path").join(hot, "file_path", "left").select("node_id", F.coalesce("hot", F.lit(0)).alias("hot"), touched.alias("touched"))
+    known = known.join(blocks.select("node_id", "block"), "node_id", "full")
+    of = lambda side: known.select(F.col("node_id").alias(f"{side}_id"), F.col("hot").alias(f"{side}_hot"), F.col("touched").alias(f"{side}_touched"), F.col("block").alias(f"{side}_block"))
+    e = edges.select("source_id", "target_id", "edge_type").join(of("target"), "target_id", "left").join(of("source"), "source_id", "left")
     n = F.coalesce("source_hot", F.lit(0)) + F.coalesce("target_hot", F.lit(0))
-    touched = [F.coalesce(F.lower(F.col(f"{s}_path")).contains(t.lower()), F.lit(False)) for t in tokens if len(t) >= 3 for s in ("source", "target")]
-    touch = reduce(lambda a, b: a | b, touched, F.lit(False))
+    touch = F.coalesce("source_touched", F.lit(False)) | F.coalesce("target_touched", F.lit(False))
     base = propagation_weight(F.col("edge_type"))
     factor = F.when(n == 2, 1.10).when(n == 1, 1.05).otherwise(1.0) * F.when(F.col("source_block") == F.col("target_block"), 1.08).otherwise(1.0) * F.when(touch, 1.12).otherwise(1.0)
     return e.select("source_id", "target_id", "edge_type", base.alias("base_weight"), F.least(F.greatest(base * factor, F.lit(0.04)), F.lit(0.98)).alias("adjusted_weight"))
 
 
+#: Runs that the bits of a long hold, and steps into a node that one group draws for.
+BITS, DRAWN = 64, 4096
+
+
 def monte_carlo_reach(weighted: DataFrame, seeds: DataFrame, runs: int = 64, depth: int = 8, seed: int = 42) -> DataFrame:
-    """(run, node_id): what a change at seeds (node_id) reaches in each run.
+    """(run, node_id): what a change at seeds (node_id) reaches in each run, from monte_carlo_bits."""
+    bits = monte_carlo_bits(weighted, seeds, runs, depth, seed)
+    return bits.select(F.explode(_runs_of(F.col("runs"), F.col("bunch"))).alias("run"), "node_id")
+
+
+def _runs_of(bits: Column, bunch: Column) -> Column:
+    each = F.sequence(F.lit(0), F.lit(BITS - 1))
+    return F.transform(F.filter(each, lambda r: _bit(bits, r)), lambda r: bunch * BITS + r)
+
+
+def run_sizes(bits: DataFrame) -> DataFrame:
+    """(run, n): how many nodes each run of monte_carlo_bits reaches."""
+    return bits.select(F.explode(_runs_of(F.col("runs"), F.col("bunch"))).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _bit(bits: Column, i: Column) -> Column:
+    return F.call_function("shiftright", bits, i).bitwiseAND(F.lit(1)) == 1
+
+
+def monte_carlo_bits(weighted: DataFrame, seeds: DataFrame, runs: int = 64, depth: int = 8, seed: int = 42) -> DataFrame:
+    """(node_id, bunch, runs): the runs, as bits of a long, in which a change at seeds (node_id) reaches a node;
+    bit i of bunch b is run 64 b + i.
 
     weighted: source_id, target_id, weight, and perhaps edge_type. In a run every edge passes on with its
     weight as chance, by an MD5 of seed, run, ends, type, direction and its number among edges that are
     equal in these (by weight), so runs repeat exactly, parallel edges are tried one by one, and every
     level is one join. An edge is tried once a run from each of its ends.
+
+    All runs of a bunch move as one row, and the steps into a node are drawn one after another, each only for
+    the runs that haven't reached it, so draws grow with nodes and runs rather than edges and runs. As
+    steps go both ways, as many leave a node as enter it: those with many get several groups.
     """
     kind = F.col("edge_type") if "edge_type" in weighted.columns else F.lit("")
     typed = weighted.select("source_id", "target_id", kind.alias("edge_type"), "weight")
@@ -384,17 +415,37 @@ def monte_carlo_reach(weighted: DataFrame, seeds: DataFrame, runs: int = 64, dep
     numbered = typed.withColumns({"ahead": which("a"), "back": which("b")})
     ends = F.array(F.struct(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.col("ahead").alias("edge")), F.struct(F.col("target_id").alias("src"), F.col("source_id").alias("dst"), F.col("back").alias("edge")))
     dealt = _dealt(numbered.select("weight", F.explode(ends).alias("e")).select("e.src", "e.dst", "e.edge", "weight"))
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("run").cast("string"), "src", "dst", "edge")), 1, 8), 16, 10).cast("long")
-    new = cut(seeds.select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "node_id").distinct())
-    seen = new
+    hubs = cut(dealt.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > DRAWN).select(F.col("src").alias("dst"), F.ceil(F.col("n") / DRAWN).alias("parts")))
+    # a draw passes if its first eight hexadecimal digits are at most those of the weight
+    digits = F.lower(F.lpad(F.hex(F.floor(F.col("weight") * float(1 << 32)).cast("long")), 8, "0"))
+    bar = F.when(F.col("weight") >= 1, "g").when(F.col("weight") >= 0, F.concat(digits, F.lit("g")))
+    full = lambda b: -1 if runs - b * BITS >= BITS else (1 << (runs - b * BITS)) - 1
+    bunches = F.array(*(F.struct(F.lit(b).alias("bunch"), F.lit(full(b)).cast("long").alias("new")) for b in range(-(-runs // BITS))))
+    state = cut(seeds.select("node_id").distinct().select("node_id", F.inline(bunches)).withColumn("runs", F.col("new")))
+    each = F.sequence(F.lit(0), F.lit(BITS - 1))
+
+    def passed(e: Column, left: Column) -> Column:
+        drawn = lambda i: F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("bunch") * BITS + i).cast("string"), e["src"], "dst", e["edge"]))
+        return F.aggregate(each, F.lit(0).cast("long"), lambda a, i: F.when(_bit(left, i) & (drawn(i) < e["bar"]), a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(a))
+
+    def step(got: Column, e: Column) -> Column:
+        left = e["new"].bitwiseAND(F.bitwise_not(got))
+        return F.when(left == 0, got).otherwise(got.bitwiseOR(passed(e, left)))
+
     for _ in range(depth):
-        found = _from(dealt, new.withColumnRenamed("node_id", "src")).where(draw <= F.col("weight") * float(1 << 32)).select("run", F.col("dst").alias("node_id")).distinct()
-        new = cut(found.join(seen, ["run", "node_id"], "left_anti"))
-        if new.isEmpty():
+        frontier = state.where("new <> 0").select(F.col("node_id").alias("src"), "bunch", "new")
+        if frontier.isEmpty():
             break
-        seen = seen.unionByName(new)
+        tried = _from(dealt, frontier).select("dst", "bunch", F.struct("src", "edge", bar.alias("bar"), "new").alias("e"), F.lit(0).cast("long").alias("runs"))
+        tried = tried.join(F.broadcast(hubs), "dst", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("e.src"), "parts"), F.lit(0)))
+        known = state.select(F.col("node_id").alias("dst"), "bunch", F.lit(None).cast(tried.schema["e"].dataType).alias("e"), "runs").join(F.broadcast(hubs), "dst", "left")
+        known = known.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+        groups = tried.unionByName(known).groupBy("dst", "bunch", "part").agg(F.bit_or("runs").alias("runs"), F.collect_list("e").alias("steps"))
+        groups = groups.select("dst", "bunch", "runs", F.aggregate("steps", F.col("runs"), step).alias("got"))
+        merged = groups.groupBy(F.col("dst").alias("node_id"), "bunch").agg(F.bit_or("got").alias("got"), F.bit_or("runs").alias("runs")).where("got <> 0")
+        state = cut(merged.select("node_id", "bunch", F.col("got").bitwiseAND(F.bitwise_not("runs")).alias("new"), F.col("got").alias("runs")))
     dealt.unpersist()
-    return seen
+    return state.select("node_id", "bunch", "runs")
 
 
 def layer_status(checks: DataFrame) -> DataFrame:

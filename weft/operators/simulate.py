@@ -64,10 +64,10 @@ def simulate(nodes: DataFrame, weighted: DataFrame, starts: DataFrame, runs: int
     deviation of the nodes reached in a run, consistency, and confidence. weighted: source_id,
     target_id, weight. Both statistics come from the same runs.
     """
-    reached = graph.monte_carlo_reach(weighted, starts.select("node_id"), runs, depth, seed)
+    bits = graph.monte_carlo_bits(weighted, starts.select("node_id"), runs, depth, seed)
     code = nodes.where("layer = 'code'").select("node_id", "file_path")
-    impacted = reached.groupBy("node_id").agg(F.count(F.lit(1)).alias("hits")).join(code, "node_id")
-    stats = evaluation.run_statistics(reached.groupBy("run").agg(F.count(F.lit(1)).alias("n")))
+    impacted = bits.groupBy("node_id").agg(F.sum(F.bit_count("runs")).alias("hits")).join(code, "node_id")
+    stats = evaluation.run_statistics(graph.run_sizes(bits).select("n"))
     n_code = code.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n_code"))
     raw = F.least(F.lit(0.92), 0.15 + 0.45 * F.col("consistency") + 0.4 * F.least(F.lit(1.0), F.col("mean") / F.col("n_code")))
     stats = stats.join(F.broadcast(n_code)).withColumn("confidence", adjusted_confidence(raw, F.lit(bias), F.lit(None).cast("double"))).drop("n_code")
