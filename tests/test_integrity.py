@@ -107,3 +107,23 @@ def test_phases_of_an_index_a_store_and_gold_rows(spark):
     assert values(phases.storage((nodes, edges), (nodes, edges.where("provenance <> ''")))) == {"verify_pass": 0, "code_rows": 4, "edge_rows": 4}
     blocked = phases.report(phases.identity(nodes, edges, None, None), phases.references(nodes, None), phases.storage((nodes, edges), None), phases.semantics(nodes, None), phases.evaluation(nodes, nodes, None), phases.history(nodes, None), phases.structure(nodes, edges, nodes))
     assert {r.phase_id: r.availability for r in phases.availability(blocked).collect()} == {**dict.fromkeys(phases.NEEDS, "blocked"), "phase_1": "available"}
+
+
+def test_structural_checks_read_edges_once(spark):
+    """Loops, repeated nodes, unknown and null ends; edges are worked out once for all four checks."""
+    from pyspark.sql import functions as F
+
+    from weft.operators import graph
+
+    read = spark.sparkContext.accumulator(0)
+
+    def kind(x):
+        read.add(1)
+        return x
+
+    nodes = spark.createDataFrame([("a", "code"), ("a", "code"), ("b", "code"), ("c", "file"), (None, "code")], "node_id string, layer string")
+    edges = spark.createDataFrame([("c", "b", "CONTAINS"), ("a", "x", "CALLS"), ("a", "module:m", "IMPORTS_MODULE"), ("y", "a", "CALLS"), ("b", "b", "CALLS"), (None, "b", "CALLS"), ("b", None, "CALLS")], "source_id string, target_id string, edge_type string")
+    got = graph.integrity_checks(nodes, edges.withColumn("edge_type", F.udf(kind, "string")("edge_type")))
+    # a is in no file, twice, and its edges lead to nothing known; the node without an id has neither
+    assert {r.check_id: r.detail for r in got.collect()} == {"node_ids_unique": 1, "no_dangling_edges": 4, "code_is_contained": 3, "nodes_connected": 3}
+    assert read.value == 7

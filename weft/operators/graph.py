@@ -455,16 +455,28 @@ def layer_status(checks: DataFrame) -> DataFrame:
 
 
 def integrity_checks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(layer, check_id, status, detail): each structural check with the number of offenders."""
-    repeated = nodes.groupBy("node_id").count().where("count > 1")
-    parts = {
-        ("structural", "node_ids_unique"): repeated,
-        ("structural", "no_dangling_edges"): dangling_edges(nodes, edges),
-        ("structural", "code_is_contained"): missing_containment(nodes, edges),
-        ("canonical", "nodes_connected"): nodes.join(connected_to_known(nodes, edges).select("node_id"), "node_id", "left_anti"),
-    }
-    rows = [df.agg(F.count(F.lit(1)).alias("detail")).select(F.lit(layer).alias("layer"), F.lit(check).alias("check_id"), F.when(F.col("detail") == 0, "pass").otherwise("fail").alias("status"), "detail") for (layer, check), df in parts.items()]
-    return reduce(DataFrame.unionByName, rows)
+    """(layer, check_id, status, detail): each structural check with the number of offenders.
+
+    Edges are dealt out once for each end to learn which ends are nodes, and their ends once more by node; all
+    four checks are sums over these, and edges that have been found so are kept for both.
+    """
+    known = nodes.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("layer") == "code").alias("code"))
+    of = lambda side: known.select(F.col("node_id").alias(f"{side}_id"), F.lit(True).alias(f"{side}_known"))
+    met = edges.select("source_id", "target_id", "edge_type").join(of("target"), "target_id", "left").join(of("source"), "source_id", "left")
+    met = met.withColumns({f"{side}_known": F.coalesce(f"{side}_known", F.lit(False)) for side in ("source", "target")}).persist(StorageLevel.MEMORY_AND_DISK)
+    lost = lambda side: F.count_if(~F.col(f"{side}_known") & ~is_external(side, F.col("edge_type"), F.col("target_id")))
+    dangling = met.agg((lost("source") + lost("target")).alias("dangling"))
+    end = lambda side, other, held: F.struct(F.col(f"{side}_id").alias("node_id"), F.col(f"{other}_known").alias("linked"), held.alias("held"))
+    ends = met.select(F.inline(F.array(end("source", "target", F.lit(False)), end("target", "source", F.coalesce(F.col("edge_type") == "CONTAINS", F.lit(False))))))
+    ends = ends.where("node_id IS NOT NULL AND (linked OR held)").select("node_id", "linked", "held", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("code"))
+    each = ends.unionByName(known.select("node_id", F.lit(False).alias("linked"), F.lit(False).alias("held"), "n", "code")).groupBy("node_id").agg(F.max("linked").alias("linked"), F.max("held").alias("held"), F.sum("n").alias("n"), F.sum("code").alias("code"))
+    some = lambda of, n: F.coalesce(F.sum(F.when(~F.col(of), F.col(n))), F.lit(0))
+    sums = each.agg(F.count_if(F.col("n") > 1).alias("repeated"), some("held", "code").alias("loose"), some("linked", "n").alias("alone")).crossJoin(dangling)
+    checks = (("structural", "node_ids_unique", "repeated"), ("structural", "no_dangling_edges", "dangling"), ("structural", "code_is_contained", "loose"), ("canonical", "nodes_connected", "alone"))
+    rows = F.array(*(F.struct(F.lit(layer).alias("layer"), F.lit(check).alias("check_id"), F.when(F.col(c) == 0, "pass").otherwise("fail").alias("status"), F.col(c).alias("detail")) for layer, check, c in checks))
+    out = cut(sums.select(F.inline(rows)))
+    met.unpersist()
+    return out
 
 
 def phase_metrics(nodes: DataFrame, edges: DataFrame, assignments: DataFrame, changes: DataFrame) -> DataFrame:
