@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from weft.functions import ids
-from weft.operators import gold, graph
+from weft.operators import gold, graph, temporal
 
 
 def test_parallel_edges_are_tried_one_by_one(spark):
@@ -40,3 +40,20 @@ def test_globs_have_classes(spark):
     df = spark.createDataFrame([(g,) for g in set(valid)], "g string").join(spark.createDataFrame([(n,) for n in set(names)], "n string"))
     for r in df.select("g", "n", F.rlike("n", ids.glob_regex("g")).alias("hit")).collect():
         assert r.hit == fnmatch.fnmatchcase(r.n, r.g), r
+
+
+def test_moves_that_depend_on_each_other_take_no_rounds(spark):
+    n = 60
+    rows = [("r", "1", "2", f"a/n{i:02}.ts", "A", "", "View" if i % 2 else f"View,X{i:02}") for i in range(n)] + [("r", "1", "2", f"b/m{i:02}.ts", "D", f"View,X{i:02}" if i % 3 else "View", "") for i in range(n)]
+    rows += [(None, "1", "2", "a/k.ts", "A", "", "View"), (None, "1", "2", "b/k.ts", "D", "Other", "")]
+    diffs = spark.createDataFrame(rows, "repo string, before string, after string, path string, status string, before_blocks string, after_blocks string")
+    free, want = {r[3]: r[5] for r in rows if r[0] and r[4] == "D"}, set()
+    for r in sorted(x for x in rows if x[0] and x[4] == "A"):
+        best = next((p for p in sorted(free) if set(free[p].split(",")) & set(r[6].split(","))), None)
+        if best and free[best] != r[6]:
+            want.add((best, r[3], free.pop(best), r[6]))
+    spark.sparkContext.setJobGroup("moves", "moves")
+    got = {(r.old_path, r.path, r.before_blocks, r.after_blocks) for r in temporal.move_drift(diffs).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("moves")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want and len(jobs) <= 3  # once some jobs for every round, and rounds by the additions

@@ -6,10 +6,14 @@ whatever orders the states of a repository; histories of different repositories
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from array import array
+from collections.abc import Iterator
 
-from weft.session import cut
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def churn(changes: DataFrame) -> DataFrame:
@@ -123,32 +127,70 @@ def direct_drift(diffs: DataFrame) -> DataFrame:
 _DIFF = ["repo", "before", "after"]
 
 
-def _waiting(files: DataFrame, blocks: str, *more: str) -> DataFrame:
-    """A row for every list (key) that a file of a diff is in, and the score of a match by that list: its name
-    (5: name 3, stem 2), its stem (2), each of its blocks (1), and a block with its name or stem."""
-    name = F.element_at(F.split("path", "/"), -1)
-    stem = F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
-    of = lambda key, score: F.struct(key.alias("key"), F.lit(score).alias("score"))
-    each = F.filter(F.split(blocks, ","), lambda x: x != "")
-    keyed = lambda kind, text: F.concat(F.lit(kind), text)
-    alone = F.array(of(keyed("n/", name), 5), of(keyed("s/", stem), 2))
-    within = F.flatten(F.transform(each, lambda b: F.array(of(F.concat(F.lit("N/"), b, F.lit("/"), name), 6), of(F.concat(F.lit("S/"), b, F.lit("/"), stem), 3), of(keyed("b/", b), 1))))
-    return files.select(*_DIFF, "path", *more, F.inline(F.concat(alone, within)))
-
-
-def _best(lists: DataFrame, waiting: DataFrame, holders: DataFrame) -> DataFrame:
-    """For every addition the best deletion that none before it holds: _DIFF, path, old_path, key.
-
-    Of a list the first deletion whose holder, if any, isn't before the addition: with deletions and
-    additions sorted by holder, the last first, that is a running minimum, so no pairs are made.
-    """
-    held = lists.join(holders, [*_DIFF, "old_path"], "left")
-    none = F.lit(None).cast("string")
-    rows = held.select(*_DIFF, "key", "score", F.col("holder").alias("at"), F.lit(0).alias("adds"), "old_path", none.alias("path"))
-    rows = rows.unionByName(waiting.select(*_DIFF, "key", "score", F.col("path").alias("at"), F.lit(1).alias("adds"), none.alias("old_path"), "path"))
-    upto = Window.partitionBy(*_DIFF, "key").orderBy(F.col("at").desc_nulls_first(), "adds").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.withColumn("first", F.min("old_path").over(upto)).where("adds = 1 AND first IS NOT NULL")
-    return found.groupBy(*_DIFF, "path").agg(F.min(F.struct((-F.col("score")).alias("o"), F.col("first").alias("old_path"), "key")).alias("b")).select(*_DIFF, "path", "b.old_path", "b.key")
+def _stem(name: Column) -> Column:
+    return F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
+
+
+_MOVES = "repo {0}, before {1}, after {2}, old_path string, path string, before_blocks string, after_blocks string"
+
+
+class _Free:
+    """The deletions of one diff that are still free, by what an addition may share with them."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.blocks: list[str] = []
+        self.taken = bytearray()
+        self.lists: dict[tuple, list] = {}  # what is shared: place of the first that may be free, deletions in order
+
+    @staticmethod
+    def keys(name: str, stem: str, blocks: str) -> Iterator[tuple[int, tuple]]:
+        """The lists of a file with the score of a match by them: its name (5: name 3, stem 2), its stem (2), each
+        of its blocks (1), and a block with its name or stem."""
+        yield 5, ("n", name)
+        yield 2, ("s", stem)
+        for b in dict.fromkeys(filter(None, blocks.split(","))):
+            yield 6, ("n", name, b)
+            yield 3, ("s", stem, b)
+            yield 1, ("b", b)
+
+    def add(self, path: str, name: str, stem: str, blocks: str) -> None:
+        for _, key in self.keys(name, stem, blocks):
+            self.lists.setdefault(key, [0, array("l")])[1].append(len(self.paths))
+        self.paths.append(path)
+        self.blocks.append(blocks)
+        self.taken.append(0)
+
+    def best(self, name: str, stem: str, blocks: str) -> int | None:
+        found = None
+        for score, key in self.keys(name, stem, blocks):
+            waiting = self.lists.get(key)
+            if waiting is None:
+                continue
+            at, places = waiting
+            while at < len(places) and self.taken[places[at]]:
+                at += 1
+            waiting[0] = at
+            if at < len(places) and (found is None or (-score, places[at]) < found):
+                found = (-score, places[at])
+        return found and found[1]
+
+
+def _moved(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows by diff, its deletions before its additions, each by path."""
+    diff, free = None, _Free()
+    for batch in batches:
+        out = []
+        for *key, _adds, path, name, stem, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != diff:
+                diff, free = key, _Free()
+            if not _adds:
+                free.add(path, name, stem, blocks)
+            elif (i := free.best(name, stem, blocks)) is not None and free.blocks[i] != blocks:
+                free.taken[i] = 1
+                out.append((*key, free.paths[i], path, free.blocks[i], blocks))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
 def move_drift(diffs: DataFrame) -> DataFrame:
@@ -156,37 +198,19 @@ def move_drift(diffs: DataFrame) -> DataFrame:
     stem 2, a common block 1 more), ties by path; it is a move if their blocks differ, and only then is
     the deleted file taken.
 
-    All additions of all diffs choose at once, round after round: the best deletion that none before them
-    holds. Those that choose the same one are dealt the next free ones of its list, by path, as a guess;
-    a round that changes nothing is the sequential result, since the first addition whose choice isn't
-    final always becomes final. A diff is never gathered: lists are sorted and scanned by Spark.
+    What an addition takes depends on all before it, so a diff goes in order: Spark deals diffs out and sorts
+    each, deletions first; additions stream past. A task holds the deletions of one diff at a time, and a
+    list never looks twice at one that is taken, so time grows with a diff's files and their blocks.
     """
-    gone = diffs.where("status = 'D' AND before_blocks <> ''")
-    lists = cut(_waiting(gone, "before_blocks").withColumnRenamed("path", "old_path"))
-    waiting = cut(_waiting(diffs.where("status = 'A' AND after_blocks <> ''"), "after_blocks"))
-    new = diffs.where("status = 'A'").select(*_DIFF, "path", "after_blocks")
-    old = gone.select(*_DIFF, F.col("path").alias("old_path"), "before_blocks")
-    holders = old.select(*_DIFF, "old_path", F.lit(None).cast("string").alias("holder")).limit(0)
-    state = None
-    while True:
-        best = _best(lists, waiting, holders).join(new, [*_DIFF, "path"]).join(old, [*_DIFF, "old_path"])
-        taken = best.where("after_blocks <> before_blocks")
-        turn = F.row_number().over(Window.partitionBy(*_DIFF, "old_path").orderBy("path")) - 1
-        taken = cut(taken.withColumn("turn", turn))
-        now = taken.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("turn") > 0).alias("more"), F.sum(F.xxhash64(*_DIFF, "path", "old_path").cast("decimal(38,0)")).alias("s")).first()
-        if now == state and not now["more"]:
-            return taken.select(*_DIFF, "old_path", "path", "before_blocks", "after_blocks", F.lit(0.82).alias("confidence"))
-        state = now
-        guesses = taken
-        if now["more"]:
-            wanted = taken.where("turn > 0").select(*_DIFF, "key", "path", "old_path", "turn")
-            free = lists.join(taken.select(*_DIFF, "old_path").distinct(), [*_DIFF, "old_path"], "left_anti").join(wanted.select(*_DIFF, "key").distinct(), [*_DIFF, "key"], "left_semi")
-            turns = Window.partitionBy(*_DIFF, "key").orderBy("old_path")
-            free = free.select(*_DIFF, "key", F.col("old_path").alias("next_path"), F.row_number().over(turns).alias("place"))
-            again = F.row_number().over(Window.partitionBy(*_DIFF, "key").orderBy("path"))
-            dealt = wanted.withColumn("place", again).join(free, [*_DIFF, "key", "place"]).select(*_DIFF, F.col("next_path").alias("old_path"), "path")
-            guesses = taken.where("turn = 0").select(*_DIFF, "old_path", "path").unionByName(dealt)
-        holders = cut(guesses.groupBy(*_DIFF, "old_path").agg(F.min("path").alias("holder")))
+    added = F.col("status") == "A"
+    blocks = F.when(added, F.col("after_blocks")).otherwise(F.col("before_blocks"))
+    name = F.element_at(F.split("path", "/"), -1)
+    files = diffs.where(F.col("status").isin("A", "D") & (blocks != "")).dropna(subset=[*_DIFF, "path"])
+    files = files.select(*_DIFF, added.alias("adds"), "path", name.alias("name"), _stem(name).alias("stem"), blocks.alias("blocks"))
+    out = _MOVES.format(*(files.schema[c].dataType.simpleString() for c in _DIFF))
+    schema = to_arrow_schema(StructType.fromDDL(out))
+    sorted_ = files.repartition(*_DIFF).sortWithinPartitions(*_DIFF, "adds", "path")
+    return sorted_.mapInArrow(lambda batches: _moved(batches, schema), out).withColumn("confidence", F.lit(0.82))
 
 
 def known_changes_gate(found: DataFrame, expected: DataFrame) -> DataFrame:
