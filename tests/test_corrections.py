@@ -57,3 +57,17 @@ def test_moves_that_depend_on_each_other_take_no_rounds(spark):
     jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("moves")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == want and len(jobs) <= 3  # once some jobs for every round, and rounds by the additions
+
+
+def test_gold_rows_meet_sets_of_blocks_and_parts_of_paths(spark, monkeypatch):
+    monkeypatch.setattr(gold, "DEALT", 2)
+    nodes = spark.createDataFrame([(f"n{i}", "a/x.ts" if i < 7 else "a/y.ts" if i < 9 else None) for i in range(10)], "node_id string, file_path string")
+    schema = "node_id string, primary_block string, secondary array<struct<block:string,confidence:double>>"
+    assigned = spark.createDataFrame([(f"n{i}", None if i != 3 else "X", [("Y", 0.5)] if i == 8 else None) for i in range(9)], schema)
+    row = lambda i, node, path, glob, block: (i, "", node, path, glob, [block], block, "high", "active")
+    rows = [row("id", "n0", "", "", "X"), row("path", "", "a/x.ts", "", "X"), row("other", "", "a/x.ts", "", "Y"), row("glob", "", "", "a/*", "Y"), row("none", "", "", "b/*", "X"), row("lost", "n9", "", "", "X")]
+    golds = spark.createDataFrame(rows, "id string, repo_name string, node_id string, file_path string, file_glob string, accepted_blocks array<string>, primary_block string, confidence string, status string")
+    got = {r.id: (r.found, r.hit) for r in gold.benchmark(golds, nodes, assigned).collect()}
+    assert got == {"id": (True, False), "path": (True, True), "other": (True, False), "glob": (True, True), "none": (False, False), "lost": (False, False)}  # without a block: found
+    met = sorted((r.id, r.node_id) for r in gold.targets(golds, nodes).where("via <> 'node_id'").collect())
+    assert met == sorted([(i, f"n{n}") for i in ("path", "other") for n in range(7)] + [("glob", f"n{n}") for n in range(9)])

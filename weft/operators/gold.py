@@ -39,14 +39,8 @@ def applies(repo: str):
 FEW_GLOBS = 100_000
 
 
-def targets(gold: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, node_id, via): the nodes of each gold row, by its node_id, else by its file_path, else by its
-    file_glob. Globs meet the distinct paths, FEW_GLOBS of them at most in a broadcast, and only then nodes.
-    """
-    by_id = gold.where(~_blank("node_id")).select("id", "node_id").join(nodes.select("node_id"), "node_id", "left_semi").withColumn("via", F.lit("node_id"))
-    rest = gold.where(_blank("node_id"))
-    path = rest.where(~_blank("file_path")).select("id", "file_path").join(nodes.select("node_id", "file_path"), "file_path").select("id", "node_id", F.lit("file_path").alias("via"))
-    globbed = rest.where(_blank("file_path") & ~_blank("file_glob"))
+def _met_paths(globbed: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """(file_glob, file_path): globs with the distinct paths that they match, FEW_GLOBS of them at most in a broadcast."""
     globs = globbed.select("file_glob").distinct()
     n = globs.count()
     paths = nodes.select("file_path").where("file_path IS NOT NULL").distinct()
@@ -55,19 +49,56 @@ def targets(gold: DataFrame, nodes: DataFrame) -> DataFrame:
         part = globs.where(F.pmod(F.xxhash64("file_glob"), F.lit(-(-n // FEW_GLOBS))) == i).withColumn("pattern", ids.glob_regex("file_glob"))
         one = paths.join(F.broadcast(part), F.rlike("file_path", F.col("pattern"))).select("file_glob", "file_path")
         met = one if met is None else met.unionByName(one)
-    out = by_id.select("id", "node_id", "via").unionByName(path)
+    return met
+
+
+def _by_target(gold: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The gold rows that go by their node_id, else by their file_path, else by their file_glob."""
+    rest = gold.where(_blank("node_id"))
+    return gold.where(~_blank("node_id")), rest.where(~_blank("file_path")), rest.where(_blank("file_path") & ~_blank("file_glob"))
+
+
+#: Nodes of a path that one part holds; paths with more are dealt out to several, so no task makes all their rows.
+DEALT = 4096
+
+
+def targets(gold: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, node_id, via): the nodes of each gold row, by its node_id, else by its file_path, else by its
+    file_glob. Globs meet the distinct paths and only then nodes, those of frequent paths in parts.
+    """
+    own, by_path, globbed = _by_target(gold)
+    by_id = own.select("id", "node_id").join(nodes.select("node_id"), "node_id", "left_semi").select("id", "node_id", F.lit("node_id").alias("via"))
+    asked = by_path.select("id", "file_path", F.lit("file_path").alias("via"))
+    met = _met_paths(globbed, nodes)
     if met is not None:
-        out = out.unionByName(globbed.select("id", "file_glob").join(met, "file_glob").join(nodes.select("node_id", "file_path"), "file_path").select("id", "node_id", F.lit("file_glob").alias("via")))
-    return out
+        asked = asked.unionByName(globbed.select("id", "file_glob").join(met, "file_glob").select("id", "file_path", F.lit("file_glob").alias("via")))
+    frequent = nodes.groupBy("file_path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > DEALT).select("file_path", F.ceil(F.col("n") / DEALT).alias("parts"))
+    dealt = lambda df: df.join(F.broadcast(frequent), "file_path", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    asked = dealt(asked).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    held = dealt(nodes.select("node_id", "file_path")).select("node_id", "file_path", F.pmod(F.xxhash64("node_id"), "parts").alias("part"))
+    return by_id.unionByName(asked.join(held, ["file_path", "part"]).select("id", "node_id", "via"))
 
 
 def benchmark(gold: DataFrame, nodes: DataFrame, assignments: DataFrame) -> DataFrame:
     """(id, found, hit): whether any node of an active gold row exists, and whether any has an accepted
-    block as its primary or a secondary one. assignments: node_id, primary_block, secondary."""
+    block as its primary or a secondary one. assignments: node_id, primary_block, secondary.
+
+    Whether a row hits depends on which blocks its nodes have, not on which of them has which: blocks are
+    gathered once a path, then once a glob, and a gold row meets one set of blocks and none of its nodes.
+    """
     rows = normalized(gold).where("status = 'active'")
+    own, by_path, globbed = _by_target(rows)
     blocks = F.concat(F.array("primary_block"), F.coalesce(F.transform("secondary", lambda s: s["block"]), F.array().cast("array<string>")))
-    met = targets(rows, nodes).join(assignments.select("node_id", blocks.alias("blocks")), "node_id").join(rows.select("id", "accepted_blocks"), "id")
-    hits = met.groupBy("id").agg(F.max(F.arrays_overlap("accepted_blocks", "blocks")).alias("hit"))
+    known = nodes.select("node_id", "file_path").join(assignments.select("node_id", blocks.alias("blocks")), "node_id")
+    union = lambda df, by: df.select(by, F.explode_outer("blocks").alias("block")).distinct().groupBy(by).agg(F.collect_set("block").alias("blocks"))
+    of_path = union(known.where("file_path IS NOT NULL"), "file_path")
+    met = own.select("id", "node_id").join(known.select("node_id", "blocks"), "node_id").select("id", "blocks")
+    met = met.unionByName(by_path.select("id", "file_path").join(of_path, "file_path").select("id", "blocks"))
+    paths = _met_paths(globbed, nodes)
+    if paths is not None:
+        met = met.unionByName(globbed.select("id", "file_glob").join(union(paths.join(of_path, "file_path"), "file_glob"), "file_glob").select("id", "blocks"))
+    met = met.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list(F.array_compact("blocks")))).alias("blocks"))
+    hits = rows.select("id", F.array_compact("accepted_blocks").alias("accepted")).join(met, "id").groupBy("id").agg(F.max(F.arrays_overlap("accepted", "blocks")).alias("hit"))
     return rows.select("id").join(hits, "id", "left").select("id", F.col("hit").isNotNull().alias("found"), F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
