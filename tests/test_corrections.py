@@ -71,3 +71,13 @@ def test_gold_rows_meet_sets_of_blocks_and_parts_of_paths(spark, monkeypatch):
     assert got == {"id": (True, False), "path": (True, True), "other": (True, False), "glob": (True, True), "none": (False, False), "lost": (False, False)}  # without a block: found
     met = sorted((r.id, r.node_id) for r in gold.targets(golds, nodes).where("via <> 'node_id'").collect())
     assert met == sorted([(i, f"n{n}") for i in ("path", "other") for n in range(7)] + [("glob", f"n{n}") for n in range(9)])
+
+
+def test_nodes_of_a_union_work_edges_out_once(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "node_id string")
+    for more in ("d", "e"):
+        nodes = nodes.unionByName(spark.createDataFrame([(more,)], "node_id string"))
+    edges = spark.range(6).select(F.element_at(F.array(*map(F.lit, "abxyza")), (F.col("id") + 1).cast("int")).alias("source_id"), F.element_at(F.array(*map(F.lit, "bxcydd")), (F.col("id") + 1).cast("int")).alias("target_id"), F.lit("CALLS").alias("edge_type"))
+    found = graph.connected_to_known(nodes, edges)
+    assert sorted(r.node_id for r in found.collect()) == ["a", "a", "b", "d"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 6") == 1  # once for each part of nodes

@@ -130,9 +130,16 @@ def orphans(nodes: DataFrame, edges: DataFrame, types: list[str]) -> DataFrame:
 
 
 def connected_to_known(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes with at least one edge whose other end is a node too."""
-    known = nodes.select(F.col("node_id").alias("dst"))
-    return nodes.join(both_ways(edges).join(known, "dst", "left_semi").select(F.col("src").alias("node_id")), "node_id", "left_semi")
+    """Nodes with at least one edge whose other end is a node too.
+
+    Such an edge has both ends among nodes, so edges are dealt out once for each end, and what is left gives the
+    nodes. These are inner joins: Spark would push semi-joins into every part of a union and work the other
+    side out for each.
+    """
+    known = nodes.select("node_id").distinct()
+    of = lambda side: known.select(F.col("node_id").alias(f"{side}_id"))
+    met = edges.select("source_id", "target_id").join(of("target"), "target_id").join(of("source"), "source_id")
+    return nodes.join(met.select(F.explode(F.array("source_id", "target_id")).alias("node_id")).distinct(), "node_id")
 
 
 def endpoint_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -276,7 +283,7 @@ def trace_path(edges: DataFrame, start: str, end: str, depth: int = 8) -> tuple[
     parent, until both have met; far fewer nodes are reached than from one end alone.
     """
     spark = edges.sparkSession
-    dealt = _dealt(both_ways(edges.where(F.col("edge_type").isin(*TRACE_TYPES))).select("src", "dst").distinct())
+    dealt = _dealt(both_ways(edges.where(F.col("edge_type").isin(*TRACE_TYPES))).select("src", "dst"))
     first = lambda node: [cut(spark.createDataFrame([(node, None)], "node_id string, parent string"))]
     levels = {"start": first(start), "end": first(end)}
     seen, counts, width = {k: v[0] for k, v in levels.items()}, {"start": 1, "end": 1}, {"start": 1, "end": 1}
@@ -320,7 +327,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 6) -> DataFr
 
     Each level keeps a node's least parent; paths are put together at the end, level by level.
     """
-    dealt = _dealt(edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct())
+    dealt = _dealt(edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")))
     pairs = cut(pairs.select("pair", "start", "end"))
     levels = [cut(pairs.select("pair", F.col("start").alias("node_id"), F.lit(None).cast("string").alias("parent")))]
     seen, goals, n = levels[0].select("pair", "node_id"), pairs.select("pair", F.col("end").alias("node_id")), pairs.count()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import ids
+from weft.session import parts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,7 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     of = lambda df, key: df.join(place, F.col(key) == F.col("n_nationkey"))
     none = F.lit(None).cast("string")
     cols = lambda node, layer, kind, label, repo, path: [node.alias("node_id"), F.lit(layer).alias("layer"), kind.alias("kind"), label.alias("label"), repo.alias("repo_name"), path.alias("file_path")]
-    parts = [
+    made = [
         table(spark, d, "region").select(*cols(ids.project_id("r_name"), "project", F.lit("project"), F.col("r_name"), F.col("r_name"), none)),
         place.select(*cols(F.col("file_path"), "file", F.lit("file"), F.col("file_path"), F.col("repo_name"), F.col("file_path"))),
         of(table(spark, d, "customer"), "c_nationkey").select(*cols(_id("customer", "c_custkey"), "code", F.col("c_mktsegment"), F.col("c_name"), F.col("repo_name"), F.col("file_path"))),
@@ -35,8 +36,8 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "part").select(*cols(_id("part", "p_partkey"), "code", F.col("p_type"), F.col("p_name"), none, none)),
         table(spark, d, "orders").select(*cols(_id("order", "o_orderkey"), "code", F.col("o_orderpriority"), F.col("o_orderstatus"), none, none)),
     ]
-    out = parts[0]
-    for p in parts[1:]:
+    out = made[0]
+    for p in made[1:]:
         out = out.unionByName(p)
     return out
 
@@ -44,18 +45,20 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 def edges(spark: SparkSession, d: str) -> DataFrame:
     place = places(spark, d)
     line = table(spark, d, "lineitem")
+    n = parts(line.count(), spark)  # what the footers say
+    ends = lambda key: line.select("l_orderkey", key).repartition(n, "l_orderkey").distinct()
     cols = lambda s, t, kind: [s.alias("source_id"), t.alias("target_id"), F.lit(kind).alias("edge_type")]
-    parts = [
+    made = [
         place.select(*cols(ids.project_id("repo_name"), F.col("file_path"), "CONTAINS")),
         table(spark, d, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select(*cols(F.col("file_path"), _id("customer", "c_custkey"), "CONTAINS")),
         table(spark, d, "supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")).select(*cols(F.col("file_path"), _id("supplier", "s_suppkey"), "CONTAINS")),
         table(spark, d, "orders").select(*cols(_id("customer", "o_custkey"), _id("order", "o_orderkey"), "CALLS")),
-        line.select("l_orderkey", "l_partkey").distinct().select(*cols(_id("order", "l_orderkey"), _id("part", "l_partkey"), "REFERENCES")),
-        line.select("l_orderkey", "l_suppkey").distinct().select(*cols(_id("order", "l_orderkey"), _id("supplier", "l_suppkey"), "DEPENDS_ON")),
+        ends("l_partkey").select(*cols(_id("order", "l_orderkey"), _id("part", "l_partkey"), "REFERENCES")),
+        ends("l_suppkey").select(*cols(_id("order", "l_orderkey"), _id("supplier", "l_suppkey"), "DEPENDS_ON")),
         table(spark, d, "part").select(*cols(_id("part", "p_partkey"), ids.module_spec("p_brand"), "IMPORTS_MODULE")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
+    out = made[0]
+    for p in made[1:]:
         out = out.unionByName(p)
     return out
 

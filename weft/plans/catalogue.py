@@ -1070,8 +1070,8 @@ def trace_path(spark, d):
     edges = A.edges(spark, d)
     path, _ = graph.trace_path(edges, "customer:7", "customer:1")
     pairs = path.withColumn("next", F.lead("node_id").over(Window.orderBy("ord"))).where("next IS NOT NULL")
-    steps = graph.both_ways(edges.where(F.col("edge_type").isin(*graph.TRACE_TYPES))).select(F.col("src").alias("node_id"), F.col("dst").alias("next")).distinct()
-    linked = pairs.join(steps, ["node_id", "next"], "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    steps = graph.both_ways(edges.where(F.col("edge_type").isin(*graph.TRACE_TYPES))).select(F.col("src").alias("node_id"), F.col("dst").alias("next"))
+    linked = steps.join(F.broadcast(pairs), ["node_id", "next"]).select("node_id", "next").distinct().agg(F.count(F.lit(1)).alias("n"))  # a path is short
     return path.agg(F.count(F.lit(1)).alias("nodes")).join(F.broadcast(linked)).select(F.lit("customer:1").alias("target"), "nodes", (F.col("n") + 1 == F.col("nodes")).alias("linked"))
 
 

@@ -39,3 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+#: Rows of a wide shuffle that one task takes.
+ROWS = 1_000_000
+
+
+def parts(rows: int, spark: SparkSession) -> int:
+    """How many partitions so many rows need, so that a task's share doesn't grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
