@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import ids
+from weft.session import cut
 from weft.sources import lexer
 
 #: Languages by suffix, directories that are never read, and suffixes tried for a local import, in
@@ -85,14 +86,20 @@ def scanned(files: DataFrame) -> DataFrame:
     return files.select("repo_name", "path", "language", "content").mapInArrow(_scan, _SCANNED)
 
 
+def _kind_and_node():
+    """The refined kind and the id of what scanned finds; imports keep their kind."""
+    plain = F.col("kind").isin("route_handler", "db_model", "import")
+    kind = F.when(plain, F.col("kind")).otherwise(refined_kind(F.col("name"), F.col("kind"), F.col("path"), F.col("content"), F.col("value")))
+    return kind, ids.symbol_id(ids.file_uri("repo_name", "path"), "name", "kind", "start_line")
+
+
 def code_symbols(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The symbols of files as nodes: node_id, label, kind (refined by name, path and text), repo_name, path,
     language, start_line, start_col, end_line, end_col, parent, content. found: scanned(files), if it is
     at hand."""
     own = (scanned(files) if found is None else found).where("kind <> 'import'")
-    kind = F.when(F.col("kind").isin("route_handler", "db_model"), F.col("kind")).otherwise(refined_kind(F.col("name"), F.col("kind"), F.col("path"), F.col("content"), F.col("value")))
+    kind, node = _kind_and_node()
     own = own.withColumn("kind", kind)
-    node = ids.symbol_id(ids.file_uri("repo_name", "path"), "name", "kind", "start_line")
     return own.select(node.alias("node_id"), F.col("name").alias("label"), "kind", "repo_name", "path", "language", "start_line", "start_col", "end_line", "end_col", "parent", "content")
 
 
@@ -100,17 +107,25 @@ def ingest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of source files: a surface for each file, its symbols (or a boundary where a file of
     configuration has none), CONTAINS from projects to files and from files to nodes, and imports.
 
-    Texts are scanned once for each of the two that is used; persist files or the results to scan once.
+    Texts are scanned once at once, for what edges need of symbols and imports, which is kept without texts, and
+    once more when nodes are used.
     """
     found = scanned(files)
+    kind, node = _kind_and_node()
+    held = cut(found.withColumn("kind", kind).select("repo_name", "path", "language", "name", "kind", node.alias("node_id")))
+    own = held.where("kind <> 'import'")
     code = code_symbols(files, found)
-    without = files.join(code.select("repo_name", "path").distinct(), ["repo_name", "path"], "left_anti")
+    without = files.join(own.select("repo_name", "path").distinct(), ["repo_name", "path"], "left_anti")
     lines = F.length("content") - F.length(F.replace("content", F.lit("\n"))) + 1
-    whole = config_boundaries(without).join(files.select("repo_name", "path", "language", "content"), ["repo_name", "path"])
-    whole = whole.select(ids.symbol_id(ids.file_uri("repo_name", "path"), "name", F.lit("config_object"), F.lit(1)).alias("node_id"), F.col("name").alias("label"), F.lit("config_object").alias("kind"), "repo_name", "path", "language", F.lit(1).alias("start_line"), F.lit(1).alias("start_col"), lines.cast("int").alias("end_line"), F.lit(1).alias("end_col"), F.lit(None).cast("string").alias("parent"), "content")
+    boundary = ids.symbol_id(ids.file_uri("repo_name", "path"), "name", F.lit("config_object"), F.lit(1)).alias("node_id")
+    bounds = config_boundaries(without)
+    whole = bounds.join(files.select("repo_name", "path", "language", "content"), ["repo_name", "path"])
+    whole = whole.select(boundary, F.col("name").alias("label"), F.lit("config_object").alias("kind"), "repo_name", "path", "language", F.lit(1).alias("start_line"), F.lit(1).alias("start_col"), lines.cast("int").alias("end_line"), F.lit(1).alias("end_col"), F.lit(None).cast("string").alias("parent"), "content")
     surfaces = file_surfaces(files).withColumns({"start_col": F.lit(0), "end_col": F.lit(0), "parent": F.lit(None).cast("string")}).select(*code.columns)
     nodes = surfaces.unionByName(code).unionByName(whole)
-    return nodes, contains_edges(files, nodes).unionByName(import_edges(files, found))
+    place = ["repo_name", "path", "node_id"]
+    inside = surfaces.select(*place).unionByName(own.select(*place)).unionByName(whole.select(*place))
+    return nodes, contains_edges(files, inside).unionByName(import_edges(files, held))
 
 
 def symbols(files: DataFrame) -> DataFrame:
