@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import ids
 from weft.operators import graph
+from weft.session import cut
 
 NODE, EDGE = ("node_id", "layer", "kind", "label", "file_path", "repo_name", "provenance"), ("source_id", "target_id", "edge_type", "repo_name", "provenance", "target_repo")
 #: Kinds of other files whose layer is their kind (fixed values).
@@ -102,19 +103,21 @@ def canonical(producers: list[tuple[DataFrame, DataFrame]], where_known: tuple[s
     nodes = reduce(DataFrame.unionByName, ordered)
     rest = [c for c in NODE if c != "node_id"]
     nodes = nodes.groupBy("node_id").agg(F.max_by(F.struct(*rest), F.struct("write_ord", *rest)).alias("r")).select("node_id", "r.*")
-    edges = reduce(DataFrame.unionByName, (e for _, e in producers)).distinct()
+    edges = reduce(DataFrame.unionByName, (e for _, e in producers))
     weak = F.col("edge_type").isin(*where_known)
-    known = edges.where(weak).join(nodes.select(F.col("node_id").alias("target_id")), "target_id", "left_semi")
-    return nodes, edges.where(~weak).unionByName(known)
+    # nodes are unique: an inner join, as a semi-join would be pushed into every producer and work nodes out for each
+    known = edges.where(weak).join(nodes.select(F.col("node_id").alias("target_id")), "target_id")
+    return nodes, edges.where(~weak).unionByName(known).distinct()
 
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: node and edge counts, layers, dangling ends, and external targets among them."""
-    n = nodes.agg(F.count(F.lit(1)).alias("node_count"), F.array_join(F.sort_array(F.collect_set("layer")), ",").alias("layers"))
-    e = edges.agg(F.count(F.lit(1)).alias("edge_count"))
-    known = nodes.select("node_id")
-    lost = [edges.join(known, edges[f"{s}_id"] == known["node_id"], "left_anti") for s in ("source", "target")]
+    """One row: node and edge counts, layers, dangling ends, and external targets among them. Nodes and edges are
+    worked out once, edges dealt out once for each end."""
+    own = cut(nodes.select("node_id", "layer"))
+    n = own.agg(F.count(F.lit(1)).alias("node_count"), F.array_join(F.sort_array(F.collect_set("layer")), ",").alias("layers"))
+    of = lambda side: own.where("node_id IS NOT NULL").select(F.col("node_id").alias(f"{side}_id"), F.lit(True).alias(f"{side}_known")).distinct()
+    met = edges.select("source_id", "target_id", "edge_type").join(of("target"), "target_id", "left").join(of("source"), "source_id", "left")
+    lost = lambda side: F.col(f"{side}_known").isNull()
     outside = graph.is_external("target", F.col("edge_type"), F.col("target_id"))
-    d = lost[0].select(F.lit(1).alias("d"), F.lit(0).alias("x")).unionByName(lost[1].select(F.lit(1).alias("d"), F.when(outside, 1).otherwise(0).alias("x")))
-    d = d.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("dangling_edge_count"), F.coalesce(F.sum("x"), F.lit(0)).alias("external_edge_count"))
-    return n.join(F.broadcast(e)).join(F.broadcast(d))  # one row each
+    e = met.agg(F.count(F.lit(1)).alias("edge_count"), (F.count_if(lost("source")) + F.count_if(lost("target"))).alias("dangling_edge_count"), F.count_if(lost("target") & outside).alias("external_edge_count"))
+    return n.join(F.broadcast(e))  # one row each

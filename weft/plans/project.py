@@ -330,7 +330,7 @@ def scip_symbols(spark, d):
 
 def _canonical(spark, d):
     nodes, edges = A.nodes(spark, d), A.edges(spark, d)
-    texts, assigned, found = A.text_nodes(spark, d), A.text_assignments(spark, d), _entities(spark, d)
+    texts, assigned, found = A.text_nodes(spark, d), A.text_assignments(spark, d), cut(_entities(spark, d))  # a few rows, used three times
     files = _files(spark, d)
     tests = correlate.test_files(files).select(F.concat(F.lit("test:"), "path").alias("node_id"), F.lit("test").alias("kind"), "path")
     code = texts.select("node_id", F.lit("code").alias("layer"), "kind", "label", "file_path", F.lit("docs").alias("repo_name"), F.lit("scip").alias("symbol_source"))
