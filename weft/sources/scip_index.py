@@ -222,6 +222,23 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Share(InputPartition):
+    """Ranges that one task reads, one after another."""
+
+    ranges: list[Range]
+
+
+#: Tasks that a scan has at most, and documents that a writer holds as Python objects at once.
+TASKS, HELD = 512, 16
+
+
+def shares(found: list[Range]) -> list[Share]:
+    """Ranges in order, as many to each task as keeps tasks at TASKS or fewer."""
+    n = max(1, -(-len(found) // TASKS))
+    return [Share(found[i : i + n]) for i in range(0, len(found), n)]
+
+
 def ranges(path: str, size: int, split: int) -> Iterator[Range]:
     """Byte ranges of whole top-level fields; only the heads of fields are read."""
     if size <= split:
@@ -247,18 +264,20 @@ class _Reader(DataSourceReader):
     def __init__(self, table: str, schema: StructType, path: str, split: int, batch: int = 4096) -> None:
         self.table, self.schema, self.path, self.split, self.batch = table, schema, path, split, batch
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Share]:
         files, place = _opened(self.path)
         info = files.get_file_info(place)
         if info.type == afs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         found = [info] if info.is_file else [x for x in files.get_file_info(afs.FileSelector(place, recursive=True)) if x.is_file and not x.base_name.startswith((".", "_"))]
         prefix = self.path[: len(self.path) - len(place)] if self.path.endswith(place) else ""
-        return [r for x in sorted(found, key=lambda x: x.path) for r in ranges(prefix + x.path, x.size, self.split)]
+        return shares([r for x in sorted(found, key=lambda x: x.path) for r in ranges(prefix + x.path, x.size, self.split)])
+
+    def read(self, partition: Share | None) -> Iterator[pa.RecordBatch]:
+        for one in partition.ranges if partition is not None else ():  # None: there are no partitions
+            yield from self._range(one)
 
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # there are no partitions
-            return
+    def _range(self, partition: Range) -> Iterator[pa.RecordBatch]:
         files, place = _opened(partition.path)
         schema = to_arrow_schema(self.schema)
         with files.open_input_file(place) as f:
@@ -346,8 +365,9 @@ class _Writer(DataSourceArrowWriter):
                 tool = _put(1, self.options.get("tool", "weft")) + _put(2, self.options.get("toolversion", ""))
                 f.write(_bytes(1, _bytes(2, tool) + _put(3, self.options.get("projectroot", "")) + _put(4, 1)))
             for batch in iterator:
-                for row in batch.to_pylist():
-                    f.write(encoded(row))
+                for i in range(0, batch.num_rows, HELD):  # a batch may hold all occurrences of thousands of documents
+                    for row in batch.slice(i, HELD).to_pylist():
+                        f.write(encoded(row))
         return _Wrote(name)
 
     def commit(self, messages: list[_Wrote | None]) -> None:
