@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import _components, embedding_dedup, jaccard_join, line_dedup, sharding
+from weft.llm import _components, _groups, _shared, embedding_dedup, jaccard_join, line_dedup, sharding
 from weft.llm._words import slabs
 
 
@@ -108,6 +110,40 @@ def test_edit_similarity_equals_plain_distance():
         pairs.append((np.tile(a, 9), np.tile(b, 9)))
         want.append(distance(pairs[-1][0].tolist(), pairs[-1][1].tolist()) <= max(len(a), len(b)) * 9 * 20 // 100)
     assert [line_dedup.edit_alike(a, b) for a, b in pairs] == want
+    assert line_dedup.edits_alike(*zip(*pairs, strict=True)).tolist() == want
+
+
+def test_tiles_compare_pairs_of_many_rows_at_once():
+    rnd, calls = np.random.default_rng(4), []
+    values = [rnd.integers(0, 1 << 32, 12, np.uint32) for _ in range(60)]
+    for v in values[:60]:
+        for _ in range(5):
+            values.append(v.copy())
+            values[-1][rnd.choice(12, 2, replace=False)] = rnd.integers(0, 1 << 32, 2, np.uint32)
+
+    def many(one, two):
+        calls.append(len(one))
+        return line_dedup.edits_alike(one, two)
+
+    alike = _groups.Alike(many, may=lambda v: line_dedup.parities_may(v, 80), kind=np.uint32)
+    n = len(values)
+    found = _groups._linked(alike, values, np.arange(n), ~np.eye(n, dtype=bool))
+    want = [(a, b) for a in range(n) for b in range(a) if line_dedup.edit_alike(values[a], values[b])]
+    assert roots(range(n), found.tolist()) == roots(range(n), want)
+    assert len(calls) < n / 10
+
+
+def test_what_was_shuffled_for_a_checkpoint_is_deleted_at_once(spark):
+    folders = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    before = shuffled()
+    dealt = spark.range(10_000).repartition(4, "id")
+    done = _shared.cut(dealt)
+    for _ in range(20):  # deletion isn't waited for
+        if shuffled() - before:
+            time.sleep(0.1)
+    assert not shuffled() - before
+    assert done.count() == dealt.count() == 10_000
 
 
 def test_lines_belong_to_their_texts():
