@@ -8,6 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from weft.plans import catalogue
 from weft.plans.catalogue import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -37,3 +38,9 @@ def test_entry_and_names(spark):
 
     assert entry.entry(spark).count() > 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_commits_are_numbered_by_days_and_not_by_events(spark):
+    plan = catalogue._history(spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    windows = [i for i, line in enumerate(plan) if "Window [" in line]
+    assert windows and all("Aggregate [" in plan[i + 1] for i in windows)

@@ -761,8 +761,11 @@ def _history(spark, d):
     """Days as commits, events as changes of their user's file; a third of them deletions."""
     turn = F.col("event_id") % 3
     status = F.when(turn == 0, "D").when(turn == 1, "A").otherwise("M")
-    ord_ = (F.dense_rank().over(Window.partitionBy("repo").orderBy(F.desc("day"))) - 1).cast("int")
-    return A.changes(spark, d).select("repo", ord_.alias("ord"), status.alias("status"), "path")
+    log = A.changes(spark, d).select("repo", "day", status.alias("status"), "path")
+    ord_ = (F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("day"))) - 1).cast("int")
+    # events are many, days few: days alone are numbered, and no task gathers a repository's events
+    days = log.select("repo", "day").distinct().select(F.col("repo").alias("r"), F.col("day").alias("at"), ord_.alias("ord"))
+    return log.join(F.broadcast(days), F.col("repo").eqNullSafe(F.col("r")) & F.col("day").eqNullSafe(F.col("at"))).select("repo", "ord", "status", "path")
 
 
 @query(f"WITH {_HISTORY} SELECT * FROM alive")
