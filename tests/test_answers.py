@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +74,14 @@ def test_patterns_are_found_in_one_pass(spark, monkeypatch, most):
     assert len(got) == len(set(got)) and {(r.id, r.pattern) for r in got} == {(i, p) for i, t in texts if t for p in {*some, "a"} if p in t}
 
 
+def test_patterns_turn_few_texts_of_a_batch_into_strings_at_once(spark):
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1000)), "__text": ["ab" if i % 2 else "b" for i in range(1000)]})
+    shared = SimpleNamespace(value=patterns.Automaton(["a", "b"]))
+    got = [b.to_pylist() for b in patterns._scan(shared, ["id"])(iter([batch]))]
+    assert max(len({r["id"] for r in rows}) for rows in got) <= patterns.ROWS
+    assert sorted((r["id"], r["pattern"]) for rows in got for r in rows) == sorted([(i, "b") for i in range(1000)] + [(i, "a") for i in range(1, 1000, 2)])
+
+
 @pytest.mark.parametrize("few", [200_000, 0])
 def test_contained_texts_both_ways(spark, monkeypatch, few):
     monkeypatch.setattr(retrieval, "FEW", few)

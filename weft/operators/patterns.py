@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Patterns of a block, and characters of them (an automaton has a node of about 50 bytes a character).
 MOST, MOST_CHARS = 200_000, 4 << 20
+#: Texts of a batch that are Python strings at once, with what is found in them.
+ROWS = 256
 
 
 class Automaton:
@@ -44,14 +46,16 @@ class Automaton:
 def _scan(shared, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton: Automaton = shared.value
-        for batch in batches:
-            rows, hits = [], []
-            for row, text in enumerate(batch.column("__text").to_pylist()):
-                found = automaton.found(text) if text else ()
-                rows += [row] * len(found)
-                hits += [automaton.patterns[i] for i in found]
-            at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), pa.array(hits, pa.string())], names=[*keys, "pattern"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                rows, hits = [], []
+                for row, text in enumerate(batch.column("__text").to_pylist()):
+                    found = automaton.found(text) if text else ()
+                    rows += [row] * len(found)
+                    hits += [automaton.patterns[i] for i in found]
+                at = pa.array(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), pa.array(hits, pa.string())], names=[*keys, "pattern"])
 
     return run
 
