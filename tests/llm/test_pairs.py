@@ -307,6 +307,45 @@ def test_parities_never_part_alike_lines():
             assert line_dedup.parities_may([a, b], 80)(0).all()
 
 
+def test_parities_of_many_pairs_equal_those_of_one():
+    rng = np.random.default_rng(7)
+    one = [rng.integers(0, 1 << 32, int(n), np.uint32) for n in rng.choice([5, 16, 17, 33, 70, 300], 400)]
+    two = [v[: len(v) - int(rng.integers(0, 1 + len(v) // 4))] for v in one]
+    n, m = (np.array([len(v) for v in x]) for x in (one, two))
+    a, b = ([line_dedup.parity(v) for v in x] for x in (one, two))
+    want = [line_dedup.parities_alike(*x, 80) for x in zip(a, b, n.tolist(), m.tolist(), strict=True)]
+    found = line_dedup.parities_alike_all(pa.array(a, pa.binary())[3:], pa.array(b, pa.binary())[3:], n[3:], m[3:], 80)
+    assert 0 < sum(want) < len(want) and found.tolist() == want[3:]
+
+
+def test_long_lines_with_few_common_words_are_not_compared_word_by_word(monkeypatch):
+    rng, calls = np.random.default_rng(8), []
+    plain = line_dedup.edit_alike
+    monkeypatch.setattr(line_dedup, "edit_alike", lambda *x: calls.append(x) or plain(*x))
+    base = rng.integers(0, 1 << 32, 300, np.uint32)
+    lines = [base]
+    for changed in (20, 59, 60, 61, 150, 300):
+        lines.append(base.copy())
+        lines[-1][rng.choice(300, changed, replace=False)] = rng.integers(0, 1 << 32, changed, np.uint32)
+    pairs = [(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :]] + [(base, base[::-1].copy())]
+    assert line_dedup.edits_alike(*zip(*pairs, strict=True)).tolist() == [plain(a, b) for a, b in pairs]
+    assert all(len(np.intersect1d(a, b)) >= 240 for a, b, _ in calls) and 4 <= len(calls) < len(pairs)
+
+
+def test_keys_meet_a_part_at_a_time(monkeypatch):
+    rng, sizes = np.random.default_rng(9), []
+    rows = np.zeros(6000, line_dedup._KEY)
+    for name, high in (("key", 900), ("n", 12), ("at", 6), ("name", 3000)):
+        rows[name] = rng.integers(0, high, len(rows))
+    wire, part = line_dedup.packed(rows), rows["key"] % 4
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(4, dtype=np.int32)), pa.array([wire[low : low + 3000][part[low : low + 3000] == k].tobytes() for k in range(4)], pa.binary())], names=["part", "rows"]) for low in (0, 3000)]
+    want, plain = line_dedup.candidates(line_dedup.unpacked(wire), 80, 4), line_dedup.unpacked
+    monkeypatch.setattr(line_dedup, "unpacked", lambda x: sizes.append(len(x)) or plain(x))
+    found = list(line_dedup._met(80, 4)(iter(batches)))
+    assert [np.stack([b.column(0), b.column(1)], 1).tolist() for b in found] == [x.tolist() for x in want]
+    assert sum(sizes) == 6000 and max(sizes) < 2000
+
+
 def test_vector_recall_holds_as_vectors_get_many(spark):
     rng = np.random.default_rng(6)
     a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in rng.standard_normal((2, 2500, 64)))
