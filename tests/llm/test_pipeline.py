@@ -150,3 +150,15 @@ def test_every_stage_takes_empty_tables_nulls_and_more_columns(spark, folder, in
     if index < 4:
         assert got.columns == pipeline.COLUMNS
     assert got.count() <= 3 * len(rows) and got.where("doc_id = 4").count() >= 1
+
+
+def test_stages_give_python_small_batches_unless_the_session_says_otherwise(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for said, want in (("10000", str(pipeline.BATCH_ROWS)), ("77", "77")):
+            spark.conf.set(name, said)
+            pipeline._small_batches(spark)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
