@@ -92,6 +92,20 @@ def test_exact_groups_equal_plain_ones(spark, parts):
     assert len(kept) == len(set(kept)) == len(texts)
 
 
+def test_exact_groups_go_on_from_batch_to_batch(spark):
+    rows = [(i, f"t{i % 50}" if i % 3 else "") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_report(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ids = {}
+    for i, t in rows:
+        ids.setdefault(t, []).append(i)
+    assert got == {i: (max(ids[t]), len(ids[t])) for i, t in rows}
+
+
 def test_exact_dedup_of_no_rows(spark):
     assert exact_dedup.exact_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -48,7 +48,8 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] |= np.asarray(pc.not_equal(column[1:], column[:-1]))
         first = np.flatnonzero(new)
         total = np.add.reduceat(table["n"].to_numpy(), first)
-        out = table.take(first).set_column(names.index("n"), "n", pa.array(total))
+        # the field as it came: the last entry meets the next batch, whose schema says which columns are never null
+        out = table.take(first).set_column(names.index("n"), table.schema.field("n"), pa.array(total))
         if out.num_rows > 1:
             yield from out.slice(0, out.num_rows - 1).to_batches()
         held = out.slice(out.num_rows - 1).combine_chunks().to_batches()[0]
