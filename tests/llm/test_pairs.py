@@ -406,3 +406,32 @@ def test_very_long_texts_and_clashing_columns(spark):
     left = line_dedup.drop_repeated_lines(docs)
     assert left.columns == ["doc_id", "text", "component_id", "n_dropped"] and {r.doc_id: r.n_dropped for r in left.collect()} == {1: 0, 2: 1, 3: 0}
     assert sharding.shard_report(docs).count() == 3
+
+
+def _keyed(lines: list[list[str]]) -> list[set[int]]:
+    """The keys of each line, by the counts of all."""
+    text = "\n".join(" ".join(x) for x in lines).encode()
+    found = line_dedup.Lines(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    pairs = line_dedup.word_pairs(found.hashed, found.counts)[0]
+    words = np.bincount(line_dedup._bucket(found.hashed), minlength=line_dedup.BUCKETS)
+    rare = line_dedup.rarity(words, np.bincount(line_dedup._pair_bucket(pairs), minlength=line_dedup.PAIRS * line_dedup.BUCKETS))
+    line, key, _ = line_dedup.line_keys(found.hashed, found.counts, rare, 80)
+    return [set(key[line == i].tolist()) for i in range(len(lines))]
+
+
+def test_what_many_lines_quote_is_no_key_of_them():
+    """Else all lines that quote it are one group, which is compared in tiles that move each line once a tile."""
+    rnd = random.Random(14)
+    quoted = [f"rare{i}" for i in range(12)]
+    lines = [[*(f"w{rnd.randrange(300)}" for _ in range(14)), *quoted, *(f"w{rnd.randrange(300)}" for _ in range(14))] for _ in range(200)]
+    keys = _keyed(lines)
+    shared = [len(a & b) for i, a in enumerate(keys) for b in keys[:i]]
+    assert sum(n > 0 for n in shared) < 0.05 * len(shared)
+    assert all(len(k) == line_dedup.broken(np.array([40]), 80)[0] + 1 for k in keys)
+
+
+def test_words_of_candidates_are_gone_before_texts_are_rewritten(spark):
+    line = "this is a longer line whose words are all found again but for one"
+    docs = spark.createDataFrame([(6, line), (7, line + " word"), (7, line + " words")], "doc_id long, text string")
+    folder = Path(line_dedup.cut(docs)._jdf.sparkSession().sparkContext().getCheckpointDir().get().removeprefix("file:"))
+    assert line_dedup.repeated_lines(docs).count() == 1 and not list(folder.glob("lines-*"))
