@@ -301,3 +301,43 @@ def test_spans_of_one_line_make_no_pairs(spark):
     assert {(r.symbol, r.node_id) for r in symbols.nearest(points, nodes).collect()} == {(f"s{i}", near(i % 60)) for i in range(2000)}
     held = symbols.holding(points, nodes, ["path"])
     assert held.count() == len({i % 60 for i in range(2000) if any(s <= i % 60 <= e for s, e, _, _ in spans)})  # a row a place
+
+
+def test_draws_equal_md5():
+    import hashlib
+
+    import numpy as np
+
+    from weft.operators import draws
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("ab:é") for _ in range(n)).encode() for n in range(140)]
+    row, run = ([rnd.choice(x) for _ in range(3000)] for x in (range(len(texts)), [0, 9, 10, 63, 100, 1999]))
+    got = draws.draws(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), np.array(row), np.array(run), 42)
+    assert got.tolist() == [int(hashlib.md5(f"42:{r}:".encode() + texts[t]).hexdigest()[:8], 16) for t, r in zip(row, run, strict=True)]
+
+
+def test_late_levels_ask_for_few_steps(spark, monkeypatch):
+    """Once nearly all nodes are reached by all runs, only steps into the others are taken: here none, though all
+    steps leave nodes that were reached last."""
+    from weft.operators import draws
+
+    some = [(f"a{i}", f"b{j}", 1.0) for i in range(30) for j in range(30)]
+    edges = spark.createDataFrame([*some, *((f"b{j}", "c", 0.5) for j in range(3))], "source_id string, target_id string, weight double")
+    seeds = spark.createDataFrame([("a0",)], "node_id string")
+    asked, plain = spark.sparkContext.accumulator(0), draws.passing
+
+    def passing(seed):
+        inner = plain(seed)
+
+        def counted(batches):
+            held = list(batches)
+            asked.add(sum(b.num_rows for b in held))
+            yield from inner(iter(held))
+
+        return counted
+
+    monkeypatch.setattr(draws, "passing", passing)
+    got = graph.monte_carlo_bits(edges, seeds, 64, 6)
+    assert got.where("runs = -1").count() == 60 and got.count() == 61
+    assert 900 <= asked.value <= 30 + 29 * 30 + 3 + 3  # each step to a node that lacks a run, and none back

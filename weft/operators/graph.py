@@ -13,6 +13,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators import draws
+from weft.operators.draws import BITS, DRAWN  # noqa: F401
 from weft.session import cut
 
 #: Edge types that a symbol trace follows, and weights of influence along edges (fixed values).
@@ -210,6 +212,8 @@ def containment_join(points: DataFrame, spans: DataFrame, on: str) -> DataFrame:
 
 #: Nodes that a level's broadcast may hold (about 10 MB).
 FEW = 100_000
+#: Of how many nodes one has its steps counted.
+SOME = 64
 
 
 def _dealt(steps: DataFrame) -> DataFrame:
@@ -378,10 +382,6 @@ def causal_overlay(nodes: DataFrame, edges: DataFrame, hot_files: DataFrame, blo
     return e.select("source_id", "target_id", "edge_type", base.alias("base_weight"), F.least(F.greatest(base * factor, F.lit(0.04)), F.lit(0.98)).alias("adjusted_weight"))
 
 
-#: Runs that the bits of a long hold, and steps into a node that one group draws for.
-BITS, DRAWN = 64, 4096
-
-
 def monte_carlo_reach(weighted: DataFrame, seeds: DataFrame, runs: int = 64, depth: int = 8, seed: int = 42) -> DataFrame:
     """(run, node_id): what a change at seeds (node_id) reaches in each run, from monte_carlo_bits."""
     bits = monte_carlo_bits(weighted, seeds, runs, depth, seed)
@@ -390,16 +390,17 @@ def monte_carlo_reach(weighted: DataFrame, seeds: DataFrame, runs: int = 64, dep
 
 def _runs_of(bits: Column, bunch: Column) -> Column:
     each = F.sequence(F.lit(0), F.lit(BITS - 1))
-    return F.transform(F.filter(each, lambda r: _bit(bits, r)), lambda r: bunch * BITS + r)
+    return F.transform(F.filter(each, lambda r: _bit(bits, r) == 1), lambda r: bunch * BITS + r)
 
 
 def run_sizes(bits: DataFrame) -> DataFrame:
-    """(run, n): how many nodes each run of monte_carlo_bits reaches."""
-    return bits.select(F.explode(_runs_of(F.col("runs"), F.col("bunch"))).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    """(run, n): how many nodes each run of monte_carlo_bits reaches, from a sum for each bit."""
+    sums = bits.groupBy("bunch").agg(F.array(*(F.sum(_bit(F.col("runs"), F.lit(i))) for i in range(BITS))).alias("sums"))
+    return sums.select("bunch", F.posexplode("sums").alias("i", "n")).where("n > 0").select((F.col("bunch") * BITS + F.col("i")).alias("run"), "n")
 
 
 def _bit(bits: Column, i: Column) -> Column:
-    return F.call_function("shiftright", bits, i).bitwiseAND(F.lit(1)) == 1
+    return F.call_function("shiftright", bits, i).bitwiseAND(F.lit(1).cast("long"))
 
 
 def monte_carlo_bits(weighted: DataFrame, seeds: DataFrame, runs: int = 64, depth: int = 8, seed: int = 42) -> DataFrame:
@@ -411,46 +412,56 @@ def monte_carlo_bits(weighted: DataFrame, seeds: DataFrame, runs: int = 64, dept
     equal in these (by weight), so runs repeat exactly, parallel edges are tried one by one, and every
     level is one join. An edge is tried once a run from each of its ends.
 
-    All runs of a bunch move as one row, and the steps into a node are drawn one after another, each only for
-    the runs that haven't reached it, so draws grow with nodes and runs rather than edges and runs. As
-    steps go both ways, as many leave a node as enter it: those with many get several groups.
+    All runs of a bunch move as one row, and the steps into a node are drawn one after another (many nodes at once), each
+    only for the runs that haven't reached it, so draws grow with nodes and runs rather than edges and runs. A level takes
+    the steps out of the nodes that were reached last or, where these are fewer, those into the nodes that some run
+    hasn't reached: as steps go both ways, these are known from the steps out of them.
     """
     kind = F.col("edge_type") if "edge_type" in weighted.columns else F.lit("")
     typed = weighted.select("source_id", "target_id", kind.alias("edge_type"), "weight")
     nth = F.row_number().over(Window.partitionBy("source_id", "target_id", "edge_type").orderBy("weight"))
-    which = lambda way: F.concat_ws(":", "edge_type", F.lit(way), nth.cast("string"))
-    numbered = typed.withColumns({"ahead": which("a"), "back": which("b")})
-    ends = F.array(F.struct(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.col("ahead").alias("edge")), F.struct(F.col("target_id").alias("src"), F.col("source_id").alias("dst"), F.col("back").alias("edge")))
-    dealt = _dealt(numbered.select("weight", F.explode(ends).alias("e")).select("e.src", "e.dst", "e.edge", "weight"))
-    hubs = cut(dealt.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > DRAWN).select(F.col("src").alias("dst"), F.ceil(F.col("n") / DRAWN).alias("parts")))
-    # a draw passes if its first eight hexadecimal digits are at most those of the weight
-    digits = F.lower(F.lpad(F.hex(F.floor(F.col("weight") * float(1 << 32)).cast("long")), 8, "0"))
-    bar = F.when(F.col("weight") >= 1, "g").when(F.col("weight") >= 0, F.concat(digits, F.lit("g")))
-    full = lambda b: -1 if runs - b * BITS >= BITS else (1 << (runs - b * BITS)) - 1
-    bunches = F.array(*(F.struct(F.lit(b).alias("bunch"), F.lit(full(b)).cast("long").alias("new")) for b in range(-(-runs // BITS))))
+    # a draw, of 32 bits, passes if it is at most the bar
+    bar = F.when(F.col("weight") >= 1, float(1 << 32)).when(F.col("weight") >= 0, F.floor(F.col("weight") * float(1 << 32))).otherwise(-1).cast("long")
+    numbered = typed.select("source_id", "target_id", "edge_type", nth.alias("nth"), bar.alias("bar"))
+    end = lambda src, dst, way: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(way).alias("way"))
+    both = numbered.select("edge_type", "nth", "bar", F.explode(F.array(end("source_id", "target_id", "a"), end("target_id", "source_id", "b"))).alias("e"))
+    # sorted once: a level with many nodes would sort all steps for its join
+    dealt = both.select("e.src", "e.dst", "e.way", "edge_type", "nth", "bar").repartition("src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
+    # steps are counted of one node in SOME, or fewer, for a choice that changes no result
+    degree = cut(dealt.where(F.pmod(F.xxhash64("src"), F.lit(SOME)) == 0).groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("n")))
+    every = SOME * max(1, -(-degree.count() // (2 * FEW)))
+    degree = degree.where(F.pmod(F.xxhash64("node_id"), F.lit(every)) == 0)
+    n_steps = degree.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    last = -(-runs // BITS) - 1
+    full = lambda b: -1 if b < last or runs % BITS == 0 else (1 << runs % BITS) - 1
+    bunches = F.array(*(F.struct(F.lit(b).alias("bunch"), F.lit(full(b)).cast("long").alias("new")) for b in range(last + 1)))
     state = cut(seeds.select("node_id").distinct().select("node_id", F.inline(bunches)).withColumn("runs", F.col("new")))
-    each = F.sequence(F.lit(0), F.lit(BITS - 1))
-
-    def passed(e: Column, left: Column) -> Column:
-        drawn = lambda i: F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("bunch") * BITS + i).cast("string"), e["src"], "dst", e["edge"]))
-        return F.aggregate(each, F.lit(0).cast("long"), lambda a, i: F.when(_bit(left, i) & (drawn(i) < e["bar"]), a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(a))
-
-    def step(got: Column, e: Column) -> Column:
-        left = e["new"].bitwiseAND(F.bitwise_not(got))
-        return F.when(left == 0, got).otherwise(got.bitwiseOR(passed(e, left)))
+    done = F.col("runs") == F.when(F.col("bunch") == last, F.lit(full(last)).cast("long")).otherwise(F.lit(-1).cast("long"))
+    of = weighted.schema["target_id"].dataType.simpleString()
 
     for _ in range(depth):
-        frontier = state.where("new <> 0").select(F.col("node_id").alias("src"), "bunch", "new")
+        frontier = state.where("new <> 0").select("node_id", "bunch", "new")
         if frontier.isEmpty():
             break
-        tried = _from(dealt, frontier).select("dst", "bunch", F.struct("src", "edge", bar.alias("bar"), "new").alias("e"), F.lit(0).cast("long").alias("runs"))
-        tried = tried.join(F.broadcast(hubs), "dst", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("e.src"), "parts"), F.lit(0)))
-        known = state.select(F.col("node_id").alias("dst"), "bunch", F.lit(None).cast(tried.schema["e"].dataType).alias("e"), "runs").join(F.broadcast(hubs), "dst", "left")
-        known = known.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
-        groups = tried.unionByName(known).groupBy("dst", "bunch", "part").agg(F.bit_or("runs").alias("runs"), F.collect_list("e").alias("steps"))
-        groups = groups.select("dst", "bunch", "runs", F.aggregate("steps", F.col("runs"), step).alias("got"))
-        merged = groups.groupBy(F.col("dst").alias("node_id"), "bunch").agg(F.bit_or("got").alias("got"), F.bit_or("runs").alias("runs")).where("got <> 0")
-        state = cut(merged.select("node_id", "bunch", F.col("got").bitwiseAND(F.bitwise_not("runs")).alias("new"), F.col("got").alias("runs")))
+        some = state.where(F.pmod(F.xxhash64("node_id"), F.lit(every)) == 0).join(F.broadcast(degree), "node_id")
+        n = some.agg(F.sum(F.when(F.col("new") != 0, F.col("n"))).alias("new"), F.sum(F.when(done, F.col("n"))).alias("done")).first()
+        if 2 * ((last + 1) * n_steps - (n["done"] or 0)) < (n["new"] or 0):  # into the others, each of which is dealt out twice
+            whole = state.where(done).groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == last + 1)
+            steps = dealt.join(whole.select(F.col("node_id").alias("src")), "src", "left_anti").join(frontier.withColumnRenamed("node_id", "dst"), "dst")
+            src, dst, way = "dst", "src", F.when(F.col("way") == "a", "b").otherwise("a")
+        else:
+            steps = _from(dealt, frontier.withColumnRenamed("node_id", "src"))
+            src, dst, way = "src", "dst", F.col("way")
+        said = F.concat_ws(":", src, dst, "edge_type", way, F.col("nth").cast("string"))
+        tried = steps.select(F.col(dst).alias("node_id"), "bunch", "new", "bar", said.alias("said"))
+        known = state.select("node_id", "bunch", F.col("runs").alias("known"))
+        tried = tried.join(known.hint("merge"), ["node_id", "bunch"], "left")  # sorted by node
+        left = F.col("new").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
+        found = tried.select("node_id", "bunch", left.alias("runs"), "bar", "said").where("runs <> 0").mapInArrow(draws.passing(seed), f"node_id {of}, bunch int, runs bigint")
+        none = F.lit(0).cast("long")
+        rows = state.select("node_id", "bunch", none.alias("new"), "runs").unionByName(found.select("node_id", "bunch", F.col("runs").alias("new"), none.alias("runs")))
+        merged = rows.groupBy("node_id", "bunch").agg(F.bit_or("new").alias("new"), F.bit_or("runs").alias("runs"))
+        state = cut(merged.select("node_id", "bunch", F.col("new").bitwiseAND(F.bitwise_not("runs")).alias("new"), F.col("new").bitwiseOR(F.col("runs")).alias("runs")))
     dealt.unpersist()
     return state.select("node_id", "bunch", "runs")
 

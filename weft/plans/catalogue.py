@@ -647,7 +647,7 @@ SELECT CAST(run AS INTEGER) AS run, count(*) AS reached FROM r GROUP BY run"""
 def _reached(spark, d):
     weighted = _overlay(spark, d).select("source_id", "target_id", "edge_type", F.col("adjusted_weight").alias("weight"))
     seeds = spark.createDataFrame([("customer:7",)], "node_id string")
-    return graph.monte_carlo_reach(weighted, seeds).groupBy("run").agg(F.count(F.lit(1)).alias("reached"))
+    return graph.run_sizes(graph.monte_carlo_bits(weighted, seeds)).withColumnRenamed("n", "reached")
 
 
 @query(MC_SQL)
