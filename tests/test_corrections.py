@@ -81,3 +81,13 @@ def test_nodes_of_a_union_work_edges_out_once(spark):
     found = graph.connected_to_known(nodes, edges)
     assert sorted(r.node_id for r in found.collect()) == ["a", "a", "b", "d"]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 6") == 1  # once for each part of nodes
+
+
+def test_rows_of_a_glob_are_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(gold, "MADE", 5000)
+    nodes = spark.range(400).selectExpr("concat('n', id) AS node_id", "concat('src/', id % 2, '.ts') AS file_path")
+    rows = spark.range(100).selectExpr("concat('g', id) AS id", "'' AS node_id", "CASE WHEN id = 0 THEN 'src/0.ts' ELSE '' END AS file_path", "'src/*.ts' AS file_glob")
+    got = gold.targets(rows, nodes)
+    assert got.count() == got.distinct().count() == 99 * 400 + 200
+    in_tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(in_tasks) >= 4 and max(in_tasks) < 0.6 * sum(in_tasks)

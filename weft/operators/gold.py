@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import ids
 from weft.operators import evaluation
+from weft.session import cut
 
 #: Values that a gold row may have (fixed values).
 STATUSES = ("active", "needs_review", "deprecated")
@@ -58,13 +59,14 @@ def _by_target(gold: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return gold.where(~_blank("node_id")), rest.where(~_blank("file_path")), rest.where(_blank("file_path") & ~_blank("file_glob"))
 
 
-#: Nodes of a path that one part holds; paths with more are dealt out to several, so no task makes all their rows.
-DEALT = 4096
+#: Nodes of a path that one part holds, and rows that it makes; paths with more are dealt out to several, so no task makes all their rows.
+DEALT, MADE = 4096, 4_000_000
 
 
 def targets(gold: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, node_id, via): the nodes of each gold row, by its node_id, else by its file_path, else by its
-    file_glob. Globs meet the distinct paths and only then nodes, those of frequent paths in parts.
+    file_glob. Globs meet the distinct paths and only then nodes, in as many parts as the rows need that come of
+    them: what is dealt out is small and would else be merged into few tasks.
     """
     own, by_path, globbed = _by_target(gold)
     by_id = own.select("id", "node_id").join(nodes.select("node_id"), "node_id", "left_semi").select("id", "node_id", F.lit("node_id").alias("via"))
@@ -72,11 +74,18 @@ def targets(gold: DataFrame, nodes: DataFrame) -> DataFrame:
     met = _met_paths(globbed, nodes)
     if met is not None:
         asked = asked.unionByName(globbed.select("id", "file_glob").join(met, "file_glob").select("id", "file_path", F.lit("file_glob").alias("via")))
-    frequent = nodes.groupBy("file_path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > DEALT).select("file_path", F.ceil(F.col("n") / DEALT).alias("parts"))
+    count = lambda df, name: df.groupBy("file_path").agg(F.count(F.lit(1)).alias(name))
+    paths = count(nodes, "n").join(count(asked, "times"), "file_path")
+    needed = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / DEALT), F.ceil(F.col("n") * F.col("times") / MADE)))
+    paths = cut(paths.select("file_path", needed.alias("parts"), (F.col("n") * F.col("times")).alias("rows")))
+    rows = paths.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // MADE))
+    frequent = paths.where("parts > 1").select("file_path", "parts")
     dealt = lambda df: df.join(F.broadcast(frequent), "file_path", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     asked = dealt(asked).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     held = dealt(nodes.select("node_id", "file_path")).select("node_id", "file_path", F.pmod(F.xxhash64("node_id"), "parts").alias("part"))
-    return by_id.unionByName(asked.join(held, ["file_path", "part"]).select("id", "node_id", "via"))
+    at = lambda df: df.repartition(tasks, "file_path", "part")
+    return by_id.unionByName(at(asked).join(at(held), ["file_path", "part"]).select("id", "node_id", "via"))
 
 
 def benchmark(gold: DataFrame, nodes: DataFrame, assignments: DataFrame) -> DataFrame:
